@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, tokens, urls, warc
+from . import media, mixing, secrets, tokens, urls, warc
 from .common import shared_dir, stored, table
 
 
@@ -20,6 +20,14 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_store(store).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scanned(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets")
+    n = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("secrets", lambda s: s["kind"].isin(*(r.kind for r in secrets.BASE)))
+    digest = F.sha2(secrets.joined(base), 256).alias("base_sha256")
+    return found.select("doc_id", *(n(r.kind) for r in secrets.BASE), digest, secrets.joined(F.col("secrets")).alias("spans"))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     media_rows = stored(media.wrapped(docs, "text", ("doc_id",)), f"{shared_dir(spark)}/media")
@@ -57,7 +65,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_store, op4_media_columns, op5_warc_archive, op6_mix_sources, op7_url_filter)}
+    return {f.__name__: f for f in (op2_token_store, op3_secret_scan, op4_media_columns, op5_warc_archive, op6_mix_sources, op7_url_filter)}
 
 
 def oracle_sql() -> dict:

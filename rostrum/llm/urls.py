@@ -78,12 +78,13 @@ def grams(host: Column, path: Column, sizes: tuple[int, ...] = (3, 4, 5)) -> Col
 
     A look-ahead takes them in one pass, however long the text.
     """
-    parts = []
-    for mark, text in (("h", F.concat(F.lit("^"), host, F.lit("$"))), ("p", F.concat(path, F.lit("$")))):
-        for n in sizes:
-            found = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-            parts.append(F.transform(found, lambda g, m=mark: F.concat(F.lit(m), g)))
-    return F.concat(*parts)
+
+    def of(mark: str, text: Column, n: int) -> Column:
+        found = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+        return F.transform(found, lambda g: F.concat(F.lit(mark), g))
+
+    ends = (("h", F.concat(F.lit("^"), host, F.lit("$"))), ("p", F.concat(path, F.lit("$"))))
+    return F.concat(*(of(mark, text, n) for mark, text in ends for n in sizes))
 
 
 def _vectors(urls: DataFrame, buckets: int) -> DataFrame:
