@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, neardup, secrets, tokens, toxicity, urls, warc
+from . import decontam, media, mixing, neardup, secrets, tokens, toxicity, urls, warc
 from .common import shared_dir, stored, table
 
 
@@ -64,6 +64,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(pages, urls.train(urls.labelled_urls(spark))).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = toxicity.judged(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -75,7 +79,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_store, op3_secret_scan, op4_media_columns, op5_warc_archive, op6_mix_sources, op7_url_filter, op9_toxicity, op10_near_duplicates)}
+    return {f.__name__: f for f in (op2_token_store, op3_secret_scan, op4_media_columns, op5_warc_archive, op6_mix_sources, op7_url_filter, op8_decontamination, op9_toxicity, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict:
