@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, media, mixing, neardup, secrets, tokens, toxicity, urls, warc
+from . import decontam, dedup, media, mixing, neardup, secrets, tokens, toxicity, urls, warc
 from .common import shared_dir, stored, table
 
 
@@ -15,6 +15,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup.deduplicated(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = tokens.write_store(table(spark, sf_dir, "documents"), tokenizer_path())
     return tokens.read_store(store).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -79,7 +84,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_store, op3_secret_scan, op4_media_columns, op5_warc_archive, op6_mix_sources, op7_url_filter, op8_decontamination, op9_toxicity, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_store, op3_secret_scan, op4_media_columns, op5_warc_archive, op6_mix_sources, op7_url_filter, op8_decontamination, op9_toxicity, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict:
