@@ -29,7 +29,7 @@ INSULTS = (
     "pathetic", "disgusting", "dumb", "fool", "fools", "jerk", "filth", "vermin", "garbage", "imbecile", "cretin",
     "ugly", "creep", "bastard", "idiota", "imbécile", "dummkopf", "abschaum", "connard", "estúpido", "basura",
 )
-THREATS = ("hate", "kill", "die", "hurt", "destroy", "shut up", "go away", "get lost", "despise", "hasse", "déteste", "odio")
+THREATS = ("hate", "kill", "die", "hurt", "destroy", "despise", "threat", "attack", "murder", "beat", "hasse", "déteste", "odio")
 SECOND = (
     "you", "your", "yours", "yourself", "youre", "u", "ur", "du", "dich", "dir", "dein", "deine", "ihr", "euch",
     "tu", "toi", "te", "vous", "votre", "ton", "ta", "tes", "usted", "ustedes", "ti", "tú", "vosotros",
@@ -63,44 +63,53 @@ def with_features(docs: DataFrame, learned: tuple[str, ...] = (), text: str = "t
     ``learned`` are beginnings of lower-cased words; one that ends in ``$`` is
     a whole word.
 
-    Each text is lower-cased once, and its disguises are undone once, before
-    the expressions run. Densities are per 100 words. Null, empty and wordless
-    texts have zeros.
+    Each text is lower-cased once and cut into words once; expressions that
+    cost much run only where cheaper ones have found something. Densities are
+    per 100 words. Null, empty and wordless texts have zeros.
     """
-    raw, low, plain = F.coalesce(F.col(text), F.lit("")), F.col("__low"), F.col("__plain")
+    raw, low, words = F.coalesce(F.col(text), F.lit("")), F.col("__low"), F.col("__words")
     docs = docs.withColumn("__low", F.lower(raw))
-    docs = docs.withColumn("__plain", F.translate("__low", "013457@$!|", "oieastasii"))
+    docs = docs.withColumn("__words", F.split("__low", r"[^\p{L}\p{N}]+"))
     n = lambda where, pattern: F.regexp_count(where, F.lit(pattern)).cast("double")
+    of = lambda listed: F.size(F.filter(words, lambda w: w.isin(*listed))).cast("double")
     second = _any(SECOND)
     stems = [re.escape(w[:-1]) if w.endswith("$") else re.escape(w) + r"[\p{L}\p{N}]*+" for w in learned]
     insults, learnt = _any(INSULTS), _any(stems) if stems else "(?!)"
     bad = f"(?:{insults}|{learnt})"
     gap = r"(?:[^\p{L}\p{N}]+[\p{L}\p{N}]+){0,4}[^\p{L}\p{N}]+"
+    ends = (F.get(words, 0) == "").cast("int") + ((F.size(words) > 1) & (F.element_at(words, -1) == "")).cast("int")
     counts = {
-        "words": n(raw, r"[\p{L}\p{N}]+"),
-        "insults": n(low, _words(insults)),
-        "plain": n(plain, _words(insults)),
-        "threats": n(low, _words(_any(THREATS))),
-        "second": n(low, _words(second)),
+        "words": (F.size(words) - ends).cast("double"),
+        "insults": of(INSULTS),
         "learned": n(low, _words(learnt)),
-        "near": n(low, _words(f"{bad}(?={gap}{second}(?![\\p{{L}}\\p{{N}}]))")) + n(low, _words(f"{second}(?={gap}{bad}(?![\\p{{L}}\\p{{N}}]))")),
+        "threats": of(THREATS),
+        "second": of(SECOND),
         "capitals": n(raw, r"\p{Lu}+"),
         "shouts": n(raw, r"\p{Lu}{3,}"),
         "marks": n(raw, r"[!?]"),
-        "bursts": n(raw, r"[!?]{2,}"),
         "disguises": n(low, r"\p{L}[0-9@$*!|]{1,3}\p{L}"),
         "stretches": n(low, r"(\p{L})\1{3,}"),
         "spreads": n(low, r"(?<![\p{L}\p{N}])\p{L}[ .*_-]\p{L}[ .*_-]\p{L}[ .*_-]\p{L}(?![\p{L}\p{N}])"),
     }
     docs = docs.withColumn("__n", F.struct(*(c.alias(k) for k, c in counts.items())))
-    c = {k: F.col(f"__n.{k}") for k in counts}
+    some = lambda when, count: F.when(when, count).otherwise(0.0)
+    hit, far = F.col("__n.insults") + F.col("__n.learned") > 0, f"(?![\\p{{L}}\\p{{N}}])"
+    both = n(low, _words(f"{bad}(?={gap}{second}{far})")) + n(low, _words(f"{second}(?={gap}{bad}{far})"))
+    plain = F.translate("__low", "013457@$!|", "oieastasii")
+    rare = {
+        "near": some(hit & (F.col("__n.second") > 0), both),
+        "plain": some(F.col("__n.disguises") > 0, n(plain, _words(insults))),
+        "bursts": some(F.col("__n.marks") > 1, n(raw, r"[!?]{2,}")),
+    }
+    docs = docs.withColumn("__r", F.struct(*(c.alias(k) for k, c in rare.items())))
+    c = {k: F.col(f"__n.{k}") for k in counts} | {k: F.col(f"__r.{k}") for k in rare}
     per = lambda x: F.coalesce(F.try_divide(x * 100.0, c["words"]), F.lit(0.0))
     values = (
         F.log1p(c["words"]), per(c["insults"]), per(c["learned"]), c["insults"] + c["learned"], per(c["threats"]), per(c["second"]), per(c["near"]),
         per(F.greatest(c["plain"] - c["insults"], F.lit(0.0))), per(c["capitals"]), per(c["shouts"]), per(c["marks"]),
         per(c["bursts"]), per(c["disguises"]), per(c["stretches"]), per(c["spreads"]),
     )
-    return docs.withColumn("toxic_features", F.array(*values)).drop("__low", "__plain", "__n")
+    return docs.withColumn("toxic_features", F.array(*values)).drop("__low", "__words", "__n", "__r")
 
 
 @dataclass(frozen=True)
@@ -110,7 +119,7 @@ class Model:
     calibration: IsotonicRegressionModel
 
 
-def learn_lexicon(rows: DataFrame, most: int = 96, evidence: float = 20.0, odds: float = 12.0) -> tuple[str, ...]:
+def learn_lexicon(rows: DataFrame, most: int = 96, evidence: float = 20.0, odds: float = 40.0) -> tuple[str, ...]:
     """Beginnings of words, of 3 to 8 letters or whole, that set toxic texts apart.
 
     ``rows`` has text and __label, and is as large as the sample of labelled
