@@ -91,7 +91,7 @@ def spans(text: Column, opening: str = r"\(", closing: str = r"\)") -> Column:
 
 def is_remark(span: Column) -> Column:
     """Not a bare capitalised word of up to 15 letters, a time, or a number."""
-    return ~F.rlike(span, F.lit(r"(?U)^\s*(?:\p{Lu}[\w-]{0,14}|[\d.:]+)\s*$"))
+    return ~F.rlike(span, F.lit(r"^\s*(?:\p{Lu}[\p{L}\p{N}_-]{0,14}|[0-9.:]+)\s*$"))
 
 
 def ngram_order(token: Column, mark: str = "#") -> Column:

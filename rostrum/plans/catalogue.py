@@ -1,11 +1,572 @@
-"""All queries of the engine's own operators, with their SQL."""
+"""All queries of the engine's own operators over the sample tables, with their SQL.
+
+Speeches are ``documents``, exchanges ``conversations``, reactions ``events``;
+speakers are sources, users, customers or suppliers, as each query says.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.maths import ratio
+from ..operators import bundle, classify, collocation, contrast, evaluate, events, frequency, keywords, lexscore, network, readability, syntax, tokens, topics
+from ..profile import WESTERN
+
+#: Small lexicons for the four languages of the sample tables.
+POSITIVE = ("the", "que", "der", "para", "on", "for", "les", "das")
+NEGATIVE = ("and", "un", "die", "los", "that", "pas", "von", "en")
+EMOTIONS = {"anger": ("the", "le", "der", "el"), "fear": ("and", "la", "und", "y"), "joy": ("of", "de", "zu", "en"), "sadness": ("to", "et", "das", "que")}
+VIRTUES = {"courage/affirming": ("the", "le", "der", "el"), "courage/accusing": ("and", "la", "und", "y"), "justice/affirming": ("of", "de", "zu", "en"), "justice/accusing": ("with", "qui", "mit", "con")}
+LOANS = ("tion", "ment", "ing", "able", "the", "une", "ein", "por")
+CONNECTORS = ("of", "the", "de", "la", "der", "und", "y", "et")
+LANGS = ["de", "en", "es", "fr"]
+KINDS = ["click", "error", "login", "purchase", "view"]
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _tokens(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
+    return tokens.tokenized(_read(spark, sf_dir, "documents"), keys=("doc_id", *keys))
+
+
+def _in(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+def _pairs(entries: dict) -> str:
+    return ", ".join(f"('{c}', '{w}')" for c, ws in entries.items() for w in ws)
+
+
+_TOK = r"""
+  sent AS (SELECT doc_id, lang, source, unnest(string_split_regex(lower(text), '[.!?]+')) AS s,
+                  generate_subscripts(string_split_regex(lower(text), '[.!?]+'), 1) - 1 AS sent_id FROM documents),
+  tok0 AS (SELECT doc_id, lang, source, sent_id, unnest(regexp_extract_all(s, '\p{L}+')) AS token,
+                  generate_subscripts(regexp_extract_all(s, '\p{L}+'), 1) AS i FROM sent),
+  tok AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_id, i) - 1 AS pos FROM tok0)"""
+_DOCS = "(SELECT count(*) FROM documents)"
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+@_query(f"""WITH {_TOK}, c AS (SELECT token, count(*) AS raw, count(DISTINCT doc_id) AS doc_count FROM tok GROUP BY token),
+  n AS (SELECT CAST(sum(raw) AS BIGINT) AS n FROM c)
+  SELECT token, raw, raw::DOUBLE * 1000000 / n AS per_million, raw::DOUBLE / n AS proportion, doc_count,
+         doc_count::DOUBLE / {_DOCS} AS doc_proportion, n AS n_tokens, {_DOCS} AS n_docs FROM c, n""")
+def term_frequency(spark, sf_dir):
+    return frequency.frequency_frame(_tokens(spark, sf_dir), _read(spark, sf_dir, "documents"))
+
+
+@_query(f"""WITH {_TOK} SELECT coalesce(lang, 'ALL') AS lang, token, count(*) AS raw, count(DISTINCT doc_id) AS doc_count
+  FROM tok GROUP BY GROUPING SETS ((lang, token), (token))""")
+def freq_grouping_sets(spark, sf_dir):
+    return frequency.pooled_counts(_tokens(spark, sf_dir, "lang"), "lang")
+
+
+@_query(f"WITH {_TOK} SELECT token, " + ", ".join(f"count(*) FILTER (lang = '{x}') AS {x}" for x in LANGS) + " FROM tok GROUP BY token")
+def freq_wide_pivot(spark, sf_dir):
+    return frequency.wide(frequency.term_counts(_tokens(spark, sf_dir, "lang"), ("lang",)), "lang", LANGS)
+
+
+@_query("""WITH r AS (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
+  SELECT user_id, count(*) AS lines, count(*) AS words, count(DISTINCT event_type) AS distinct_lines,
+         count(*) FILTER (event_type = before) AS repeats, count(*) FILTER (event_type = before)::DOUBLE / count(*) AS repeat_fraction FROM r GROUP BY user_id""")
+def collapse_runs(spark, sf_dir):
+    rows = frequency.with_repeats(_read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type")
+    return frequency.line_stats(rows, "user_id", "event_type")
+
+
+@_query(f"""WITH {_TOK}, l AS (SELECT doc_id, source, lag(lang) OVER (PARTITION BY source ORDER BY doc_id) = lang AS again FROM documents)
+  SELECT t.source, token, count(*) AS raw, count(*) FILTER (NOT coalesce(again, false)) AS raw_collapsed FROM tok t JOIN l USING (doc_id) GROUP BY t.source, token""")
+def two_view_counts(spark, sf_dir):
+    docs = frequency.with_repeats(_read(spark, sf_dir, "documents"), "source", ["doc_id"], "lang")
+    return frequency.two_views(tokens.tokenized(docs, keys=("doc_id", "source", "is_repeat")), "source")
+
+
+@_query(f"""WITH {_TOK} SELECT token, count(DISTINCT doc_id) AS doc_count FROM tok WHERE length(token) >= 2 GROUP BY token
+  HAVING count(DISTINCT doc_id) > 0.5 * {_DOCS} OR count(DISTINCT doc_id) < 2""")
+def df_stopwords(spark, sf_dir):
+    return frequency.document_stopwords(_tokens(spark, sf_dir), _read(spark, sf_dir, "documents"), 0.5, 2)
+
+
+@_query(f"""WITH {_TOK}, c AS (SELECT token, lang, count(*) AS n FROM tok GROUP BY token, lang)
+  SELECT token, lang, n FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY n DESC, lang) AS r FROM c) WHERE r = 1""")
+def mode_per_term(spark, sf_dir):
+    return frequency.mode_of(_tokens(spark, sf_dir, "lang"), "token", "lang")
+
+
+@_query(f"""WITH {_TOK}, c AS (SELECT lang, token, count(*) AS raw, count(DISTINCT doc_id) AS doc_count FROM tok GROUP BY lang, token)
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY raw DESC, token)::INTEGER AS rank FROM c) WHERE rank <= 25""")
+def top_terms_per_language(spark, sf_dir):
+    return frequency.top_terms(frequency.term_counts(_tokens(spark, sf_dir, "lang"), ("lang",)), 25, ("lang",))
+
+
+_READ = r"""w AS (SELECT doc_id, source, lang, len(regexp_extract_all(lower(text), '\p{L}+'))::BIGINT AS n_words,
+     len(list_filter(regexp_extract_all(lower(text), '\p{L}+'), lambda x: length(x) > 6))::BIGINT AS n_long,
+     greatest(len(regexp_extract_all(text, '[.!?]+')), 1)::BIGINT AS n_sentences FROM documents),
+  l AS (SELECT *, CASE WHEN n_words > 0 THEN n_words::DOUBLE / n_sentences + n_long::DOUBLE * 100 / n_words END AS lix,
+     n_words > 0 AND n_words <= n_sentences * 60 AS reliable FROM w)"""
+
+
+@_query(f"""WITH {_READ} SELECT doc_id, n_words, n_long, n_sentences, lix, CASE WHEN lix IS NULL THEN NULL WHEN lix < 30 THEN 'very easy' WHEN lix < 40 THEN 'easy'
+     WHEN lix < 50 THEN 'standard' WHEN lix < 60 THEN 'difficult' ELSE 'very difficult' END AS lix_band,
+     CASE WHEN n_words > 0 THEN n_long::DOUBLE / n_sentences END AS rix, n_words::DOUBLE / n_sentences AS words_per_sentence, reliable FROM l""")
+def lix_rix(spark, sf_dir):
+    return readability.scored(readability.sentence_counts(_read(spark, sf_dir, "documents"), WESTERN), WESTERN)
+
+
+@_query(f"""WITH {_TOK}, r AS (SELECT doc_id, pos, coalesce(lag(pos) OVER (PARTITION BY doc_id, token ORDER BY pos), -1) AS before, count(*) OVER (PARTITION BY doc_id) AS n FROM tok),
+  o AS (SELECT doc_id, any_value(n) AS n, count(*) FILTER (before = -1) AS types,
+     CAST(sum(greatest(least(pos, n - 100) - greatest(before + 1, pos - 99, 0) + 1, 0)) AS BIGINT) AS opens FROM r GROUP BY doc_id)
+  SELECT doc_id, n AS n_tokens, types AS n_types, types::DOUBLE / n AS ttr,
+     CASE WHEN n >= 100 THEN opens::DOUBLE / ((n - 99) * 100) ELSE types::DOUBLE / n END AS mattr, n >= 100 AS mattr_windowed FROM o""")
+def mattr(spark, sf_dir):
+    return readability.mattr(_tokens(spark, sf_dir))
+
+
+@_query(f"""WITH {_READ} SELECT source, count(*) AS n_docs, CAST(sum(n_words) FILTER (reliable AND lix IS NOT NULL) AS BIGINT) AS words,
+     round(sum(lix * n_words) FILTER (reliable AND lix IS NOT NULL) / sum(n_words) FILTER (reliable AND lix IS NOT NULL), 6) AS weighted FROM l GROUP BY source""")
+def speaker_weighted_lix(spark, sf_dir):
+    rows = readability.scored(readability.sentence_counts(_read(spark, sf_dir, "documents"), WESTERN, ("doc_id", "source")), WESTERN)
+    return readability.weighted_by_words(rows, ("source",)).withColumn("weighted", F.round("weighted", 6))
+
+
+@_query(rf"""WITH sent AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[.!?]+')) AS s, generate_subscripts(string_split_regex(lower(text), '[.!?]+'), 1) AS sent_id FROM documents),
+  t0 AS (SELECT doc_id, sent_id, unnest(regexp_extract_all(s, '\p{{L}}+|[,;:]+')) AS token, generate_subscripts(regexp_extract_all(s, '\p{{L}}+|[,;:]+'), 1) AS i FROM sent),
+  t1 AS (SELECT *, sum(CASE WHEN regexp_matches(token, '^[,;:]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, sent_id ORDER BY i) AS clause FROM t0),
+  t2 AS (SELECT *, token IN ({_in(WESTERN.negation_forward)}) AS f, token IN ({_in(WESTERN.negation_backward)}) AS b FROM t1 WHERE NOT regexp_matches(token, '^[,;:]')),
+  m AS (SELECT doc_id, sent_id, token, CASE WHEN f THEN 0 ELSE coalesce(max(f::INT) OVER (PARTITION BY doc_id, sent_id, clause ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END
+     + coalesce(sum(b::INT) OVER (PARTITION BY doc_id, sent_id, clause ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS marks FROM t2),
+  c AS (SELECT doc_id, sent_id, count(*) AS n,
+     count(*) FILTER ((marks = 0 AND token IN ({_in(POSITIVE)})) OR (marks = 1 AND token IN ({_in(NEGATIVE)}))) AS p,
+     count(*) FILTER ((marks = 0 AND token IN ({_in(NEGATIVE)})) OR (marks = 1 AND token IN ({_in(POSITIVE)}))) AS q FROM m GROUP BY doc_id, sent_id)
+  SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(sum(p) AS BIGINT) AS positive, CAST(sum(q) AS BIGINT) AS negative,
+     round(avg((p - q)::DOUBLE / n), 6) AS score, coalesce((sum(p) - sum(q))::DOUBLE / nullif(sum(p) + sum(q), 0), 0) AS polarity FROM c GROUP BY doc_id""")
+def sentiment_negation(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    cut = F.transform(F.split(F.lower("text"), tokens.SENTENCE_END), lambda s: F.regexp_extract_all(s, F.lit(r"\p{L}+|[,;:]+"), F.lit(0)))
+    rows = docs.select("doc_id", F.posexplode(cut).alias("sent_id", "ws")).select("doc_id", "sent_id", F.posexplode("ws").alias("pos", "token"))
+    marked = lexscore.negated(lexscore.clauses(rows.withColumn("boundary", F.rlike("token", F.lit("^[,;:]")))), WESTERN)
+    return lexscore.sentiment(marked, POSITIVE, NEGATIVE).withColumn("score", F.round("score", 6))
+
+
+@_query(f"""WITH {_TOK}, lex(category, entry) AS (VALUES {_pairs(EMOTIONS)}),
+  c AS (SELECT doc_id, """ + ", ".join(f"count(*) FILTER (category = '{k}') AS {k}" for k in EMOTIONS) + """, count(*) FILTER (category IS NOT NULL) AS hits, count(DISTINCT pos) AS n_tokens
+     FROM tok LEFT JOIN lex ON token = entry GROUP BY doc_id)
+  SELECT doc_id, n_tokens, """ + ", ".join(EMOTIONS) + ", hits, CASE " + " ".join(f"WHEN {k} = greatest({', '.join(EMOTIONS)}) AND {k} > 0 THEN '{k}'" for k in sorted(EMOTIONS)) + " END AS dominant, hits < 5 AS sparse FROM c")
+def emotion_rates(spark, sf_dir):
+    return lexscore.emotions(_tokens(spark, sf_dir), lexscore.lexicon(spark, EMOTIONS), list(EMOTIONS))
+
+
+@_query(f"""WITH {_TOK}, lex(category, entry) AS (VALUES {_pairs(VIRTUES)}), n AS (SELECT doc_id, count(*) AS n_tokens FROM tok GROUP BY doc_id),
+  c AS (SELECT doc_id, split_part(category, '/', 1) AS virtue, count(*) FILTER (split_part(category, '/', 2) = 'affirming') AS affirming,
+     count(*) FILTER (split_part(category, '/', 2) = 'accusing') AS accusing FROM tok JOIN lex ON token = entry GROUP BY ALL)
+  SELECT doc_id, virtue, affirming, accusing, n_tokens, (affirming + accusing)::DOUBLE * 1000 / n_tokens AS per_1000,
+     affirming::DOUBLE / (affirming + accusing) AS stance, affirming + accusing < 3 AS sparse FROM c JOIN n USING (doc_id)""")
+def salience_stance(spark, sf_dir):
+    return lexscore.salience(_tokens(spark, sf_dir), lexscore.lexicon(spark, VIRTUES))
+
+
+@_query(f"""WITH {_TOK}, lex(category, entry) AS (VALUES {_pairs(VIRTUES)})
+  SELECT coalesce(lang, 'ALL') AS lang, CAST(sum(CASE WHEN category LIKE '%affirming' THEN 1 ELSE 0 END) AS BIGINT) AS affirming,
+     CAST(sum(CASE WHEN category LIKE '%accusing' THEN 1 ELSE 0 END) AS BIGINT) AS accusing FROM tok JOIN lex ON token = entry GROUP BY GROUPING SETS ((lang), ())""")
+def pole_totals(spark, sf_dir):
+    hits = lexscore.single_hits(_tokens(spark, sf_dir, "lang"), lexscore.lexicon(spark, VIRTUES))
+    flag = lambda pole: F.col("category").endswith(pole).cast("long").alias(pole)
+    return bundle.totals_with_all(hits.select("lang", flag("affirming"), flag("accusing")), "lang", ["affirming", "accusing"])
+
+
+@_query(rf"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '\p{{L}}+')) AS form FROM documents),
+  p AS (SELECT doc_id, lower(form) AS token, regexp_matches(form, '^\p{{Lu}}') AS proper FROM t)
+  SELECT doc_id, count(*) FILTER (NOT proper) AS counted, count(*) FILTER (NOT proper AND token IN ({_in(LOANS)})) AS matched, count(*) FILTER (proper) AS excluded,
+     count(*) FILTER (NOT proper AND token IN ({_in(LOANS)}))::DOUBLE / nullif(count(*) FILTER (NOT proper), 0) AS loan_ratio FROM p GROUP BY doc_id""")
+def loanword_ratio(spark, sf_dir):
+    forms = _read(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(T.WORD), F.lit(0))).alias("form"))
+    rows = forms.select("doc_id", F.lower("form").alias("token"), F.rlike("form", F.lit(r"^\p{Lu}")).alias("proper"))
+    return lexscore.loanwords(rows, lexscore.lexicon(spark, {"loan": LOANS}))
+
+
+@_query(f"""WITH {_TOK}, b AS (SELECT token AS a, lead(token) OVER (PARTITION BY doc_id, sent_id ORDER BY pos) AS b FROM tok),
+  j AS (SELECT a, b, count(*) AS joint FROM b WHERE b IS NOT NULL GROUP BY a, b HAVING count(*) >= 5), c AS (SELECT token, count(*) AS n FROM tok GROUP BY token), t AS (SELECT count(*) AS n_tokens FROM tok)
+  SELECT j.a, '' AS between, j.b, joint, x.n AS count_a, y.n AS count_b, n_tokens,
+     round((ln(joint::DOUBLE / n_tokens) - (ln(x.n::DOUBLE / n_tokens) + ln(y.n::DOUBLE / n_tokens))) / (-1 * ln(joint::DOUBLE / n_tokens)), 6) AS score
+  FROM j JOIN c x ON x.token = j.a JOIN c y ON y.token = j.b, t""")
+def bigram_npmi(spark, sf_dir):
+    return collocation.pair_scores(_tokens(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@_query(f"""WITH {_TOK}, k AS (SELECT *, sum(CASE WHEN token IN ({_in(CONNECTORS)}) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, sent_id ORDER BY pos) AS run FROM tok),
+  i AS (SELECT doc_id, sent_id, run, string_agg(token, ' ' ORDER BY pos) AS between FROM k WHERE token IN ({_in(CONNECTORS)}) GROUP BY ALL),
+  m AS (SELECT token AS a, lead(token) OVER (PARTITION BY doc_id, sent_id ORDER BY pos) AS b, coalesce(i.between, '') AS between
+     FROM k LEFT JOIN i USING (doc_id, sent_id, run) WHERE token NOT IN ({_in(CONNECTORS)}))
+  SELECT a, between, b, count(*) AS joint FROM m WHERE b IS NOT NULL GROUP BY ALL HAVING count(*) >= 3""")
+def connector_bigrams(spark, sf_dir):
+    found = collocation.pairs(_tokens(spark, sf_dir), CONNECTORS).groupBy("a", "between", "b").agg(F.count(F.lit(1)).alias("joint"))
+    return found.where("joint >= 3")
+
+
+_SIDES = f"""{_TOK}, s AS (SELECT token, count(*) FILTER (lang = 'en') AS count_a, count(*) FILTER (lang = 'fr') AS count_b FROM tok WHERE lang IN ('en', 'fr') GROUP BY token),
+  n AS (SELECT sum(count_a)::DOUBLE AS ta, sum(count_b)::DOUBLE AS tb FROM s)"""
+
+
+@_query(f"""WITH {_SIDES} SELECT token, count_a, count_b,
+     round(2 * (count_a * ln(count_a / (ta * ((count_a + count_b) / (ta + tb)))) + count_b * ln(count_b / (tb * ((count_a + count_b) / (ta + tb))))), 6) AS g2,
+     round(log2((count_a / ta) / (count_b / tb)), 6) AS log_ratio, CASE WHEN count_a * tb > count_b * ta THEN 'a' ELSE 'b' END AS side FROM s, n WHERE count_a >= 5 AND count_b >= 5""")
+def keyness_ll(spark, sf_dir):
+    counts = contrast.side_counts(_tokens(spark, sf_dir, "lang"), "lang", "en", "fr")
+    return contrast.keyness(counts).withColumns({c: F.round(c, 6) for c in ("g2", "log_ratio")})
+
+
+@_query(f"""WITH {_SIDES}, r AS (SELECT token, count_a, count_b, rank() OVER (ORDER BY count_a DESC) + (count(*) OVER (PARTITION BY count_a) - 1) / 2 AS rank_a,
+     rank() OVER (ORDER BY count_b DESC) + (count(*) OVER (PARTITION BY count_b) - 1) / 2 AS rank_b FROM s)
+  SELECT *, round(pow(abs(pow(1 / rank_a, 1.0::DOUBLE / 3) - pow(1 / rank_b, 1.0::DOUBLE / 3)), 0.75::DOUBLE), 6) AS divergence FROM r""")
+def rank_turbulence(spark, sf_dir):
+    counts = contrast.side_counts(_tokens(spark, sf_dir, "lang"), "lang", "en", "fr")
+    return contrast.rank_turbulence(counts).withColumn("divergence", F.round("divergence", 6))
+
+
+@_query(f"""WITH {_TOK}, g AS (SELECT unnest(list_distinct([lang, source])) AS grp, token FROM tok) SELECT grp, token, count(*) AS raw FROM g GROUP BY grp, token""")
+def group_set_counts(spark, sf_dir):
+    return contrast.group_counts(_tokens(spark, sf_dir, "lang", "source"), ["lang", "source"])
+
+
+@_query(r"""WITH s AS (SELECT doc_id, unnest(regexp_extract_all(text, '\(([^()]*)\)', 1)) AS span FROM documents)
+  SELECT doc_id, count(*) AS n, count(*) FILTER (NOT regexp_matches(span, '^\s*(?:\p{Lu}[\p{L}\p{N}_-]{0,14}|[0-9.:]+)\s*$')) AS remarks,
+     string_agg(DISTINCT span, ';' ORDER BY span) AS spans FROM s GROUP BY doc_id""")
+def bracketed_spans(spark, sf_dir):
+    rows = _read(spark, sf_dir, "documents").select("doc_id", F.explode(T.spans(F.col("text"))).alias("span"))
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(T.is_remark(F.col("span"))).alias("remarks"), T.joined_set(F.collect_list("span")).alias("spans"))
+
+
+@_query(r"""WITH s AS (SELECT page_id, unnest(regexp_extract_all(html, '<(h1|b|i|em|strong)>([^<]*)</', 2)) AS span FROM pages)
+  SELECT page_id, count(*) AS n, CAST(sum(length(span)) AS BIGINT) AS chars FROM s GROUP BY page_id""")
+def html_spans(spark, sf_dir):
+    rows = _read(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<(h1|b|i|em|strong)>([^<]*)</"), F.lit(2))).alias("span"))
+    return rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("span").cast("long")).alias("chars"))
+
+
+def _events(spark, sf_dir):
+    rows = _read(spark, sf_dir, "events")
+    return rows.select("user_id", "event_type", (F.dayofmonth("ts") % 5).alias("cycle"), F.when(F.hour("ts") < 12, "government").otherwise("opposition").alias("audience"), F.round(F.col("value") * 100).cast("long").alias("weight"), F.array("event_type").alias("kinds"))
+
+
+_EVENTS = "e AS (SELECT user_id, event_type, day(ts) % 5 AS cycle, CASE WHEN hour(ts) < 12 THEN 'government' ELSE 'opposition' END AS audience, CAST(round(value * 100) AS BIGINT) AS weight FROM events)"
+
+
+@_query(f"""WITH {_EVENTS}, l AS (SELECT cycle, count(*) AS n FROM e GROUP BY cycle)
+  SELECT cycle, event_type AS kind, audience, count(*) AS events, CAST(sum(weight) AS BIGINT) AS weighted, count(*)::DOUBLE * 1000 / any_value(n) AS per_1000_lines
+  FROM e JOIN l USING (cycle) GROUP BY cycle, event_type, audience""")
+def event_summary(spark, sf_dir):
+    rows = _events(spark, sf_dir)
+    return events.summary(rows, rows.groupBy("cycle").agg(F.count(F.lit(1)).alias("n_lines")))
+
+
+@_query(f"""WITH {_EVENTS}, c AS (SELECT coalesce(CAST(cycle AS VARCHAR), 'ALL') AS cycle, user_id, count(*) AS n FROM e GROUP BY GROUPING SETS ((cycle, user_id), (user_id)))
+  SELECT cycle, user_id, n, n::DOUBLE / sum(n) OVER (PARTITION BY cycle) AS share, row_number() OVER (PARTITION BY cycle ORDER BY n DESC, user_id)::INTEGER AS rank FROM c""")
+def ranked_interjectors(spark, sf_dir):
+    return events.ranked(_events(spark, sf_dir), "cycle", "user_id")
+
+
+@_query(f"""WITH {_EVENTS} SELECT user_id AS speaker, count(*) AS n_words, """ + ", ".join(f"count(*) FILTER (event_type = '{k}') AS {k}" for k in KINDS) + """, CAST(sum(weight) AS BIGINT) AS weighted,
+  count(*) FILTER (audience = CASE WHEN user_id % 2 = 0 THEN 'government' ELSE 'opposition' END) AS own,
+  count(*) FILTER (audience <> CASE WHEN user_id % 2 = 0 THEN 'government' ELSE 'opposition' END) AS other FROM e GROUP BY user_id""")
+def speaker_reaction_scores(spark, sf_dir):
+    rows = _events(spark, sf_dir).withColumns({"speaker": F.col("user_id"), "own_side": F.when(F.col("user_id") % 2 == 0, "government").otherwise("opposition")})
+    totals = rows.groupBy("speaker").agg(F.count(F.lit(1)).alias("n_words"), F.count(F.lit(1)).alias("minutes"))
+    return events.speaker_scores(rows, totals, KINDS).select("speaker", "n_words", *KINDS, "weighted", "own", "other")
+
+
+_CUES = (("alpha", "the|der"), ("beta", "que|und"), ("gamma", "tion"), ("delta", "la"))
+
+
+@_query("WITH s AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[.!?]+')) AS s FROM documents), c AS (SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(s, '{p}') THEN '{n}'" for n, p in _CUES) + " ELSE 'other' END AS kind, " + " + ".join(f"regexp_matches(s, '{p}')::INT" for _, p in _CUES) + " AS matched FROM s) SELECT doc_id, kind, count(*) AS sentences, CAST(sum(matched) AS BIGINT) AS matches FROM c GROUP BY doc_id, kind")
+def cue_classify(spark, sf_dir):
+    rows = _read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.lower("text"), tokens.SENTENCE_END)).alias("s"))
+    rows = rows.select("doc_id", T.first_match(F.col("s"), _CUES, "other").alias("kind"), F.size(T.all_matches(F.col("s"), _CUES)).cast("long").alias("m"))
+    return rows.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("sentences"), F.sum("m").alias("matches"))
+
+
+_TRADE = "g AS (SELECT o_custkey AS src, l_suppkey + 1000000 AS dst, count(*) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)"
+
+
+def _trade(spark, sf_dir):
+    lines = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    rows = lines.join(_read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return network.collapsed(rows.select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + 1000000).alias("dst")))
+
+
+def _traders(spark, sf_dir):
+    a = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"))
+    return a.unionByName(_read(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 1000000).alias("id"), F.col("s_nationkey").alias("nation")))
+
+
+_TRADERS = "n AS (SELECT c_custkey AS id, c_nationkey AS nation FROM customer UNION ALL SELECT s_suppkey + 1000000, s_nationkey FROM supplier)"
+
+
+@_query(f"""WITH {_TRADE}, e AS (SELECT src AS id, weight AS given, 1 AS t, 0 AS received, 0 AS s FROM g UNION ALL SELECT dst, 0, 0, weight, 1 FROM g)
+  SELECT id, CAST(sum(given) AS BIGINT) AS given, CAST(sum(t) AS BIGINT) AS targets, CAST(sum(received) AS BIGINT) AS received, CAST(sum(s) AS BIGINT) AS sources FROM e GROUP BY id""")
+def graph_degrees(spark, sf_dir):
+    return network.degrees(_trade(spark, sf_dir))
+
+
+@_query("""WITH p AS (SELECT role AS src, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS dst FROM conversations)
+  SELECT src, dst, count(*) AS weight FROM p WHERE dst IS NOT NULL AND src <> dst GROUP BY src, dst""")
+def role_edges(spark, sf_dir):
+    turn = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return network.collapsed(_read(spark, sf_dir, "conversations").select(F.col("role").alias("src"), turn.alias("dst")).where("dst IS NOT NULL"))
+
+
+@_query(f"""WITH {_TRADE}, {_TRADERS} SELECT CAST(a.nation AS VARCHAR) AS src_group, CAST(b.nation AS VARCHAR) AS dst_group, CAST(sum(weight) AS BIGINT) AS weight
+  FROM g JOIN n a ON a.id = src JOIN n b ON b.id = dst GROUP BY ALL""")
+def graph_rollup(spark, sf_dir):
+    return network.rolled_up(_trade(spark, sf_dir), _traders(spark, sf_dir), "nation")[0]
+
+
+@_query(f"""WITH {_TRADE}, {_TRADERS}, x AS (SELECT weight, CASE WHEN a.nation % 2 = b.nation % 2 THEN 'within' ELSE 'across' END AS crossing FROM g JOIN n a ON a.id = src JOIN n b ON b.id = dst WHERE weight >= 2)
+  SELECT crossing, count(*) AS edges, CAST(sum(weight) AS BIGINT) AS weight FROM x GROUP BY crossing""")
+def graph_crossing(spark, sf_dir):
+    sides = _traders(spark, sf_dir).withColumn("side", F.col("nation") % 2)
+    rows = network.focused(network.crossing(_trade(spark, sf_dir), sides), 2)
+    return rows.groupBy("crossing").agg(F.count(F.lit(1)).alias("edges"), F.sum("weight").alias("weight"))
+
+
+@_query("""WITH k AS (SELECT lower(p_name) AS name_key, min(p_partkey) AS person_id FROM part GROUP BY 1),
+  m AS (SELECT DISTINCT lower(split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1)) AS q FROM part UNION SELECT DISTINCT lower(p_name) FROM part),
+  t AS (SELECT q, k.person_id, count(*) OVER (PARTITION BY q) AS c FROM m JOIN k ON list_has_all(string_split(k.name_key, ' '), string_split(q, ' ')) WHERE len(list_distinct(string_split(q, ' '))) >= 2)
+  SELECT m.q AS mention, coalesce(k.person_id, t.person_id) AS person_id, CASE WHEN k.person_id IS NOT NULL THEN 'exact' WHEN t.person_id IS NOT NULL THEN 'tokens' END AS how
+  FROM m LEFT JOIN k ON k.name_key = m.q LEFT JOIN t ON t.q = m.q AND t.c = 1 AND k.person_id IS NULL""")
+def name_resolution(spark, sf_dir):
+    part = _read(spark, sf_dir, "part")
+    people = network.registry(part.select(F.col("p_name").alias("name"), F.col("p_partkey").alias("person_id"), F.col("p_brand").alias("faction"), F.col("p_partkey").alias("seq")), WESTERN)
+    words = F.split(F.lower("p_name"), " ")
+    turned = part.select(F.concat_ws(" ", words[1], words[0]).alias("mention"))
+    mentions = turned.union(part.select(F.lower("p_name"))).distinct()
+    return network.resolved(mentions, people, WESTERN).select("mention", "person_id", "how")
+
+
+@_query("""WITH a AS (SELECT c_nationkey AS nation, count(*) AS customers FROM customer WHERE c_acctbal > 9000 GROUP BY 1), b AS (SELECT s_nationkey AS nation, count(*) AS suppliers FROM supplier WHERE s_acctbal > 5000 GROUP BY 1)
+  SELECT nation, customers, suppliers FROM a FULL JOIN b USING (nation)""")
+def outer_people(spark, sf_dir):
+    a = _read(spark, sf_dir, "customer").where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("customers"))
+    b = _read(spark, sf_dir, "supplier").where("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("suppliers"))
+    return bundle.full_outer(a, b, "nation")
+
+
+@_query("SELECT user_id, " + ", ".join(f"count(*) FILTER (event_type = '{k}') AS {k}" for k in KINDS) + " FROM events GROUP BY user_id")
+def kinds_pivot(spark, sf_dir):
+    return bundle.pivot_counts(_read(spark, sf_dir, "events"), "user_id", "event_type", KINDS)
+
+
+@_query("""WITH c AS (SELECT p_brand, l_suppkey, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)
+  SELECT * FROM (SELECT *, n::DOUBLE / sum(n) OVER (PARTITION BY p_brand) AS share_of_a, n::DOUBLE / sum(n) OVER (PARTITION BY l_suppkey) AS share_of_b FROM c) WHERE n >= 2""")
+def topic_speaker_association(spark, sf_dir):
+    rows = _read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").join(_read(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    return bundle.association(rows, "p_brand", "l_suppkey")
+
+
+@_query("SELECT o_custkey, o_orderkey, o_totalprice, rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)::INTEGER AS rank FROM orders) WHERE rank <= 3")
+def top_of_group(spark, sf_dir):
+    rows = _read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return bundle.top_of_group(rows, "o_custkey", [F.desc("o_totalprice"), "o_orderkey"], 3)
+
+
+@_query("SELECT c_custkey, c_acctbal, round(100 * cume_dist() OVER (ORDER BY c_acctbal)) AS percentile FROM customer")
+def percentile_strip(spark, sf_dir):
+    return bundle.percentiles(_read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_acctbal")
+
+
+@_query("""SELECT p_partkey, p_brand, p_retailprice, round((p_retailprice - avg(p_retailprice) OVER w) / coalesce(nullif(stddev_samp(p_retailprice) OVER w, 0), 1), 6) AS z FROM part WINDOW w AS (PARTITION BY p_brand)""")
+def group_z_scores(spark, sf_dir):
+    rows = _read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice")
+    return bundle.z_scores(rows, "p_retailprice", ("p_brand",)).withColumn("z", F.round("z", 6))
+
+
+@_query("SELECT n_regionkey, n_nationkey, round((n_nationkey - avg(n_nationkey) OVER ()) / stddev_samp(n_nationkey) OVER (), 6) AS z FROM nation")
+def overall_z_scores(spark, sf_dir):
+    rows = _read(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey")
+    return bundle.z_scores(rows, "n_nationkey").withColumn("z", F.round("z", 6))
+
+
+@_query(f"""WITH {_TOK}, c AS (SELECT doc_id, lang, token, count(*) AS n FROM tok WHERE length(token) >= 4 GROUP BY ALL),
+  k AS (SELECT doc_id, lang, token FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, token) AS r FROM c) WHERE r <= 5),
+  v AS (SELECT lang, token AS keyword, count(*) AS votes FROM k GROUP BY ALL)
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY votes DESC, keyword)::INTEGER AS rank FROM v) WHERE rank <= 8""")
+def keyword_vote(spark, sf_dir):
+    counts = _tokens(spark, sf_dir, "lang").where("length(token) >= 4").groupBy("doc_id", "lang", "token").agg(F.count(F.lit(1)).alias("n"))
+    best = bundle.top_of_group(counts, "doc_id", [F.desc("n"), "token"], 5)
+    lists = best.groupBy("doc_id", "lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda x: x["token"]), ";").alias("keywords"))
+    return keywords.first_keyword_votes(lists, "lang")
+
+
+def _labelled(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    return docs.join(_read(spark, sf_dir, "labels"), "doc_id")
+
+
+@_query("""WITH c AS (SELECT source, quality, count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND source IS NOT NULL GROUP BY ALL)
+  SELECT source, t::BIGINT AS n, quality AS dominant, n AS dominant_n, n::DOUBLE / t AS purity FROM (SELECT *, sum(n) OVER (PARTITION BY source) AS t, row_number() OVER (PARTITION BY source ORDER BY n DESC, quality) AS r FROM c) WHERE r = 1""")
+def cluster_purity(spark, sf_dir):
+    return evaluate.purity(_labelled(spark, sf_dir), "source", "quality")
+
+
+@_query("SELECT toxic, " + ", ".join(f"count(*) FILTER (lang = '{x}') AS {x}" for x in LANGS) + ", count(*) AS total FROM documents JOIN labels USING (doc_id) GROUP BY toxic")
+def label_crosstab(spark, sf_dir):
+    out = evaluate.crosstab(_labelled(spark, sf_dir), "toxic", "lang", LANGS)
+    return out.select("toxic", *(F.col(x).cast("long").alias(x) for x in LANGS), F.col("total").cast("long").alias("total"))
+
+
+@_query("""WITH c AS (SELECT quality AS a, lang AS b, count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND lang IS NOT NULL GROUP BY ALL),
+  r AS (SELECT sum(n) AS n FROM c GROUP BY a), k AS (SELECT sum(n) AS n FROM c GROUP BY b), t AS (SELECT sum(n)::DOUBLE AS n, sum(n * (n - 1) / 2) AS both_n, sum(n * ln(n)) AS h FROM c),
+  x AS (SELECT t.*, (SELECT sum(n * (n - 1) / 2) FROM r) AS rp, (SELECT sum(n * ln(n)) FROM r) AS rh, (SELECT sum(n * (n - 1) / 2) FROM k) AS kp, (SELECT sum(n * ln(n)) FROM k) AS kh FROM t),
+  y AS (SELECT *, rp * kp / (n * (n - 1) / 2) AS e, ln(n) - rh / n AS ha, ln(n) - kh / n AS hb, ln(n) - h / n AS hab FROM x)
+  SELECT n::BIGINT AS n, round((both_n - e) / ((rp + kp) / 2 - e), 6) AS ari, round(2 * (ha + hb - hab) / (ha + hb), 6) AS nmi, round((ha + hb - hab) / hb, 6) AS homogeneity, round((ha + hb - hab) / ha, 6) AS completeness FROM y""")
+def labelling_agreement(spark, sf_dir):
+    out = evaluate.agreement(_labelled(spark, sf_dir), "quality", "lang")
+    return out.select("n", *(F.round(c, 6).alias(c) for c in ("ari", "nmi", "homogeneity", "completeness")))
+
+
+@_query("""WITH c AS (SELECT source, count(*) AS n, count(*) FILTER (toxic = 1) AS a, count(*) FILTER (toxic = 0) AS b FROM documents JOIN labels USING (doc_id) GROUP BY source)
+  SELECT source, n, a::DOUBLE / (SELECT sum(a) FROM c) AS share_a, b::DOUBLE / (SELECT sum(b) FROM c) AS share_b, a::DOUBLE / (SELECT sum(a) FROM c) - b::DOUBLE / (SELECT sum(b) FROM c) AS difference FROM c""")
+def share_differences(spark, sf_dir):
+    return evaluate.shares(_labelled(spark, sf_dir), "source", "toxic", 1, 0)
+
+
+@_query("SELECT lang, doc_id, rank FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5('7' || doc_id), doc_id)::INTEGER AS rank FROM documents) WHERE rank <= 12")
+def stratified_sample(spark, sf_dir):
+    return evaluate.stratified(_read(spark, sf_dir, "documents").select("lang", "doc_id"), "lang", "doc_id")
+
+
+@_query(f"""WITH {_TOK}, k AS (SELECT token, doc_id, pos, coalesce(string_agg(token, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), '') AS before,
+     coalesce(string_agg(token, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING), '') AS after FROM tok)
+  SELECT token, doc_id, pos::INTEGER AS pos, before, after, rank FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY doc_id, pos)::INTEGER AS rank FROM k WHERE token IN ('idiot', 'heed', 'not')) WHERE rank <= 60""")
+def keyword_in_context(spark, sf_dir):
+    return evaluate.in_context(_tokens(spark, sf_dir), ["idiot", "heed", "not"])
+
+
+@_query(f"""WITH {_TOK}, p AS (SELECT a.doc_id, least(a.token, b.token) AS a, greatest(a.token, b.token) AS b, count(*) AS weight FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos > a.pos AND b.pos < a.pos + 4 AND a.token <> b.token GROUP BY ALL)
+  SELECT doc_id, count(*) AS edges, CAST(sum(weight) AS BIGINT) AS weight, max(weight) AS heaviest FROM p GROUP BY doc_id""")
+def cooccurrence_edges(spark, sf_dir):
+    edges = keywords.cooccurrences(_tokens(spark, sf_dir))
+    return edges.groupBy("doc_id").agg(F.count(F.lit(1)).alias("edges"), F.sum("weight").alias("weight"), F.max("weight").alias("heaviest"))
+
+
+@_query()
+def textrank(spark, sf_dir):
+    return keywords.textrank(_tokens(spark, sf_dir))
+
+
+@_query("""WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS m, count(*) AS n FROM e GROUP BY label, i),
+  l AS (SELECT label, sqrt(sum(m * m)) AS norm FROM m GROUP BY label) SELECT label, (i - 1)::INTEGER AS i, n, round(m / norm, 6) AS x FROM m JOIN l USING (label)""")
+def pooled_vectors(spark, sf_dir):
+    rows = topics.pooled(_read(spark, sf_dir, "embeddings"), "label")
+    return rows.select("label", "n", F.posexplode("vector").alias("i", "x")).withColumn("x", F.round("x", 6))
+
+
+@_query()
+def vector_clusters(spark, sf_dir):
+    return topics.clusters(_read(spark, sf_dir, "embeddings"), 8)
+
+
+@_query(f"""WITH {_TOK}, c AS (SELECT lang, token, count(*) AS n FROM tok GROUP BY ALL), s AS (SELECT lang, sum(n) AS size FROM c GROUP BY lang), f AS (SELECT token, sum(n) AS f FROM c GROUP BY token),
+  w AS (SELECT lang, token, n / size * ln(1 + (SELECT avg(size) FROM s) / f) AS weight FROM c JOIN s USING (lang) JOIN f USING (token))
+  SELECT lang, token, round(weight, 6) AS weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY weight DESC, token)::INTEGER AS rank FROM w) WHERE rank <= 10""")
+def class_terms(spark, sf_dir):
+    return topics.class_terms(_tokens(spark, sf_dir, "lang"), "lang").withColumn("weight", F.round("weight", 6))
+
+
+@_query(f"""WITH {_TOK} SELECT doc_id, (pos // 80)::INTEGER AS w, count(*) AS n, min(token) AS first_token, md5(string_agg(token, ' ' ORDER BY pos)) AS digest FROM tok GROUP BY doc_id, pos // 80""")
+def token_windows(spark, sf_dir):
+    rows = topics.windows(_tokens(spark, sf_dir), 80)
+    return rows.select("doc_id", F.col("window").alias("w"), F.size("tokens").cast("long").alias("n"), F.array_min("tokens").alias("first_token"), F.md5(F.array_join("tokens", " ")).alias("digest"))
+
+
+@_query(f"""WITH {_TOK}, w AS (SELECT doc_id, pos // 80 AS w, count(*) AS n, count(*) FILTER (length(token) <= 2) AS a, count(*) FILTER (length(token) BETWEEN 3 AND 5) AS b FROM tok GROUP BY ALL),
+  p AS (SELECT doc_id, n, unnest(['short', 'middle', 'long']) AS label, unnest([a, b, n - a - b]) AS k FROM w),
+  m AS (SELECT doc_id, label, sum(k)::DOUBLE / sum(n) AS p FROM p GROUP BY ALL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(p, 9) DESC, label) AS r FROM m)
+  SELECT doc_id, label, round(p, 6) AS p, CASE WHEN round(p, 9) >= 0.6 THEN label ELSE 'Mix' END AS decision FROM r WHERE r = 1""")
+def window_distributions(spark, sf_dir):
+    rows = _tokens(spark, sf_dir).withColumn("window", F.floor(F.col("pos") / 80).cast("int")).groupBy("doc_id", "window")
+    size = F.length("token")
+    rows = rows.agg(F.count(F.lit(1)).alias("weight"), F.count_if(size <= 2).alias("short"), F.count_if(size.between(3, 5)).alias("middle"), F.count_if(size > 5).alias("long"))
+    scores = rows.unpivot(["doc_id", "window", "weight"], ["short", "middle", "long"], "label", "k").withColumn("p", ratio(F.col("k"), F.col("weight")))
+    means = classify.combined(scores).withColumn("p", F.round("p", 9))
+    best = means.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("p"), "label"))).where("rank = 1")
+    return classify.decided(best).select("doc_id", "label", F.round("p", 6).alias("p"), "decision")
+
+
+@_query(f"""WITH RECURSIVE {_TOK}, n AS (SELECT doc_id, sent_id, i, CASE WHEN i = 1 THEN 0 ELSE (i * 7) % (i - 1) + 1 END AS head, count(*) OVER (PARTITION BY doc_id, sent_id) AS length FROM tok0),
+  d AS (SELECT doc_id, sent_id, i, head, length, 0 AS depth, head AS up FROM n WHERE length BETWEEN 3 AND 120
+     UNION ALL SELECT d.doc_id, d.sent_id, d.i, d.head, d.length, d.depth + 1, n.head FROM d JOIN n ON n.doc_id = d.doc_id AND n.sent_id = d.sent_id AND n.i = d.up WHERE d.up > 0),
+  f AS (SELECT * FROM d WHERE up = 0), s AS (SELECT doc_id, sent_id, any_value(length) AS n, avg(abs(i - head)) FILTER (head > 0) AS mdd, avg(depth) FILTER (head > 0) AS mhd FROM f GROUP BY ALL),
+  g AS (SELECT doc_id, count(*) AS n_sentences, CAST(sum(n) AS BIGINT) AS n_tokens, avg(mdd) AS mdd, avg(mhd) AS mhd FROM s GROUP BY doc_id),
+  z AS (SELECT doc_id, count(*) FILTER (length < 3) AS too_short, count(*) FILTER (length > 120) AS too_long FROM (SELECT DISTINCT doc_id, sent_id, length FROM n) GROUP BY doc_id)
+  SELECT z.doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_tokens, 0) AS n_tokens, too_short, too_long, round(mdd, 6) AS mdd, round(mhd, 6) AS mhd FROM z LEFT JOIN g USING (doc_id)""")
+def tree_distance(spark, sf_dir):
+    rows = _tokens(spark, sf_dir)
+    i = F.row_number().over(Window.partitionBy("doc_id", "sent_id").orderBy("pos"))
+    parsed = rows.withColumn("dep_id", i).withColumn("head", F.when(F.col("dep_id") == 1, 0).otherwise(F.expr("(dep_id * 7) % nullif(dep_id - 1, 0) + 1")))
+    return syntax.distances(syntax.closed_up(parsed)).withColumns({c: F.round(c, 6) for c in ("mdd", "mhd")})
+
+
+@_query("""WITH r AS (SELECT *, CASE role WHEN 'user' THEN 'question' WHEN 'assistant' THEN 'answer' ELSE 'debate' END AS r FROM conversations)
+  SELECT r AS role, r <> 'debate' AS is_qa, count(*) AS turns, count(DISTINCT conv_id) AS exchanges FROM r GROUP BY r""")
+def role_partition(spark, sf_dir):
+    rows = bundle.roles(_read(spark, sf_dir, "conversations").withColumnRenamed("role", "kind"), "kind", WESTERN.roles)
+    return rows.groupBy("role", "is_qa").agg(F.count(F.lit(1)).alias("turns"), F.count_distinct("conv_id").alias("exchanges"))
+
+
+@_query("""WITH a AS (SELECT DISTINCT conv_id AS k FROM conversations WHERE role = 'system'), b AS (SELECT DISTINCT conv_id AS k FROM conversations WHERE turn >= 5),
+  d AS (SELECT 'left' AS side, k FROM (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL SELECT 'right', k FROM (SELECT k FROM b EXCEPT SELECT k FROM a))
+  SELECT side, count(*) AS n, array_to_string(list_sort(list(k))[1:20], ';') AS keys FROM d GROUP BY side""")
+def key_differences(spark, sf_dir):
+    rows = _read(spark, sf_dir, "conversations")
+    a, b = (rows.where(w).select(F.col("conv_id").alias("k")).distinct() for w in ("role = 'system'", "turn >= 5"))
+    return evaluate.set_differences(a, b, "k").withColumn("keys", F.array_join(F.transform("keys", lambda x: x.cast("string")), ";"))
+
+
+@_query("SELECT doc_id, source, n_chars FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def incremental_anti_join(spark, sf_dir):
+    return bundle.missing_from(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), "doc_id").select("doc_id", "source", "n_chars")
+
+
+@_query(f"""WITH {_READ}, s AS (SELECT lang, count(*) AS speeches, CAST(sum(n_words) AS BIGINT) AS words, round(sum(lix * n_words) FILTER (reliable) / sum(n_words) FILTER (reliable), 6) AS weighted_lix FROM l GROUP BY lang)
+  SELECT lang, speeches, words, weighted_lix, members FROM s LEFT JOIN (SELECT lang, count(DISTINCT source) AS members FROM documents GROUP BY lang) USING (lang)""")
+def party_table(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    rows = readability.scored(readability.sentence_counts(docs, WESTERN, ("doc_id", "lang")), WESTERN)
+    return bundle.parties(docs.select("lang", "source").distinct(), rows, "lang").withColumn("weighted_lix", F.round("weighted_lix", 6))
+
+
+@_query("""SELECT doc_id, coalesce(quality, 0)::INTEGER AS quality, coalesce(toxic, 0)::INTEGER AS toxic, n_chars FROM documents LEFT JOIN labels USING (doc_id)""")
+def left_chain(spark, sf_dir):
+    base = _read(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return bundle.left_chain(base, [_read(spark, sf_dir, "labels")], "doc_id", ("quality", "toxic"))
+
+
+@_query("""SELECT metric, c_custkey, value FROM (SELECT c_custkey, c_acctbal, c_nationkey::DOUBLE AS nation FROM customer WHERE c_acctbal > 0) UNPIVOT (value FOR metric IN (c_acctbal, nation))""")
+def population_arrays(spark, sf_dir):
+    rows = _read(spark, sf_dir, "customer").withColumn("nation", F.col("c_nationkey").cast("double"))
+    return bundle.population(rows, "c_custkey", ["c_acctbal", "nation"], F.col("c_acctbal") > 0)
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
