@@ -172,7 +172,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, queries: int = QUER
     degrees = members.groupBy("key").agg(F.sum("n").alias("degree"))
     nodes = stored(degrees, f"{home}/nodes")
     texts = docs.select(F.col("__key").alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.join(nodes.select("key"), F.col("text_key") == F.col("key"), "left_semi")
+    # one plan at every size: the members' keys grow with the corpus and are not sent to all tasks
+    texts = texts.join(nodes.select("key").hint("merge"), F.col("text_key") == F.col("key"), "left_semi")
     texts = stored(texts.groupBy("text_key").agg(F.first("text").alias("text")), f"{home}/texts")
 
     ranked = members.join(nodes.withColumnRenamed("key", "node"), F.col("key") == F.col("node")).select("bucket", "key", "degree")
