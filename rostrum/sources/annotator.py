@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Annotator = Callable[[list[str]], list[str]]
 
@@ -121,7 +122,7 @@ def hashing_encoder(dimensions: int = 64) -> Callable[[list[str]], list[list[flo
 
 def encoded(texts: DataFrame, factory: Callable[[], Callable[[list[str]], list[list[float]]]], text: str = "text") -> DataFrame:
     """Adds ``vector`` by an injected encoder, made once in each task."""
-    schema = texts.schema.add("vector", "array<double>")
+    schema = T.StructType([*texts.schema.fields, T.StructField("vector", T.ArrayType(T.DoubleType()))])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = factory()

@@ -78,10 +78,10 @@ def line_corpus(spark: SparkSession, path: str, pattern: str = r"cycle(\d+)", li
 
 def word_list(spark: SparkSession, path: str, name: str) -> DataFrame:
     """(category, entry, n_words, lexicon_id) of a list with an entry a line; blank lines and comments are passed over. An empty list fails."""
-    content = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("sha"), F.decode("content", F.lit("UTF-8")).alias("t"))
+    content = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("sha"), F.decode("content", "UTF-8").alias("t"))
     rows = content.select("sha", F.explode(F.split("t", r"\R")).alias("line"))
     rows = rows.select("sha", F.lower(F.trim(F.regexp_replace("line", r"\s+", " "))).alias("entry")).where("entry <> '' AND NOT startswith(entry, '#')").distinct()
-    out = rows.select(F.lit(name).alias("category"), "entry", F.size(F.split("entry", " ")).alias("n_words"), F.concat(F.lit(f"{name}@"), F.substring("sha", 1, 12)).alias("lexicon_id"))
+    out = rows.select(F.lit(name).alias("category"), "entry", F.size(F.split("entry", " ")).alias("n_words"), F.concat(F.lit(f"{name}@"), F.substring(F.col("sha"), 1, 12)).alias("lexicon_id"))
     if out.isEmpty():
         raise ValueError(f"{path} has no entries")
     return out
@@ -95,7 +95,7 @@ def two_poles(spark: SparkSession, path: str) -> DataFrame:
     whole = F.col("p.affirming").isNotNull() & F.col("p.accusing").isNotNull()
     rows = rows.withColumn("virtue", F.when(whole, F.col("virtue")).otherwise(F.raise_error(F.concat("virtue", F.lit(" lacks a pole"))).cast("string")))
     each = rows.select("virtue", F.explode(F.create_map(F.lit("affirming"), "p.affirming", F.lit("accusing"), "p.accusing")).alias("pole", "entries"))
-    each = each.select(F.concat_ws("/", "virtue", "pole").alias("category"), F.lower(F.explode("entries")).alias("entry"))
+    each = each.select(F.concat_ws("/", "virtue", "pole").alias("category"), F.explode("entries").alias("entry")).withColumn("entry", F.lower("entry"))
     return each.select("category", "entry", F.size(F.split("entry", r"\s+")).alias("n_words"))
 
 
