@@ -347,7 +347,7 @@ def graph_crossing(spark, sf_dir):
 @_query("""WITH k AS (SELECT lower(p_name) AS name_key, min(p_partkey) AS person_id FROM part GROUP BY 1),
   m AS (SELECT DISTINCT lower(split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1)) AS q FROM part UNION SELECT DISTINCT lower(p_name) FROM part),
   t AS (SELECT q, k.person_id, count(*) OVER (PARTITION BY q) AS c FROM m JOIN k ON list_has_all(string_split(k.name_key, ' '), string_split(q, ' ')) WHERE len(list_distinct(string_split(q, ' '))) >= 2)
-  SELECT m.q AS mention, coalesce(k.person_id, t.person_id) AS person_id, CASE WHEN k.person_id IS NOT NULL THEN 'exact' WHEN t.person_id IS NOT NULL THEN 'tokens' END AS how
+  SELECT m.q AS mention, CAST(coalesce(k.person_id, t.person_id) AS VARCHAR) AS person_id, CASE WHEN k.person_id IS NOT NULL THEN 'exact' WHEN t.person_id IS NOT NULL THEN 'tokens' END AS how
   FROM m LEFT JOIN k ON k.name_key = m.q LEFT JOIN t ON t.q = m.q AND t.c = 1 AND k.person_id IS NULL""")
 def name_resolution(spark, sf_dir):
     part = _read(spark, sf_dir, "part")
@@ -355,15 +355,15 @@ def name_resolution(spark, sf_dir):
     words = F.split(F.lower("p_name"), " ")
     turned = part.select(F.concat_ws(" ", words[1], words[0]).alias("mention"))
     mentions = turned.union(part.select(F.lower("p_name"))).distinct()
-    return network.resolved(mentions, people, WESTERN).select("mention", "person_id", "how")
+    return network.resolved(mentions, people, WESTERN).select("mention", F.col("person_id").cast("string").alias("person_id"), "how")
 
 
 @_query("""WITH a AS (SELECT c_nationkey AS nation, count(*) AS customers FROM customer WHERE c_acctbal > 9000 GROUP BY 1), b AS (SELECT s_nationkey AS nation, count(*) AS suppliers FROM supplier WHERE s_acctbal > 5000 GROUP BY 1)
-  SELECT nation, customers, suppliers FROM a FULL JOIN b USING (nation)""")
+  SELECT nation, coalesce(customers, 0) AS customers, coalesce(suppliers, 0) AS suppliers FROM a FULL JOIN b USING (nation)""")
 def outer_people(spark, sf_dir):
     a = _read(spark, sf_dir, "customer").where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("customers"))
     b = _read(spark, sf_dir, "supplier").where("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("suppliers"))
-    return bundle.full_outer(a, b, "nation")
+    return bundle.full_outer(a, b, "nation").na.fill(0)
 
 
 @_query("SELECT user_id, " + ", ".join(f"count(*) FILTER (event_type = '{k}') AS {k}" for k in KINDS) + " FROM events GROUP BY user_id")

@@ -1,7 +1,7 @@
 """Operators on small tables with known answers."""
 
 import pytest
-from conftest import rows
+from tables import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

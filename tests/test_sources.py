@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from conftest import rows
+from tables import rows
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
