@@ -1,14 +1,11 @@
 import random
 
 import pytest
+from cases import prose
 
 EXTRA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def prose(rng, n, words=("on", "the", "alpha", "beta", "gamma", "delta", "ért", "né", "zwölf", "x1")):
-    return " ".join(rng.choice(words) + str(rng.randint(0, 40)) for _ in range(n))
-
-
 @pytest.fixture(scope="session")
 def texts():
     """Texts with copies, near copies, shared passages, nulls, empties, one very long, and ties of ids."""

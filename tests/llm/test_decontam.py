@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest import prose
+from cases import prose
 
 from rostrum.llm import decontam
 

@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import prose
+from cases import prose
 
 from rostrum.llm import bagminhash, neardup, shingles
 
