@@ -123,8 +123,8 @@ def _paired(least: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _blocks(benchmark: DataFrame, block: int) -> Iterator[tuple[list, list]]:
     """The items in blocks of at most ``block`` rows, one at a time on the driver."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
-    parts = max(1, -(-items.count() // block) * 2)
-    if parts == 2:
+    parts = -(-items.count() // block) * 2
+    if parts <= 2:
         rows = items.collect()
         yield [r["item_id"] for r in rows], [r["text"] for r in rows]
         return
