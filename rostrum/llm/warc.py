@@ -23,6 +23,8 @@ from .common import shared_dir, small_batches, stored
 from .files import open_in, open_out, own_name
 
 MAGIC = b"\x1f\x8b\x08"
+#: Bytes that tell whether a member begins like a WARC record.
+LOOK = 4096
 DATE = "1970-01-01T00:00:00Z"
 RECORD = (
     "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, "
@@ -114,7 +116,7 @@ def _candidates(data: bytes, start: int, end: int) -> Iterator[int]:
     at = data.find(MAGIC, start)
     while 0 <= at < end:
         try:
-            if zlib.decompressobj(31).decompress(data[at : at + 4096], 5) == b"WARC/":
+            if zlib.decompressobj(31).decompress(data[at : at + LOOK], 5) == b"WARC/":
                 yield at
         except zlib.error:
             pass
@@ -144,7 +146,8 @@ def records_in(path: str, start: int, end: int) -> Iterator[dict]:
     """The records of one archive that start in [start, end); damaged ones come with ``error``."""
     with open_in(path) as f:
         size = f.size()
-        data, base = f.read_at(min(end, size) - start, start), start
+        # what is past the end tells whether a record begins at the very end
+        data, base = f.read_at(min(end + LOOK, size) - start, start), start
         whole = base + len(data) >= size
         at = next(_candidates(data, 0, end - base), None)
         while at is not None and base + at < end:
@@ -168,7 +171,7 @@ def records_in(path: str, start: int, end: int) -> Iterator[dict]:
             if data[used : used + 3] == MAGIC:
                 at = used
             else:  # damage, padding, or the end of what was read
-                if used + 4096 > len(data) and not whole:
+                if used + LOOK > len(data) and not whole:
                     data += f.read_at(1 << 20, base + len(data))
                     whole = base + len(data) >= size
                 at = next(_candidates(data, used, min(len(data), max(0, end - base))), None)
