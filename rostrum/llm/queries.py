@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontam, dedup, media, mixing, neardup, secrets, tokens, toxicity, urls, warc
 from .common import shared_dir, stored, table
+from .sql import oracle_sql as oracle_sql
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -85,7 +86,3 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (op1_suffix_dedup, op2_token_store, op3_secret_scan, op4_media_columns, op5_warc_archive, op6_mix_sources, op7_url_filter, op8_decontamination, op9_toxicity, op10_near_duplicates)}
-
-
-def oracle_sql() -> dict:
-    return {}
