@@ -37,7 +37,7 @@ def pair_scores(tokens: DataFrame, connectors: tuple[str, ...] = (), min_count:
     single = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     left = single.select(F.col("token").alias("a"), F.col("n").alias("count_a"))
     right = single.select(F.col("token").alias("b"), F.col("n").alias("count_b"))
-    out = joint.join(left, "a").join(right, "b").withColumn("n_tokens", single.agg(F.sum("n")).scalar())
+    out = joint.join(left, "a").join(right, "b").withColumn("n_tokens", tokens.agg(F.count(F.lit(1))).scalar())
     if scoring == "npmi":
         score: Column = npmi(F.col("joint"), [F.col("count_a"), F.col("count_b")], F.col("n_tokens"))
     else:
