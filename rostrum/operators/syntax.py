@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tokens import is_punctuation
@@ -10,59 +10,62 @@ from .tokens import is_punctuation
 SHORTEST, LONGEST = 3, 120
 
 
-def closed_up(tokens: DataFrame) -> DataFrame:
-    """Sentences (doc_id, sent_id, i, head, length) without punctuation, numbered anew from 1.
+def closed_up(tokens: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """A row for each sentence: doc_id, sent_id, length, heads and mended.
 
     ``dep_id`` and ``head`` count from 1 in the sentence, head 0 is the root's;
-    a null head means that there is no parse and fails. A head outside the
-    sentence, or a punctuation mark, makes the token a root; ``mended`` says so.
+    a null head means that there is no parse and fails. Punctuation is left
+    out and the rest numbered anew; ``heads`` are the new numbers in order. A
+    head outside the sentence, or a punctuation mark, makes the token a root;
+    ``mended`` counts these. Sentences above ``longest`` have no heads.
     """
     checked = tokens.withColumn("head", F.coalesce("head", F.raise_error(F.lit("a token has no parse")).cast("int")))
     kept = checked.where(~is_punctuation(F.col("xpostag"))) if "xpostag" in tokens.columns else checked
-    sentence = Window.partitionBy("doc_id", "sent_id")
-    rows = kept.select("doc_id", "sent_id", "dep_id", "head", F.row_number().over(sentence.orderBy("dep_id")).alias("i"), F.count(F.lit(1)).over(sentence).alias("length"))
-    heads = rows.select(F.col("doc_id").alias("d"), F.col("sent_id").alias("s"), F.col("dep_id").alias("h"), F.col("i").alias("to"))
-    out = rows.join(heads, (F.col("doc_id") == F.col("d")) & (F.col("sent_id") == F.col("s")) & (F.col("head") == F.col("h")), "left")
-    return out.select("doc_id", "sent_id", "i", F.coalesce("to", F.lit(0)).alias("head"), "length", ((F.col("head") != 0) & F.col("to").isNull()).alias("mended"))
+    rows = kept.groupBy("doc_id", "sent_id").agg(F.array_sort(F.collect_list(F.struct("dep_id", "head"))).alias("__t"))
+    ids = F.transform("__t", lambda x: x["dep_id"])
+    heads = F.transform("__t", lambda x: F.array_position(F.col("__ids"), x["head"]).cast("int"))
+    rows = rows.withColumn("__ids", ids).withColumn("heads", F.when(F.size("__t") <= longest, heads))
+    mended = F.size(F.filter(F.arrays_zip("heads", "__t"), lambda x: (x["heads"] == 0) & (x["__t"]["head"] != 0)))
+    return rows.select("doc_id", "sent_id", F.size("__ids").alias("length"), "heads", F.when(F.col("heads").isNotNull(), mended).otherwise(0).alias("mended"))
 
 
-def depths(rows: DataFrame) -> DataFrame:
-    """Adds ``depth``: steps to the root (0 for it), null in a circle.
+def depths(heads: Column, longest: int = LONGEST) -> Column:
+    """For each token the steps to its root (0 for it), null in a circle.
 
-    A sentence's heads are one array, and each token walks up it, at most as
-    many steps as the sentence has tokens; sentences over 120 tokens have been
-    left out.
+    Each round doubles how far a token has climbed, so a sentence costs its
+    length times the logarithm of the longest path.
     """
-    arrays = rows.groupBy("doc_id", "sent_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "head"))), lambda x: x["head"]).alias("heads"))
+    start = F.struct(heads.alias("to"), F.transform(heads, lambda h: F.when(h > 0, 1).otherwise(0)).alias("n"))
 
-    def walk(h):
-        def step(acc, _):
-            up = F.get(F.col("heads"), acc["at"] - 1)
-            return F.when(acc["at"] == 0, acc).otherwise(F.struct(up.alias("at"), (acc["n"] + 1).alias("n")))
+    def step(acc, _):
+        further = F.transform(acc["to"], lambda h: F.when(h > 0, F.get(acc["to"], h - 1)).otherwise(0))
+        more = F.zip_with(acc["n"], acc["to"], lambda n, h: n + F.when(h > 0, F.get(acc["n"], h - 1)).otherwise(0))
+        return F.struct(further.alias("to"), more.alias("n"))
 
-        end = F.aggregate(F.col("heads"), F.struct(h.alias("at"), F.lit(0).alias("n")), step)
-        return F.when(end["at"] == 0, end["n"])
+    rounds = F.sequence(F.lit(1), F.lit(max(1, longest - 1).bit_length()))
+    return F.aggregate(rounds, start, step, lambda acc: F.zip_with(acc["n"], acc["to"], lambda n, h: F.when(h == 0, n)))
 
-    found = arrays.select("doc_id", "sent_id", F.posexplode(F.transform("heads", walk)).alias("p", "depth"))
-    found = found.select("doc_id", "sent_id", (F.col("p") + 1).alias("i"), "depth")
-    return rows.join(found, ["doc_id", "sent_id", "i"])
 
-
-def distances(rows: DataFrame, shortest: int = SHORTEST, longest: int = LONGEST) -> DataFrame:
+def distances(sentences: DataFrame, shortest: int = SHORTEST, longest: int = LONGEST) -> DataFrame:
     """(doc_id, n_sentences, n_tokens, too_short, too_long, mdd, mhd) of ``closed_up`` sentences.
 
     Both are means over sentences of the means over their tokens but the root:
     of the distance to the head, and of the depth. Documents without a
-    sentence of a fit length have nulls.
+    sentence of a fit length have nulls. A sentence is one row, so documents
+    are summed up in one aggregation.
     """
     fit = F.col("length").between(shortest, longest)
-    per = depths(rows.where(fit)).groupBy("doc_id", "sent_id")
-    below = F.col("head") > 0
-    per = per.agg(F.first("length").alias("n"), F.avg(F.when(below, F.abs(F.col("i") - F.col("head")))).alias("mdd"), F.avg(F.when(below, F.col("depth"))).alias("mhd"))
-    good = per.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum("n").alias("n_tokens"), F.avg("mdd").alias("mdd"), F.avg("mhd").alias("mhd"))
-    sizes = rows.select("doc_id", "sent_id", "length").distinct().groupBy("doc_id").agg(F.count_if(F.col("length") < shortest).alias("too_short"), F.count_if(F.col("length") > longest).alias("too_long"))
-    out = sizes.join(good, "doc_id", "left").na.fill(0, ["n_sentences", "n_tokens"])
-    return out.select("doc_id", "n_sentences", "n_tokens", "too_short", "too_long", "mdd", "mhd")
+    rows = sentences.withColumn("__depths", F.when(fit, depths(F.col("heads"), longest)))
+    gaps = F.transform("heads", lambda h, i: F.when(h > 0, F.abs(h - i - 1)))
+    below = F.zip_with("heads", "__depths", lambda h, d: F.when(h > 0, d))
+    total = lambda xs: F.aggregate(F.array_compact(xs), F.lit(0), lambda a, x: a + x)
+    mean = lambda xs: F.try_divide(total(xs).cast("double"), F.size(F.array_compact(xs)).cast("double"))
+    rows = rows.withColumns({"__mdd": F.when(fit, mean(gaps)), "__mhd": F.when(fit, mean(below))})
+    return rows.groupBy("doc_id").agg(
+        F.count_if(fit).alias("n_sentences"), F.coalesce(F.sum(F.when(fit, F.col("length").cast("long"))), F.lit(0)).alias("n_tokens"),
+        F.count_if(F.col("length") < shortest).alias("too_short"), F.count_if(F.col("length") > longest).alias("too_long"),
+        F.avg("__mdd").alias("mdd"), F.avg("__mhd").alias("mhd"),
+    )
 
 
 def weighted(rows: DataFrame, by: str) -> DataFrame:
