@@ -95,3 +95,27 @@ def set_differences(a: DataFrame, b: DataFrame, key: str, shown: int = 20) -> Da
     rank = F.row_number().over(Window.partitionBy("side").orderBy(key))
     few = both.withColumn("__r", rank).groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("__r") <= shown, F.col(key)))).alias("keys"))
     return few
+
+
+def best_quotes(docs: DataFrame, terms: DataFrame, by: str, stem: int = 6, shortest: int = 40, longest: int = 400, opening: int = 240) -> DataFrame:
+    """(by, doc_id, quote, hits): for each group the sentence that holds most of its terms' stems.
+
+    ``docs`` has by, doc_id and text, ``terms`` by and token. Of sentences of a
+    fit length the first with most hits wins, in the order of doc_id and of the
+    text; a group without one is quoted by the opening of its first text, with
+    0 hits.
+    """
+    stems = terms.groupBy(F.col(by).alias("__by")).agg(F.array_sort(F.collect_set(F.substring(F.lower("token"), 1, stem))).alias("stems"))
+    rows = docs.where(F.col("text").isNotNull()).join(stems, F.col(by) == F.col("__by"))
+    each = rows.select(by, "doc_id", "stems", F.posexplode(F.split(F.trim("text"), r"(?<=[.!?])\s+")).alias("i", "quote")).where(F.length("quote").between(shortest, longest))
+    each = each.withColumn("hits", F.size(F.filter("stems", lambda s: F.contains(F.lower("quote"), s))))
+    best = each.groupBy(by).agg(F.min_by(F.struct("doc_id", "quote", "hits"), F.struct((-F.col("hits")).alias("h"), "doc_id", "i")).alias("b"))
+    first = rows.groupBy(F.col(by).alias("__by")).agg(F.min_by(F.struct("doc_id", F.substring("text", 1, opening).alias("quote"), F.lit(0).alias("hits")), "doc_id").alias("f"))
+    out = first.join(best, F.col("__by") == F.col(by), "left").select(F.col("__by").alias(by), F.coalesce("b", "f").alias("q"))
+    return out.select(by, "q.doc_id", "q.quote", "q.hits")
+
+
+def shortened(text, words: int, mark: str = " [...]"):
+    """The first ``words`` words of a text, marked if there are more."""
+    parts = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.when(F.size(parts) > words, F.concat(F.array_join(F.slice(parts, 1, words), " "), F.lit(mark))).otherwise(text)

@@ -457,6 +457,18 @@ def keyword_in_context(spark, sf_dir):
     return evaluate.in_context(_tokens(spark, sf_dir), ["idiot", "heed", "not"])
 
 
+@_query(f"""WITH {_TOK}, c AS (SELECT source, token, count(*) AS n FROM tok WHERE length(token) >= 4 GROUP BY ALL),
+  k AS (SELECT DISTINCT source, substr(token, 1, 6) AS stem FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, token) AS r FROM c) WHERE r <= 8),
+  q0 AS (SELECT source, doc_id, string_split(regexp_replace(trim(text, E' '), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS qs FROM documents),
+  q AS (SELECT source, doc_id, unnest(qs) AS quote, generate_subscripts(qs, 1) AS i FROM q0),
+  h AS (SELECT q.source, doc_id, quote, i, count(*) FILTER (contains(lower(quote), stem)) AS hits FROM q JOIN k USING (source) WHERE length(quote) BETWEEN 40 AND 400 GROUP BY ALL)
+  SELECT source, doc_id, quote, hits::INTEGER AS hits FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY hits DESC, doc_id, i) AS r FROM h) WHERE r = 1""")
+def best_quotes(spark, sf_dir):
+    counts = _tokens(spark, sf_dir, "source").where("length(token) >= 4").groupBy("source", "token").agg(F.count(F.lit(1)).alias("n"))
+    terms = bundle.top_of_group(counts, "source", [F.desc("n"), "token"], 8)
+    return evaluate.best_quotes(_read(spark, sf_dir, "documents"), terms, "source")
+
+
 @_query(f"""WITH {_TOK}, p AS (SELECT a.doc_id, least(a.token, b.token) AS a, greatest(a.token, b.token) AS b, count(*) AS weight FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos > a.pos AND b.pos < a.pos + 4 AND a.token <> b.token GROUP BY ALL)
   SELECT doc_id, count(*) AS edges, CAST(sum(weight) AS BIGINT) AS weight, max(weight) AS heaviest FROM p GROUP BY doc_id""")
 def cooccurrence_edges(spark, sf_dir):
