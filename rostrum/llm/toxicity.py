@@ -95,7 +95,7 @@ def with_features(docs: DataFrame, learned: tuple[str, ...] = (), text: str = "t
     some = lambda when, count: F.when(when, count).otherwise(0.0)
     hit, far = F.col("__n.insults") + F.col("__n.learned") > 0, f"(?![\\p{{L}}\\p{{N}}])"
     both = n(low, _words(f"{bad}(?={gap}{second}{far})")) + n(low, _words(f"{second}(?={gap}{bad}{far})"))
-    plain = F.translate("__low", "013457@$!|", "oieastasii")
+    plain = F.translate("__low", "013457@$", "oieastas")
     rare = {
         "near": some(hit & (F.col("__n.second") > 0), both),
         "plain": some(F.col("__n.disguises") > 0, n(plain, _words(insults))),
@@ -185,8 +185,9 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, lexicon_r
     if kinds != {0.0, 1.0}:
         raise ValueError("training needs rows of both labels")
     fold = fold_of(F.col("doc_id"))
-    few = rows.where(fold != 1).orderBy(F.xxhash64("doc_id"), "doc_id").limit(lexicon_rows)
-    learned = learn_lexicon(few.select("text", "__label"))
+    # the rows of the smallest hashes, by the largest of these: texts are not brought together
+    first = known.where(fold_of(F.col("__id")) != 1).select(F.xxhash64("__id").alias("h")).orderBy("h").limit(lexicon_rows).agg(F.max("h")).first()[0]
+    learned = learn_lexicon(rows.where((fold != 1) & (F.xxhash64("doc_id") <= F.lit(first))).select("text", "__label"))
     rows = stored(with_features(rows, learned).drop("text"), f"{home}/features")
     rows = _vector(rows)
     # the order of the rows, and so the bins and the trees, is that of their ids
