@@ -50,13 +50,18 @@ def stored(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
+#: Sizes of Arrow batches that operators choose.
+BATCHES = (256, 1024)
+
+
+def small_batches(spark: SparkSession, rows: int = BATCHES[0]) -> None:
     """Arrow batches of ``rows`` rows, so that long texts don't fill a Python worker.
 
     A smaller setting of the session's own stays.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows or int(spark.conf.get(key, "10000")) <= 0:
+    now = int(spark.conf.get(key, "10000"))
+    if now > rows or now <= 0 or now in BATCHES:
         spark.conf.set(key, str(rows))
 
 

@@ -20,14 +20,19 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import os
 import re
+import threading
+import time
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,75 +55,226 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: A word and marks after it. An apostrophe may belong to what follows it.
+MARKED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
+
+
+class _Places(dict):
+    """Piece to number; pieces not met before get the next number and are kept for encoding."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list = []
+
+    def __missing__(self, piece) -> int:
+        self[piece] = n = len(self)
+        self.fresh.append(piece)
+        return n
+
+
 class Encoder:
     """Encodes texts by the pieces between spaces, each distinct piece once.
 
     A byte-level tokenizer that splits before a space which follows other than
     white space gives the same ids for a text as for its pieces, one after
-    another; so a piece that recurs, in any text of the task, costs a look-up.
+    another; so a piece that recurs, in any text of the worker, costs a look-up.
     """
 
-    def __init__(self, path: str, most_pieces: int = 400_000):
+    def __init__(self, path: str, most_pieces: int = 1_000_000):
         self.tokenizer, self.most = _tokenizer(path), most_pieces
+        self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, n in self.tokenizer.get_vocab().items():
+            self.bytes_of[n] = len(token)  # a character of a byte-level token is a byte
+        for n, token in self.tokenizer.get_added_tokens_decoder().items():
+            self.bytes_of[n] = len(token.content.encode())
+        self.marks: dict[str, np.ndarray] = {}
+        self.lock, self.used_at = threading.Lock(), 0.0
         self._forget()
 
     def _forget(self):
-        self.known, self.ids, self.at, self.used = {}, np.empty(1 << 16, np.uint32), [0], 0
+        self.known, self.ids, self.used = _Places(), np.empty(1 << 16, np.uint32), 0
+        self.start, self.size, self.edgy = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, bool)
+
+    def _learn(self) -> None:
+        """Encodes the pieces that are new: those that can't touch their neighbours in long lines, the others one by one.
+
+        A piece is a string that a space came before, or that begins with a
+        line break, or a tuple of one that is encoded as it stands. Letters
+        with marks at the end are those letters and the marks, for the
+        tokenizer splits between them.
+        """
+        pieces, self.known.fresh = self.known.fresh, []
+        for p in pieces[:]:
+            if type(p) is str and p and not p[-1].isalnum() and (m := MARKED.fullmatch(p)) and m[1].isalpha():
+                self.known[m[1]]  # noqa: B018  becomes a new piece if it is none
+        pieces += self.known.fresh
+        self.known.fresh = []
+        n = len(self.known)
+        while n > len(self.start):
+            self.start, self.size, self.edgy = (np.concatenate([x, x]) for x in (self.start, self.size, self.edgy))
+        new, encode = n - len(pieces), functools.partial(self.tokenizer.encode_batch_fast, add_special_tokens=False)
+        plain, lines, rest, stopped = [], [], [], []
+        self.edgy[new:n] = False
+        for i, p in enumerate(pieces):
+            if type(p) is tuple:
+                rest.append(i)
+                self.edgy[new + i] = not p[0] or p[0][-1].isspace()
+            elif p[1:] and p[0] == "\n" and not p[1].isspace() and not p[-1].isspace():
+                lines.append(i)
+            elif not p or p[0].isspace() or p[-1].isspace():
+                rest.append(i)
+                self.edgy[new + i] = True
+            elif not p[-1].isalnum() and (m := MARKED.fullmatch(p)) and m[1].isalpha():
+                stopped.append((i, self.known[m[1]], m[2]))  # which may be new itself
+            else:
+                plain.append(i)
+        for group, k in [(g, k) for g in (plain, lines) for k in range(0, len(g), 500)]:
+            part, space = group[k : k + 500], " " if group is plain else ""
+            words = [pieces[i] for i in part]
+            ids = np.asarray(encode([space + space.join(words)])[0].ids, np.uint32)
+            ends = np.cumsum(self.bytes_of[ids])
+            wanted = np.cumsum([len(w.encode()) + len(space) for w in words])
+            cut = np.searchsorted(ends, wanted) + 1
+            if not np.array_equal(ends[cut - 1], wanted):
+                raise ValueError("the tokenizer joins pieces: it doesn't split before spaces")
+            self._put(new + np.asarray(part), np.diff(cut, prepend=0), ids)
+        if rest:
+            found = [e.ids for e in encode([p[0] if type(p) is tuple else f" {p}" for p in (pieces[i] for i in rest)])]
+            flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32)
+            self._put(new + np.asarray(rest), np.asarray([len(x) for x in found]), flat)
+        if stopped:
+            base = np.array([b for _, b, _ in stopped])
+            for mark in {m for *_, m in stopped} - self.marks.keys():
+                self.marks[mark] = np.asarray(encode([mark])[0].ids, np.uint32)
+            last = [self.marks[m] for *_, m in stopped]
+            added = np.fromiter(map(len, last), np.int64, len(last))
+            sizes = self.size[base] + added
+            flat = np.empty(sizes.sum(), np.uint32)
+            ends = np.cumsum(sizes)
+            flat[self._places(ends - sizes, self.size[base])] = self.ids[self._places(self.start[base], self.size[base])]
+            flat[self._places(ends - added, added)] = np.concatenate(last)
+            self._put(new + np.array([i for i, *_ in stopped]), sizes, flat)
 
     @staticmethod
-    def pieces(text: str) -> list[str]:
-        if re.search(r"\s \s|^ \s|  ", text):  # a run of white space is cut only before all of it
-            return re.split(r"(?<=\S)(?= )", text)
-        first, *rest = text.split(" ")
-        return [first, *[f" {x}" for x in rest]] if first else [f" {x}" for x in rest]
+    def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """start, start + 1 and so on, ``size`` of them, for each."""
+        ends = np.cumsum(sizes)
+        return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+    def _put(self, places: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        while self.used + len(ids) + 1 > len(self.ids):  # one more, for a look one past the last
+            self.ids = np.concatenate([self.ids, self.ids])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.start[places], self.size[places] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used += len(ids)
+
+    def _look_up(self, pieces: list) -> np.ndarray:
+        which = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        if self.known.fresh:
+            self._learn()
+        return which
+
+    def _careful(self, text: str) -> np.ndarray:
+        """The same for one text in which white space meets spaces: a run of it is cut only before all of it."""
+        if not text:
+            return np.empty(0, np.uint32)
+        cut = re.split(r"(?<=\S)(?= )", text)
+        which = self._look_up([(x,) for x in cut])
+        return self.ids[self._places(self.start[which], self.size[which])]
+
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, one after another; how many each has)."""
+        with self.lock:
+            self.used_at = time.monotonic()
+            if len(self.known) > self.most:
+                self._forget()
+            return self._flat(texts) if len(texts) else (np.empty(0, np.uint32), np.empty(0, np.int64))
+
+    def forget_when_idle(self, seconds: float) -> None:
+        """Frees what was learned once no text has come for some time: an idle worker holds no memory that others need."""
+
+        def watch() -> None:
+            while True:
+                time.sleep(seconds)
+                with self.lock:
+                    if self.known and time.monotonic() - self.used_at > seconds:
+                        self._forget()
+
+        threading.Thread(target=watch, daemon=True).start()
+
+    def _flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # a line break begins a piece too, if no white space is beside it
+        cut = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n"), " ")
+        first, flat = np.asarray(cut.offsets)[:-1], cut.values
+        coded = flat.dictionary_encode()
+        found = self._look_up(coded.dictionary.to_pylist())
+        which = found[np.asarray(coded.indices)]
+        which[first] = self._look_up([(x,) for x in flat.take(pa.array(first)).to_pylist()])
+        sizes = self.size[which]
+        ids = self.ids[self._places(self.start[which], sizes)]
+        counts = np.add.reduceat(sizes, first)
+        odd = np.flatnonzero(np.logical_or.reduceat(self.edgy[which], first))
+        if len(odd):
+            each = np.split(ids, np.cumsum(counts)[:-1])
+            for i in odd:
+                each[i] = self._careful(texts[i])
+                counts[i] = len(each[i])
+            ids = np.concatenate(each)
+        return ids, counts
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > self.most:
-            self._forget()
-        cut = [self.pieces(t) if t else [] for t in texts]
-        fresh = list(dict.fromkeys(p for pieces in cut for p in pieces if p not in self.known))
-        for p, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            ids = e.ids
-            if self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids), len(ids)), np.uint32)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.known[p] = len(self.known)
-            self.used += len(ids)
-            self.at.append(self.used)
-        at, out = np.asarray(self.at), []
-        for pieces in cut:
-            which = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-            size = at[which + 1] - at[which]
-            ends = np.cumsum(size)
-            take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(at[which] - (ends - size), size)
-            out.append(self.ids[take])
-        return out
+        """The ids of each text."""
+        ids, counts = self.flat(texts)
+        return np.split(ids, np.cumsum(counts)[:-1]) if len(texts) else []
 
 
-def cut_points(ids: np.ndarray, least: int = LEAST, about: int = ABOUT, most: int = MOST) -> list[int]:
-    """Ends of the chunks of an id stream.
+@functools.cache
+def _encoder(path: str) -> Encoder:
+    """One for each worker: what it has learned serves later tasks too."""
+    encoder = Encoder(path)
+    encoder.forget_when_idle(5.0)
+    return encoder
+
 
-    A chunk ends where the hash of the last ``WINDOW`` ids falls in one of
-    ``about`` classes, ``least`` ids after the last cut at the earliest and
-    ``most`` at the latest.
+def cut_all(ids: np.ndarray, sizes: np.ndarray, least: int = LEAST, about: int = ABOUT, most: int = MOST) -> list[list[int]]:
+    """Ends of the chunks of id streams that lie one after another, each stream's in the places of all.
+
+    A chunk ends where the hash of the last ``WINDOW`` ids of its stream falls
+    in one of ``about`` classes, ``least`` ids after the last cut at the
+    earliest and ``most`` at the latest.
     """
-    n, ends, last = len(ids), [], 0
-    if n > least:
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    hits = np.empty(0, np.int64)
+    if len(ids) > least:
         mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
-        rolling = np.zeros(n - WINDOW + 1, np.uint64)
-        for k in range(WINDOW):
-            rolling = rolling * np.uint64(0xD6E8FEB86659FD93) + mixed[k : n - WINDOW + 1 + k]
-        for p in (np.flatnonzero((rolling >> np.uint64(40)) % np.uint64(about) == 0) + WINDOW).tolist():
+        rolling = mixed[: len(ids) - WINDOW + 1].copy()
+        for k in range(1, WINDOW):
+            rolling *= np.uint64(0xD6E8FEB86659FD93)
+            rolling += mixed[k : len(ids) - WINDOW + 1 + k]
+        hits = np.flatnonzero((rolling >> np.uint64(40)) % np.uint64(about) == 0) + WINDOW
+    # cuts that leave a chunk of its least size before them
+    low, high = np.searchsorted(hits, starts + least), np.searchsorted(hits, ends)
+    out = []
+    for start, end, a, b in zip(starts.tolist(), ends.tolist(), low.tolist(), high.tolist(), strict=True):
+        cuts, last = [], start
+        for p in hits[a:b].tolist() if a < b else ():
             while p - last > most:
                 last += most
-                ends.append(last)
-            if p - last >= least and p < n:
-                ends.append(last := p)
-    while n - last > most:
-        last += most
-        ends.append(last)
-    return [*ends, n]
+                cuts.append(last)
+            if p - last >= least:
+                cuts.append(last := p)
+        while end - last > most:
+            last += most
+            cuts.append(last)
+        out.append([*cuts, end])
+    return out
+
+
+def cut_points(ids: np.ndarray, least: int = LEAST, about: int = ABOUT, most: int = MOST) -> list[int]:
+    """Ends of the chunks of one id stream."""
+    return cut_all(ids, np.array([len(ids)]), least, about, most)[0]
 
 
 def merkle(digests: list[bytes]) -> bytes:
@@ -147,15 +303,16 @@ def _spool(docs: DataFrame, path: str, tokenizer: str, end_id: int, kind: str) -
     """Encodes and cuts; each task writes the chunks that are new to it to a compressed spool of its own."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, name, seen = Encoder(tokenizer), own_name(f"{path}/spool/pack", ".zst"), set()
+        encoder, name, seen = _encoder(tokenizer), own_name(f"{path}/spool/pack", ".zst"), set()
         out, row = None, 0
         for batch in batches:
-            rows = []
-            for doc_id, ids in zip(batch["doc_id"], encoder(["" if t is None else t for t in batch["text"]]), strict=True):
-                ids = np.append(ids, np.uint32(end_id)).astype(kind)
-                digests, sizes, offs, last = [], [], [], 0
-                for end in cut_points(ids):
-                    chunk, last = ids[last:end].tobytes(), end
+            rows, last, (found, counts) = [], 0, encoder.flat(["" if t is None else t for t in batch["text"]])
+            ids = np.insert(found, np.cumsum(counts), np.uint32(end_id)).astype(kind)
+            data, width = memoryview(ids.tobytes()), ids.itemsize
+            for doc_id, n, ends in zip(batch["doc_id"], (counts + 1).tolist(), cut_all(ids, counts + 1), strict=True):
+                digests, sizes, offs = [], [], []
+                for end in ends:
+                    chunk, last = data[last * width : end * width], end
                     digest = hashlib.sha256(chunk).digest()
                     digests.append(digest)
                     sizes.append(len(chunk))
@@ -164,13 +321,13 @@ def _spool(docs: DataFrame, path: str, tokenizer: str, end_id: int, kind: str) -
                     if digest not in seen:
                         seen.add(digest)
                         out.write(chunk)
-                rows.append((doc_id, row, len(ids), merkle(digests), name, digests, sizes, offs))
+                rows.append((doc_id, row, n, merkle(digests), name, digests, sizes, offs))
                 row += 1
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SPOOLED.split(", ")]).astype({"doc_id": "Int64"})
         if out is not None:
             out.close()
 
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 1024)
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(encode, SPOOLED)
     return stored(made, f"{path}/spooled")
 
