@@ -35,7 +35,7 @@ LENGTH = 200
 #: Bytes of an anchor.
 WIDTH = 32
 #: Bytes of stretches in a shard; a longer text is a shard of its own.
-SHARD = 2 << 20
+SHARD = 1 << 20
 #: Runs of one anchor that are merged in one place; more are parted by their strings.
 MOST_RUNS = 20_000
 
@@ -50,15 +50,16 @@ def _bytes(text: str | None) -> np.ndarray:
 
 
 def _anchored(rows: DataFrame, length: int, width: int) -> DataFrame:
-    """(short, hashes): the hashes of a row's anchors. ``short`` is 64 bits of the row's key, enough to route by."""
+    """(short, hashes, times): the hashes of a row's anchors and how often each occurs. ``short`` is 64 bits of the row's key, enough to route by."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [anchors(_bytes(t), length, width)[1].view(np.int64) for t in batch["text"]]
-            some = np.array([len(f) > 0 for f in found], bool)
-            yield pd.DataFrame({"short": batch["short"][some], "hashes": [f for f in found if len(f)]})
+            found = [np.unique(anchors(_bytes(t), length, width)[1].view(np.int64), return_counts=True) for t in batch["text"]]
+            some = [len(h) > 0 for h, _ in found]
+            hashes, times = ([f[k] for f in found if len(f[0])] for k in (0, 1))
+            yield pd.DataFrame({"short": batch["short"][some], "hashes": hashes, "times": times})
 
-    return rows.select("short", "text").mapInPandas(find, "short long, hashes array<long>")
+    return rows.select("short", "text").mapInPandas(find, "short long, hashes array<long>, times array<long>")
 
 
 MARKED = "key binary, starts array<long>, ends array<long>, body binary, runs array<struct<anchor:long,at:int,start:long,n:int>>"
@@ -216,22 +217,24 @@ def repeats(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, shard: in
     keyed = docs.select(row_key(docs).alias("key"), docs["text"].alias("text")).where(F.octet_length("text") >= length)
     keyed = keyed.withColumn("short", F.xxhash64("key"))
     found = stored(_anchored(keyed, length, width), f"{home}/anchors")
-    each = found.select("short", F.explode("hashes").alias("hash"))
-    often = each.groupBy(F.col("hash").alias("h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    each = found.select("short", F.explode(F.arrays_zip("hashes", "times")).alias("a")).select("short", F.col("a.hashes").alias("hash"), F.col("a.times").alias("n"))
+    often = each.groupBy(F.col("hash").alias("h")).agg(F.sum("n").alias("n")).where("n > 1").select("h")
     often = stored(often, f"{home}/often")
-    wanted = each.distinct().join(often, F.col("hash") == F.col("h")).groupBy(F.col("short").alias("s")).agg(F.collect_list("hash").alias("wanted"))
+    wanted = each.select("short", "hash").join(often.hint("merge"), F.col("hash") == F.col("h")).groupBy(F.col("short").alias("s")).agg(F.collect_list("hash").alias("wanted"))
     wanted = stored(wanted, f"{home}/wanted")
-    rows = keyed.join(wanted, F.col("short") == F.col("s")).select("key", "text", "wanted")
+    # these tables grow with the corpus: they are never sent to all tasks, so the plan is one at every size
+    rows = keyed.join(wanted.hint("merge"), F.col("short") == F.col("s")).select("key", "text", "wanted")
     marks = stored(_sharded(rows, length, width, shard), f"{home}/marks")
 
     runs = marks.select("key", "body", F.explode("runs").alias("r"))
     runs = runs.select("key", F.col("r.anchor").alias("anchor"), F.col("r.start").alias("start"), F.substring("body", F.col("r.at") + 1, F.col("r.n")).alias("body"))
     counts = marks.select(F.explode("runs.anchor").alias("a")).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    counts = stored(counts.where("n > 1"), f"{home}/counts")
-    runs = runs.join(counts, F.col("anchor") == F.col("a"))
-    across = _merged_shards(runs.where(F.col("n") <= most_runs).select("anchor", "key", "start", "body"), length)
-    if counts.where(F.col("n") > most_runs).limit(1).count():
-        across = across.unionByName(_parted(runs.where(F.col("n") > most_runs), length))
+    many = stored(counts.where(F.col("n") > most_runs).select("a"), f"{home}/many")
+    if many.isEmpty():
+        across = _merged_shards(runs, length)
+    else:
+        here = F.col("anchor") == F.col("a")
+        across = _merged_shards(runs.join(many, here, "left_anti"), length).unionByName(_parted(runs.join(many, here, "left_semi"), length))
     inside = marks.select("key", F.explode(F.arrays_zip("starts", "ends")).alias("i")).select("key", F.col("i.starts").alias("start"), F.col("i.ends").alias("end"))
     both = inside.unionByName(across).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     return stored(both.select("key", "spans.start", "spans.end").toDF("key", "starts", "ends"), f"{home}/repeats")
@@ -247,7 +250,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     """
     found = repeats(docs.select("doc_id", "text"), length, **options).withColumnRenamed("key", "k")
     rows = docs.select("doc_id", "text")
-    rows = rows.select("doc_id", "text", row_key(rows).alias("key")).join(found, F.col("key") == F.col("k"), "left").drop("key", "k")
+    rows = rows.select("doc_id", "text", row_key(rows).alias("key")).join(found.hint("merge"), F.col("key") == F.col("k"), "left").drop("key", "k")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
