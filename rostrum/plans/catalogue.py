@@ -576,6 +576,105 @@ def population_arrays(spark, sf_dir):
     return bundle.population(rows, "c_custkey", ["c_acctbal", "nation"], F.col("c_acctbal") > 0)
 
 
+@_query(f"""WITH {_TOK}, d AS (SELECT token FROM tok WHERE length(token) >= 2 GROUP BY token HAVING count(DISTINCT doc_id) > 0.5 * {_DOCS}),
+  s AS (SELECT token FROM d UNION SELECT unnest([{_in(CONNECTORS)}]))
+  SELECT doc_id, count(*) AS n_tokens, count(DISTINCT token) AS n_types FROM tok WHERE token NOT IN (SELECT token FROM s) GROUP BY doc_id""")
+def stopwords_removed(spark, sf_dir):
+    words = _tokens(spark, sf_dir)
+    often = frequency.document_stopwords(words, _read(spark, sf_dir, "documents"), 0.5, 0).select("token")
+    groups = often.union(lexscore.lexicon(spark, {"stop": CONNECTORS}).select("entry")).distinct()
+    kept = tokens.without_stopwords(words, groups)
+    return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.count_distinct("token").alias("n_types"))
+
+
+@_query(f"""WITH {_TOK}, c AS (SELECT token, count(*) AS raw FROM tok GROUP BY token), n AS (SELECT greatest(1, count(*) // 1000) AS k FROM c),
+  v AS (SELECT token FROM (SELECT token, row_number() OVER (ORDER BY raw DESC, token) AS r FROM c) , n WHERE r <= k), lex(category, entry) AS (VALUES {_pairs(EMOTIONS)})
+  SELECT category, entry, entry IN (SELECT token FROM v) AS found FROM lex""")
+def lexicon_curation(spark, sf_dir):
+    counts = frequency.term_counts(_tokens(spark, sf_dir))
+    words, frequent = lexscore.lexicon(spark, EMOTIONS), frequency.register_vocabulary(counts, 0.1).withColumnRenamed("token", "entry")
+    kept, _ = lexscore.without_entries(words, frequent)
+    left = kept.select(F.col("category").alias("c"), F.col("entry").alias("e"))
+    out = words.join(left, (F.col("category") == F.col("c")) & (F.col("entry") == F.col("e")), "left")
+    return out.select("category", "entry", F.col("e").isNull().alias("found"))
+
+
+@_query(f"""WITH {_TOK} SELECT doc_id, count(*) AS n_tokens, count(DISTINCT sent_id) AS n_sentences, CAST(sum(length(token)) AS BIGINT) AS chars, count(*) FILTER (length(token) > 3) AS n_content FROM tok GROUP BY doc_id""")
+def annotated_tables(spark, sf_dir):
+    from ..sources.readers import annotated_tsv
+
+    rows = _tokens(spark, sf_dir).withColumn("line", F.concat_ws("\t", "token", "token", F.when(F.length("token") > 3, "[/N][Nom]").otherwise("[/Det]")))
+    sentences = rows.groupBy("doc_id", "sent_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    whole = sentences.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sent_id", "body"))), lambda x: x["body"]), "\n\n").alias("body"))
+    parsed = annotated_tsv(whole.select("doc_id", F.concat(F.lit("form\tlemma\txpostag\n"), "body").alias("payload")))
+    content = F.count_if(tokens.is_content(F.col("xpostag")))
+    return parsed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.count_distinct("sent_id").alias("n_sentences"), F.sum(F.length("form").cast("long")).alias("chars"), content.alias("n_content"))
+
+
+@_query("""SELECT c_custkey, trim(lower(regexp_replace(c_name, '#0*', ' '))) AS name_key FROM customer""")
+def name_keys(spark, sf_dir):
+    named = F.concat(F.lit("Dr.  "), F.regexp_replace("c_name", "#0*", "  "))
+    return _read(spark, sf_dir, "customer").select("c_custkey", T.name_key(named, WESTERN).alias("name_key"))
+
+
+@_query()
+def phrase_fusion(spark, sf_dir):
+    """Phrases of two rounds, the second over what the first has fused, and their frequencies."""
+    words = _tokens(spark, sf_dir)
+    lists = lambda t: t.groupBy("doc_id", "sent_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("tokens"))
+    fused = lists(words)
+    for _ in range(2):
+        long = fused.select("doc_id", "sent_id", F.posexplode("tokens").alias("pos", "token"))
+        fused = collocation.fused(fused, collocation.pair_scores(long, CONNECTORS, min_count=8, threshold=0.05), CONNECTORS, "#")
+    counts = fused.select("doc_id", F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("raw"))
+    return counts.withColumn("order", T.ngram_order(F.col("token"))).where("order > 1")
+
+
+@_query()
+def utterance_events(spark, sf_dir):
+    """Turns split into events and classified by cues, counted by role and kind."""
+    rows = events.classified(events.split_lines(_read(spark, sf_dir, "conversations"), "text", WESTERN), WESTERN)
+    return rows.groupBy("role", "kind", "intensity").agg(F.count(F.lit(1)).alias("events"), F.sum("weight").alias("weighted"))
+
+
+@_query()
+def encoded_documents(spark, sf_dir):
+    """Windows of 80 tokens, encoded by the default encoder and pooled to one unit vector a document."""
+    from ..sources.annotator import encoded, hashing_encoder
+
+    rows = topics.windows(_tokens(spark, sf_dir), 80).select("doc_id", F.array_join("tokens", " ").alias("text"))
+    return topics.pooled(encoded(rows, lambda: hashing_encoder(32)), "doc_id", "vector")
+
+
+@_query()
+def scored_windows(spark, sf_dir):
+    """Windows through an injected scorer, put together for documents and decided."""
+
+    def scorer(texts):
+        return [{"short": s / (s + n), "long": n / (s + n)} for s, n in ((1 + sum(len(w) < 4 for w in t.split()), 1 + sum(len(w) >= 4 for w in t.split())) for t in texts)]
+
+    rows = topics.windows(_tokens(spark, sf_dir), 250).select("doc_id", "window", F.array_join("tokens", " ").alias("text"), F.size("tokens").alias("weight"))
+    scores = classify.scored_windows(rows, scorer).join(rows.select("doc_id", "window", "weight"), ["doc_id", "window"])
+    return classify.decided(classify.combined(scores).where("rank = 1"))
+
+
+@_query()
+def graph_json(spark, sf_dir):
+    """The roll-up of trade between nations as node-link JSON."""
+    from ..sources.sinks import node_link
+
+    edges, members = network.rolled_up(_trade(spark, sf_dir), _traders(spark, sf_dir), "nation")
+    return node_link(members.withColumnRenamed("grp", "id"), edges.select(F.col("src_group").alias("src"), F.col("dst_group").alias("dst"), "weight"))
+
+
+@_query()
+def dashboard_json(spark, sf_dir):
+    """Party table, roles and topic terms as one JSON document."""
+    from ..sources.sinks import dashboard
+
+    return dashboard({"parties": party_table(spark, sf_dir), "roles": role_partition(spark, sf_dir), "terms": class_terms(spark, sf_dir)})
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
