@@ -234,6 +234,8 @@ def scanned(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     parts = [F.when(F.array_contains("kinds", r.kind), _tagged(F.col("__text"), [(k, r)])).otherwise(none) for k, r in indexed]
     checked = checked.select("__key", F.concat(none, *parts).alias("__some")).where(F.size("__some") > 0)
+    # written before copies are put together: so the join may split a text of very many copies
+    checked = stored(checked, f"{home}/found")
     checked = stored(checked.groupBy("__key").agg(F.first("__some").alias("__some")), f"{home}/checked")
 
     kept = [c for c in docs.columns if c != "secrets"]
