@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .bagminhash import band_keys, signatures
 from .common import shared_dir, small_batches, stored
-from .shingles import bags
+from .shingles import bags, slices
 
 #: 24 bands of 4 registers: two texts of similarity 0.8 share no band once in 300,000 times.
 BANDS, ROWS = 24, 4
@@ -57,10 +57,11 @@ def _signed(keyed: DataFrame) -> DataFrame:
                 if key not in seen:
                     seen.add(key)
                     new.append(i)
-            batch = batch.iloc[new]
-            registers = _registers(batch["text"].tolist())
-            full = (registers != np.uint64(0xFFFFFFFFFFFFFFFF)).any(axis=1)
-            yield pd.DataFrame({"key": batch["key"][full], "bands": list(band_keys(registers[full], BANDS, ROWS))})
+            keys, texts = ([batch[c].iloc[i] for i in new] for c in ("key", "text"))
+            for a, b in slices(texts):
+                registers = _registers(texts[a:b])
+                full = np.flatnonzero((registers != np.uint64(0xFFFFFFFFFFFFFFFF)).any(axis=1))
+                yield pd.DataFrame({"key": [keys[a + i] for i in full], "bands": list(band_keys(registers[full], BANDS, ROWS))})
 
     small_batches(keyed.sparkSession)
     rows = keyed.select(F.col("__key").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
@@ -103,7 +104,7 @@ def _links(rows: DataFrame, look: bool, similarity: float = SIMILARITY) -> DataF
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list = []
         block, group = None, None
-        for batch in batches:
+        for batch in (batch.iloc[a:b] for batch in batches for a, b in slices(batch["text"].tolist())):
             h, w, n = bags(batch["text"].tolist())
             registers = signatures(h, w, n, BANDS * ROWS) if look else None
             at, out = np.r_[0, np.cumsum(n)], []
@@ -174,6 +175,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, queries: int = QUER
     texts = docs.select(F.col("__key").alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
     # one plan at every size: the members' keys grow with the corpus and are not sent to all tasks
     texts = texts.join(nodes.select("key").hint("merge"), F.col("text_key") == F.col("key"), "left_semi")
+    # written before copies are put together: so the join may split a text of very many copies
+    texts = stored(texts, f"{home}/found")
     texts = stored(texts.groupBy("text_key").agg(F.first("text").alias("text")), f"{home}/texts")
 
     ranked = members.join(nodes.withColumnRenamed("key", "node"), F.col("key") == F.col("node")).select("bucket", "key", "degree")

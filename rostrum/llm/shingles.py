@@ -7,13 +7,15 @@ are known by 64-bit hashes of their bytes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 #: A word as a regular expression over the lower-cased text.
 WORD = r"[0-9a-z_\x80-\U0010ffff]+"
 SIZE = 5
 #: Bytes that are hashed at once.
-PIECE = 1 << 22
+PIECE = 1 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
@@ -22,6 +24,22 @@ _IS_WORD[[*range(48, 58), *range(97, 123), 95, *range(128, 256)]] = True
 _POWERS: dict[str, np.ndarray] = {}
 
 
+def slices(texts: list[str | None], most: int = PIECE) -> Iterator[tuple[int, int]]:
+    """(first, last) of neighbouring texts of ``most`` characters together, or of one that is longer.
+
+    What is held for a slice does not grow with the lengths that a batch happens to have.
+    """
+    first, held = 0, 0
+    for i, text in enumerate(texts):
+        size = len(text or "") + 1
+        if i > first and held + size > most:
+            yield first, i
+            first, held = i, 0
+        held += size
+    if texts:
+        yield first, len(texts)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads their bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
