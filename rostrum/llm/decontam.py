@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shared_dir, small_batches, stored
-from .shingles import SIZE, WORD, shingle_hashes
+from .shingles import SIZE, WORD, shingle_hashes, slices
 
 CONTAINMENT = 0.8
 #: At similarity 0.19, the least that a window of an item's class has, 48 functions all miss once in 25,000 times.
@@ -96,6 +96,9 @@ class Index:
 
     def matches(self, texts: list[str | None], least: float = CONTAINMENT) -> list[tuple[int, int, int, int]]:
         """(text, item, shared, shingles of the item) of all that are contained."""
+        return [(a + t, *rest) for a, b in slices(texts) for t, *rest in self._matches(texts[a:b], least)]
+
+    def _matches(self, texts: list[str | None], least: float) -> list[tuple[int, int, int, int]]:
         h, counts = shingle_hashes(texts)
         at, out, last, own, words = np.r_[0, np.cumsum(counts)], [], -1, None, None
         for text, item in sorted(self.candidates(h, counts)):
