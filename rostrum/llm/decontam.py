@@ -6,8 +6,11 @@ powers of two, and each document is read, for each class, as windows of twice
 the class's size, half a window apart: what is as long as an item lies inside
 some window whole, and the Jaccard similarity of the two is bounded below.
 Every hash function of the signatures is a band of its own. Items and windows
-that agree in one are candidates, and a candidate counts if the item's
-shingles of five words are in the document, exactly, to 80% or more.
+that agree in one are candidates. Items of few distinct shingles, or of far
+fewer than their class spans, have no such bound: so many of their rarest
+shingles that a document can't do without all of them are looked up among all
+shingles of the documents. A candidate counts if the item's shingles of five
+words are in the document, exactly, to 80% or more.
 
 Each document is searched where it lies; nothing is shuffled. Items go to the
 tasks in blocks of a fixed number, and a larger benchmark takes more passes.
@@ -15,6 +18,7 @@ tasks in blocks of a fixed number, and a larger benchmark takes more passes.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -27,8 +31,9 @@ from .common import shared_dir, small_batches, stored
 from .shingles import SIZE, WORD, shingle_hashes, slices
 
 CONTAINMENT = 0.8
-#: At similarity 0.19, the least that a window of an item's class has, 48 functions all miss once in 25,000 times.
+#: At similarity ``FLOOR`` 48 functions all miss once in 25,000 times. Items that may have less are looked up by shingles.
 HASHES = 48
+FLOOR = 0.19
 #: Windows are put together from runs of so many shingles.
 RUN = 8
 #: Items in one block: some 20 MB.
@@ -44,32 +49,55 @@ def word_shingles(text: str | None) -> set[tuple[str, ...]]:
 
 
 class Index:
-    """The signatures of a block of items, by size class and hash function."""
+    """The signatures of a block of items, by size class and hash function, and rare shingles of those without a bound.
 
-    def __init__(self, ids: list, texts: list[str | None]):
+    ``least`` is the containment below which nothing needs to be found.
+    """
+
+    def __init__(self, ids: list, texts: list[str | None], least: float = CONTAINMENT):
         self.ids, self.texts = ids, texts
         h, n = shingle_hashes(texts)
         at = np.r_[0, np.cumsum(n)]
         self.shingles = [np.unique(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
         lengths = np.maximum(n, RUN)  # shingles with repeats: what a window must span
         classes = np.ceil(np.log2(lengths)).astype(int)
+        distinct = np.array([len(s) for s in self.shingles], np.int64)
+        # what is shared may lie in several windows of 2 << c shingles: their similarities then add up to this at least
+        bounded = least * distinct >= FLOOR * (distinct + (2 << classes))
         self.classes: dict[int, list[tuple]] = {}
-        for c in sorted(set(classes[n > 0].tolist())):
-            items = np.flatnonzero((classes == c) & (n > 0))
-            bits = min(24, max(16, int(len(items)).bit_length() + 8))
-            tables = []
-            for f in _FACTORS:
-                least = np.array([(self.shingles[i] * f).min() for i in items], np.uint64)
-                order = np.argsort(least)
-                there = np.zeros(1 << bits, bool)
-                there[(least & np.uint64((1 << bits) - 1)).astype(np.int64)] = True
-                tables.append((least[order], items[order], there, np.uint64((1 << bits) - 1)))
-            self.classes[c] = tables
+        for c in sorted(set(classes[bounded & (n > 0)].tolist())):
+            items = np.flatnonzero((classes == c) & bounded & (n > 0))
+            self.classes[c] = [_table(np.array([(self.shingles[i] * f).min() for i in items], np.uint64), items) for f in _FACTORS]
+        self.rare = self._rare(np.flatnonzero(~bounded & (n > 0)), least)
+
+    def _rare(self, items: np.ndarray, least: float) -> tuple | None:
+        """The shingles to look up: of an item that needs s of its d, the d - s + 1 that fewest items have."""
+        if not len(items):
+            return None
+        each, common = np.unique(np.concatenate([self.shingles[i] for i in items]), return_counts=True)
+        picked, of = [], []
+        for i in items.tolist():
+            own = self.shingles[i]
+            most = min(len(own), len(own) - math.ceil(least * len(own)) + 1)
+            picked.append(own[np.argsort(common[np.searchsorted(each, own)], kind="stable")[:most]])
+            of.append(np.full(len(picked[-1]), i))
+        return _table(np.concatenate(picked), np.concatenate(of))
 
     def candidates(self, h: np.ndarray, counts: np.ndarray) -> set[tuple[int, int]]:
-        """(text, item) that agree in some window and function, of texts with the shingles ``h``."""
+        """(text, item) that agree in some window and function or in a rare shingle, of texts with the shingles ``h``."""
         found: set[tuple[int, int]] = set()
-        if not len(h) or not self.classes:
+        if not len(h):
+            return found
+        if self.rare:
+            values, items, there, mask = self.rare
+            hit = np.flatnonzero(there[(h & mask).astype(np.int64)])
+            left, right = np.searchsorted(values, h[hit]), np.searchsorted(values, h[hit], "right")
+            hit, left, right = (x[left < right] for x in (hit, left, right))
+            text = np.searchsorted(np.cumsum(counts), hit, "right")
+            _, once = np.unique(text * len(values) + left, return_index=True)  # a shingle that a text repeats counts once
+            for t, a, b in zip(text[once].tolist(), left[once].tolist(), right[once].tolist(), strict=True):
+                found.update((t, i) for i in items[a:b].tolist())
+        if not self.classes:
             return found
         # runs of RUN shingles that begin anew with each text
         runs = -(-counts // RUN)
@@ -115,6 +143,15 @@ class Index:
         return out
 
 
+def _table(values: np.ndarray, items: np.ndarray) -> tuple:
+    """(values in order, their items, which low bits occur, mask of those bits)."""
+    mask = np.uint64((1 << min(24, max(16, len(items).bit_length() + 8))) - 1)
+    order = np.argsort(values)
+    there = np.zeros(int(mask) + 1, bool)
+    there[(values & mask).astype(np.int64)] = True
+    return values[order], items[order], there, mask
+
+
 def _paired(least: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Neighbouring runs of a text put together two by two; an odd last one stays alone."""
     n = np.bincount(of, minlength=of[-1] + 1)
@@ -151,7 +188,7 @@ def contained(docs: DataFrame, benchmark: DataFrame, least: float = CONTAINMENT,
     rows, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None
     schema = "doc_id long, item_id long, shared long, item_shingles long, containment double"
     for ids, texts in _blocks(benchmark, block):
-        sent = spark.sparkContext.broadcast(Index(ids, texts))
+        sent = spark.sparkContext.broadcast(Index(ids, texts, least))
 
         def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             index = sent.value
@@ -175,7 +212,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: float = CONTAINMENT, blo
     spark = docs.sparkSession
     small_batches(spark)
     for ids, texts in _blocks(benchmark, block):
-        sent = spark.sparkContext.broadcast(Index(ids, texts))
+        sent = spark.sparkContext.broadcast(Index(ids, texts, least))
 
         def keep(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             for batch in batches:

@@ -72,3 +72,37 @@ def test_empty_sides(spark, case):
     assert decontam.contained(docs, none).count() == 0
     assert decontam.clean(docs, none).count() == docs.count()
     assert decontam.contained(docs.limit(0), items).count() == 0
+
+
+def missed(docs, items):
+    """Pairs that comparing all texts finds and the index doesn't, and the other way round."""
+    asked, own = [decontam.word_shingles(t) for t in items], [decontam.word_shingles(t) for t in docs]
+    want = {(d, i, len(a & o), len(a)) for d, o in enumerate(own) for i, a in enumerate(asked) if a and len(a & o) >= 0.8 * len(a)}
+    got = decontam.Index(list(range(len(items))), items).matches(docs)
+    assert want
+    assert len(set(got)) == len(got)
+    return want ^ set(got)
+
+
+@pytest.mark.parametrize("words", [5, 6, 7, 8, 9])
+def test_small_items_at_all_offsets(words):
+    rng = random.Random(words)
+    items = [" ".join(f"i{rng.randrange(10**6)}" for _ in range(words)) for _ in range(600)]
+    docs = []
+    for k, item in enumerate(items):
+        w = [f"d{rng.randrange(10**6)}" for _ in range(60)]
+        w[k % 40 : k % 40] = item.split(" ")
+        docs.append(" ".join(w))
+    assert not missed(docs, items)
+
+
+@pytest.mark.parametrize(("line", "times"), [(4, 16), (7, 20), (1, 60), (9, 5)])
+def test_repeating_items_at_all_offsets(line, times):
+    rng = random.Random(line)
+    items = [" ".join([f"i{rng.randrange(10**6)}" for _ in range(line)] * times) for _ in range(120)]
+    docs = []
+    for k, item in enumerate(items):
+        w = [f"d{rng.randrange(10**6)}" for _ in range(400)]
+        w[k:k] = item.split(" ") if k % 2 else item.split(" ")[: 2 * line + 5]  # all of it, or its distinct shingles alone
+        docs.append(" ".join(w))
+    assert not missed(docs, items)
