@@ -13,7 +13,8 @@ Layout below one folder of the shared store:
 * ``index/``: Parquet (digest, pack, off, n): where each chunk is;
 * ``recipes/``: Parquet (doc_id, start, n_tokens, root, home, chunks) in
   ascending order of doc_id, ``start`` being the ids of all documents before;
-* ``manifest/``: Parquet (level, node, root): the Merkle tree above documents.
+* ``manifest/``: Parquet (level, node, root): the Merkle tree above documents,
+  each with its doc_id, start and n_tokens.
 """
 
 from __future__ import annotations
@@ -356,26 +357,54 @@ def _packed(spooled: DataFrame, path: str) -> DataFrame:
     return stored(owner.groupBy("pack").applyInPandas(pack, "digest binary, pack string, off long, n int"), f"{path}/index")
 
 
-def _manifest(recipes: DataFrame, path: str) -> DataFrame:
-    """The Merkle tree over documents: level 0 has a node for each run of about a million tokens, the last level one."""
+def _leaves(recipes: DataFrame) -> DataFrame:
+    """What the manifest is made over, (level, node, place, root): a digest of each document's id, place, length and root."""
+    said = F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "start", "n_tokens", F.hex("root"))
+    node = F.shiftright("start", RUN_BITS).alias("node")
+    return recipes.select(F.lit(0).alias("level"), node, F.col("start").alias("place"), F.unhex(F.sha2(said, 256)).alias("root"))
+
+
+def _above(nodes: DataFrame) -> DataFrame:
+    """Nodes as what the next level is made over."""
+    return nodes.select(F.col("level") + 1, F.shiftright("node", NODE_BITS), F.col("node"), F.col("root")).toDF("level", "node", "place", "root")
+
+
+def _folded(rows: DataFrame) -> DataFrame:
+    """(level, node, root): the root of each node over its rows, in the order of their places."""
 
-    def fold(level: int):
-        def root(nodes: pd.DataFrame) -> pd.DataFrame:
-            nodes = nodes.sort_values("place")
-            return pd.DataFrame({"level": [level], "node": [nodes["node"].iloc[0]], "root": [merkle([bytes(r) for r in nodes["root"]])]})
+    def root(nodes: pd.DataFrame) -> pd.DataFrame:
+        nodes = nodes.sort_values("place")
+        return nodes.iloc[:1][["level", "node"]].assign(root=[merkle([bytes(r) for r in nodes["root"]])])
 
-        return root
+    return rows.groupBy("level", "node").applyInPandas(root, "level int, node long, root binary")
 
-    rows, level, levels = recipes.select(F.shiftright("start", RUN_BITS).alias("node"), F.col("start").alias("place"), "root"), 0, []
+
+def _manifest(recipes: DataFrame, path: str) -> DataFrame:
+    """The Merkle tree over documents: level 0 has a node for each run of about a million tokens, the last level one."""
+    rows, levels = _leaves(recipes), []
     while True:
-        made = rows.groupBy("node").applyInPandas(fold(level), "level int, node long, root binary")
-        levels.append(stored(made, f"{path}/manifest/level={level}"))
+        levels.append(stored(_folded(rows), f"{path}/manifest/level={len(levels)}"))
         if levels[-1].count() <= 1:
             break
-        rows, level = levels[-1].select(F.shiftright("node", NODE_BITS).alias("node"), F.col("node").alias("place"), "root"), level + 1
+        rows = _above(levels[-1])
     return functools.reduce(DataFrame.unionByName, levels)
 
 
+def _hold_against_manifest(store: Store) -> None:
+    """Fails where a node of the manifest isn't that of the recipes or nodes below it, or where one of the two is missing."""
+    manifest = store.manifest.select("level", "node", "root")
+    sizes = {r["level"]: r["count"] for r in manifest.groupBy("level").count().collect()}  # a few levels
+    top = max(sizes, default=0)
+    if sizes.get(top, 0) > 1:
+        raise ValueError(f"the manifest has no level above {top}, or a node twice")
+    made = _folded(_leaves(store.recipes).unionByName(_above(manifest.where(F.col("level") < top))))
+    kept = manifest.toDF("of_level", "of_node", "of_root")
+    both = made.join(kept, (F.col("level") == F.col("of_level")) & (F.col("node") == F.col("of_node")), "full")
+    wrong = both.where(~F.col("root").eqNullSafe(F.col("of_root"))).select(F.coalesce("level", "of_level"), F.coalesce("node", "of_node")).head()
+    if wrong:
+        raise ValueError(f"the recipes don't match the manifest at level {wrong[0]}, node {wrong[1]}")
+
+
 def write_store(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = END_ID) -> Store:
     """Encodes each whole text of ``docs`` (doc_id, text), appends ``end_id``, and stores the ids.
 
@@ -440,11 +469,13 @@ class _Reader:
 def read_store(store: Store, ids: bool = False, kind: str = "<u2") -> DataFrame:
     """The documents of a store, put together from their chunks: doc_id, start, n_tokens, ids_crc32 (and ids).
 
-    Every chunk is held against its digest and every document against its
-    Merkle root; damage fails the job. ``ids_crc32`` is that of the ids as
-    little-endian unsigned 32-bit integers. A task reads the packs that its
-    documents come from in one go, since documents are dealt by home pack.
+    The recipes are held against the manifest first, every chunk against its
+    digest and every document against its Merkle root; damage fails the job, as
+    do recipes that are lost, doubled or changed. ``ids_crc32`` is that of the
+    ids as little-endian unsigned 32-bit integers. A task reads the packs that
+    its documents come from in one go, since documents are dealt by home pack.
     """
+    _hold_against_manifest(store)
     packs = store.index.select("pack").distinct().select(F.regexp_extract("pack", r"pack-\d+-\d+", 0).alias("stem"), F.col("pack").alias("main"))
     recipes = store.recipes.withColumn("stem", F.regexp_extract("home", r"pack-\d+-\d+", 0))
     recipes = recipes.join(packs, "stem", "left").drop("stem", "home")

@@ -1,10 +1,12 @@
 """The token store against plain encoding, and its damage."""
 
+import dataclasses
 import random
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rostrum.llm import tokens
 from rostrum.llm.queries import tokenizer_path
@@ -59,6 +61,29 @@ def test_damage_is_found(spark, docs):
         tokens.read_store(store).collect()
 
 
+@pytest.mark.parametrize("bits", [20, 8])
+def test_lost_doubled_and_changed_recipes_are_found(spark, docs, bits, monkeypatch):
+    monkeypatch.setattr(tokens, "RUN_BITS", bits)
+    monkeypatch.setattr(tokens, "NODE_BITS", 2)
+    store = tokens.documents_of(spark, tokens.write_store(docs, tokenizer_path()).path)
+    assert tokens.read_store(store).count() == docs.count()
+    recipes, top = store.recipes, store.manifest.agg(F.max("level")).first()[0]
+    assert (top > 1) == (bits == 8)
+    one = F.col("start") == recipes.orderBy("start").collect()[9]["start"]
+    other = recipes.where("n_tokens > 3").orderBy("start").first()
+    copied = {c: F.when(one, F.lit(other[c])).otherwise(F.col(c)) for c in ("n_tokens", "root", "home")}
+    chunks = recipes.where(F.col("start") == other["start"]).select(F.col("chunks").alias("theirs"))
+    changed = recipes.crossJoin(chunks).withColumns({**copied, "chunks": F.when(one, F.col("theirs")).otherwise(F.col("chunks"))}).drop("theirs")
+    wrong = [recipes.where(~one), recipes.unionByName(recipes.where(one)), recipes.limit(0), changed]
+    wrong += [recipes.withColumn("doc_id", F.when(one, F.lit(12345)).otherwise(F.col("doc_id")))]
+    for r in wrong:
+        with pytest.raises(Exception, match="manifest"):
+            tokens.read_store(dataclasses.replace(store, recipes=r)).collect()
+    for m in (store.manifest.where(f"level < {top}"), store.manifest.where("node > 0"), store.manifest.unionByName(store.manifest)):
+        with pytest.raises(Exception, match="manifest"):
+            tokens.read_store(dataclasses.replace(store, manifest=m)).collect()
+
+
 def test_cut_points_cover_and_repeat():
     rng = np.random.default_rng(3)
     ids = rng.integers(0, 50000, 40000).astype(np.uint32)
