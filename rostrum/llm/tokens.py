@@ -473,7 +473,8 @@ def read_store(store: Store, ids: bool = False, kind: str = "<u2") -> DataFrame:
     digest and every document against its Merkle root; damage fails the job, as
     do recipes that are lost, doubled or changed. ``ids_crc32`` is that of the
     ids as little-endian unsigned 32-bit integers. A task reads the packs that
-    its documents come from in one go, since documents are dealt by home pack.
+    its documents come from in one go, since documents are dealt by home pack;
+    those whose home task owns no chunk have none and are dealt by their place.
     """
     _hold_against_manifest(store)
     packs = store.index.select("pack").distinct().select(F.regexp_extract("pack", r"pack-\d+-\d+", 0).alias("stem"), F.col("pack").alias("main"))
@@ -507,7 +508,7 @@ def read_store(store: Store, ids: bool = False, kind: str = "<u2") -> DataFrame:
             yield out if ids else out.drop(columns="ids")
 
     small_batches(store.recipes.sparkSession)
-    dealt = recipes.repartition("main").sortWithinPartitions("main", "start")
+    dealt = recipes.repartition(F.coalesce("main", F.xxhash64("start").cast("string"))).sortWithinPartitions("main", "start")
     return dealt.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids)
 
 

@@ -51,6 +51,23 @@ def test_chunks_are_stored_once(docs):
     assert store.index.select("digest").distinct().count() == store.index.count()
 
 
+def test_reading_copies_is_spread(spark, docs):
+    """Of two tasks with equal texts one owns all chunks; the documents of the other go to all tasks."""
+    twice = docs.withColumn("half", F.explode(F.array(F.lit(0), F.lit(1)))).repartitionByRange(2, "half")
+    store = tokens.write_store(twice, tokenizer_path())
+    assert store.recipes.select("home").distinct().count() == 2
+    assert store.index.select("pack").distinct().count() == 1
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    try:
+        tasks = tokens.read_store(store).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set(coalesce, before)
+    assert sum(r["count"] for r in tasks) == 2 * docs.count()
+    assert len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_damage_is_found(spark, docs):
     store = tokens.write_store(docs, tokenizer_path())
     name = store.index.first()["pack"].removeprefix("file://")
