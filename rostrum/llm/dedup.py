@@ -10,10 +10,11 @@ else is removed; strings are judged on the input, and never cross texts.
 2. Shards. Tasks put stretches together to shards of bounded size, build the
    suffix array of each (refined after Larsson and Sadakane) and its common
    prefixes (after Kasai), and mark what repeats inside the shard.
-3. Merging. The strings of one least hash, in runs, go from all shards to one
-   place. Runs that are equal repeat as they are; for the others each string's
-   place in the merged order of all of them is found by binary search, and
-   strings that the bytes confirm to be equal are marked.
+3. Across shards. The suffix arrays are not merged. The strings of one least
+   hash, in runs, go from all shards to one place. Runs of equal digests repeat
+   as they are; for the others the window hashes of all strings are sorted, and
+   strings of equal hashes that the bytes confirm to be equal are marked. Where
+   a least hash has very many runs, strings are grouped by their MD5 instead.
 4. The marks of a text are put together and its bytes removed.
 """
 
