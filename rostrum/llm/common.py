@@ -50,6 +50,17 @@ def stored(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that ``df`` lacks: the given ones after as many underscores as it takes."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"__{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 #: Sizes of Arrow batches that operators choose.
 BATCHES = (256, 1024)
 

@@ -10,36 +10,40 @@ text throughout.
    member is held against it: as many pairs as members. The text that a family
    was copied from is in all the largest buckets, so hubs link nearly all.
 3. Links make classes, by passing the smallest label along them.
-4. Buckets that still hold several classes are settled exactly: members
-   outside the bucket's largest class are queries, in blocks of bounded size,
-   and all members but the hub stream past each block. Nothing but links
-   comes out, so no list of pairs is made, whatever a bucket's size.
+4. Hubs of one class are then as one, the largest of them standing for all,
+   and those whose members are still of several classes are settled exactly.
+   Members that are linked, though one of them is not linked to the hub, must
+   share a part of what tells them from the hub, so they meet under an element
+   of that (see ``_differences``); changes made at random are hardly ever
+   shared, so members meet few others. Where many do meet, some are held in
+   blocks of bounded size while the others stream past. Nothing but links
+   comes out, so no list of pairs is made, whatever a group's size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bagminhash import band_keys, signatures
-from .common import shared_dir, small_batches, stored
-from .shingles import bags, slices
+from .common import shared_dir, small_batches, spare, stored
+from .shingles import bags, mix, slices
 
 #: 24 bands of 4 registers: two texts of similarity 0.8 share no band once in 300,000 times.
 BANDS, ROWS = 24, 4
 SIMILARITY = 0.8
-#: Agreement of registers below which two texts are not compared: over five standard errors below 0.8.
-LOOK = 0.6
+#: Texts that a block holds, or that are held against one copy of a hub; and texts that stream past one block.
 QUERIES, STREAM = 256, 20_000
 
 
-def with_key(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``__key``, the digest of the text; null counts as empty."""
-    return docs.withColumn("__key", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))))
+def with_key(docs: DataFrame, name: str = "__key") -> DataFrame:
+    """Adds the digest of the text, under a name that the table lacks; null counts as empty."""
+    return docs.withColumn(name, F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))))
 
 
 def _registers(texts: list[str]) -> np.ndarray:
@@ -68,63 +72,187 @@ def _signed(keyed: DataFrame) -> DataFrame:
     return rows.mapInPandas(sign, "key binary, bands array<long>")
 
 
-def _weights(text: str) -> tuple[np.ndarray, np.ndarray]:
-    h, w, _ = bags([text])
-    return h, w
+def _similarity(common: float, a: float, b: float) -> float:
+    return float(common / (a + b - common))
+
+
+def _links(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) between hubs and the texts that are held against them.
+
+    ``rows`` has grp, role (0: the hub, 1: a member), key and text. Rows of a
+    group lie together, the hub first.
+    """
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for hub, members in _against_hubs(batches):
+            out = [(hub.key, m.key) for m in members if _similarity(hub.common(m.h, m.w), hub.size, m.w.sum()) >= similarity]
+            if out:
+                yield pd.DataFrame(out, columns=["a", "b"])
+
+    small_batches(rows.sparkSession)
+    dealt = rows.repartition("grp").sortWithinPartitions("grp", "role")
+    return dealt.mapInPandas(compare, "a binary, b binary").distinct()
+
+
+class _Hub:
+    """A text that others are held against."""
+
+    def __init__(self, key: bytes, h: np.ndarray, w: np.ndarray):
+        self.key, self.h, self.w, self.size = key, h, w, int(w.sum())
+
+    def weights(self, h: np.ndarray) -> np.ndarray:
+        """How often the hub has each of the shingles ``h``."""
+        place = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        return np.where(self.h[place] == h, self.w[place], 0)
+
+    def common(self, h: np.ndarray, w: np.ndarray) -> int:
+        return int(np.minimum(self.weights(h), w).sum())
+
+
+@dataclass
+class _Member:
+    key: bytes
+    label: bytes
+    h: np.ndarray
+    w: np.ndarray
+
+
+def _against_hubs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[_Hub, list[_Member]]]:
+    """Each hub with some of its members, a slice of bounded text at a time."""
+    hub, group = None, None
+    for batch in (batch.iloc[a:b] for batch in batches for a, b in slices(batch["text"].tolist())):
+        h, w, n = bags(batch["text"].tolist())
+        at, held = np.r_[0, np.cumsum(n)], []
+        for k, (grp, role, key, label) in enumerate(zip(batch["grp"], batch["role"], batch["key"], batch["label"], strict=True)):
+            own = slice(at[k], at[k + 1])
+            if role == 0:
+                if held:
+                    yield hub, held
+                hub, group, held = _Hub(key, h[own].copy(), w[own].copy()), grp, []
+            else:
+                assert grp == group, "a member came before its hub"
+                held.append(_Member(key, label, h[own], w[own]))
+        if held:
+            yield hub, held
+
+
+DIFFERENCES = "hub binary, kind int, key binary, label binary, outside boolean, size long, elements array<long>, weights array<long>, tokens array<long>, rest array<long>"
+
+
+def _differences(rows: DataFrame, similarity: float) -> DataFrame:
+    """How members differ from the hub that stands for theirs, and the tokens under which they must meet to be linked.
+
+    Let x and y be members of a hub h, one of them not linked to it, and c =
+    (1 - t) / (1 + t) for the similarity t. The two are linked if their
+    multisets differ by c(|x| + |y|) at most, and what they differ by is
+    |Dx| + |Dy| less twice what the differences Dx and Dy from the hub have in
+    common, so these must share f(x) + f(y) at least, where f(x) = (|Dx| -
+    c|x|) / 2. One that is not linked has f > c|h| / 2, so the shared part is
+    never empty and every member knows a least size for its own. By the prefix
+    principle two differences that share so much share one of their first
+    elements in a fixed order, of which each side takes as many as leave less
+    than that size over. What a member adds comes before what it lacks: texts
+    that were changed at random share hardly any of it.
+
+    kind 0: ``elements`` are the differences. A member that is linked to the
+    hub takes the tokens that a partner that isn't calls for. One that isn't
+    has those as well, and ``rest``, by which it meets linked ones only. By
+    the triangle inequality it meets none if its similarity to the hub is
+    below 2t - 1, and below 3t - 2 no other that could.
+    kind 1: members below 2t - 1, for meeting each other: ``elements`` are all
+    shingles, those that the hub lacks first, and the shared part is t|x|.
+    """
+    c, slack = (1 - similarity) / (1 + similarity), 1e-6
+    turn = np.uint64(0xD1B54A32D192ED03)
+
+    def first(w: np.ndarray, least: float) -> int:
+        """How many elements to take so that those left over weigh less than ``least``."""
+        left = w.sum() - np.cumsum(w)
+        return int(np.searchsorted(-left, -(least - slack), "right")) + 1 if w.sum() >= least - slack else 0
+
+    def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for hub, members in _against_hubs(batches):
+            out = []
+            for m in members:
+                size, there = int(m.w.sum()), hub.weights(m.h)
+                like = _similarity(np.minimum(there, m.w).sum(), hub.size, size)
+                outside = like < similarity
+                if like >= 3 * similarity - 2 - slack:
+                    place = np.minimum(np.searchsorted(m.h, hub.h), len(m.h) - 1)
+                    lacks = hub.w - np.where(m.h[place] == hub.h, m.w[place], 0)
+                    more, less = m.w > there, lacks > 0
+                    elements = np.concatenate([m.h[more], mix(hub.h[less] ^ turn)])
+                    weights = np.concatenate([(m.w - there)[more], lacks[less]])
+                    f = (weights.sum() - c * size) / 2
+                    upto = first(weights, f + c * hub.size / 2)
+                    rest = first(weights, f - c * hub.size / 2) if outside and like >= 2 * similarity - 1 - slack else upto
+                    out.append((0, m, outside, size, elements, weights, elements[:upto], elements[upto:rest]))
+                if outside and like < 2 * similarity - 1 + slack:
+                    order = np.argsort(there > 0, kind="stable")
+                    elements, weights = m.h[order], m.w[order]
+                    out.append((1, m, True, size, elements, weights, elements[: first(weights, similarity * size)], elements[:0]))
+            yield pd.DataFrame(
+                {
+                    "hub": [hub.key] * len(out), "kind": [o[0] for o in out], "key": [o[1].key for o in out], "label": [o[1].label for o in out],
+                    "outside": [o[2] for o in out], "size": [o[3] for o in out], "elements": [o[4].view(np.int64) for o in out],
+                    "weights": [o[5].astype(np.int64) for o in out], "tokens": [o[6].view(np.int64) for o in out], "rest": [o[7].view(np.int64) for o in out],
+                }
+            )
+
+    small_batches(rows.sparkSession)
+    dealt = rows.repartition("grp").sortWithinPartitions("grp", "role")
+    return dealt.mapInPandas(tell, DIFFERENCES)
 
 
 class _Block:
-    """Texts that are held while others pass: all their shingles in one sorted table."""
-
-    def __init__(self, keys: list[bytes], labels: list[bytes], texts: list[str], look: bool):
-        self.keys, self.labels = keys, np.array([str(x.hex()) for x in labels])
-        h, w, n = bags(texts)
-        self.total = np.bincount(np.repeat(np.arange(len(n)), n), weights=w, minlength=len(n))
-        self.registers = signatures(h, w, n, BANDS * ROWS) if look else None
-        self.at = np.r_[0, np.cumsum(n)]
-        self.h, self.w = h, w
-
-    def shared(self, i: int, h: np.ndarray, w: np.ndarray) -> float:
-        """The similarity of text i of the block and the text of (h, w)."""
-        a, wa = self.h[self.at[i] : self.at[i + 1]], self.w[self.at[i] : self.at[i + 1]]
-        place = np.minimum(np.searchsorted(a, h), len(a) - 1)
-        both = a[place] == h
-        common = np.minimum(wa[place], w)[both].sum()
-        return float(common / (self.total[i] + w.sum() - common))
-
-
-def _links(rows: DataFrame, look: bool, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) between texts that stream past blocks and those that the blocks hold.
-
-    ``rows`` has grp, role (0: held, 1: passing), key, label and text. Rows of
-    a group lie together, those held first. Only texts of unlike labels are
-    compared; with ``look`` only those whose registers agree in part.
+    """Texts that are held while others pass, each as elements with weights that differ from one and the same hub."""
+
+    def __init__(self, held: list[tuple]):
+        self.keys = [key for key, *_ in held]
+        self.labels = np.array([label.hex() for _, label, *_ in held])
+        self.sizes = np.array([size for *_, size, _, _ in held], np.int64)
+        elements, weights = (np.concatenate([row[k] for row in held]) for k in (3, 4))
+        owner = np.repeat(np.arange(len(held)), [len(row[3]) for row in held])
+        order = np.argsort(elements, kind="stable")
+        self.elements, self.weights, self.owner = elements[order], weights[order], owner[order]
+        self.total = np.bincount(owner, weights=weights, minlength=len(held))
+
+    def similarities(self, size: int, elements: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        left, right = np.searchsorted(self.elements, elements), np.searchsorted(self.elements, elements, "right")
+        n = right - left
+        at = np.repeat(left - np.cumsum(n) + n, n) + np.arange(n.sum())
+        shared = np.bincount(self.owner[at], weights=np.minimum(self.weights[at], np.repeat(weights, n)), minlength=len(self.keys))
+        common = (self.sizes + size - (self.total + weights.sum() - 2 * shared)) / 2
+        return common / (self.sizes + size - common)
+
+
+def _settled(rows: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between texts of unlike labels, of those that pass and those that the blocks hold.
+
+    ``rows`` has grp, role (0: held, 1: passing), key, label, size, elements
+    and weights. Rows of a group lie together, those held first.
     """
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list = []
         block, group = None, None
-        for batch in (batch.iloc[a:b] for batch in batches for a, b in slices(batch["text"].tolist())):
-            h, w, n = bags(batch["text"].tolist())
-            registers = signatures(h, w, n, BANDS * ROWS) if look else None
-            at, out = np.r_[0, np.cumsum(n)], []
-            for k, (grp, role, key, label, text) in enumerate(batch[["grp", "role", "key", "label", "text"]].itertuples(index=False)):
+        for batch in batches:
+            out = []
+            for grp, role, *row in batch[["grp", "role", "key", "label", "size", "elements", "weights"]].itertuples(index=False):
                 if grp != group:
                     group, held, block = grp, [], None
                 if role == 0:
-                    held.append((key, label, text))
+                    held.append(row)
+                    continue
+                if not held:  # a block that no held one fell into
                     continue
                 if block is None:
-                    block = _Block(*(list(x) for x in zip(*held, strict=True)), look)
-                if look:
-                    near = (block.registers == registers[k]).sum(axis=1) >= LOOK * BANDS * ROWS
-                    near &= block.labels != label.hex()
-                else:
-                    near = block.labels != label.hex()
-                own = slice(at[k], at[k + 1])
-                for i in np.flatnonzero(near):
-                    if block.keys[i] != key and block.shared(i, h[own], w[own]) >= similarity:
-                        out.append((block.keys[i], key))
+                    block = _Block(held)
+                key, label, size, elements, weights = row
+                unlike = block.labels != label.hex()
+                if unlike.any():
+                    near = unlike & (block.similarities(size, elements, weights) >= similarity)
+                    out += [(block.keys[i], key) for i in np.flatnonzero(near)]
             yield pd.DataFrame(out, columns=["a", "b"])
 
     small_batches(rows.sparkSession)
@@ -184,38 +312,51 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, queries: int = QUER
     hubs = stored(ranked.groupBy(F.col("bucket").alias("of")).agg(best.alias("hub")), f"{home}/hubs")
     pairs = members.join(hubs, F.col("bucket") == F.col("of")).where(F.col("hub") != F.col("key"))
     pairs = stored(pairs.select("hub", "key").distinct(), f"{home}/pairs")
-    # a hub is sent to each part of its members, of which there are some for every hub
-    spread = pairs.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(8)))
-    group = F.xxhash64("hub", "part").alias("grp")
-    label = F.lit(b"").alias("label")
-    heads = spread.select("hub", "part").distinct().select(group, F.lit(0).alias("role"), F.col("hub").alias("key"), F.lit(b"\0").alias("label"))
-    passing = spread.select(group, F.lit(1).alias("role"), "key", label)
-    rows = heads.unionByName(passing).join(texts, F.col("key") == F.col("text_key")).drop("text_key")
-    first = stored(_links(rows, False, similarity), f"{home}/first")
+    # a hub is sent to each part of its members; the more members, the more parts
+    many = pairs.groupBy(F.col("hub").alias("of")).agg((F.count(F.lit(1)) / queries).cast("long").alias("more"))
+    many = stored(many.where("more > 0"), f"{home}/many")
+    spread = pairs.join(many, F.col("hub") == F.col("of"), "left").withColumn("part", F.pmod(F.xxhash64("key"), F.coalesce("more", F.lit(0)) + 1))
+
+    def with_hubs(spread: DataFrame, label: Column) -> DataFrame:
+        group = F.xxhash64("hub", "part").alias("grp")
+        heads = spread.select("hub", "part").distinct().select(group, F.lit(0).alias("role"), F.col("hub").alias("key"), F.lit(b"").alias("label"))
+        rows = heads.unionByName(spread.select(group, F.lit(1).alias("role"), "key", label.alias("label")))
+        return rows.join(texts, F.col("key") == F.col("text_key")).drop("text_key")
+
+    first = stored(_links(with_hubs(spread, F.lit(b"")), similarity), f"{home}/first")
     labels = stored(components(nodes, first, f"{home}/c1"), f"{home}/labels")
 
-    # what is left: pairs of members other than the hub, of unlike labels
+    # what is left: hubs of one class are as one, and their members of unlike labels meet under a token
     known = labels.select(F.col("key").alias("k"), "label")
-    open_ = members.join(hubs, F.col("bucket") == F.col("of")).where(F.col("hub") != F.col("key")).select("bucket", "key")
-    open_ = open_.join(known, F.col("key") == F.col("k")).select("bucket", "key", "label")
-    counts = stored(open_.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")), f"{home}/counts")
-    state = counts.groupBy(F.col("bucket").alias("of")).agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.max(F.struct("n", "label"))["label"].alias("main")
-    )
-    state = stored(state.where("kinds > 1"), f"{home}/state")
-    left = open_.join(state, F.col("bucket") == F.col("of")).drop("of")
-    outside = (F.col("n") / queries).cast("long") + 1
-    asked = left.where(F.col("label") != F.col("main")).withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), outside))
-    parts = (F.col("n") / stream).cast("long") + 1
-    # only blocks that hold a query are streamed past
-    blocks = stored(asked.select("bucket", "block", "n").distinct(), f"{home}/blocks")
-    held = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    passed = left.select("bucket", "key", "label", F.pmod(F.xxhash64("key", F.lit(2)), parts).alias("part"))
-    passed = passed.join(blocks.select(F.col("bucket").alias("of"), "block"), F.col("bucket") == F.col("of"))
-    group = F.xxhash64("bucket", "block", "part").alias("grp")
-    rows = held.select(group, F.lit(0).alias("role"), "key", "label").unionByName(passed.select(group, F.lit(1).alias("role"), "key", "label"))
-    rows = rows.join(texts, F.col("key") == F.col("text_key")).drop("text_key")
-    more = stored(_links(rows, True, similarity), f"{home}/more")
+    of_class = pairs.groupBy(F.col("hub").alias("key")).agg(F.count(F.lit(1)).alias("n")).join(known, F.col("key") == F.col("k"))
+    of_class = stored(of_class.select("key", "n", "label"), f"{home}/hub_classes")
+    heads = of_class.groupBy(F.col("label").alias("l")).agg(F.max(F.struct("n", "key")).alias("most"))
+    heads = stored(of_class.join(heads, F.col("label") == F.col("l")).select(F.col("key").alias("of"), F.col("most.key").alias("head"), F.col("label").alias("own")), f"{home}/heads")
+    left = pairs.join(heads, F.col("hub") == F.col("of")).where(F.col("head") != F.col("key")).select(F.col("head").alias("hub"), "own", "key").distinct()
+    left = stored(left.join(known, F.col("key") == F.col("k")).select("hub", "own", "key", "label"), f"{home}/left")
+    unlike = left.groupBy(F.col("hub").alias("of")).agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("n"))
+    unlike = stored(unlike.where("a <> b").select("of", (F.col("n") / queries).cast("long").alias("more")), f"{home}/unlike")
+    left = left.join(unlike, F.col("hub") == F.col("of")).withColumn("part", F.pmod(F.xxhash64("key"), F.col("more") + 1))
+    apart = stored(_differences(with_hubs(left, F.col("label")), similarity), f"{home}/apart")
+    # one that is close to the head after all, though not of its class
+    close = apart.where("kind = 0 AND NOT outside").join(left.select(F.col("hub").alias("h"), F.col("key").alias("k"), "own"), (F.col("hub") == F.col("h")) & (F.col("key") == F.col("k")))
+    close = close.where("own <> label").select(F.col("hub").alias("a"), F.col("key").alias("b"))
+    owned = lambda tokens, own: apart.select("hub", "kind", "key", "label", "outside", F.lit(own).alias("own"), F.explode(tokens).alias("token"))
+    group = F.xxhash64("hub", "kind", "token").alias("group")
+    met = owned("tokens", True).unionByName(owned("rest", False)).select(group, "hub", "kind", "key", "label", "outside", "own")
+    n_of = lambda when: F.sum(F.when(when, 1).otherwise(0))
+    counts = met.groupBy(F.col("group").alias("of")).agg(F.min("label").alias("a"), F.max("label").alias("b"), n_of(F.col("own")).alias("held"), n_of(F.col("outside")).alias("passing"))
+    counts = counts.where("a <> b AND held > 0 AND passing > 0").select("of", "held", "passing")
+    counts = stored(counts, f"{home}/counts")
+    met = stored(met.join(counts, F.col("group") == F.col("of")).drop("of", "label"), f"{home}/met")
+    blocks, parts = (F.col("held") / queries).cast("long") + 1, (F.col("passing") / stream).cast("long") + 1
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    held = met.where("own").select("*", F.lit(0).alias("role"), F.pmod(F.xxhash64("key", F.lit(1)), blocks).alias("block"), every(parts).alias("part"))
+    passing = met.where("outside").select("*", F.lit(1).alias("role"), every(blocks).alias("block"), F.pmod(F.xxhash64("key", F.lit(2)), parts).alias("part"))
+    rows = held.unionByName(passing).select(F.xxhash64("group", "block", "part").alias("grp"), "role", F.col("hub").alias("h"), F.col("kind").alias("d"), F.col("key").alias("k"))
+    here = (F.col("hub") == F.col("h")) & (F.col("kind") == F.col("d")) & (F.col("key") == F.col("k"))
+    rows = rows.join(apart, here).select("grp", "role", "key", "label", "size", "elements", "weights")
+    more = stored(_settled(rows, similarity).unionByName(close).distinct(), f"{home}/more")
 
     # links between classes join what they belong to
     a = labels.select(F.col("key").alias("ka"), F.col("label").alias("la"))
@@ -252,15 +393,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, **blocks) -
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each class the row with the smallest doc_id, nulls last.
 
-    All columns are kept. Rows that tie in doc_id and text are one row's copies,
-    and any of them stays.
+    All columns are kept, whatever their names. Rows that tie in doc_id and
+    text are one row's copies, and any of them stays.
     """
     home = shared_dir(docs.sparkSession)
-    keyed = with_key(docs)
-    found = classes(keyed.select("text", "__key"), similarity).withColumnRenamed("key", "k")
-    rows = keyed.select("doc_id", "__key").join(found, F.col("__key") == F.col("k"), "left")
-    pick = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("__key").alias("key"))).alias("p")
-    picks = rows.groupBy(F.coalesce("label", "__key")).agg(pick).select(F.col("p.doc_id").alias("__id"), F.col("p.key").alias("__pick"))
+    key, an_id, pick = spare(docs, "key", "id", "pick")
+    keyed = with_key(docs, key)
+    found = classes(keyed.select("text", F.col(key).alias("__key")), similarity).select(F.col("key").alias("k"), F.col("label").alias("l"))
+    rows = keyed.select("doc_id", F.col(key).alias("__key")).join(found, F.col("__key") == F.col("k"), "left")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("__key").alias("key"))).alias("p")
+    picks = rows.groupBy(F.coalesce("l", "__key")).agg(least).select(F.col("p.doc_id").alias(an_id), F.col("p.key").alias(pick))
     picks = stored(picks, f"{home}/picks")
-    kept = keyed.join(picks, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__pick")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__key"]).select(*docs.columns)
+    kept = keyed.join(picks, F.col("doc_id").eqNullSafe(F.col(an_id)) & (F.col(key) == F.col(pick)), "left_semi")
+    return kept.dropDuplicates(["doc_id", key]).select(*docs.columns)

@@ -87,6 +87,50 @@ def test_one_of_each(spark, docs, families, clash):
     assert kept == sorted({c for _, c in brute(given)})
 
 
+def altered(n, words=150):
+    """Near copies of one text: words changed, put in and left out at random, so that many are no longer near it."""
+    rng = random.Random(5)
+    source = prose(rng, words).split(" ")
+    rows = []
+    for i in range(n):
+        copy = list(source)
+        for _ in range(rng.randint(0, 8)):
+            k, how = rng.randrange(len(copy)), rng.random()
+            copy[k : k + (how < 0.85)] = prose(rng, 1 + (how > 0.85)).split(" ")[: int(how > 0.15) + (how > 0.85)]
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+def test_a_family_of_near_copies_matches_all_pairs(spark):
+    given = altered(220, 60)
+    df = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    for options in ({}, {"queries": 3, "stream": 7}):
+        out = neardup.near_duplicates(df, **options).collect()
+        assert sorted((str(r["doc_id"]), str(r["class_id"])) for r in out) == brute(given)
+
+
+def test_rows_grow_with_a_family_and_not_with_its_square(spark, monkeypatch):
+    real, rows = neardup.stored, {}
+
+    def counted(df, path, *rest):
+        out, name = real(df, path, *rest), path.rsplit("/", 1)[1]
+        if name in ("pairs", "left", "apart", "met", "more"):
+            rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(neardup, "stored", counted)
+    sums = []
+    for n in (500, 2000):
+        neardup.near_duplicates(spark.createDataFrame(altered(n), "doc_id long, text string").repartition(4)).count()
+        sums.append(sum(rows.values()))
+    assert sums[1] < 6 * sums[0], sums  # 4 in proportion, 16 with the square
+
+
+def test_columns_of_helper_names_stay(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", "x", "y", "z"), (2, "a b c d e f", "u", "v", "w")], "doc_id long, text string, __key string, __id string, __pick string")
+    assert [tuple(r) for r in neardup.one_of_each(df).collect()] == [(1, "a b c d e f", "x", "y", "z")]
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
     for most in (1, 3, 60):
