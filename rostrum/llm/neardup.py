@@ -16,7 +16,8 @@ text throughout.
    share a part of what tells them from the hub, so they meet under an element
    of that (see ``_differences``); changes made at random are hardly ever
    shared, so members meet few others. Where many do meet, some are held in
-   blocks of bounded size while the others stream past. Nothing but links
+   blocks of bounded size while the others stream past. Members of a hub that
+   fit one block meet in that without more ado. Nothing but links
    comes out, so no list of pairs is made, whatever a group's size.
 """
 
@@ -39,6 +40,8 @@ BANDS, ROWS = 24, 4
 SIMILARITY = 0.8
 #: Texts that a block holds, or that are held against one copy of a hub; and texts that stream past one block.
 QUERIES, STREAM = 256, 20_000
+#: Elements that a block holds, or those of one text that has more.
+HELD = 1 << 20
 
 
 def with_key(docs: DataFrame, name: str = "__key") -> DataFrame:
@@ -341,21 +344,33 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, queries: int = QUER
     # one that is close to the head after all, though not of its class
     close = apart.where("kind = 0 AND NOT outside").join(left.select(F.col("hub").alias("h"), F.col("key").alias("k"), "own"), (F.col("hub") == F.col("h")) & (F.col("key") == F.col("k")))
     close = close.where("own <> label").select(F.col("hub").alias("a"), F.col("key").alias("b"))
-    owned = lambda tokens, own: apart.select("hub", "kind", "key", "label", "outside", F.lit(own).alias("own"), F.explode(tokens).alias("token"))
-    group = F.xxhash64("hub", "kind", "token").alias("group")
-    met = owned("tokens", True).unionByName(owned("rest", False)).select(group, "hub", "kind", "key", "label", "outside", "own")
     n_of = lambda when: F.sum(F.when(when, 1).otherwise(0))
-    counts = met.groupBy(F.col("group").alias("of")).agg(F.min("label").alias("a"), F.max("label").alias("b"), n_of(F.col("own")).alias("held"), n_of(F.col("outside")).alias("passing"))
-    counts = counts.where("a <> b AND held > 0 AND passing > 0").select("of", "held", "passing")
-    counts = stored(counts, f"{home}/counts")
-    met = stored(met.join(counts, F.col("group") == F.col("of")).drop("of", "label"), f"{home}/met")
-    blocks, parts = (F.col("held") / queries).cast("long") + 1, (F.col("passing") / stream).cast("long") + 1
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    held = met.where("own").select("*", F.lit(0).alias("role"), F.pmod(F.xxhash64("key", F.lit(1)), blocks).alias("block"), every(parts).alias("part"))
-    passing = met.where("outside").select("*", F.lit(1).alias("role"), every(blocks).alias("block"), F.pmod(F.xxhash64("key", F.lit(2)), parts).alias("part"))
+    unlike = (F.min("label") < F.max("label")).alias("unlike")
+    # hubs whose members fit a block are settled whole, each member once
+    fits = (F.count(F.lit(1)) <= queries) & (F.sum(F.size("elements")) <= HELD)
+    groups = apart.groupBy(F.col("hub").alias("h"), F.col("kind").alias("d")).agg(unlike, n_of(F.col("outside")).alias("passing"), fits.alias("fits"))
+    groups = stored(groups.where("unlike AND passing > 0").select("h", "d", "fits"), f"{home}/groups")
+    here = (F.col("hub") == F.col("h")) & (F.col("kind") == F.col("d"))
+    payload = ("role", "key", "label", "size", "elements", "weights")
+    small = apart.join(groups.where("fits"), here).withColumn("role", F.explode(F.when(F.col("outside"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    small = small.select(F.xxhash64("hub", "kind").alias("grp"), *payload)
+
+    # in all others members meet under tokens
+    large = apart.join(groups.where("NOT fits"), here).select("hub", "kind", "key", "label", "outside", F.size("elements").alias("n"), "tokens", "rest")
+    owned = lambda tokens, own: large.select("hub", "kind", "key", "label", "outside", "n", F.lit(own).alias("own"), F.explode(tokens).alias("token"))
+    group = F.xxhash64("hub", "kind", "token").alias("group")
+    met = owned("tokens", True).unionByName(owned("rest", False)).select(group, "hub", "kind", "key", "label", "outside", "own", "n")
+    blocks = F.greatest(n_of(F.col("own")) / queries, F.sum(F.when(F.col("own"), F.col("n"))) / HELD).cast("long") + 1
+    parts = (n_of(F.col("outside")) / stream).cast("long") + 1
+    counts = met.groupBy(F.col("group").alias("of")).agg(unlike, n_of(F.col("own")).alias("held"), n_of(F.col("outside")).alias("passing"), blocks.alias("blocks"), parts.alias("parts"))
+    counts = stored(counts.where("unlike AND held > 0 AND passing > 0").select("of", "blocks", "parts"), f"{home}/counts")
+    met = stored(met.join(counts, F.col("group") == F.col("of")).drop("of", "label", "n"), f"{home}/met")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    held = met.where("own").select("*", F.lit(0).alias("role"), F.pmod(F.xxhash64("key", F.lit(1)), "blocks").alias("block"), every("parts").alias("part"))
+    passing = met.where("outside").select("*", F.lit(1).alias("role"), every("blocks").alias("block"), F.pmod(F.xxhash64("key", F.lit(2)), "parts").alias("part"))
     rows = held.unionByName(passing).select(F.xxhash64("group", "block", "part").alias("grp"), "role", F.col("hub").alias("h"), F.col("kind").alias("d"), F.col("key").alias("k"))
-    here = (F.col("hub") == F.col("h")) & (F.col("kind") == F.col("d")) & (F.col("key") == F.col("k"))
-    rows = rows.join(apart, here).select("grp", "role", "key", "label", "size", "elements", "weights")
+    rows = rows.join(apart, here & (F.col("key") == F.col("k"))).select("grp", *payload)
+    rows = small.unionByName(rows)
     more = stored(_settled(rows, similarity).unionByName(close).distinct(), f"{home}/more")
 
     # links between classes join what they belong to
