@@ -9,9 +9,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which all executors share.
 
-    Only where the cluster names none (tests on one machine) a temporary
-    folder is taken, and remembered in the setting.
+    Only where it is unset and all runs on one machine, as in tests, a
+    temporary folder is taken, and remembered in the setting.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
     if not base:
         base = f"file://{tempfile.mkdtemp(prefix='rostrum-')}"
         spark.conf.set("spark.checkpoint.dir", base)
@@ -76,6 +80,19 @@ def small_batches(spark: SparkSession, rows: int = BATCHES[0]) -> None:
         spark.conf.set(key, str(rows))
 
 
+def exact_ids(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str, *ids: str) -> DataFrame:
+    """``df.mapInPandas(fn, schema)`` with the long columns ``ids`` as text on either side of ``fn``.
+
+    Pandas turns longs into doubles wherever a batch also has a null, and these
+    hold 53 bits only.
+    """
+    told = StructType.fromDDL(schema)
+    types = StructType([StructField(f.name, StringType() if f.name in ids else f.dataType) for f in told])
+    sent = df.select(*(F.col(f"`{c}`").cast("string").alias(c) if c in ids else F.col(f"`{c}`") for c in df.columns))
+    out = sent.mapInPandas(fn, types)
+    return out.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.name in ids else F.col(f"`{f.name}`") for f in told))
+
+
 def in_order(df: DataFrame, path: str, keys: list[Column], add: dict[str, Column]) -> DataFrame:
     """Adds exclusive running sums over the global order of ``keys``.
 

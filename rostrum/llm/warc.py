@@ -2,8 +2,7 @@
 
 Archives are gzip files with one member for each record, so a reader can start
 at any member. The reader's tasks each get a range of bytes: they look for the
-gzip magic, accept a candidate only if what it decodes to begins like a WARC
-record, and own the records that start inside their range, reading past its
+gzip magic, accept a candidate only if it decodes to the headers of a WARC record, and own the records that start inside their range, reading past its
 end where the last of them does.
 """
 
@@ -14,12 +13,13 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, stored
+from .common import exact_ids, shared_dir, small_batches, stored
 from .files import open_in, open_out, own_name
 
 MAGIC = b"\x1f\x8b\x08"
@@ -30,6 +30,9 @@ RECORD = (
     "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, "
     "payload binary, archive string, offset long, error string"
 )
+NUMBERS = ("page_id", "payload_bytes", "refers_to", "offset")
+#: Tasks that read, where there are as many ranges.
+MOST_TASKS = 20_000
 
 
 def with_revisits(pages: DataFrame, path: str, least: int = 1000) -> DataFrame:
@@ -55,9 +58,10 @@ def with_revisits(pages: DataFrame, path: str, least: int = 1000) -> DataFrame:
     return rows.withColumn("refers_to", F.when(revisit, F.col("holder"))).drop("holder")
 
 
-def _header(value) -> str:
-    """Header values hold no line breaks or other controls."""
-    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", str(value))
+def _header(value: str) -> str:
+    """Header values hold no blanks or controls: a value with any has these and its percent signs escaped."""
+    odd = r"[\x00-\x20\x7f-\xa0\u2028\u2029]"
+    return quote(value, safe="/:?#[]@!$&'()*+,;=~", errors="surrogatepass") if re.search(odd, value) else value
 
 
 def _member(kind: str, headers: list[tuple[str, object]], block: bytes, level: int) -> bytes:
@@ -69,14 +73,15 @@ def _member(kind: str, headers: list[tuple[str, object]], block: bytes, level: i
 
 def _encode(row, level: int) -> bytes:
     payload = row.html.encode()
-    headers = [] if pd.isna(row.page_id) else [("WARC-Record-ID", f"<urn:page:{int(row.page_id)}>")]
-    if row.url is not None:
-        headers.append(("WARC-Target-URI", _header(row.url)))
+    headers = [] if pd.isna(row.page_id) else [("WARC-Record-ID", f"<urn:page:{row.page_id}>")]
+    if not pd.isna(row.url):
+        url = _header(row.url)
+        headers += [("WARC-Target-URI", url), *([("X-Target-URI-Escaped", "yes")] if url != row.url else [])]
     digest = base64.b32encode(bytes.fromhex(row.payload_digest)).decode()
     headers.append(("WARC-Payload-Digest", f"sha1:{digest}"))
     if row.record_type == "revisit":
         headers += [
-            ("WARC-Refers-To", f"<urn:page:{int(row.refers_to)}>"),
+            ("WARC-Refers-To", f"<urn:page:{row.refers_to}>"),
             ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
             ("X-Payload-Length", len(payload)),
         ]
@@ -107,7 +112,7 @@ def write_archives(rows: DataFrame, path: str, level: int = 3) -> DataFrame:
             yield pd.DataFrame({"archive": [name], "bytes": [size], "records": [n]})
 
     small_batches(rows.sparkSession)
-    made = rows.mapInPandas(write, "archive string, bytes long, records long")
+    made = exact_ids(rows, write, "archive string, bytes long, records long", "page_id", "refers_to")
     return stored(made, f"{path}/list")
 
 
@@ -115,22 +120,39 @@ def _candidates(data: bytes, start: int, end: int) -> Iterator[int]:
     """Offsets at or after ``start`` and before ``end`` where a WARC record's member begins."""
     at = data.find(MAGIC, start)
     while 0 <= at < end:
-        try:
-            if zlib.decompressobj(31).decompress(data[at : at + LOOK], 5) == b"WARC/":
-                yield at
-        except zlib.error:
-            pass
+        if _begins_record(data[at : at + LOOK]):
+            yield at
         at = data.find(MAGIC, at + 1)
 
 
+def _begins_record(data: bytes) -> bool:
+    """Whether a member that begins so holds a WARC record: a version, then lines of names and values, as far as they are decoded.
+
+    Headers that end within ``LOOK`` bytes of the member must name the record's type and length.
+    """
+    try:
+        head, end, _ = zlib.decompressobj(31).decompress(data, 16 * LOOK).partition(b"\r\n\r\n")
+    except zlib.error:
+        return False
+    version, *lines = head.split(b"\r\n")
+    if not re.fullmatch(rb"WARC/\d+\.\d+", version):
+        return False
+    lines = [x.partition(b":") for x in (lines if end else lines[:-1]) if x[:1] not in (b" ", b"\t")]  # without those that go on
+    if not all(colon for _, colon, _ in lines):
+        return False
+    fields = {name.strip().lower(): value.strip() for name, _, value in lines}
+    return not end or (bool(fields.get(b"warc-type")) and fields.get(b"content-length", b"").isdigit())
+
+
 def _parsed(data: bytes) -> dict:
     """The fields of a record; those of records without a page stay None."""
     head, _, block = data.partition(b"\r\n\r\n")
     lines = [x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:]]
-    fields = {k.strip().lower(): v.strip() for k, _, v in lines}
+    fields = {k.strip().lower(): v.strip(" \t") for k, _, v in lines}
     block = block[: int(fields["content-length"])]
     number = lambda name: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", fields.get(name, ""))) else None
-    out = {"page_id": number("warc-record-id"), "url": fields.get("warc-target-uri"), "record_type": fields["warc-type"]}
+    url = fields.get("warc-target-uri")
+    out = {"page_id": number("warc-record-id"), "url": unquote(url, errors="surrogatepass") if url and "x-target-uri-escaped" in fields else url, "record_type": fields["warc-type"]}
     out["refers_to"] = number("warc-refers-to")
     said = fields.get("warc-payload-digest", "").removeprefix("sha1:")
     said = base64.b32decode(said).hex() if said else None
@@ -183,10 +205,14 @@ def read_archives(archives: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
     Returns page_id, url, record_type, payload_bytes, payload_digest,
     refers_to, payload, archive, offset, error; warcinfo records included.
     Damaged records keep archive, offset and error only. No archives, no rows.
+
+    Ranges are dealt to ``MOST_TASKS`` tasks at most, by number: a list of
+    ranges is small, and by its size Spark would give all to one task.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in RECORD.split(", ")]
+        frame = lambda rows: pd.DataFrame([[x if x is None or c not in NUMBERS else str(x) for c, x in zip(names, r, strict=True)] for r in rows], columns=names, dtype=object)
         for batch in batches:
             for archive, start, end in batch.itertuples(index=False):
                 rows, held = [], 0
@@ -194,16 +220,16 @@ def read_archives(archives: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
                     rows.append([r.get(c) for c in names])
                     held += len(r.get("payload") or b"")
                     if held > 8 << 20:
-                        yield pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("page_id", "payload_bytes", "refers_to")})
+                        yield frame(rows)
                         rows, held = [], 0
                 if rows:
-                    yield pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("page_id", "payload_bytes", "refers_to")})
+                    yield frame(rows)
 
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long")))
     splits = archives.where("bytes > 0").select("archive", starts.alias("start"))
     splits = splits.withColumn("end", F.col("start") + split_bytes)
-    splits = splits.repartition("archive", "start")
-    return splits.mapInPandas(read, RECORD)
+    tasks = min(MOST_TASKS, max(1, splits.count()))
+    return exact_ids(splits.repartition(tasks), read, RECORD, *NUMBERS)
 
 
 def archived(pages: DataFrame, least: int = 1000) -> DataFrame:

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from rostrum.llm import warc
 from rostrum.llm.common import shared_dir
@@ -41,6 +42,8 @@ def test_round_trip(pages, clash, split):
     assert sorted(cut, key=str) == wanted(pages.collect())
     assert not any(r["error"] for r in got)
     html = {(r["page_id"], r["html"]) for r in pages.collect()}
+    urls = sorted((str(r["page_id"]), str(r["url"])) for r in pages.collect())
+    assert sorted((str(r["page_id"]), str(r["url"])) for r in got) == urls
     assert all((r["page_id"], bytes(r["payload"]).decode() or None) in html or (r["page_id"], bytes(r["payload"]).decode()) in html for r in got if r["record_type"] == "response")
 
 
@@ -54,6 +57,25 @@ def test_magic_inside_payloads_is_no_record(tmp_path):
     assert found == list(range(30))
 
 
+def test_many_ranges_are_read_by_many_tasks(spark):
+    pages = spark.range(200).selectExpr("(1L << 60) + id AS page_id", "if(id % 9 = 0, NULL, concat('http://h/', id)) AS url", "repeat(sha2(string(id), 512), 40) AS html")
+    path = shared_dir(spark)
+    archives = warc.write_archives(warc.with_revisits(pages.unionByName(pages.limit(1).withColumn("page_id", F.lit(None).cast("long"))).coalesce(2), path), path)
+    got = warc.read_archives(archives, 512).withColumn("task", F.spark_partition_id()).where("record_type <> 'warcinfo'").collect()
+    assert len({r["task"] for r in got}) > 20
+    assert sorted(r["page_id"] for r in got if r["page_id"] is not None) == [(1 << 60) + k for k in range(200)]
+
+
+def test_headers_tell_records_from_what_begins_like_one():
+    import zlib
+
+    pack = lambda data: (lambda z: z.compress(data) + z.flush())(zlib.compressobj(6, zlib.DEFLATED, 31))
+    assert warc._begins_record(warc._member("resource", [("WARC-Record-ID", "x")], b"y", 6))
+    assert warc._begins_record(pack(b"WARC/1.0\r\nWARC-Type: metadata\r\nX: a\r\n b: folded\r\nContent-Length: 1\r\n\r\nz\r\n\r\n"))
+    for bad in (b"WARC/", b"WARC/1.0\r\nno header\r\n\r\n", b"WARC/1.0\r\nWARC-Type: a\r\n\r\n", b"WARC/1.0\r\nWARC-Type: a\r\nContent-Length: many\r\n\r\n", b"WARC/x\r\n\r\n", b""):
+        assert not warc._begins_record(pack(bad))
+
+
 def test_damage_costs_one_record(tmp_path):
     members = [warc._member("resource", [("WARC-Record-ID", f"<urn:page:{k}>")], bytes([k]) * 5000, 6) for k in range(6)]
     file = bytearray(b"".join(members))
