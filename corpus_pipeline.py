@@ -1,7 +1,11 @@
 """The training-data pipeline: from raw documents to a store of token ids.
 
 Each stage reads what its predecessor kept; all but the last return the columns
-of documents.
+of documents. Null and empty texts pass as empty ones: they are judged, are one
+group of copies, match no test item, have no words to mix and so are never
+taken. Repeated rows are one group of copies. Empty tables pass through all
+stages; without labels no text counts as toxic, without test items none is held.
+Columns of any other names are carried along up to the last stage.
 """
 
 from __future__ import annotations

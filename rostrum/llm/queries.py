@@ -1,4 +1,8 @@
-"""The numbered queries: thin wrappers that derive digest columns from the operators."""
+"""The numbered queries: thin wrappers that derive digest columns from the operators.
+
+Each gives one row for each row of its table (op8: each pair that it finds);
+nulls, empty texts, ties and empty tables are as the operator's docstring says.
+"""
 
 from __future__ import annotations
 

@@ -114,9 +114,12 @@ def with_features(docs: DataFrame, learned: tuple[str, ...] = (), text: str = "t
 
 @dataclass(frozen=True)
 class Model:
+    """``trees`` is None where the labels tell nothing apart: all scores are then ``share``. Without ``calibration`` they are the trees' own."""
+
     learned: tuple[str, ...]
-    trees: GBTClassificationModel
-    calibration: IsotonicRegressionModel
+    trees: GBTClassificationModel | None
+    calibration: IsotonicRegressionModel | None
+    share: float = 0.0
 
 
 def learn_lexicon(rows: DataFrame, most: int = 96, evidence: float = 20.0, odds: float = 40.0) -> tuple[str, ...]:
@@ -167,24 +170,29 @@ def _vector(rows: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, lexicon_rows: int = 6_000, trees: int = 24, depth: int = 4, seed: int = 5) -> Model:
     """Learns the lexicon, the trees and the calibration.
 
-    ``docs`` has doc_id and text, ``labels`` doc_id and toxic (0 or 1; null
+    ``docs`` has doc_id and text, ``labels`` doc_id and toxic (0 or 1; other
     labels are passed over, and a document with several labels counts as toxic
     if one says so). Held-out rows are never read. At most ``most_rows``
     labelled rows, those of the smallest hashes of their ids, are used, however
     large the tables; a quarter of them calibrates, the others teach
-    the trees, and ``lexicon_rows`` of these the lexicon. Training rows of one label alone raise ValueError.
+    the trees, and ``lexicon_rows`` of these the lexicon.
+
+    Without rows of both labels to teach the trees, the model gives every text
+    the share of toxic rows among all that may be learned from, 0 if there are
+    none. Without rows that calibrate, scores are those of the trees.
     """
     known = labels.where(F.col("toxic").isNotNull() & (fold_of(F.col("doc_id")) != 0))
-    known = known.groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").cast("double").alias("__label"))
+    known = known.where(F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").cast("double").alias("__label"))
     known = known.orderBy(F.xxhash64("__id"), "__id").limit(most_rows)
     home = shared_dir(docs.sparkSession)
     known = stored(known, f"{home}/known")  # its size is bounded by most_rows, so it may go to all tasks
     rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("__id")).drop("__id")
     rows = stored(rows, f"{home}/labelled")
-    kinds = {r["__label"] for r in rows.select("__label").distinct().limit(3).collect()}
-    if kinds != {0.0, 1.0}:
-        raise ValueError("training needs rows of both labels")
     fold = fold_of(F.col("doc_id"))
+    teach = F.col("__label").isin(0.0, 1.0) & (fold != 1)
+    kinds = rows.agg(F.count_distinct(F.when(teach, F.col("__label"))).alias("n"), F.avg(F.least(F.greatest("__label", F.lit(0.0)), F.lit(1.0))).alias("share")).first()
+    if kinds["n"] < 2:
+        return Model((), None, None, float(kinds["share"] or 0.0))
     # the rows of the smallest hashes, by the largest of these: texts are not brought together
     first = known.where(fold_of(F.col("__id")) != 1).select(F.xxhash64("__id").alias("h")).orderBy("h").limit(lexicon_rows).agg(F.max("h")).first()[0]
     learned = learn_lexicon(rows.where((fold != 1) & (F.xxhash64("doc_id") <= F.lit(first))).select("text", "__label"))
@@ -195,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, lexicon_r
     booster = GBTClassifier(featuresCol="__vector", labelCol="__label", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=seed, maxBins=32)
     model = booster.fit(fit)
     held = model.transform(rows.where(fold == 1)).select("__label", vector_to_array("probability")[1].alias("__raw"))
-    calibration = IsotonicRegression(featuresCol="__raw", labelCol="__label").fit(held)
+    calibration = None if held.isEmpty() else IsotonicRegression(featuresCol="__raw", labelCol="__label").fit(held)
     return Model(learned, model, calibration)
 
 
@@ -203,13 +211,19 @@ def judged(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "t
     """Adds ``score``, a probability, and ``predicted``, 1 if it is ``threshold`` or more.
 
     Each row is judged by its text alone, in one pass without a shuffle, so
-    repeated rows agree. Columns of the new names are replaced, all others kept.
+    repeated rows agree. Columns of the new names are replaced, all others kept,
+    whatever their names. Null counts as empty; empty texts have scores too.
     """
-    kept = [c for c in docs.columns if c not in ("score", "predicted", "toxic_features")]
-    rows = _vector(with_features(docs.select(*kept), model.learned, text))
+    kept = [c for c in docs.columns if c not in ("score", "predicted")]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("__row"), F.col(text).alias("__text"))
+    told = lambda rows, score: rows.select("__row.*", score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
+    if model.trees is None:
+        return told(rows, F.lit(model.share))
+    rows = _vector(with_features(rows, model.learned, "__text"))
     names = {"predictionCol": "__label", "probabilityCol": "__odds", "rawPredictionCol": "__margin"}
     rows = model.trees.copy({getattr(model.trees, k): v for k, v in names.items()}).transform(rows)
     rows = rows.withColumn("__raw", vector_to_array("__odds")[1])
+    if model.calibration is None:
+        return told(rows, F.col("__raw"))
     rows = model.calibration.copy({model.calibration.predictionCol: "__score"}).transform(rows)
-    score = F.least(F.greatest(F.col("__score"), F.lit(0.0)), F.lit(1.0))
-    return rows.select(*kept, score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
+    return told(rows, F.least(F.greatest(F.col("__score"), F.lit(0.0)), F.lit(1.0)))

@@ -54,6 +54,21 @@ def test_features(spark):
     assert all(out[k] > 0 for k in ("shout_density", "burst_density", "disguise_density", "stretch_density", "spread_density", "second_density"))
 
 
-def test_one_label_alone_fails(spark, docs):
-    with pytest.raises(ValueError, match="both labels"):
-        toxicity.train(docs, spark.createDataFrame([(i, 0) for i in range(30)], "doc_id long, toxic int"))
+@pytest.mark.parametrize("toxic", [None, 0, 1])
+def test_one_label_alone_gives_its_share(spark, docs, no_docs, toxic):
+    labels = spark.createDataFrame([(i, toxic) for i in range(30)], "doc_id long, toxic int")
+    for given in (docs, no_docs):
+        model = toxicity.train(given, labels)
+        out = toxicity.judged(docs, model).collect()
+        want = float(toxic or 0) if given is docs else 0.0
+        assert {(r["score"], r["predicted"]) for r in out} == {(want, int(want >= 0.5))}
+        assert len(out) == docs.count()
+
+
+def test_without_rows_that_calibrate_scores_are_the_trees_own(spark):
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 > 1]
+    docs = spark.createDataFrame([(i, "you stupid idiot" if i % 2 else "a fine day by the sea") for i in ids], "doc_id long, text string")
+    model = toxicity.train(docs, docs.selectExpr("doc_id", "int(doc_id % 2) AS toxic"), trees=2)
+    assert model.calibration is None
+    out = toxicity.judged(docs.withColumns({c: F.lit("kept") for c in ("__text", "__row", "__low", "toxic_features")}), model).collect()
+    assert all(r["predicted"] == r["doc_id"] % 2 and r["__low"] == r["__text"] == r["toxic_features"] == "kept" for r in out)
