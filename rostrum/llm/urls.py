@@ -22,31 +22,40 @@ HOST_AND_PATH = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: (pattern, verdict): host and path prefix.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
-#: The small labelled table: each host with every front and every path below, so that neither tells the label.
-BLOCKED_HOSTS = (
-    "cheap-pills.example.com", "spam-farm.example.org", "best-casino.example.com", "casino-win.example.org",
-    "buy-pills-online.example.com", "cheap-replica-watches.example.org", "adult-cams.example.com", "hot-singles-xxx.example.org",
-    "win-lottery-prize.example.com", "payday-loans-fast.example.org", "click-farm.example.com", "link-farm.example.org",
-    "free-bets.example.com", "ads-track.example.org", "torrent-warez.example.com", "viagra-discount.example.org",
+#: The small labelled table: fixed words of names, fronts, endings and paths, which ``labelled_urls`` puts together.
+BLOCKED_NAMES = (
+    ("cheap", "discount", "instant", "hot", "xxx", "lucky", "mega", "easy", "cracked", "bonus", "nude", "vip", "millionaire", "wholesale"),
+    ("viagra", "cialis", "pharmacy-rx", "slots", "poker", "jackpot", "roulette", "payday-cash", "replica-rolex", "escorts", "camgirls", "keygen", "warez", "followers", "backlinks", "clickbank", "popunder", "sportsbook"),
 )
-ALLOWED_HOSTS = (
-    "library.example.org", "daily-news.example.com", "garden.example.com", "university.example.org", "weather.example.com",
-    "software-docs.example.org", "therha.example.com", "tionsh.example.org", "museum.example.org", "parliament.example.org",
-    "local-history.example.com", "kitchen.example.com", "ththre.example.com", "science.example.org", "thther.example.org",
-    "cycling-forum.example.com", "city-council.example.org", "theres.example.com", "tionble.example.com", "health.example.org",
+ALLOWED_NAMES = (
+    ("city", "national", "open", "royal", "public", "modern", "northern", "river", "central", "family", "county", "student", "old-town", "young"),
+    ("library", "museum", "archive", "school", "journal", "garden", "hospital", "orchestra", "observatory", "bakery", "college", "weather", "parliament", "cinema", "chess", "railway", "recipes", "hiking"),
 )
-FRONTS = ("", "www.", "m.", "blog.")
-PATHS = ("", "/", "/en/120", "/fr/45.html", "/de/981/", "/es/7")
+FRONTS = ("", "www.", "m.", "blog.", "shop.", "en.")
+ENDINGS = (".com", ".org", ".info", ".example.com", ".example.org", ".co.uk", ".de", ".fr")
+PATHS = ("", "/", "/en/120", "/fr/45.html", "/de/981/", "/es/7", "/index.html", "/2021/03/")
+BLOCKED_PATHS = ("/buy-now", "/free-bonus", "/download/setup.exe", "/promo/win")
+ALLOWED_PATHS = ("/about", "/news/archive", "/articles/12", "/opening-hours")
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(host, path, label): label 1 is to be blocked. Its size is fixed: hosts by fronts by paths."""
-    kinds = [F.struct(F.lit(h).alias("name"), F.lit(y).alias("label")) for y, hosts in ((1.0, BLOCKED_HOSTS), (0.0, ALLOWED_HOSTS)) for h in hosts]
-    hosts = spark.range(1).select(F.explode(F.array(*kinds)).alias("k")).select("k.*")
-    hosts = hosts.select(F.explode(F.array(*map(F.lit, FRONTS))).alias("front"), "name", "label")
-    paths = F.explode(F.array(*map(F.lit, PATHS)))
-    urls = hosts.select(F.concat("front", "name").alias("host"), paths.alias("path"), "label")
-    return urls.union(spark.range(1).select(F.lit(""), F.lit(""), F.lit(0.0)))
+    """(name, word, host, path, label): label 1 is to be blocked.
+
+    Its size is fixed: 504 names, of a first word by a last, each with three of
+    the fronts, endings and paths by turns; these are the same for both labels,
+    but for every third path. ``word`` is the name's last, by which the table
+    may be parted so that what is held out is of words unseen.
+    """
+    parts = []
+    for label, (first, last), own in ((1.0, BLOCKED_NAMES, BLOCKED_PATHS), (0.0, ALLOWED_NAMES, ALLOWED_PATHS)):
+        made = spark.range(len(first) * len(last) * 3).withColumn("name", F.expr("id DIV 3"))
+        pick = lambda words, at: F.element_at(F.array(*map(F.lit, words)), (at % len(words) + 1).cast("int"))
+        name, turn = F.col("name"), F.col("name") * 7 + F.col("id")
+        words = made.select(pick(first, F.expr(f"name DIV {len(last)}")).alias("a"), pick(last, name).alias("word"), F.col("id") % 3 == 2, pick(FRONTS, turn), pick(ENDINGS, turn + F.expr("name DIV 5")), pick(PATHS, turn + F.expr("id DIV 11")), pick(own, turn))
+        words = words.toDF("a", "word", "own", "front", "ending", "path", "own_path").withColumn("name", F.concat_ws("-", "a", "word"))
+        parts.append(words.select("name", "word", F.concat("front", "name", "ending").alias("host"), F.when(F.col("own"), F.col("own_path")).otherwise(F.col("path")).alias("path"), F.lit(label).alias("label")))
+    parts.append(spark.range(1).select(F.lit("").alias("name"), F.lit("").alias("word"), F.lit("").alias("host"), F.lit("").alias("path"), F.lit(0.0).alias("label")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def host_of(url: Column) -> Column:
@@ -102,18 +111,18 @@ def train(labelled: DataFrame, buckets: int = 1 << 14) -> LogisticRegressionMode
 def judged(pages: DataFrame, model: LogisticRegressionModel, rules=RULES, url: str = "url", threshold: float = 0.5) -> DataFrame:
     """Adds host, path, rule, verdict and score (the model's probability of a block).
 
-    All columns are kept; one named like a new column is replaced. Null URLs
+    All columns are kept, whatever their names; one named like a new column is replaced. Null URLs
     and those without ``://`` have empty host and path, no rule, and the
     model's verdict on that. Each row is judged alone, so repeated rows agree.
     """
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "score")]
-    rows = pages.withColumns({"__url_host": host_of(F.col(url)), "__url_path": path_of(F.col(url))}).select(*kept, "__url_host", "__url_path")
+    rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("__url_row"), host_of(F.col(url)).alias("__url_host"), path_of(F.col(url)).alias("__url_path"))
     names = {"featuresCol": "__url_vector", "predictionCol": "__url_predicted", "probabilityCol": "__url_odds", "rawPredictionCol": ""}
     scored = model.copy({getattr(model, k): v for k, v in names.items()}).transform(_vectors(rows, model.numFeatures))
     rule, verdict = fitting_rule(F.col("__url_host"), F.col("__url_path"), rules)
     score = vector_to_array("__url_odds")[1]
     return scored.select(
-        *kept, F.col("__url_host").alias("host"), F.col("__url_path").alias("path"), rule.alias("rule"),
+        "__url_row.*", F.col("__url_host").alias("host"), F.col("__url_path").alias("path"), rule.alias("rule"),
         F.coalesce(verdict, F.when(score >= threshold, "block").otherwise("allow")).alias("verdict"), score.alias("score"),
     )
 
