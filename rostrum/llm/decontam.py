@@ -20,14 +20,15 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, stored
+from .common import exact_ids, shared_dir, small_batches, stored
 from .shingles import SIZE, WORD, shingle_hashes, slices
 
 CONTAINMENT = 0.8
@@ -36,8 +37,8 @@ HASHES = 48
 FLOOR = 0.19
 #: Windows are put together from runs of so many shingles.
 RUN = 8
-#: Items in one block: some 20 MB.
-BLOCK = 20_000
+#: Items in one block, and bytes of their texts (or those of one that is longer): what is sent to the tasks is some times that.
+BLOCK, BLOCK_BYTES = 20_000, 16 << 20
 
 _FACTORS = np.random.default_rng(20).integers(0, 1 << 63, HASHES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -161,18 +162,24 @@ def _paired(least: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _blocks(benchmark: DataFrame, block: int) -> Iterator[tuple[list, list]]:
-    """The items in blocks of at most ``block`` rows, one at a time on the driver."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
-    parts = -(-items.count() // block) * 2
+    """(ids as text, texts) of the items in blocks of ``block`` rows and ``BLOCK_BYTES`` at most, one at a time on the driver."""
+    items = benchmark.select(F.col("item_id").cast("long").cast("string").alias("item_id"), "text").where(F.col("text").isNotNull())
+    sizes = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    parts = max(-(-sizes["n"] // block), -(-(sizes["bytes"] or 0) // BLOCK_BYTES)) * 2
     if parts <= 2:
         rows = items.collect()
         yield [r["item_id"] for r in rows], [r["text"] for r in rows]
         return
     items = stored(items.withColumn("__part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))), f"{shared_dir(items.sparkSession)}/items")
     for part in range(parts):
-        rows = items.where(F.col("__part") == part).collect()
-        for k in range(0, len(rows), block):
-            yield [r["item_id"] for r in rows[k : k + block]], [r["text"] for r in rows[k : k + block]]
+        held: list[Row] = []
+        for row in items.where(F.col("__part") == part).toLocalIterator():
+            if held and (len(held) == block or sum(len(r["text"]) for r in held) + len(row["text"]) > BLOCK_BYTES):
+                yield [r["item_id"] for r in held], [r["text"] for r in held]
+                held = []
+            held.append(row)
+        if held:
+            yield [r["item_id"] for r in held], [r["text"] for r in held]
 
 
 def contained(docs: DataFrame, benchmark: DataFrame, least: float = CONTAINMENT, block: int = BLOCK) -> DataFrame:
@@ -193,31 +200,40 @@ def contained(docs: DataFrame, benchmark: DataFrame, least: float = CONTAINMENT,
         def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             index = sent.value
             for batch in batches:
-                hits = index.matches(batch["text"].tolist(), least)
-                ids = batch["doc_id"].astype("Int64")
+                hits, ids = index.matches(batch["text"].tolist(), least), batch["doc_id"].tolist()
                 yield pd.DataFrame(
                     {
-                        "doc_id": ids.iloc[[t for t, *_ in hits]].to_numpy(), "item_id": [index.ids[i] for _, i, *_ in hits],
+                        "doc_id": pd.Series([ids[t] for t, *_ in hits], dtype=object), "item_id": pd.Series([index.ids[i] for _, i, *_ in hits], dtype=object),
                         "shared": [s for *_, s, _ in hits], "item_shingles": [n for *_, n in hits], "containment": [s / n for *_, s, n in hits],
                     }
-                ).astype({"doc_id": "Int64", "item_id": "Int64"})
+                )
 
-        part = rows.mapInPandas(search, schema)
+        part = exact_ids(rows, search, schema, "doc_id", "item_id")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def _free_of(sent: Broadcast, least: float) -> Callable[[Column], Column]:
+    """Whether a text contains none of the items that were sent."""
+
+    def free(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            dirty = {t for t, *_ in sent.value.matches(texts.tolist(), least)}
+            yield pd.Series([k not in dirty for k in range(len(texts))], dtype=bool)
+
+    return F.pandas_udf(free, "boolean")
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = CONTAINMENT, block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs`` that contain no item, with all their columns."""
+    """The rows of ``docs`` that contain no item, with all their columns, whatever their names.
+
+    Rows with null, empty or wordless texts stay, as do all if there are no
+    items. Only the texts are handed to Python; equal rows stay or go together.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     for ids, texts in _blocks(benchmark, block):
         sent = spark.sparkContext.broadcast(Index(ids, texts, least))
 
-        def keep(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                dirty = {t for t, *_ in sent.value.matches(batch["text"].tolist(), least)}
-                yield batch.iloc[[k for k in range(len(batch)) if k not in dirty]]
-
-        docs = docs.mapInPandas(keep, docs.schema)
+        docs = docs.where(_free_of(sent, least)(F.col("text")))
     return docs

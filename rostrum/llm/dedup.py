@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, stored
+from .common import exact_ids, shared_dir, small_batches, stored
 from .shingles import running
 from .suffixes import anchors, heads, intervals, merged, repeated_starts, window_hashes
 
@@ -263,7 +263,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
                 kept = b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
                 out.append((len(raw), int((b - a).sum()), len(a), kept, a, b))
             made = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept", "starts", "ends"], index=batch.index)
-            yield pd.concat([batch["doc_id"].astype("Int64"), made], axis=1)
+            yield pd.concat([batch["doc_id"], made], axis=1)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, starts array<long>, ends array<long>"
-    return rows.mapInPandas(cut, schema)
+    return exact_ids(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "starts", "ends"), cut, schema, "doc_id")

@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import exact_ids, small_batches
 
 #: Boxes that hold boxes; the number is that of bytes before the first of them.
 HOLDERS = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"edts": 0, b"dinf": 0, b"mvex": 0, b"stsd": 8}
@@ -178,7 +178,7 @@ def wrapped(df: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
     small_batches(df.sparkSession)
     types = {f.name: f.dataType.simpleString() for f in df.schema}
     kept = ", ".join(f"`{c}` {types[c]}" for c in keep)
-    return df.select(*keep, *([text] if text not in keep else [])).mapInPandas(wrap, f"{kept}, n_bytes long, media binary")
+    return exact_ids(df.select(*dict.fromkeys((*keep, text))), wrap, f"{kept}, n_bytes long, media binary", *(c for c in keep if types[c] == "bigint"))
 
 
 PROBE = (
@@ -220,7 +220,7 @@ def probed(df: DataFrame, media: str = "media") -> DataFrame:
             yield batch.assign(**extra).astype({"timescale": "Int64", "n_samples": "Int64", "duration_s": "float64"})
 
     small_batches(df.sparkSession)
-    return df.select(*kept).mapInPandas(add, ", ".join(f"`{c}` {types[c]}" for c in kept) + ", " + PROBE)
+    return exact_ids(df.select(*kept), add, ", ".join(f"`{c}` {types[c]}" for c in kept) + ", " + PROBE, *(c for c in kept if types[c] == "bigint"))
 
 
 def payloads(df: DataFrame, keep: tuple[str, ...], media: str = "media") -> DataFrame:
@@ -238,4 +238,4 @@ def payloads(df: DataFrame, keep: tuple[str, ...], media: str = "media") -> Data
 
     small_batches(df.sparkSession)
     kept = ", ".join(f"`{c}` {types[c]}" for c in keep)
-    return df.select(*dict.fromkeys((*keep, media))).mapInPandas(read, f"{kept}, {PROBE}, payload binary")
+    return exact_ids(df.select(*dict.fromkeys((*keep, media))), read, f"{kept}, {PROBE}, payload binary", *(c for c in keep if types[c] == "bigint"))

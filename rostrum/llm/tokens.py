@@ -22,6 +22,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import itertools
+import json
 import os
 import re
 import threading
@@ -37,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_order, remove, shared_dir, small_batches, stored
+from .common import exact_ids, in_order, remove, shared_dir, small_batches, stored
 from .files import FrameWriter, frames, open_in, open_out, own_name
 
 END_ID = 2
@@ -79,10 +80,14 @@ class Encoder:
     A byte-level tokenizer that splits before a space which follows other than
     white space gives the same ids for a text as for its pieces, one after
     another; so a piece that recurs, in any text of the worker, costs a look-up.
+    With a tokenizer whose file says otherwise whole texts are encoded.
     """
 
     def __init__(self, path: str, most_pieces: int = 1_000_000):
         self.tokenizer, self.most = _tokenizer(path), most_pieces
+        spec = json.loads(self.tokenizer.to_str())
+        before = spec.get("pre_tokenizer") or {}
+        self.by_pieces = not spec.get("normalizer") and (before.get("type"), before.get("add_prefix_space"), before.get("use_regex", True)) == ("ByteLevel", False, True)
         self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, n in self.tokenizer.get_vocab().items():
             self.bytes_of[n] = len(token)  # a character of a byte-level token is a byte
@@ -189,7 +194,7 @@ class Encoder:
             self.used_at = time.monotonic()
             if len(self.known) > self.most:
                 self._forget()
-            return self._flat(texts) if len(texts) else (np.empty(0, np.uint32), np.empty(0, np.int64))
+            return (self._flat if self.by_pieces else self._whole)(texts) if len(texts) else (np.empty(0, np.uint32), np.empty(0, np.int64))
 
     def forget_when_idle(self, seconds: float) -> None:
         """Frees what was learned once no text has come for some time: an idle worker holds no memory that others need."""
@@ -203,6 +208,10 @@ class Encoder:
 
         threading.Thread(target=watch, daemon=True).start()
 
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(found), np.uint32), np.array([len(x) for x in found], np.int64)
+
     def _flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         # a line break begins a piece too, if no white space is beside it
         cut = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n"), " ")
@@ -324,12 +333,12 @@ def _spool(docs: DataFrame, path: str, tokenizer: str, end_id: int, kind: str) -
                         out.write(chunk)
                 rows.append((doc_id, row, n, merkle(digests), name, digests, sizes, offs))
                 row += 1
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SPOOLED.split(", ")]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SPOOLED.split(", ")])
         if out is not None:
             out.close()
 
     small_batches(docs.sparkSession, 1024)
-    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(encode, SPOOLED)
+    made = exact_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), encode, SPOOLED, "doc_id")
     return stored(made, f"{path}/spooled")
 
 
@@ -466,13 +475,14 @@ class _Reader:
             self.data = f.read()
 
 
-def read_store(store: Store, ids: bool = False, kind: str = "<u2") -> DataFrame:
+def read_store(store: Store, ids: bool = False) -> DataFrame:
     """The documents of a store, put together from their chunks: doc_id, start, n_tokens, ids_crc32 (and ids).
 
     The recipes are held against the manifest first, every chunk against its
     digest and every document against its Merkle root; damage fails the job, as
-    do recipes that are lost, doubled or changed. ``ids_crc32`` is that of the
-    ids as little-endian unsigned 32-bit integers. A task reads the packs that
+    do recipes that are lost, doubled or changed. A document's bytes and number
+    of ids tell the width that they are stored in, 2 or 4. ``ids_crc32`` is that
+    of the ids as little-endian unsigned 32-bit integers. A task reads the packs that
     its documents come from in one go, since documents are dealt by home pack;
     those whose home task owns no chunk have none and are dealt by their place.
     """
@@ -490,26 +500,26 @@ def read_store(store: Store, ids: bool = False, kind: str = "<u2") -> DataFrame:
                     fetch.turn(main)
                     fetch.load()
                 crc, found, parts = 0, [], []
+                width, rest = divmod(sum(c["n"] for c in chunks), n_tokens)
+                if rest or width not in (2, 4):
+                    raise ValueError(f"document {doc_id} has {n_tokens} ids in chunks of another size")
                 for c in chunks:
                     data = fetch(c)
                     found.append(hashlib.sha256(data).digest())
                     if found[-1] != bytes(c["digest"]):
                         raise ValueError(f"chunk {bytes(c['digest']).hex()} is damaged in {c['pack']}")
-                    values = np.frombuffer(data, kind).astype("<u4")
+                    values = np.frombuffer(data, f"<u{width}").astype("<u4")
                     crc = zlib.crc32(values.tobytes(), crc)
                     parts.append(values)
                 if merkle(found) != bytes(root):
                     raise ValueError(f"document {doc_id} doesn't match its root")
-                n = sum(map(len, parts))
-                if n != n_tokens:
-                    raise ValueError(f"document {doc_id} has {n} ids, not {n_tokens}")
-                rows.append((doc_id, start, n, crc, np.concatenate(parts).astype(np.int64) if ids else None))
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32", "ids"]).astype({"doc_id": "Int64"})
+                rows.append((doc_id, start, n_tokens, crc, np.concatenate(parts).astype(np.int64) if ids else None))
+            out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
             yield out if ids else out.drop(columns="ids")
 
     small_batches(store.recipes.sparkSession)
     dealt = recipes.repartition(F.coalesce("main", F.xxhash64("start").cast("string"))).sortWithinPartitions("main", "start")
-    return dealt.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids)
+    return exact_ids(dealt, read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids, "doc_id")
 
 
 def documents_of(spark: SparkSession, path: str) -> Store:

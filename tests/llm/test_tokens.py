@@ -26,6 +26,22 @@ def test_encoder_equals_plain_encoding(texts):
         assert [list(x) for x in encoder(odd[k : k + 400])] == encoded(odd[k : k + 400])
 
 
+def test_other_tokenizers_encode_whole_texts(texts):
+    path = tokenizer_path("word_bpe_49k.json")
+    encoder, odd = tokens.Encoder(path), [t or "" for t in texts]
+    assert not encoder.by_pieces
+    assert [list(x) for x in encoder(odd)] == [e.ids for e in tokens._tokenizer(path).encode_batch(odd, add_special_tokens=False)]
+
+
+def test_wide_ids_and_large_doc_ids(spark, monkeypatch):
+    """A vocabulary above 65,536 is stored in four bytes and read back from there; ids above 2^53 stay what they are."""
+    rows = [((1 << 60) + 1, "one two"), (None, "three"), ((1 << 60) + 3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    store = tokens.write_store(docs, tokenizer_path(), end_id=70_000)
+    got = {r["doc_id"]: r["ids"] for r in tokens.read_store(store, ids=True).collect()}
+    assert got == {d: [*x, 70_000] for (d, t), x in zip(rows, encoded([t or "" for _, t in rows]), strict=True)}
+
+
 def test_store_round_trip(spark, docs, clash):
     store = tokens.write_store(clash(docs).drop("start"), tokenizer_path())
     got = [tuple(r) for r in tokens.read_store(store, ids=True).collect()]
