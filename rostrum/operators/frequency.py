@@ -12,8 +12,16 @@ def term_counts(tokens: DataFrame, by: tuple[str, ...] = (), doc: str = "doc_id"
     """(by..., token, raw, doc_count), documents counted once a term.
 
     Counts first by document, which Spark combines before it shuffles, so a
-    frequent term is no hot key.
+    frequent term is no hot key. Documents as arrays (``tokens.listed``) are
+    counted with one shuffle: a row for each word and one for each distinct
+    word, combined in each task before they are sent.
     """
+    if "sentences" in tokens.columns:
+        words = F.flatten("sentences")
+        row = lambda n, d: lambda t: F.struct(t.alias("token"), F.lit(n).alias("n"), F.lit(d).alias("d"))
+        rows = tokens.select(*by, F.explode(F.concat(F.transform(words, row(1, 0)), F.transform(F.array_distinct(words), row(0, 1)))).alias("t"))
+        rows = rows.select(*by, "t.*")
+        return rows.groupBy(*by, "token").agg(F.sum("n").alias("raw"), F.sum("d").alias("doc_count"))
     each = tokens.groupBy(*by, "token", doc).agg(F.count(F.lit(1)).alias("n"))
     return each.groupBy(*by, "token").agg(F.sum("n").alias("raw"), F.count(F.lit(1)).alias("doc_count"))
 
@@ -21,7 +29,8 @@ def term_counts(tokens: DataFrame, by: tuple[str, ...] = (), doc: str = "doc_id"
 def frequency_frame(tokens: DataFrame, docs: DataFrame) -> DataFrame:
     """(token, raw, per_million, proportion, doc_count, doc_proportion, n_tokens, n_docs). Documents without tokens count in n_docs."""
     counts = term_counts(tokens)
-    n_tokens = tokens.agg(F.count(F.lit(1))).scalar()  # without a shuffle, unlike the sum of the counts
+    # both columns are asked for, so that this is the plan of the counts themselves, whose shuffle is run once
+    n_tokens = counts.agg(F.struct(F.sum("raw").alias("n"), F.sum("doc_count").alias("d"))).scalar()["n"]
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
     out = counts.withColumns({"n_tokens": n_tokens, "n_docs": n_docs})
     return out.select(
@@ -32,9 +41,9 @@ def frequency_frame(tokens: DataFrame, docs: DataFrame) -> DataFrame:
 
 def pooled_counts(tokens: DataFrame, by: str, label: str = "ALL") -> DataFrame:
     """Counts for each value of ``by`` and for all together, by grouping sets: (by, token, raw, doc_count)."""
-    each = tokens.groupBy(by, "token", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    each = term_counts(tokens, (by,))  # a document has one value, so its counts add up
     sets = each.groupingSets([[F.col(by), F.col("token")], [F.col("token")]], F.col(by), F.col("token"))
-    out = sets.agg(F.sum("n").alias("raw"), F.count(F.lit(1)).alias("doc_count"), F.grouping(F.col(by)).alias("__all"))
+    out = sets.agg(F.sum("raw").alias("raw"), F.sum("doc_count").alias("doc_count"), F.grouping(F.col(by)).alias("__all"))
     return out.select(F.when(F.col("__all") == 1, F.lit(label)).otherwise(F.col(by)).alias(by), "token", "raw", "doc_count")
 
 

@@ -14,6 +14,11 @@ def cooccurrences(tokens: DataFrame, window: int = 4) -> DataFrame:
     """(doc_id, a, b, weight): unordered pairs of unlike tokens fewer than ``window`` positions apart, counted."""
     if window < 2:
         raise ValueError("the window must be 2 or more")
+    if "sentences" in tokens.columns:  # documents as arrays: the pairs are counted in one shuffle
+        words = F.flatten("sentences")
+        ends = lambda t: lambda u: F.struct(F.least(t, u).alias("a"), F.greatest(t, u).alias("b"))
+        met = F.flatten(F.transform(words, lambda t, i: F.transform(F.filter(F.slice(words, i + 2, F.lit(window - 1)), lambda u: u != t), ends(t))))
+        return tokens.select("doc_id", F.explode(met).alias("p")).groupBy("doc_id", "p.a", "p.b").agg(F.count(F.lit(1)).alias("weight"))
     place = Window.partitionBy("doc_id").orderBy("pos")
     ahead = tokens.select("doc_id", "token", F.array(*(F.lead("token", k).over(place) for k in range(1, window))).alias("next"))
     pairs = ahead.select("doc_id", "token", F.explode("next").alias("other")).where(F.col("other").isNotNull() & (F.col("other") != F.col("token")))
@@ -34,13 +39,45 @@ def page_rank(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray, alpha: f
     return score
 
 
+RANKED = "doc_id long, token string, score double, rank int"
+
+
+def _ranker(top: int, window: int):
+    """Ranks documents given as arrays of words."""
+
+    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc, words in zip(batch["doc_id"], batch["words"], strict=True):
+                names, at, n = np.unique(np.asarray(words, dtype=str), return_inverse=True, return_counts=True)
+                ends = [(at[:-k], at[k:]) for k in range(1, min(window, len(at)))]
+                a, b = (np.concatenate([np.empty(0, np.int64), *(e[k] for e in ends)]) for k in (0, 1))
+                key, weight = np.unique((np.minimum(a, b) * len(names) + np.maximum(a, b))[a != b], return_counts=True)
+                if len(key):
+                    a, b = key // len(names), key % len(names)
+                    nodes, place = np.unique(np.r_[a, b], return_inverse=True)
+                    names, score = names[nodes], page_rank(len(nodes), place[: len(a)], place[len(a) :], weight)
+                else:
+                    score = n / n.sum()
+                best = sorted(zip((-score).tolist(), names.tolist(), strict=True))[:top]
+                out += [(doc, t, round(-s, 6), k + 1) for k, (s, t) in enumerate(best)]
+            yield pd.DataFrame(out, columns=["doc_id", "token", "score", "rank"])
+
+    return rank
+
+
 def textrank(tokens: DataFrame, top: int = 10, window: int = 4, stopwords: DataFrame | None = None) -> DataFrame:
     """(doc_id, token, score, rank): the tokens of highest rank in each document's graph.
 
     Stop words are removed before windows are drawn. A document without pairs
-    ranks its tokens by frequency. A document's graph is put together by Spark
-    and ranked in one task, its size that of the document.
+    ranks its tokens by frequency. A document's graph is ranked in one task, its
+    size that of the document; documents as arrays (``tokens.listed``) are
+    ranked where they lie, without a shuffle.
     """
+    if "sentences" in tokens.columns:
+        if stopwords is None:
+            return tokens.select("doc_id", F.flatten("sentences").alias("words")).where(F.size("words") > 0).mapInPandas(_ranker(top, window), RANKED)
+        tokens = tokens.select("doc_id", F.posexplode(F.flatten("sentences")).alias("pos", "token"))
     rows = tokens if stopwords is None else tokens.join(stopwords.select(F.col("token").alias("__s")), F.col("token") == F.col("__s"), "left_anti")
     edges = cooccurrences(rows, window).groupBy("doc_id").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"), F.collect_list("weight").alias("w"))
     counts = rows.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id")
@@ -60,7 +97,7 @@ def textrank(tokens: DataFrame, top: int = 10, window: int = 4, stopwords: DataF
                 out += [(doc, t, round(float(-s), 6), k + 1) for k, (s, t) in enumerate(best)]
             yield pd.DataFrame(out, columns=["doc_id", "token", "score", "rank"])
 
-    return counts.join(edges, "doc_id", "left").mapInPandas(rank, "doc_id long, token string, score double, rank int")
+    return counts.join(edges, "doc_id", "left").mapInPandas(rank, RANKED)
 
 
 def first_keyword_votes(keywords: DataFrame, by: str, first: int = 5, top: int = 8, mark: str = ";") -> DataFrame:

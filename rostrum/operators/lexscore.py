@@ -44,17 +44,72 @@ def single_hits(tokens: DataFrame, words: DataFrame) -> DataFrame:
     return tokens.join(single, F.col("token") == F.col("__entry")).drop("__entry")
 
 
-def all_hits(tokens: Column, entries: list[str]) -> Column:
+def all_hits(tokens: Column, entries: list[str] | tuple[str, ...]) -> Column:
     """How many entries occur in an array of tokens: longer ones first, from left to right, each token used once."""
-    ordered = sorted({tuple(e.split()) for e in entries}, key=lambda e: (-len(e), e))
-    text = F.concat(F.lit(" "), F.array_join(tokens, "  "), F.lit(" "))
-    total = F.lit(0)
-    for size in sorted({len(e) for e in ordered}, reverse=True):
+    ordered = sorted({tuple(e.lower().split()) for e in entries if e.strip()}, key=lambda e: (-len(e), e))
+    single = [e[0] for e in ordered if len(e) == 1]
+    of = lambda words: F.size(F.filter(words, lambda w: w.isin(*single))) if single else F.lit(0)
+    if len(single) == len(ordered):
+        return of(tokens)
+    text, total = F.concat(F.lit(" "), F.array_join(tokens, "  "), F.lit(" ")), F.lit(0)
+    for size in sorted({len(e) for e in ordered if len(e) > 1}, reverse=True):
         words = "|".join("  ".join(rf"\Q{w}\E" for w in e) for e in ordered if len(e) == size)
-        pattern = f" (?:{words}) "
-        total = total + F.regexp_count(text, F.lit(pattern))
-        text = F.regexp_replace(text, pattern, "  ")
-    return total
+        total = total + F.regexp_count(text, F.lit(f" (?:{words}) "))
+        text = F.regexp_replace(text, f" (?:{words}) ", "  ")
+    return total + of(F.split(text, " +"))
+
+
+def hits_in(lists: Column, entries: list[str] | tuple[str, ...]) -> Column:
+    """``all_hits`` summed over the sentences of a document: no entry goes beyond its sentence."""
+    return F.aggregate(lists, F.lit(0), lambda n, s: n + all_hits(s, entries)).cast("long")
+
+
+def sided(sentence: Column, profile: Profile = HUNGARIAN) -> Column:
+    """(plain, turned, n) of a lower-cased sentence as text: its words that no cue negates, those that one does, and how many words it has.
+
+    Clauses end at commas, colons and semicolons. A forward cue negates what
+    follows in its clause, itself and other cues excepted; a backward cue what
+    precedes it. Words that are negated twice are in neither array.
+    """
+
+    def marked(clause: Column) -> Column:
+        words = F.regexp_extract_all(clause, F.lit(r"\p{L}+"), F.lit(0))
+        first = F.array_position(F.transform(words, lambda w: w.isin(*profile.negation_forward)), True)
+        marks = lambda w, i: F.when((first > 0) & (i >= first) & ~w.isin(*profile.negation_forward), 1).otherwise(0)
+        if profile.negation_backward:
+            last = F.filter(F.transform(words, lambda w, i: F.when(w.isin(*profile.negation_backward), i)), lambda i: i.isNotNull())
+            ahead = marks
+            marks = lambda w, i: ahead(w, i) + F.size(F.filter(last, lambda k: k > i))
+        return F.transform(words, lambda w, i: F.struct(w.alias("w"), marks(w, i).alias("m")))
+
+    all_ = F.flatten(F.transform(F.split(sentence, "[,;:]+"), marked))
+    of = lambda m: F.transform(F.filter(all_, lambda x: x["m"] == m), lambda x: x["w"])
+    return F.struct(of(0).alias("plain"), of(1).alias("turned"), F.size(all_).alias("n"))
+
+
+def document_sentiment(docs: DataFrame, positive: tuple[str, ...], negative: tuple[str, ...], profile: Profile = HUNGARIAN, balanced: bool = False, text: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, positive, negative, score, polarity) of documents with words, entries of several words included.
+
+    As ``sentiment``, but each document is scored where it lies: nothing is
+    shuffled.
+    """
+    weight = len(set(positive)) / len(set(negative)) if balanced and negative else 1.0
+    sentences = F.transform(F.split(F.lower(F.col(text)), r"[.!?]+"), lambda s: sided(s, profile))
+    rows = docs.select("doc_id", F.filter(sentences, lambda s: s["n"] > 0).alias("s")).where(F.size("s") > 0)
+
+    def of(s: Column) -> Column:
+        p, m = (all_hits(s["plain"], a) + all_hits(s["turned"], b) for a, b in ((positive, negative), (negative, positive)))
+        return F.struct(s["n"].cast("long").alias("n"), p.cast("long").alias("p"), m.cast("long").alias("m"))
+
+    rows = rows.select("doc_id", F.transform("s", of).alias("s"))
+    add = lambda value, zero: F.aggregate("s", zero, lambda acc, s: acc + value(s))
+    zero = F.lit(0).cast("long")
+    out = rows.select(
+        "doc_id", add(lambda s: s["n"], zero).alias("n_tokens"), add(lambda s: s["p"], zero).alias("positive"), add(lambda s: s["m"], zero).alias("negative"),
+        (add(lambda s: (s["p"] - s["m"] * F.lit(weight)) / s["n"], F.lit(0.0)) / F.size("s")).alias("score"),
+    )
+    p, m = F.col("positive"), F.col("negative")
+    return out.withColumn("polarity", F.coalesce(ratio(p - m, p + m), F.lit(0.0)))
 
 
 def sentiment(tokens: DataFrame, positive: tuple[str, ...], negative: tuple[str, ...], balanced: bool = False) -> DataFrame:
@@ -76,27 +131,38 @@ def sentiment(tokens: DataFrame, positive: tuple[str, ...], negative: tuple[str,
     return out.withColumn("polarity", F.coalesce(ratio(p - m, p + m), F.lit(0.0)))
 
 
-def emotions(tokens: DataFrame, words: DataFrame, categories: list[str], min_hits: int = MIN_EMOTION_HITS) -> DataFrame:
-    """(doc_id, n_tokens, a count for each category, hits, dominant, sparse); documents without hits are kept. Ties go to the first name."""
-    hits = single_hits(tokens, words).groupBy("doc_id").pivot("category", categories).count()
-    out = tokens.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens")).join(hits, "doc_id", "left").na.fill(0, categories)
-    total = sum((F.col(c) for c in categories), F.lit(0))
-    best = F.greatest(*(F.col(c) for c in categories))
-    dominant = F.coalesce(*(F.when((F.col(c) == best) & (best > 0), F.lit(c)) for c in sorted(categories)))
-    return out.withColumns({"hits": total, "dominant": dominant, "sparse": total < min_hits})
+def emotions(lists: DataFrame, entries: dict[str, tuple[str, ...]], min_hits: int = MIN_EMOTION_HITS) -> DataFrame:
+    """(doc_id, n_tokens, a count and a rate for each category, hits, dominant, sparse) of ``listed`` documents with words.
+
+    Each document is counted where it lies, entries of several words included;
+    documents without hits are kept. Rates are a word's. Ties go to the first
+    name.
+    """
+    names = list(entries)
+    rows = lists.select("doc_id", F.size(F.flatten("sentences")).cast("long").alias("n_tokens"), *(hits_in(F.col("sentences"), entries[c]).alias(c) for c in names)).where("n_tokens > 0")
+    total, best = sum((F.col(c) for c in names), F.lit(0)), F.greatest(*names)
+    dominant = F.coalesce(*(F.when((F.col(c) == best) & (best > 0), F.lit(c)) for c in sorted(names)))
+    rates = {f"{c}_rate": F.round(ratio(F.col(c), F.col("n_tokens")), 6) for c in names}
+    return rows.withColumns({**rates, "hits": total, "dominant": dominant, "sparse": total < min_hits})
 
 
-def salience(tokens: DataFrame, poles: DataFrame, min_mentions: int = MIN_MENTIONS) -> DataFrame:
-    """(doc_id, virtue, affirming, accusing, n_tokens, per_1000, stance, sparse) of mentioned virtues.
+def salience(lists: DataFrame, poles: dict[str, tuple[str, ...]], min_mentions: int = MIN_MENTIONS) -> DataFrame:
+    """(doc_id, virtue, affirming, accusing, n_tokens, per_1000, stance, sparse) of virtues that ``listed`` documents mention.
 
-    ``poles`` has category as ``virtue/pole`` and one-word entries. ``stance``
-    is the share of affirming mentions.
+    ``poles`` maps ``virtue/pole`` to entries of one or several words. ``stance``
+    is the share of affirming mentions. Nothing is shuffled.
     """
-    n = tokens.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"))
-    parts = F.split("category", "/")
-    hits = single_hits(tokens, poles).withColumns({"virtue": parts[0], "pole": parts[1]})
-    counts = hits.groupBy("doc_id", "virtue").agg(F.count_if(F.col("pole") == "affirming").alias("affirming"), F.count_if(F.col("pole") == "accusing").alias("accusing"))
-    return with_stance(counts.join(n, "doc_id"), min_mentions)
+    virtues = list(dict.fromkeys(p.split("/")[0] for p in poles))
+    of = lambda v, pole: hits_in(F.col("sentences"), poles.get(f"{v}/{pole}", ())).alias(pole)
+    each = F.array(*(F.struct(F.lit(v).alias("virtue"), of(v, "affirming"), of(v, "accusing")) for v in virtues))
+    counts = lists.select("doc_id", F.explode(each).alias("v"), F.size(F.flatten("sentences")).cast("long").alias("n_tokens"))
+    return with_stance(counts.select("doc_id", "v.*", "n_tokens").where("affirming + accusing > 0"), min_mentions)
+
+
+def affect_by_speaker(scores: DataFrame, by: str, counts: list[str]) -> DataFrame:
+    """(by, documents, n_tokens, counts and their rates): sums first and then the ratio, null without words."""
+    sums = scores.groupBy(by).agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("n_tokens"), *(F.sum(c).alias(c) for c in counts))
+    return sums.withColumns({f"{c}_rate": F.round(ratio(F.col(c), F.col("n_tokens")), 6) for c in counts})
 
 
 def with_stance(counts: DataFrame, min_mentions: int = MIN_MENTIONS) -> DataFrame:

@@ -32,6 +32,21 @@ def tokenized(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc
     return rows.select(*keys, F.col("t.sent_id").alias("sent_id"), "pos", F.col("t.token").alias("token"))
 
 
+def listed(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys..., sentences): each document's sentences as arrays of lower-cased words, one row a document.
+
+    The shape for work that stays inside a document: nothing is shuffled
+    until what is left of it is counted. Null texts have no sentences.
+    """
+    cut = F.transform(F.split(F.lower(F.col(text)), SENTENCE_END), lambda s: F.regexp_extract_all(s, F.lit(WORD), F.lit(0)))
+    return docs.select(*keys, F.coalesce(cut, F.array().cast("array<array<string>>")).alias("sentences"))
+
+
+def by_sentence(lists: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys..., sent_id, tokens): a row for each sentence that has words, of ``listed`` documents."""
+    return lists.select(*keys, F.posexplode("sentences").alias("sent_id", "tokens")).where(F.size("tokens") > 0)
+
+
 def main_category(tag: Column) -> Column:
     """The category of a tag such as ``[/N|Pro][Nom]``; null for other tags."""
     inside = F.nullif(F.regexp_extract(tag, r"^\[/([^\]]*)\]", 1), F.lit(""))

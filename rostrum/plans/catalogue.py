@@ -18,6 +18,7 @@ from ..profile import WESTERN
 POSITIVE = ("the", "que", "der", "para", "on", "for", "les", "das")
 NEGATIVE = ("and", "un", "die", "los", "that", "pas", "von", "en")
 EMOTIONS = {"anger": ("the", "le", "der", "el"), "fear": ("and", "la", "und", "y"), "joy": ("of", "de", "zu", "en"), "sadness": ("to", "et", "das", "que")}
+EMOTIONS_2 = {c: (*words, *two) for (c, words), two in zip(EMOTIONS.items(), (("of the", "de la"), ("and the", "und die"), ("to the", "en la"), ("para que", "in der")), strict=True)}
 VIRTUES = {"courage/affirming": ("the", "le", "der", "el"), "courage/accusing": ("and", "la", "und", "y"), "justice/affirming": ("of", "de", "zu", "en"), "justice/accusing": ("with", "qui", "mit", "con")}
 LOANS = ("tion", "ment", "ing", "able", "the", "une", "ein", "por")
 CONNECTORS = ("of", "the", "de", "la", "der", "und", "y", "et")
@@ -29,6 +30,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _lists(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
+    return tokens.listed(_read(spark, sf_dir, "documents"), keys=("doc_id", *keys))
+
+
 def _tokens(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
     return tokens.tokenized(_read(spark, sf_dir, "documents"), keys=("doc_id", *keys))
 
@@ -68,18 +73,18 @@ def _query(sql: str | None = None):
   SELECT token, raw, raw::DOUBLE * 1000000 / n AS per_million, raw::DOUBLE / n AS proportion, doc_count,
          doc_count::DOUBLE / {_DOCS} AS doc_proportion, n AS n_tokens, {_DOCS} AS n_docs FROM c, n""")
 def term_frequency(spark, sf_dir):
-    return frequency.frequency_frame(_tokens(spark, sf_dir), _read(spark, sf_dir, "documents"))
+    return frequency.frequency_frame(_lists(spark, sf_dir), _read(spark, sf_dir, "documents"))
 
 
 @_query(f"""WITH {_TOK} SELECT coalesce(lang, 'ALL') AS lang, token, count(*) AS raw, count(DISTINCT doc_id) AS doc_count
   FROM tok GROUP BY GROUPING SETS ((lang, token), (token))""")
 def freq_grouping_sets(spark, sf_dir):
-    return frequency.pooled_counts(_tokens(spark, sf_dir, "lang"), "lang")
+    return frequency.pooled_counts(_lists(spark, sf_dir, "lang"), "lang")
 
 
 @_query(f"WITH {_TOK} SELECT token, " + ", ".join(f"count(*) FILTER (lang = '{x}') AS {x}" for x in LANGS) + " FROM tok GROUP BY token")
 def freq_wide_pivot(spark, sf_dir):
-    return frequency.wide(frequency.term_counts(_tokens(spark, sf_dir, "lang"), ("lang",)), "lang", LANGS)
+    return frequency.wide(frequency.term_counts(_lists(spark, sf_dir, "lang"), ("lang",)), "lang", LANGS)
 
 
 @_query("""WITH r AS (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
@@ -112,7 +117,7 @@ def mode_per_term(spark, sf_dir):
 @_query(f"""WITH {_TOK}, c AS (SELECT lang, token, count(*) AS raw, count(DISTINCT doc_id) AS doc_count FROM tok GROUP BY lang, token)
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY raw DESC, token)::INTEGER AS rank FROM c) WHERE rank <= 25""")
 def top_terms_per_language(spark, sf_dir):
-    return frequency.top_terms(frequency.term_counts(_tokens(spark, sf_dir, "lang"), ("lang",)), 25, ("lang",))
+    return frequency.top_terms(frequency.term_counts(_lists(spark, sf_dir, "lang"), ("lang",)), 25, ("lang",))
 
 
 _READ = r"""w AS (SELECT doc_id, source, lang, len(regexp_extract_all(lower(text), '\p{L}+'))::BIGINT AS n_words,
@@ -157,28 +162,44 @@ def speaker_weighted_lix(spark, sf_dir):
   SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(sum(p) AS BIGINT) AS positive, CAST(sum(q) AS BIGINT) AS negative,
      round(avg((p - q)::DOUBLE / n), 6) AS score, coalesce((sum(p) - sum(q))::DOUBLE / nullif(sum(p) + sum(q), 0), 0) AS polarity FROM c GROUP BY doc_id""")
 def sentiment_negation(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents")
-    cut = F.transform(F.split(F.lower("text"), tokens.SENTENCE_END), lambda s: F.regexp_extract_all(s, F.lit(r"\p{L}+|[,;:]+"), F.lit(0)))
-    rows = docs.select("doc_id", F.posexplode(cut).alias("sent_id", "ws")).select("doc_id", "sent_id", F.posexplode("ws").alias("pos", "token"))
-    marked = lexscore.negated(lexscore.clauses(rows.withColumn("boundary", F.rlike("token", F.lit("^[,;:]")))), WESTERN)
-    return lexscore.sentiment(marked, POSITIVE, NEGATIVE).withColumn("score", F.round("score", 6))
+    return lexscore.document_sentiment(_read(spark, sf_dir, "documents"), POSITIVE, NEGATIVE, WESTERN).withColumn("score", F.round("score", 6))
+
+
+def _two(entries) -> str:
+    return " (?:" + "|".join("  ".join(e.split()) for e in sorted(entries) if " " in e) + ") "
+
+
+def _hits_sql(entries) -> str:
+    """Hits in the sentence ``s`` (its words between spaces of their own): entries of two words first, which are then taken out."""
+    one = _in(e for e in entries if " " not in e)
+    if not any(" " in e for e in entries):
+        return f"len(list_filter(string_split_regex(s, ' +'), lambda x: x IN ({one})))"
+    return f"len(regexp_extract_all(s, '{_two(entries)}')) + len(list_filter(string_split_regex(regexp_replace(s, '{_two(entries)}', '  ', 'g'), ' +'), lambda x: x IN ({one})))"
+
 
+_SPACED = r"""spaced AS (SELECT doc_id, source, len(w) AS n, ' ' || array_to_string(w, '  ') || ' ' AS s FROM (SELECT doc_id, source, regexp_extract_all(unnest(string_split_regex(lower(text), '[.!?]+')), '\p{L}+') AS w FROM documents))"""
+_AFFECT = f"""{_SPACED}, c AS (SELECT doc_id, any_value(source) AS source, CAST(sum(n) AS BIGINT) AS n_tokens, {", ".join(f"CAST(sum({_hits_sql(es)}) AS BIGINT) AS {k}" for k, es in EMOTIONS_2.items())} FROM spaced GROUP BY doc_id HAVING sum(n) > 0)"""
 
-@_query(f"""WITH {_TOK}, lex(category, entry) AS (VALUES {_pairs(EMOTIONS)}),
-  c AS (SELECT doc_id, """ + ", ".join(f"count(*) FILTER (category = '{k}') AS {k}" for k in EMOTIONS) + """, count(*) FILTER (category IS NOT NULL) AS hits, count(DISTINCT pos) AS n_tokens
-     FROM tok LEFT JOIN lex ON token = entry GROUP BY doc_id)
-  SELECT doc_id, n_tokens, """ + ", ".join(EMOTIONS) + ", hits, CASE " + " ".join(f"WHEN {k} = greatest({', '.join(EMOTIONS)}) AND {k} > 0 THEN '{k}'" for k in sorted(EMOTIONS)) + " END AS dominant, hits < 5 AS sparse FROM c")
+
+@_query(f"""WITH {_AFFECT} SELECT doc_id, n_tokens, {", ".join(EMOTIONS_2)}, {", ".join(f"round({k}::DOUBLE / n_tokens, 6) AS {k}_rate" for k in EMOTIONS_2)}, {" + ".join(EMOTIONS_2)} AS hits, CASE """ + " ".join(f"WHEN {k} = greatest({', '.join(EMOTIONS_2)}) AND {k} > 0 THEN '{k}'" for k in sorted(EMOTIONS_2)) + f""" END AS dominant, {" + ".join(EMOTIONS_2)} < 5 AS sparse FROM c""")
 def emotion_rates(spark, sf_dir):
-    return lexscore.emotions(_tokens(spark, sf_dir), lexscore.lexicon(spark, EMOTIONS), list(EMOTIONS))
+    return lexscore.emotions(_lists(spark, sf_dir), EMOTIONS_2)
+
+
+@_query(f"""WITH {_AFFECT} SELECT source, count(*) AS documents, CAST(sum(n_tokens) AS BIGINT) AS n_tokens, {", ".join(f"CAST(sum({k}) AS BIGINT) AS {k}, round(sum({k})::DOUBLE / sum(n_tokens), 6) AS {k}_rate" for k in EMOTIONS_2)} FROM c GROUP BY source""")
+def speaker_affect(spark, sf_dir):
+    scores = lexscore.emotions(_lists(spark, sf_dir), EMOTIONS_2).join(_read(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    return lexscore.affect_by_speaker(scores, "source", list(EMOTIONS_2))
+
 
+_POLES = {"courage/affirming": ("the", "le", "der", "el", "of the"), "courage/accusing": ("and", "la", "und", "y", "de la"), "justice/affirming": ("of", "de", "zu", "en"), "justice/accusing": ("with", "qui", "mit", "con", "and the")}
 
-@_query(f"""WITH {_TOK}, lex(category, entry) AS (VALUES {_pairs(VIRTUES)}), n AS (SELECT doc_id, count(*) AS n_tokens FROM tok GROUP BY doc_id),
-  c AS (SELECT doc_id, split_part(category, '/', 1) AS virtue, count(*) FILTER (split_part(category, '/', 2) = 'affirming') AS affirming,
-     count(*) FILTER (split_part(category, '/', 2) = 'accusing') AS accusing FROM tok JOIN lex ON token = entry GROUP BY ALL)
-  SELECT doc_id, virtue, affirming, accusing, n_tokens, (affirming + accusing)::DOUBLE * 1000 / n_tokens AS per_1000,
-     affirming::DOUBLE / (affirming + accusing) AS stance, affirming + accusing < 3 AS sparse FROM c JOIN n USING (doc_id)""")
+
+@_query(f"""WITH {_SPACED}, c AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_tokens, {", ".join(f"CAST(sum({_hits_sql(es)}) AS BIGINT) AS {k.replace('/', '_')}" for k, es in _POLES.items())} FROM spaced GROUP BY doc_id),
+  v AS (SELECT doc_id, 'courage' AS virtue, courage_affirming AS affirming, courage_accusing AS accusing, n_tokens FROM c UNION ALL SELECT doc_id, 'justice', justice_affirming, justice_accusing, n_tokens FROM c)
+  SELECT doc_id, virtue, affirming, accusing, n_tokens, (affirming + accusing)::DOUBLE * 1000 / n_tokens AS per_1000, affirming::DOUBLE / (affirming + accusing) AS stance, affirming + accusing < 3 AS sparse FROM v WHERE affirming + accusing > 0""")
 def salience_stance(spark, sf_dir):
-    return lexscore.salience(_tokens(spark, sf_dir), lexscore.lexicon(spark, VIRTUES))
+    return lexscore.salience(_lists(spark, sf_dir), _POLES)
 
 
 @_query(f"""WITH {_TOK}, lex(category, entry) AS (VALUES {_pairs(VIRTUES)})
@@ -200,13 +221,16 @@ def loanword_ratio(spark, sf_dir):
     return lexscore.loanwords(rows, lexscore.lexicon(spark, {"loan": LOANS}))
 
 
-@_query(f"""WITH {_TOK}, b AS (SELECT token AS a, lead(token) OVER (PARTITION BY doc_id, sent_id ORDER BY pos) AS b FROM tok),
-  j AS (SELECT a, b, count(*) AS joint FROM b WHERE b IS NOT NULL GROUP BY a, b HAVING count(*) >= 5), c AS (SELECT token, count(*) AS n FROM tok GROUP BY token), t AS (SELECT count(*) AS n_tokens FROM tok)
+_WORDS_BY_SENTENCE = r"""w AS MATERIALIZED (SELECT regexp_extract_all(unnest(string_split_regex(lower(text), '[.!?]+')), '\p{L}+') AS w FROM documents)"""
+
+
+@_query(f"""WITH {_WORDS_BY_SENTENCE}, c AS MATERIALIZED (SELECT token, count(*) AS n FROM (SELECT unnest(w) AS token FROM w) GROUP BY token), t AS MATERIALIZED (SELECT sum(n)::BIGINT AS n_tokens FROM c),
+  j AS MATERIALIZED (SELECT a, b, count(*) AS joint FROM (SELECT unnest(w[:-2]) AS a, unnest(w[2:]) AS b FROM w WHERE len(w) > 1) GROUP BY a, b HAVING count(*) >= 5)
   SELECT j.a, '' AS between, j.b, joint, x.n AS count_a, y.n AS count_b, n_tokens,
      round((ln(joint::DOUBLE / n_tokens) - (ln(x.n::DOUBLE / n_tokens) + ln(y.n::DOUBLE / n_tokens))) / (-1 * ln(joint::DOUBLE / n_tokens)), 6) AS score
   FROM j JOIN c x ON x.token = j.a JOIN c y ON y.token = j.b, t""")
 def bigram_npmi(spark, sf_dir):
-    return collocation.pair_scores(_tokens(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return collocation.pair_scores(tokens.by_sentence(_lists(spark, sf_dir))).withColumn("score", F.round("score", 6))
 
 
 @_query(f"""WITH {_TOK}, k AS (SELECT *, sum(CASE WHEN token IN ({_in(CONNECTORS)}) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, sent_id ORDER BY pos) AS run FROM tok),
@@ -215,7 +239,7 @@ def bigram_npmi(spark, sf_dir):
      FROM k LEFT JOIN i USING (doc_id, sent_id, run) WHERE token NOT IN ({_in(CONNECTORS)}))
   SELECT a, between, b, count(*) AS joint FROM m WHERE b IS NOT NULL GROUP BY ALL HAVING count(*) >= 3""")
 def connector_bigrams(spark, sf_dir):
-    found = collocation.pairs(_tokens(spark, sf_dir), CONNECTORS).groupBy("a", "between", "b").agg(F.count(F.lit(1)).alias("joint"))
+    found = collocation.pairs(tokens.by_sentence(_lists(spark, sf_dir)), CONNECTORS).groupBy("a", "between", "b").agg(F.count(F.lit(1)).alias("joint"))
     return found.where("joint >= 3")
 
 
@@ -472,13 +496,13 @@ def best_quotes(spark, sf_dir):
 @_query(f"""WITH {_TOK}, p AS (SELECT a.doc_id, least(a.token, b.token) AS a, greatest(a.token, b.token) AS b, count(*) AS weight FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos > a.pos AND b.pos < a.pos + 4 AND a.token <> b.token GROUP BY ALL)
   SELECT doc_id, count(*) AS edges, CAST(sum(weight) AS BIGINT) AS weight, max(weight) AS heaviest FROM p GROUP BY doc_id""")
 def cooccurrence_edges(spark, sf_dir):
-    edges = keywords.cooccurrences(_tokens(spark, sf_dir))
+    edges = keywords.cooccurrences(_lists(spark, sf_dir))
     return edges.groupBy("doc_id").agg(F.count(F.lit(1)).alias("edges"), F.sum("weight").alias("weight"), F.max("weight").alias("heaviest"))
 
 
 @_query()
 def textrank(spark, sf_dir):
-    return keywords.textrank(_tokens(spark, sf_dir))
+    return keywords.textrank(_lists(spark, sf_dir))
 
 
 @_query("""WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS m, count(*) AS n FROM e GROUP BY label, i),
@@ -591,7 +615,7 @@ def stopwords_removed(spark, sf_dir):
   v AS (SELECT token FROM (SELECT token, row_number() OVER (ORDER BY raw DESC, token) AS r FROM c) , n WHERE r <= k), lex(category, entry) AS (VALUES {_pairs(EMOTIONS)})
   SELECT category, entry, entry IN (SELECT token FROM v) AS found FROM lex""")
 def lexicon_curation(spark, sf_dir):
-    counts = frequency.term_counts(_tokens(spark, sf_dir))
+    counts = frequency.term_counts(_lists(spark, sf_dir))
     words, frequent = lexscore.lexicon(spark, EMOTIONS), frequency.register_vocabulary(counts, 0.1).withColumnRenamed("token", "entry")
     kept, _ = lexscore.without_entries(words, frequent)
     left = kept.select(F.col("category").alias("c"), F.col("entry").alias("e"))
@@ -620,12 +644,9 @@ def name_keys(spark, sf_dir):
 @_query()
 def phrase_fusion(spark, sf_dir):
     """Phrases of two rounds, the second over what the first has fused, and their frequencies."""
-    words = _tokens(spark, sf_dir)
-    lists = lambda t: t.groupBy("doc_id", "sent_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("tokens"))
-    fused = lists(words)
+    fused = tokens.by_sentence(_lists(spark, sf_dir))
     for _ in range(2):
-        long = fused.select("doc_id", "sent_id", F.posexplode("tokens").alias("pos", "token"))
-        fused = collocation.fused(fused, collocation.pair_scores(long, CONNECTORS, min_count=8, threshold=0.05), CONNECTORS, "#")
+        fused = collocation.fused(fused, collocation.pair_scores(fused, CONNECTORS, min_count=8, threshold=0.05), CONNECTORS, "#")
     counts = fused.select("doc_id", F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("raw"))
     return counts.withColumn("order", T.ngram_order(F.col("token"))).where("order > 1")
 
