@@ -2,59 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.maths import npmi
 
 
-def _sentences(rows: DataFrame) -> DataFrame:
-    """(doc_id, sent_id, tokens) of a token table, or of a table that has that shape already."""
-    if "tokens" in rows.columns:
-        return rows.select("doc_id", "sent_id", "tokens")
-    held = F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"])
-    return rows.groupBy("doc_id", "sent_id").agg(held.alias("tokens"))
-
-
-def _pairs(connectors: tuple[str, ...]) -> Column:
-    """Array of (a, between, b) of the array ``tokens``: from the places of words that are no connectors, each with the next."""
-    words = F.col("tokens")
-    inner = F.sequence(F.lit(0), F.size(words) - 1)
-    places = F.filter(inner, lambda i: ~F.get(words, i).isin(*connectors)) if connectors else inner
-    places = F.when(F.size(words) > 0, places).otherwise(F.array().cast("array<int>"))
-    n = F.greatest(F.size(places) - 1, F.lit(0))
-    between = lambda i, j: F.array_join(F.slice(words, i + 2, j - i - 1), " ") if connectors else F.lit("")
-    return F.zip_with(F.slice(places, 1, n), F.slice(places, 2, n), lambda i, j: F.struct(F.get(words, i).alias("a"), between(i, j).alias("between"), F.get(words, j).alias("b")))
+def pairs(tokens: DataFrame, connectors: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, sent_id, a, b, between): each word with the next of its sentence; connectors may stand between but not at the ends."""
+    place = Window.partitionBy("doc_id", "sent_id").orderBy("pos")
+    rows = tokens
+    if connectors:
+        # a run of connectors is kept with the word after it
+        run = F.sum(F.when(~F.col("token").isin(*connectors), 1).otherwise(0)).over(place.rowsBetween(Window.unboundedPreceding, -1))
+        rows = tokens.withColumn("__run", F.coalesce(run, F.lit(0)))
+        inner = rows.where(F.col("token").isin(*connectors)).groupBy("doc_id", "sent_id", "__run")
+        inner = inner.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), " ").alias("__between"))
+        rows = rows.where(~F.col("token").isin(*connectors)).join(inner, ["doc_id", "sent_id", "__run"], "left")
+    else:
+        rows = rows.withColumn("__between", F.lit(None).cast("string"))
+    after = rows.select("doc_id", "sent_id", F.col("token").alias("a"), F.lead("token").over(place).alias("b"), F.coalesce(F.lead("__between").over(place), F.lit("")).alias("between"))
+    return after.where(F.col("b").isNotNull())
 
 
-def pairs(tokens: DataFrame, connectors: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, sent_id, a, between, b): each word with the next of its sentence; connectors may stand between but not at the ends.
+def text_pairs(text: Column, apart: int = 1, beside: str = r"[^\p{L}.!?]") -> Column:
+    """Array of (a, b): each word of lower-cased text with the one ``apart`` words on, with nothing but ``beside`` between words.
 
-    ``tokens`` is a token table or one of sentences (doc_id, sent_id, tokens
-    as an array), for which nothing is shuffled.
+    Two expressions with a look-ahead, for the one word and the other: as many
+    matches, in one order. Nothing is shuffled, and no lambda runs for a word.
     """
-    return _sentences(tokens).select("doc_id", "sent_id", F.explode(_pairs(connectors)).alias("p")).select("doc_id", "sent_id", "p.*")
+    gap = rf"{beside}++\p{{L}}++" * (apart - 1) + rf"{beside}++"
+    found = F.lit(rf"(\p{{L}}++)(?={gap}(\p{{L}}++))")
+    return F.arrays_zip(F.regexp_extract_all(text, found, F.lit(1)).alias("a"), F.regexp_extract_all(text, found, F.lit(2)).alias("b"))
 
 
 def pair_scores(tokens: DataFrame, connectors: tuple[str, ...] = (), min_count: int = 5, threshold: float | None = None, scoring: str = "npmi") -> DataFrame:
     """(a, between, b, joint, count_a, count_b, n_tokens, score) of pairs that occur ``min_count`` times or more.
 
     ``npmi`` or ``default``: (joint - min_count) / count_a / count_b times the
-    number of types. With a threshold only pairs above it are kept.
+    number of types. With a threshold only pairs above it are kept. Documents
+    (doc_id, text) may be given in place of tokens where there are no
+    connectors: their pairs need no order, and one shuffle counts them.
     """
     if scoring not in ("npmi", "default"):
         raise ValueError("scoring is npmi or default")
-    # words and pairs are counted together: a word is a pair without a second
-    word = F.transform("tokens", lambda t: F.struct(t.alias("a"), F.lit(None).cast("string").alias("between"), F.lit(None).cast("string").alias("b")))
-    each = _sentences(tokens).select(F.explode(F.concat(_pairs(connectors), word)).alias("p")).select("p.*")
-    # told apart by an aggregate, not by a key: so the three uses have one plan, whose shuffle is run once
-    counts = each.groupBy("a", "between", "b").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("b").isNull()).alias("alone"))
-    single = counts.where("alone")
-    joint = counts.where(~F.col("alone") & (F.col("n") >= min_count)).select("a", "between", "b", F.col("n").alias("joint"))
-    left = single.select(F.col("a").alias("__a"), F.col("n").alias("count_a"))
-    right = single.select(F.col("a").alias("__b"), F.col("n").alias("count_b"))
-    n_tokens = single.agg(F.sum("n")).scalar()
-    out = joint.join(left, F.col("a") == F.col("__a")).join(right, F.col("b") == F.col("__b")).withColumn("n_tokens", n_tokens)
+    if "text" in tokens.columns and not connectors:
+        low = F.lower("text")
+        met = tokens.select(F.explode(text_pairs(low)).alias("p")).select("p.a", F.lit("").alias("between"), "p.b")
+        tokens = tokens.select(F.explode(F.regexp_extract_all(low, F.lit(r"\p{L}+"), F.lit(0))).alias("token"))
+    else:
+        met = pairs(tokens, connectors)
+    joint = met.groupBy("a", "between", "b").agg(F.count(F.lit(1)).alias("joint")).where(F.col("joint") >= min_count)
+    single = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    left = single.select(F.col("token").alias("a"), F.col("n").alias("count_a"))
+    right = single.select(F.col("token").alias("b"), F.col("n").alias("count_b"))
+    out = joint.join(left, "a").join(right, "b").withColumn("n_tokens", tokens.agg(F.count(F.lit(1))).scalar())
     if scoring == "npmi":
         score: Column = npmi(F.col("joint"), [F.col("count_a"), F.col("count_b")], F.col("n_tokens"))
     else:
@@ -71,7 +73,8 @@ def fused(sentences: DataFrame, phrases: DataFrame, connectors: tuple[str, ...]
     phrases that a sentence could hold are joined to it, so none has to hold
     them all.
     """
-    met = pairs(sentences, connectors).join(phrases.select("a", "between", "b"), ["a", "between", "b"], "left_semi")
+    two = sentences.select("doc_id", "sent_id", F.posexplode("tokens").alias("pos", "token"))
+    met = pairs(two, connectors).join(phrases.select("a", "between", "b"), ["a", "between", "b"], "left_semi")
     key = F.concat_ws("\t", "a", "between", "b")
     known = met.groupBy("doc_id", "sent_id").agg(F.collect_set(key).alias("__known"))
     rows = sentences.join(known, ["doc_id", "sent_id"], "left").withColumn("__known", F.coalesce("__known", F.array().cast("array<string>")))

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..functions.maths import rate, ratio
 
+#: Ends a word that stands for its document; no word has it.
+MARK = "\0"
+
 
 def term_counts(tokens: DataFrame, by: tuple[str, ...] = (), doc: str = "doc_id") -> DataFrame:
     """(by..., token, raw, doc_count), documents counted once a term.
@@ -17,11 +21,10 @@ def term_counts(tokens: DataFrame, by: tuple[str, ...] = (), doc: str = "doc_id"
     word, combined in each task before they are sent.
     """
     if "sentences" in tokens.columns:
-        words = F.flatten("sentences")
-        row = lambda n, d: lambda t: F.struct(t.alias("token"), F.lit(n).alias("n"), F.lit(d).alias("d"))
-        rows = tokens.select(*by, F.explode(F.concat(F.transform(words, row(1, 0)), F.transform(F.array_distinct(words), row(0, 1)))).alias("t"))
-        rows = rows.select(*by, "t.*")
-        return rows.groupBy(*by, "token").agg(F.sum("n").alias("raw"), F.sum("d").alias("doc_count"))
+        marked = let(F.flatten("sentences"), lambda words: F.concat(words, F.transform(F.array_distinct(words), lambda t: F.concat(t, F.lit(MARK)))))
+        rows = tokens.select(*by, F.explode(marked).alias("t")).withColumn("once", F.endswith("t", F.lit(MARK)))
+        rows = rows.select(*by, F.when(F.col("once"), F.rtrim("t", F.lit(MARK))).otherwise(F.col("t")).alias("token"), "once")
+        return rows.groupBy(*by, "token").agg(F.count_if(~F.col("once")).alias("raw"), F.count_if("once").alias("doc_count"))
     each = tokens.groupBy(*by, "token", doc).agg(F.count(F.lit(1)).alias("n"))
     return each.groupBy(*by, "token").agg(F.sum("n").alias("raw"), F.count(F.lit(1)).alias("doc_count"))
 

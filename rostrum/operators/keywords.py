@@ -9,16 +9,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .collocation import text_pairs
+
 
 def cooccurrences(tokens: DataFrame, window: int = 4) -> DataFrame:
     """(doc_id, a, b, weight): unordered pairs of unlike tokens fewer than ``window`` positions apart, counted."""
     if window < 2:
         raise ValueError("the window must be 2 or more")
-    if "sentences" in tokens.columns:  # documents as arrays: the pairs are counted in one shuffle
-        words = F.flatten("sentences")
-        ends = lambda t: lambda u: F.struct(F.least(t, u).alias("a"), F.greatest(t, u).alias("b"))
-        met = F.flatten(F.transform(words, lambda t, i: F.transform(F.filter(F.slice(words, i + 2, F.lit(window - 1)), lambda u: u != t), ends(t))))
-        return tokens.select("doc_id", F.explode(met).alias("p")).groupBy("doc_id", "p.a", "p.b").agg(F.count(F.lit(1)).alias("weight"))
+    if "text" in tokens.columns:  # documents: their pairs are counted in one shuffle
+        low = F.lower("text")
+        met = F.explode(F.concat(*(text_pairs(low, k, r"\P{L}") for k in range(1, window)))).alias("p")
+        pairs = tokens.select("doc_id", met).select("doc_id", F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).where("a <> b")
+        return pairs.groupBy("doc_id", "a", "b").agg(F.count(F.lit(1)).alias("weight"))
     place = Window.partitionBy("doc_id").orderBy("pos")
     ahead = tokens.select("doc_id", "token", F.array(*(F.lead("token", k).over(place) for k in range(1, window))).alias("next"))
     pairs = ahead.select("doc_id", "token", F.explode("next").alias("other")).where(F.col("other").isNotNull() & (F.col("other") != F.col("token")))

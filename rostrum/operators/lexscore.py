@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..functions.maths import rate, ratio
 from ..profile import HUNGARIAN, Profile
 
@@ -51,17 +52,33 @@ def all_hits(tokens: Column, entries: list[str] | tuple[str, ...]) -> Column:
     of = lambda words: F.size(F.filter(words, lambda w: w.isin(*single))) if single else F.lit(0)
     if len(single) == len(ordered):
         return of(tokens)
-    text, total = F.concat(F.lit(" "), F.array_join(tokens, "  "), F.lit(" ")), F.lit(0)
-    for size in sorted({len(e) for e in ordered if len(e) > 1}, reverse=True):
-        words = "|".join("  ".join(rf"\Q{w}\E" for w in e) for e in ordered if len(e) == size)
-        total = total + F.regexp_count(text, F.lit(f" (?:{words}) "))
-        text = F.regexp_replace(text, f" (?:{words}) ", "  ")
-    return total + of(F.split(text, " +"))
+    sizes = sorted({len(e) for e in ordered if len(e) > 1}, reverse=True)
 
+    def from_(text: Column, k: int) -> Column:
+        if k == len(sizes):
+            return of(F.split(text, " +"))
+        words = "|".join("  ".join(rf"\Q{w}\E" for w in e) for e in ordered if len(e) == sizes[k])
+        return F.regexp_count(text, F.lit(f" (?:{words}) ")) + let(F.regexp_replace(text, f" (?:{words}) ", "  "), lambda rest: from_(rest, k + 1))
 
-def hits_in(lists: Column, entries: list[str] | tuple[str, ...]) -> Column:
-    """``all_hits`` summed over the sentences of a document: no entry goes beyond its sentence."""
-    return F.aggregate(lists, F.lit(0), lambda n, s: n + all_hits(s, entries)).cast("long")
+    return let(F.concat(F.lit(" "), F.array_join(tokens, "  "), F.lit(" ")), lambda text: from_(text, 0))
+
+
+def text_hits(text: Column, entries: list[str] | tuple[str, ...]) -> Column:
+    """``all_hits`` over lower-cased text as it stands: words are runs of letters, and no entry goes beyond its sentence.
+
+    One expression looks for entries of several words and of one together,
+    the longer first. Where entries have more lengths than that, the longest
+    are taken out before shorter ones are counted.
+    """
+    ordered = sorted({tuple(e.lower().split()) for e in entries if e.strip()}, key=lambda e: (-len(e), e))
+    sizes = sorted({len(e) for e in ordered if len(e) > 1}, reverse=True)
+    of = lambda some: r"(?<!\p{L})(?:" + "|".join(r"[^\p{L}.!?]+".join(rf"\Q{w}\E" for w in e) for e in some) + r")(?!\p{L})"
+    total = F.lit(0)
+    for size in sizes[:-1]:
+        pattern = of([e for e in ordered if len(e) == size])
+        total, text = total + F.regexp_count(text, F.lit(pattern)), F.regexp_replace(text, pattern, ".")
+    rest = [e for e in ordered if len(e) in (1, *sizes[-1:])]
+    return total + F.regexp_count(text, F.lit(of(rest))) if rest else total
 
 
 def sided(sentence: Column, profile: Profile = HUNGARIAN) -> Column:
@@ -72,19 +89,18 @@ def sided(sentence: Column, profile: Profile = HUNGARIAN) -> Column:
     precedes it. Words that are negated twice are in neither array.
     """
 
-    def marked(clause: Column) -> Column:
-        words = F.regexp_extract_all(clause, F.lit(r"\p{L}+"), F.lit(0))
-        first = F.array_position(F.transform(words, lambda w: w.isin(*profile.negation_forward)), True)
-        marks = lambda w, i: F.when((first > 0) & (i >= first) & ~w.isin(*profile.negation_forward), 1).otherwise(0)
-        if profile.negation_backward:
-            last = F.filter(F.transform(words, lambda w, i: F.when(w.isin(*profile.negation_backward), i)), lambda i: i.isNotNull())
-            ahead = marks
-            marks = lambda w, i: ahead(w, i) + F.size(F.filter(last, lambda k: k > i))
-        return F.transform(words, lambda w, i: F.struct(w.alias("w"), marks(w, i).alias("m")))
+    forward = lambda w: w.isin(*profile.negation_forward)
+    backward = lambda w: w.isin(*profile.negation_backward)
+
+    def marked(words: Column) -> Column:
+        first = F.array_position(F.transform(words, forward), True)
+        last = F.filter(F.transform(words, lambda w, i: F.when(backward(w), i)), lambda i: i.isNotNull()) if profile.negation_backward else F.array().cast("array<int>")
+        after = lambda p, q: lambda w, i: F.struct(w.alias("w"), (F.when((p > 0) & (i >= p) & ~forward(w), 1).otherwise(0) + F.size(F.filter(q, lambda k: k > i))).alias("m"))
+        return let(first, lambda p: let(last, lambda q: F.transform(words, after(p, q))))
 
-    all_ = F.flatten(F.transform(F.split(sentence, "[,;:]+"), marked))
-    of = lambda m: F.transform(F.filter(all_, lambda x: x["m"] == m), lambda x: x["w"])
-    return F.struct(of(0).alias("plain"), of(1).alias("turned"), F.size(all_).alias("n"))
+    clause = lambda c: let(F.regexp_extract_all(c, F.lit(r"\p{L}+"), F.lit(0)), marked)
+    of = lambda all_, m: F.transform(F.filter(all_, lambda x: x["m"] == m), lambda x: x["w"])
+    return let(F.flatten(F.transform(F.split(sentence, "[,;:]+"), clause)), lambda a: F.struct(of(a, 0).alias("plain"), of(a, 1).alias("turned"), F.size(a).alias("n")))
 
 
 def document_sentiment(docs: DataFrame, positive: tuple[str, ...], negative: tuple[str, ...], profile: Profile = HUNGARIAN, balanced: bool = False, text: str = "text") -> DataFrame:
@@ -94,14 +110,16 @@ def document_sentiment(docs: DataFrame, positive: tuple[str, ...], negative: tup
     shuffled.
     """
     weight = len(set(positive)) / len(set(negative)) if balanced and negative else 1.0
-    sentences = F.transform(F.split(F.lower(F.col(text)), r"[.!?]+"), lambda s: sided(s, profile))
-    rows = docs.select("doc_id", F.filter(sentences, lambda s: s["n"] > 0).alias("s")).where(F.size("s") > 0)
+    cue = r"(?<!\p{L})(?:" + "|".join(rf"\Q{w}\E" for w in (*profile.negation_forward, *profile.negation_backward)) + r")(?!\p{L})"
+    counted = lambda n, p, m: F.struct(*(x.cast("long").alias(c) for c, x in (("n", n), ("p", p), ("m", m))))
 
     def of(s: Column) -> Column:
-        p, m = (all_hits(s["plain"], a) + all_hits(s["turned"], b) for a, b in ((positive, negative), (negative, positive)))
-        return F.struct(s["n"].cast("long").alias("n"), p.cast("long").alias("p"), m.cast("long").alias("m"))
+        # word by word only where a cue is
+        plain = counted(F.regexp_count(s, F.lit(r"\p{L}+")), text_hits(s, positive), text_hits(s, negative))
+        p, m = (lambda x: all_hits(x["plain"], positive) + all_hits(x["turned"], negative)), (lambda x: all_hits(x["plain"], negative) + all_hits(x["turned"], positive))
+        return F.when(F.rlike(s, F.lit(cue)), let(sided(s, profile), lambda x: counted(x["n"], p(x), m(x)))).otherwise(plain)
 
-    rows = rows.select("doc_id", F.transform("s", of).alias("s"))
+    rows = docs.where(F.rlike(text, F.lit(r"\p{L}"))).select("doc_id", F.filter(F.transform(F.split(F.lower(F.col(text)), r"[.!?]+"), of), lambda s: s["n"] > 0).alias("s"))
     add = lambda value, zero: F.aggregate("s", zero, lambda acc, s: acc + value(s))
     zero = F.lit(0).cast("long")
     out = rows.select(
@@ -131,31 +149,34 @@ def sentiment(tokens: DataFrame, positive: tuple[str, ...], negative: tuple[str,
     return out.withColumn("polarity", F.coalesce(ratio(p - m, p + m), F.lit(0.0)))
 
 
-def emotions(lists: DataFrame, entries: dict[str, tuple[str, ...]], min_hits: int = MIN_EMOTION_HITS) -> DataFrame:
-    """(doc_id, n_tokens, a count and a rate for each category, hits, dominant, sparse) of ``listed`` documents with words.
+def emotions(docs: DataFrame, entries: dict[str, tuple[str, ...]], min_hits: int = MIN_EMOTION_HITS) -> DataFrame:
+    """(doc_id, n_tokens, a count and a rate for each category, hits, dominant, sparse) of documents (doc_id, text) with words.
 
-    Each document is counted where it lies, entries of several words included;
+    Each text is counted where it lies, entries of several words included;
     documents without hits are kept. Rates are a word's. Ties go to the first
     name.
     """
     names = list(entries)
-    rows = lists.select("doc_id", F.size(F.flatten("sentences")).cast("long").alias("n_tokens"), *(hits_in(F.col("sentences"), entries[c]).alias(c) for c in names)).where("n_tokens > 0")
+    low = docs.where(F.rlike("text", F.lit(r"\p{L}"))).select("doc_id", F.lower("text").alias("low"))
+    rows = low.select("doc_id", F.regexp_count("low", F.lit(r"\p{L}+")).cast("long").alias("n_tokens"), *(text_hits(F.col("low"), entries[c]).cast("long").alias(c) for c in names))
     total, best = sum((F.col(c) for c in names), F.lit(0)), F.greatest(*names)
     dominant = F.coalesce(*(F.when((F.col(c) == best) & (best > 0), F.lit(c)) for c in sorted(names)))
     rates = {f"{c}_rate": F.round(ratio(F.col(c), F.col("n_tokens")), 6) for c in names}
     return rows.withColumns({**rates, "hits": total, "dominant": dominant, "sparse": total < min_hits})
 
 
-def salience(lists: DataFrame, poles: dict[str, tuple[str, ...]], min_mentions: int = MIN_MENTIONS) -> DataFrame:
-    """(doc_id, virtue, affirming, accusing, n_tokens, per_1000, stance, sparse) of virtues that ``listed`` documents mention.
+def salience(docs: DataFrame, poles: dict[str, tuple[str, ...]], min_mentions: int = MIN_MENTIONS) -> DataFrame:
+    """(doc_id, virtue, affirming, accusing, n_tokens, per_1000, stance, sparse) of virtues that documents (doc_id, text) mention.
 
     ``poles`` maps ``virtue/pole`` to entries of one or several words. ``stance``
     is the share of affirming mentions. Nothing is shuffled.
     """
     virtues = list(dict.fromkeys(p.split("/")[0] for p in poles))
-    of = lambda v, pole: hits_in(F.col("sentences"), poles.get(f"{v}/{pole}", ())).alias(pole)
-    each = F.array(*(F.struct(F.lit(v).alias("virtue"), of(v, "affirming"), of(v, "accusing")) for v in virtues))
-    counts = lists.select("doc_id", F.explode(each).alias("v"), F.size(F.flatten("sentences")).cast("long").alias("n_tokens"))
+    low = docs.select("doc_id", F.lower("text").alias("low"))
+    hits = lambda p: text_hits(F.col("low"), poles.get(p, ())).cast("long").alias(f"__{p}")
+    wide = low.select("doc_id", F.regexp_count("low", F.lit(r"\p{L}+")).cast("long").alias("n_tokens"), *(hits(f"{v}/{p}") for v in virtues for p in ("affirming", "accusing")))
+    each = F.array(*(F.struct(F.lit(v).alias("virtue"), *(F.col(f"`__{v}/{p}`").alias(p) for p in ("affirming", "accusing"))) for v in virtues))
+    counts = wide.select("doc_id", F.explode(each).alias("v"), "n_tokens")
     return with_stance(counts.select("doc_id", "v.*", "n_tokens").where("affirming + accusing > 0"), min_mentions)
 
 

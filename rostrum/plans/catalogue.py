@@ -183,12 +183,12 @@ _AFFECT = f"""{_SPACED}, c AS (SELECT doc_id, any_value(source) AS source, CAST(
 
 @_query(f"""WITH {_AFFECT} SELECT doc_id, n_tokens, {", ".join(EMOTIONS_2)}, {", ".join(f"round({k}::DOUBLE / n_tokens, 6) AS {k}_rate" for k in EMOTIONS_2)}, {" + ".join(EMOTIONS_2)} AS hits, CASE """ + " ".join(f"WHEN {k} = greatest({', '.join(EMOTIONS_2)}) AND {k} > 0 THEN '{k}'" for k in sorted(EMOTIONS_2)) + f""" END AS dominant, {" + ".join(EMOTIONS_2)} < 5 AS sparse FROM c""")
 def emotion_rates(spark, sf_dir):
-    return lexscore.emotions(_lists(spark, sf_dir), EMOTIONS_2)
+    return lexscore.emotions(_read(spark, sf_dir, "documents"), EMOTIONS_2)
 
 
 @_query(f"""WITH {_AFFECT} SELECT source, count(*) AS documents, CAST(sum(n_tokens) AS BIGINT) AS n_tokens, {", ".join(f"CAST(sum({k}) AS BIGINT) AS {k}, round(sum({k})::DOUBLE / sum(n_tokens), 6) AS {k}_rate" for k in EMOTIONS_2)} FROM c GROUP BY source""")
 def speaker_affect(spark, sf_dir):
-    scores = lexscore.emotions(_lists(spark, sf_dir), EMOTIONS_2).join(_read(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    scores = lexscore.emotions(_read(spark, sf_dir, "documents"), EMOTIONS_2).join(_read(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
     return lexscore.affect_by_speaker(scores, "source", list(EMOTIONS_2))
 
 
@@ -199,7 +199,7 @@ _POLES = {"courage/affirming": ("the", "le", "der", "el", "of the"), "courage/ac
   v AS (SELECT doc_id, 'courage' AS virtue, courage_affirming AS affirming, courage_accusing AS accusing, n_tokens FROM c UNION ALL SELECT doc_id, 'justice', justice_affirming, justice_accusing, n_tokens FROM c)
   SELECT doc_id, virtue, affirming, accusing, n_tokens, (affirming + accusing)::DOUBLE * 1000 / n_tokens AS per_1000, affirming::DOUBLE / (affirming + accusing) AS stance, affirming + accusing < 3 AS sparse FROM v WHERE affirming + accusing > 0""")
 def salience_stance(spark, sf_dir):
-    return lexscore.salience(_lists(spark, sf_dir), _POLES)
+    return lexscore.salience(_read(spark, sf_dir, "documents"), _POLES)
 
 
 @_query(f"""WITH {_TOK}, lex(category, entry) AS (VALUES {_pairs(VIRTUES)})
@@ -230,7 +230,7 @@ _WORDS_BY_SENTENCE = r"""w AS MATERIALIZED (SELECT regexp_extract_all(unnest(str
      round((ln(joint::DOUBLE / n_tokens) - (ln(x.n::DOUBLE / n_tokens) + ln(y.n::DOUBLE / n_tokens))) / (-1 * ln(joint::DOUBLE / n_tokens)), 6) AS score
   FROM j JOIN c x ON x.token = j.a JOIN c y ON y.token = j.b, t""")
 def bigram_npmi(spark, sf_dir):
-    return collocation.pair_scores(tokens.by_sentence(_lists(spark, sf_dir))).withColumn("score", F.round("score", 6))
+    return collocation.pair_scores(_read(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
 
 
 @_query(f"""WITH {_TOK}, k AS (SELECT *, sum(CASE WHEN token IN ({_in(CONNECTORS)}) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, sent_id ORDER BY pos) AS run FROM tok),
@@ -239,7 +239,7 @@ def bigram_npmi(spark, sf_dir):
      FROM k LEFT JOIN i USING (doc_id, sent_id, run) WHERE token NOT IN ({_in(CONNECTORS)}))
   SELECT a, between, b, count(*) AS joint FROM m WHERE b IS NOT NULL GROUP BY ALL HAVING count(*) >= 3""")
 def connector_bigrams(spark, sf_dir):
-    found = collocation.pairs(tokens.by_sentence(_lists(spark, sf_dir)), CONNECTORS).groupBy("a", "between", "b").agg(F.count(F.lit(1)).alias("joint"))
+    found = collocation.pairs(_tokens(spark, sf_dir), CONNECTORS).groupBy("a", "between", "b").agg(F.count(F.lit(1)).alias("joint"))
     return found.where("joint >= 3")
 
 
@@ -496,7 +496,7 @@ def best_quotes(spark, sf_dir):
 @_query(f"""WITH {_TOK}, p AS (SELECT a.doc_id, least(a.token, b.token) AS a, greatest(a.token, b.token) AS b, count(*) AS weight FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos > a.pos AND b.pos < a.pos + 4 AND a.token <> b.token GROUP BY ALL)
   SELECT doc_id, count(*) AS edges, CAST(sum(weight) AS BIGINT) AS weight, max(weight) AS heaviest FROM p GROUP BY doc_id""")
 def cooccurrence_edges(spark, sf_dir):
-    edges = keywords.cooccurrences(_lists(spark, sf_dir))
+    edges = keywords.cooccurrences(_tokens(spark, sf_dir))
     return edges.groupBy("doc_id").agg(F.count(F.lit(1)).alias("edges"), F.sum("weight").alias("weight"), F.max("weight").alias("heaviest"))
 
 
@@ -646,7 +646,8 @@ def phrase_fusion(spark, sf_dir):
     """Phrases of two rounds, the second over what the first has fused, and their frequencies."""
     fused = tokens.by_sentence(_lists(spark, sf_dir))
     for _ in range(2):
-        fused = collocation.fused(fused, collocation.pair_scores(fused, CONNECTORS, min_count=8, threshold=0.05), CONNECTORS, "#")
+        long = fused.select("doc_id", "sent_id", F.posexplode("tokens").alias("pos", "token"))
+        fused = collocation.fused(fused, collocation.pair_scores(long, CONNECTORS, min_count=8, threshold=0.05), CONNECTORS, "#")
     counts = fused.select("doc_id", F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("raw"))
     return counts.withColumn("order", T.ngram_order(F.col("token"))).where("order > 1")
 
