@@ -58,7 +58,8 @@ def _anchored(rows: DataFrame, length: int, width: int) -> DataFrame:
             found = [np.unique(anchors(_bytes(t), length, width)[1].view(np.int64), return_counts=True) for t in batch["text"]]
             some = [len(h) > 0 for h, _ in found]
             hashes, times = ([f[k] for f in found if len(f[0])] for k in (0, 1))
-            yield pd.DataFrame({"short": batch["short"][some], "hashes": hashes, "times": times})
+            if hashes:  # pandas gives columns without rows a type that is no list
+                yield pd.DataFrame({"short": batch["short"][some], "hashes": hashes, "times": times})
 
     return rows.select("short", "text").mapInPandas(find, "short long, hashes array<long>, times array<long>")
 

@@ -68,7 +68,8 @@ def _signed(keyed: DataFrame) -> DataFrame:
             for a, b in slices(texts):
                 registers = _registers(texts[a:b])
                 full = np.flatnonzero((registers != np.uint64(0xFFFFFFFFFFFFFFFF)).any(axis=1))
-                yield pd.DataFrame({"key": [keys[a + i] for i in full], "bands": list(band_keys(registers[full], BANDS, ROWS))})
+                if len(full):  # pandas gives columns without rows a type that is no list
+                    yield pd.DataFrame({"key": [keys[a + i] for i in full], "bands": list(band_keys(registers[full], BANDS, ROWS))})
 
     small_batches(keyed.sparkSession)
     rows = keyed.select(F.col("__key").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
