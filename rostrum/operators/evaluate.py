@@ -97,6 +97,21 @@ def set_differences(a: DataFrame, b: DataFrame, key: str, shown: int = 20) -> Da
     return few
 
 
+def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(side, n): how many distinct keys only the left table has, only the right, and both. Null keys are left out."""
+    both = a.select(F.col(key).alias("k"), F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(b.select(F.col(key).alias("k"), F.lit(0).alias("l"), F.lit(1).alias("r")))
+    each = both.where(F.col("k").isNotNull()).groupBy("k").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    side = F.when(F.col("l") > F.col("r"), "left").when(F.col("l") < F.col("r"), "right").otherwise("both")
+    return each.groupBy(side.alias("side")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def extremes(rows: DataFrame, value: str, n: int, *ties: str) -> DataFrame:
+    """The ``n`` rows of the largest and of the smallest ``value``, with ``end`` (top, bottom); nulls have no part."""
+    known = rows.where(F.col(value).isNotNull())
+    top = known.orderBy(F.desc(value), *ties).limit(n).withColumn("end", F.lit("top"))
+    return top.unionByName(known.orderBy(F.asc(value), *ties).limit(n).withColumn("end", F.lit("bottom")))
+
+
 def best_quotes(docs: DataFrame, terms: DataFrame, by: str, stem: int = 6, shortest: int = 40, longest: int = 400, opening: int = 240) -> DataFrame:
     """(by, doc_id, quote, hits): for each group the sentence that holds most of its terms' stems.
 

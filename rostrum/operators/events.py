@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.maths import rate, ratio
-from ..functions.text import all_matches, case_stripped, first_match
+from ..functions.text import all_matches, case_stripped, first_match, has_text, is_remark, spans
 from ..profile import HUNGARIAN, LOWER, UPPER, Profile
 
 
@@ -145,3 +145,59 @@ def speaker_scores(events: DataFrame, totals: DataFrame, kinds: list[str]) -> Da
     out = totals.join(sums, "speaker", "left").na.fill(0)
     rates = {f"{k}_per_1000_words": rate(F.col(k), F.col("n_words"), 1000.0) for k in kinds} | {f"{k}_per_minute": ratio(F.col(k), F.col("minutes")) for k in kinds}
     return out.withColumns(rates)
+
+
+def floor_events(speeches: DataFrame, text: str = "text", profile: Profile = HUNGARIAN) -> DataFrame:
+    """A row for each classified event that a speech's brackets hold, with the speech's other columns and ``audience``: it goes to who has the floor.
+
+    ``speeches`` has text and cycle. Bare capitalised words, times and numbers
+    in brackets are no remarks; events of no known kind are left out. No join
+    is needed, since the event lies inside the speech.
+    """
+    rest = [c for c in speeches.columns if c != text]
+    rows = speeches.select(*rest, F.explode(spans(F.col(text))).alias("span"))
+    rows = split_lines(rows.where(has_text(F.col("span")) & is_remark(F.col("span"))), "span", profile)
+    rows = classified(rows, profile).where("kind <> 'other'")
+    sides = F.transform("parties", lambda p: side_of(p, F.col("cycle"), profile))
+    return rows.withColumn("audience", audience_label(F.col("audiences"), sides))
+
+
+def own_side(faction: Column, office: Column, cycle: Column, profile: Profile = HUNGARIAN) -> tuple[Column, Column]:
+    """(side, side_source): by the faction, or else government by an office, or else none."""
+    by_faction, by_office = F.coalesce(faction != "", F.lit(False)), F.coalesce(F.trim(office) != "", F.lit(False))
+    side = F.when(by_faction, side_of(faction, cycle, profile)).when(by_office, "government")
+    return side, F.when(by_faction, "faction").when(by_office, "office").otherwise("none")
+
+
+def floor_totals(speeches: DataFrame, keys: tuple[str, ...] = ("speaker", "faction")) -> DataFrame:
+    """(keys..., speeches, words, minutes, office): what reactions are measured against. Speeches have n_words, duration_s and office."""
+    return speeches.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("speeches"), F.sum("n_words").alias("words"),
+        F.round(F.sum("duration_s") / 60, 2).alias("minutes"), F.max("office").alias("office"),
+    )
+
+
+def floor_scores(events: DataFrame, totals: DataFrame, benches: tuple[str, ...] = ("laughter", "applause"), kinds: tuple[str, ...] = ("laughter", "applause", "heckling", "uproar", "noise"), min_speeches: int = 5) -> DataFrame:
+    """``totals`` with what each speaker drew: counts and weights by kind, which benches responded, and rates.
+
+    ``events`` has speaker, kinds, weight and audience, ``totals`` speaker,
+    side, speeches, words and minutes. Heckles are others' doing and are
+    ``heckles_received``. Own and other side are 0 for speakers of no side;
+    what no bench is named for is ``unattributed``. Speakers below
+    ``min_speeches`` are flagged, not dropped. One aggregation by speaker.
+    """
+    name = lambda k: "heckles_received" if k == "heckling" else k
+    has, from_ = (lambda k: F.array_contains("kinds", k)), ("government", "opposition", "unspecified")
+    sums = events.groupBy("speaker").agg(
+        *(F.count_if(has(k)).alias(name(k)) for k in kinds),
+        *(F.round(F.sum(F.when(has(k), F.col("weight"))), 2).alias(f"{name(k)}_weighted") for k in kinds),
+        *(F.count_if(has(k) & (F.col("audience") == side)).alias(f"{k}_from_{side}") for k in benches for side in from_),
+    )
+    out = totals.join(sums, "speaker", "left").na.fill(0, [c for c in sums.columns if c != "speaker"])
+    side = F.col("side")
+    for k in benches:
+        gov, opp = F.col(f"{k}_from_government"), F.col(f"{k}_from_opposition")
+        own, other = (F.when(side == "government", a).when(side == "opposition", b).otherwise(0) for a, b in ((gov, opp), (opp, gov)))
+        out = out.withColumns({f"{k}_own_side": own, f"{k}_other_side": other, f"{k}_unattributed": F.col(k) - own - other})
+        out = out.withColumns({f"{k}_per_speech": F.round(ratio(F.col(k), F.col("speeches")), 4), f"{k}_per_1000_words": F.round(rate(F.col(k), F.col("words"), 1000.0), 3), f"{k}_per_minute": F.round(ratio(F.col(k), F.col("minutes")), 4)})
+    return out.withColumn("below_min_speeches", F.col("speeches") < min_speeches)

@@ -697,6 +697,73 @@ def dashboard_json(spark, sf_dir):
     return dashboard({"parties": party_table(spark, sf_dir), "roles": role_partition(spark, sf_dir), "terms": class_terms(spark, sf_dir)})
 
 
+#: Speeches with remarks as note-takers write them, and what each remark means (kinds, audience, weight).
+SPEECHES = (
+    "Köszönöm. (Derültség a kormánypártok soraiban.) Folytatom.", "Tisztelt Ház! (Taps az ellenzék soraiban. - Moraj.)", "Igen. (Nagy taps a Fidesz soraiban.) Nem.",
+    "Most (14.20) és itt (Jobbik) vagyunk.", "Hát (Közbeszólás: Úgy van!) igen.", "Vége. (Hosszan tartó taps az MSZP soraiban.)",
+)
+_REMARKS = "(0, 'laughter', 'government', 1.0), (1, 'applause', 'opposition', 1.0), (1, 'noise', 'unspecified', 1.0), (2, 'applause', 'Fidesz', 1.5), (4, 'heckling', 'unspecified', 1.0), (5, 'applause', 'opposition', 2.0)"
+_FLOOR = f"""sp AS (SELECT user_id AS speaker, 39 + user_id % 5 AS cycle, event_id % 6 AS t, CASE user_id % 3 WHEN 0 THEN 'Fidesz' WHEN 1 THEN 'TISZA' END AS faction, CASE WHEN user_id % 4 = 0 THEN 'miniszter' ELSE '' END AS office FROM events),
+  m(t, kind, said, weight) AS (VALUES {_REMARKS}),
+  ev AS (SELECT speaker, cycle, kind, weight, CASE WHEN said <> 'Fidesz' THEN said WHEN cycle = 43 THEN 'opposition' ELSE 'government' END AS audience FROM sp JOIN m USING (t))"""
+
+
+def _speeches(spark, sf_dir):
+    u = F.col("user_id")
+    rows = _read(spark, sf_dir, "events").select(
+        u.alias("speaker"), (39 + u % 5).cast("int").alias("cycle"), F.element_at(F.array(*map(F.lit, SPEECHES)), (F.col("event_id") % 6 + 1).cast("int")).alias("text"),
+        F.when(u % 3 == 0, "Fidesz").when(u % 3 == 1, "TISZA").alias("faction"), F.when(u % 4 == 0, "miniszter").otherwise("").alias("office"), F.lit(90.0).alias("duration_s"),
+    )
+    return rows.withColumn("n_words", T.whitespace_words(F.col("text")).cast("long"))
+
+
+@_query(f"""WITH {_FLOOR} SELECT cycle::INTEGER AS cycle, kind, audience, count(*) AS events, CAST(sum(weight) AS DOUBLE) AS weighted FROM ev GROUP BY ALL""")
+def floor_reactions(spark, sf_dir):
+    rows = events.floor_events(_speeches(spark, sf_dir))
+    return rows.groupBy("cycle", "kind", "audience").agg(F.count(F.lit(1)).alias("events"), F.sum("weight").alias("weighted"))
+
+
+@_query(f"""WITH {_FLOOR}, w(t, n) AS (VALUES {", ".join(f"({k}, {len(s.split())})" for k, s in enumerate(SPEECHES))}),
+  tot AS (SELECT speaker, faction, max(office) AS office, any_value(cycle) AS cycle, count(*) AS speeches, CAST(sum(n) AS BIGINT) AS words, round(count(*) * 1.5, 2)::DOUBLE AS minutes FROM sp JOIN w USING (t) GROUP BY speaker, faction),
+  side AS (SELECT *, CASE WHEN faction IS NOT NULL THEN CASE WHEN (faction = 'TISZA') = (cycle = 43) THEN 'government' ELSE 'opposition' END WHEN office <> '' THEN 'government' END AS side,
+     CASE WHEN faction IS NOT NULL THEN 'faction' WHEN office <> '' THEN 'office' ELSE 'none' END AS side_source FROM tot),
+  c AS (SELECT speaker, count(*) FILTER (kind = 'laughter') AS laughter, count(*) FILTER (kind = 'applause') AS applause, count(*) FILTER (kind = 'heckling') AS heckles, coalesce(sum(weight) FILTER (kind = 'applause'), 0) AS aw,
+     count(*) FILTER (kind = 'applause' AND audience = 'government') AS ag, count(*) FILTER (kind = 'applause' AND audience = 'opposition') AS ao FROM ev GROUP BY speaker),
+  j AS (SELECT s.*, coalesce(laughter, 0) AS laughter, coalesce(applause, 0) AS applause, coalesce(heckles, 0) AS heckles_received, coalesce(aw, 0)::DOUBLE AS applause_weighted, coalesce(ag, 0) AS ag, coalesce(ao, 0) AS ao FROM side s LEFT JOIN c USING (speaker)),
+  o AS (SELECT *, CASE side WHEN 'government' THEN ag WHEN 'opposition' THEN ao ELSE 0 END AS own, CASE side WHEN 'government' THEN ao WHEN 'opposition' THEN ag ELSE 0 END AS other FROM j)
+  SELECT speaker, side, side_source, speeches, words, minutes, laughter, applause, heckles_received, applause_weighted, own AS applause_own_side, other AS applause_other_side, applause - own - other AS applause_unattributed,
+     round(applause::DOUBLE / speeches, 4) AS applause_per_speech, round(applause::DOUBLE * 1000 / words, 3) AS applause_per_1000_words, round(applause::DOUBLE / minutes, 4) AS applause_per_minute, speeches < 5 AS below_min_speeches FROM o""")
+def floor_scores(spark, sf_dir):
+    speeches = _speeches(spark, sf_dir)
+    totals = events.floor_totals(speeches, ("speaker", "faction", "cycle"))
+    side, source = events.own_side(F.col("faction"), F.col("office"), F.col("cycle"))
+    out = events.floor_scores(events.floor_events(speeches), totals.withColumns({"side": side, "side_source": source}))
+    ends = ("own_side", "other_side", "unattributed", "per_speech", "per_1000_words", "per_minute")
+    return out.select("speaker", "side", "side_source", "speeches", "words", "minutes", "laughter", "applause", "heckles_received", "applause_weighted", *(f"applause_{e}" for e in ends), "below_min_speeches").withColumns({f"applause_{e}": F.col(f"applause_{e}").cast("long") for e in ends[:3]})
+
+
+@_query(f"""WITH {_TOK}, v AS (SELECT token, bool_or(lang = 'en') AS a, bool_or(lang = 'fr') AS b FROM tok WHERE lang IN ('en', 'fr') GROUP BY token)
+  SELECT CASE WHEN a AND b THEN 'both' WHEN a THEN 'left' ELSE 'right' END AS side, count(*) AS n FROM v GROUP BY 1""")
+def vocabulary_overlap(spark, sf_dir):
+    words = _tokens(spark, sf_dir, "lang")
+    return evaluate.overlap(*(words.where(F.col("lang") == x).select("token") for x in ("en", "fr")), "token")
+
+
+@_query("""SELECT conv_id, count(*) AS turns FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations WHERE role = 'system' INTERSECT SELECT conv_id FROM conversations WHERE turn >= 5) GROUP BY conv_id""")
+def exchanges_in_both(spark, sf_dir):
+    rows = _read(spark, sf_dir, "conversations")
+    shared = rows.where("role = 'system'").select("conv_id").intersect(rows.where("turn >= 5").select("conv_id"))
+    return rows.join(shared, "conv_id", "left_semi").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"))
+
+
+@_query("""WITH c AS (SELECT source, avg((toxic = 1)::INT) AS share FROM documents JOIN labels USING (doc_id) WHERE source IS NOT NULL AND toxic IS NOT NULL GROUP BY source),
+  t AS (SELECT source, share FROM c ORDER BY share DESC, source LIMIT 2), b AS (SELECT source, share FROM c ORDER BY share, source LIMIT 2)
+  SELECT source, round(share, 9) AS share, 'top' AS "end" FROM t UNION ALL SELECT source, round(share, 9), 'bottom' FROM b""")
+def extreme_shares(spark, sf_dir):
+    rows = _labelled(spark, sf_dir).where("source IS NOT NULL AND toxic IS NOT NULL").groupBy("source").agg(F.avg((F.col("toxic") == 1).cast("int")).alias("share"))
+    return evaluate.extremes(rows, "share", 2, "source").withColumn("share", F.round("share", 9))
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
