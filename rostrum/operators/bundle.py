@@ -32,8 +32,10 @@ def pivot_counts(rows: DataFrame, key: str, kind: str, kinds: list[str]) -> Data
 def association(rows: DataFrame, a: str, b: str, least: int = 2) -> DataFrame:
     """(a, b, n, share_of_a, share_of_b) of pairs that occur ``least`` times, the shares being of all pairs."""
     pairs = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
-    part = lambda k: ratio(F.col("n"), F.sum("n").over(Window.partitionBy(k)))
-    return pairs.withColumns({"share_of_a": part(a), "share_of_b": part(b)}).where(F.col("n") >= least)
+    # totals are combined before they are sent, so a frequent value is no hot key; pairs are joined to them
+    whole = lambda k, name: pairs.groupBy(F.col(k).alias(f"__{name}")).agg(F.sum("n").alias(name))
+    out = pairs.where(F.col("n") >= least).join(whole(a, "of_a"), F.col(a) == F.col("__of_a")).join(whole(b, "of_b"), F.col(b) == F.col("__of_b"))
+    return out.select(a, b, "n", ratio(F.col("n"), F.col("of_a")).alias("share_of_a"), ratio(F.col("n"), F.col("of_b")).alias("share_of_b"))
 
 
 def top_of_group(rows: DataFrame, by: str, order: list, n: int = 1) -> DataFrame:

@@ -89,12 +89,14 @@ def in_context(tokens: DataFrame, terms: list[str], reach: int = 7, most: int =
 
 def set_differences(a: DataFrame, b: DataFrame, key: str, shown: int = 20) -> DataFrame:
     """(side, n, keys): keys that one table has alone, counted whole and listed up to ``shown``."""
-    left = a.select(key).exceptAll(b.select(key)).withColumn("side", F.lit("left"))
-    right = b.select(key).exceptAll(a.select(key)).withColumn("side", F.lit("right"))
-    both = left.unionByName(right)
-    rank = F.row_number().over(Window.partitionBy("side").orderBy(key))
-    few = both.withColumn("__r", rank).groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("__r") <= shown, F.col(key)))).alias("keys"))
-    return few
+
+    def of(side: str, alone: DataFrame) -> DataFrame:
+        # counted by all tasks; of the keys no task hands on more than are shown
+        first = alone.orderBy(key).limit(shown).agg(F.array_sort(F.collect_list(key)))
+        return alone.agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.lit(side).alias("side"), "n", first.scalar().alias("keys"))
+
+    x, y = a.select(key), b.select(key)
+    return of("left", x.exceptAll(y)).unionByName(of("right", y.exceptAll(x)))
 
 
 def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -259,3 +259,13 @@ def test_empty_tables(spark):
     assert frequency.frequency_frame(none, docs).count() == 0
     assert readability.mattr(none).count() == 0
     assert collocation.pair_scores(none).count() == 0
+
+
+def test_hits_in_text_are_those_in_arrays(spark):
+    entries = ["of the sea", "the sea", "sea", "of the", "la mer"]
+    texts = ["Of the sea, the sea. Sea!", "of the. sea", "la, mer la mer", "", "seas of thesea", "the  sea of the sea of"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    low = F.lower("t")
+    lists = F.transform(F.split(low, r"[.!?]+"), lambda s: F.regexp_extract_all(s, F.lit(r"\p{L}+"), F.lit(0)))
+    got = df.select(lexscore.text_hits(low, entries).alias("a"), F.aggregate(lists, F.lit(0), lambda n, x: n + lexscore.all_hits(x, entries)).alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got] == [3, 2, 2, 0, 0, 2]
