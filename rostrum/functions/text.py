@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,6 +13,27 @@ from ..profile import HUNGARIAN, Profile
 WORD = r"\p{L}+"
 
 
+def _bases() -> tuple[str, str]:
+    """Latin letters with marks and the letters that are left without them, in the same order."""
+    marked = [chr(c) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    bare = ["".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)) for c in marked]
+    pairs = [(c, b) for c, b in zip(marked, bare, strict=True) if len(b) == 1 and b != c]
+    return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
+
+
+MARKED, BARE = _bases()
+
+
+def composed(text: Column) -> Column:
+    """Letters and their marks as single characters (NFC), an Arrow batch at a time. For lists and names; corpora are taken as composed."""
+    return F.udf(lambda t: None if t is None else unicodedata.normalize("NFC", t), "string", useArrow=True)(text)
+
+
+def unmarked(text: Column) -> Column:
+    """Latin letters without their marks, be these part of the letter or characters of their own; in the JVM."""
+    return F.regexp_replace(F.translate(text, MARKED, BARE), r"\p{M}+", "")
+
+
 def words(text: Column) -> Column:
     """Lower-cased runs of letters, in order; null gives an empty array."""
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
@@ -46,11 +68,11 @@ def without_salutation(text: Column, profile: Profile = HUNGARIAN, max_words: in
 
 
 def name_key(name: Column, profile: Profile = HUNGARIAN) -> Column:
-    """A name without title, initial, accents and case, single-spaced."""
+    """A name without title, initial, marks and case, single-spaced."""
     bare = F.regexp_replace(name, rf"(?iu)^\s*(?:{profile.honorifics})\.?\s+", "")
     bare = F.regexp_replace(bare, r"^\s*\p{Lu}\.\s+", "")
     bare = F.lower(F.trim(F.regexp_replace(bare, r"\s+", " ")))
-    return F.translate(bare, "áàâäãåéèêëíìîïóòôöõőúùûüűçñ", "aaaaaaeeeeiiiioooooouuuuucn")
+    return F.lower(unmarked(bare))
 
 
 def letters(word: Column, profile: Profile = HUNGARIAN) -> Column:

@@ -97,3 +97,19 @@ def missing_from(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def population(rows: DataFrame, key: str, metrics: list[str], eligible) -> DataFrame:
     """(metric, key, value) of eligible rows, long."""
     return rows.where(eligible).unpivot([key], metrics, "metric", "value").where(F.col("value").isNotNull())
+
+
+def exchange_ids(exchanges: DataFrame, turns: str = "turns", uid: str = "uid") -> DataFrame:
+    """(uid): the distinct ids in arrays of turns; turns without one are passed over."""
+    return exchanges.select(F.explode(turns).alias("turn")).select(F.col(f"turn.{uid}").alias(uid)).where(F.col(uid) != "").distinct()
+
+
+def named(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``names``, a file of one row a key; rows without one stay."""
+    return rows.join(names.dropDuplicates([key]), key, "left")
+
+
+def party_medians(rows: DataFrame, value: str, by: str = "faction") -> DataFrame:
+    """(by, n, median): the exact median of each group's known values, of which each task hands on the distinct ones with their counts."""
+    known = rows.where(F.col(value).isNotNull())
+    return known.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.median(value).alias("median"))

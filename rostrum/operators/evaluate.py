@@ -136,3 +136,21 @@ def shortened(text, words: int, mark: str = " [...]"):
     """The first ``words`` words of a text, marked if there are more."""
     parts = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     return F.when(F.size(parts) > words, F.concat(F.array_join(F.slice(parts, 1, words), " "), F.lit(mark))).otherwise(text)
+
+
+def evidence(quotes: DataFrame, members: DataFrame, by: str, key: str, text: str = "text", prefix: int = 60) -> DataFrame:
+    """(by, quote, key, found): for each group's quote the first member whose single-spaced text has its first ``prefix`` characters, else the first member.
+
+    ``quotes`` has one row a group; texts are not shuffled where Spark can
+    send the quotes to them, and each task hands on one row a group.
+    """
+    asked = quotes.select(F.col(by).alias("__by"), F.col("quote").alias("__quote"))
+    rows = members.join(asked, F.col(by) == F.col("__by"))
+    has = F.contains(F.trim(F.regexp_replace(text, r"\s+", " ")), F.substring("__quote", 1, prefix))
+    out = rows.groupBy(by).agg(F.first("__quote").alias("quote"), F.min(F.when(has, F.col(key))).alias("__hit"), F.min(key).alias("__first"))
+    return out.select(by, "quote", F.coalesce("__hit", "__first").alias(key), F.col("__hit").isNotNull().alias("found"))
+
+
+def all_labels(a: DataFrame, b: DataFrame, label: str) -> DataFrame:
+    """(label): the labels that either table has; null is none."""
+    return a.select(label).unionByName(b.select(label)).where(F.col(label).isNotNull()).distinct()

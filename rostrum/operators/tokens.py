@@ -68,6 +68,21 @@ def is_punctuation(tag: Column) -> Column:
     return F.coalesce(main_category(tag).isNull() & F.contains(tag, F.lit("Punct")), F.lit(False))
 
 
+def is_bracketed_punctuation(tag: Column) -> Column:
+    """A tag that begins with a bracket and names punctuation, whatever its category."""
+    return F.coalesce(F.startswith(tag, F.lit("[")) & F.contains(tag, F.lit("Punct")), F.lit(False))
+
+
+def names_punctuation(tag: Column) -> Column:
+    """A tag that names punctuation anywhere."""
+    return F.coalesce(F.contains(tag, F.lit("Punct")), F.lit(False))
+
+
+def is_truncated(n_tokens: Column, most: int = 512) -> Column:
+    """Whether a model that takes ``most`` tokens sees only part of a text; unknown lengths are not."""
+    return F.coalesce(n_tokens > most, F.lit(False))
+
+
 def repaired(tokens: DataFrame, profile: Profile) -> DataFrame:
     """Tokens with the lemma and tag that the profile fixes for a form, and ``repaired``, whether that changed them."""
     if not profile.proper_nouns:
@@ -85,6 +100,13 @@ def lemma_sentences(tokens: DataFrame, profile: Profile) -> DataFrame:
     return kept.withColumn("place", place)
 
 
+def repairs(tokens: DataFrame, profile: Profile) -> DataFrame:
+    """One row (n_tokens, n_repaired, n_punctuation, n_blank): what ``lemma_sentences`` changes and leaves out."""
+    mark, blank = is_punctuation(F.col("xpostag")), F.trim(F.coalesce("lemma", F.lit(""))) == ""
+    counts = {"n_repaired": F.col("repaired"), "n_punctuation": mark, "n_blank": blank & ~mark}
+    return repaired(tokens, profile).agg(F.count(F.lit(1)).alias("n_tokens"), *(F.count_if(c).alias(n) for n, c in counts.items()))
+
+
 def streams(tokens: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_content, n_sentences) in one pass; sentences of punctuation alone count."""
     word = ~is_punctuation(F.col("xpostag")) & (F.trim(F.coalesce("form", F.lit(""))) != "")

@@ -64,3 +64,33 @@ def clusters(vectors: DataFrame, k: int, vector: str = "embedding", key: str = "
 def fingerprint(topics: dict[int, list[str]]) -> str:
     """16 hexadecimal digits that stand for a set of topics and their terms."""
     return hashlib.sha256(json.dumps(topics, sort_keys=True, ensure_ascii=False).encode()).hexdigest()[:16]
+
+
+def core(assigned: DataFrame, topic: str = "topic", label: str = "label", mixed: str = "Mix") -> DataFrame:
+    """Documents that a topic took and whose label is one class alone; those without a label have no part."""
+    return assigned.where((F.col(topic) >= 0) & (F.col(label) != mixed))
+
+
+def overview(rows: DataFrame, by: str, means: tuple[str, ...] = (), reliable_means: tuple[str, ...] = (), reactions: tuple[str, ...] = (), default_role: str = "debate") -> DataFrame:
+    """(by, n_speeches, n_words, minutes, qa_share, means, and reactions per hour of the floor), one row a topic.
+
+    ``reliable_means`` are of rows marked ``reliable`` alone; unknown values have
+    no part in a mean, which is null without any. A topic without time has
+    0 reactions an hour. Rows without a role count as the default one.
+    """
+    minutes = F.sum(F.coalesce("duration_s", F.lit(0.0))) / 60
+    hourly = [F.coalesce(F.try_divide(F.sum(r) * F.lit(60.0), minutes), F.lit(0.0)) for r in reactions]
+    return rows.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n_speeches"), F.sum("n_words").alias("n_words"), F.round(minutes, 1).alias("minutes"),
+        F.round(F.avg((F.coalesce("role", F.lit(default_role)) != default_role).cast("double")), 6).alias("qa_share"),
+        *(F.round(F.avg(m), 6).alias(m) for m in means),
+        *(F.round(F.avg(F.when(F.col("reliable"), F.col(m))), 6).alias(m) for m in reliable_means),
+        *(F.round(h, 3).alias(f"{r}_per_hour") for r, h in zip(reactions, hourly, strict=True)),
+    )
+
+
+def lead_keywords(rows: DataFrame, by: str, keywords: str = "keywords", first: int = 5, shown: int = 8, mark: str = ";") -> DataFrame:
+    """(by, term, n, rank): the ``shown`` terms of each topic that are oftenest among the ``first`` of a document's list; ties by term."""
+    terms = rows.select(by, F.explode(F.slice(F.split(keywords, rf"\Q{mark}\E"), 1, first)).alias("term")).where("term <> ''")
+    counts = terms.groupBy(by, "term").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), "term"))).where(F.col("rank") <= shown)

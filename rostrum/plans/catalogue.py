@@ -764,6 +764,67 @@ def extreme_shares(spark, sf_dir):
     return evaluate.extremes(rows, "share", 2, "source").withColumn("share", F.round("share", 9))
 
 
+_TALKS = "SELECT user_id % 7 AS topic, (event_id % 97)::DOUBLE AS duration_s, CASE WHEN event_id % 5 > 0 THEN (event_id % 61)::DOUBLE END AS lix, event_type <> 'error' AS reliable, event_id % 11 AS n_words, event_type FROM events"
+
+
+def _talks(spark, sf_dir):
+    e, kind = F.col("event_id"), F.col("event_type")
+    return _read(spark, sf_dir, "events").select(
+        (F.col("user_id") % 7).alias("topic"), (e % 97).cast("double").alias("duration_s"), F.when(e % 5 > 0, (e % 61).cast("double")).alias("lix"), 
+        (kind != "error").alias("reliable"), (e % 11).alias("n_words"), kind.alias("role"), (kind == "click").cast("int").alias("clicks"),
+        F.concat_ws(";", *(F.concat(F.lit("k"), (e * x % 13).cast("string")) for x in (1, 3, 5, 7))).alias("keywords"),
+    )
+
+
+@_query(f"""SELECT topic, count(*) AS n_speeches, CAST(sum(n_words) AS BIGINT) AS n_words, round(sum(duration_s) / 60, 1) AS minutes, round(avg((coalesce(event_type, 'view') <> 'view')::INT), 6) AS qa_share,
+     round(avg(lix) FILTER (reliable), 6) AS lix, coalesce(round(count(*) FILTER (event_type = 'click') * 60.0::DOUBLE / nullif(sum(duration_s) / 60, 0), 3), 0) AS clicks_per_hour FROM ({_TALKS}) GROUP BY topic""")
+def topic_overview(spark, sf_dir):
+    return topics.overview(_talks(spark, sf_dir), "topic", reliable_means=("lix",), reactions=("clicks",), default_role="view")
+
+
+@_query("""WITH k AS (SELECT user_id % 7 AS topic, unnest(['k' || (event_id % 13), 'k' || (event_id * 3 % 13), 'k' || (event_id * 5 % 13)]) AS term FROM events),
+  c AS (SELECT topic, term, count(*) AS n FROM k GROUP BY ALL)
+  SELECT topic, term, n, r::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY n DESC, term) AS r FROM c) WHERE r <= 4""")
+def topic_lead_keywords(spark, sf_dir):
+    return topics.lead_keywords(_talks(spark, sf_dir), "topic", first=3, shown=4)
+
+
+@_query(f"""SELECT topic, count(*) AS n, median(lix) AS median FROM ({_TALKS}) WHERE lix IS NOT NULL GROUP BY topic""")
+def topic_medians(spark, sf_dir):
+    return bundle.party_medians(_talks(spark, sf_dir), "lix", "topic")
+
+
+@_query("""WITH q AS (SELECT lang, substr(regexp_replace(trim(text, E' \\t\\r\\n'), '\\s+', ' ', 'g'), 1, 80) AS quote FROM documents WHERE doc_id IN (SELECT max(doc_id) FROM documents WHERE lang IS NOT NULL GROUP BY lang)),
+  m AS (SELECT lang, quote, doc_id, contains(trim(regexp_replace(text, '\\s+', ' ', 'g')), substr(quote, 1, 60)) AS has FROM documents JOIN q USING (lang))
+  SELECT lang, any_value(quote) AS quote, coalesce(min(doc_id) FILTER (has), min(doc_id)) AS doc_id, count(*) FILTER (has) > 0 AS found FROM m GROUP BY lang""")
+def quote_evidence(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    last = docs.where("lang IS NOT NULL").groupBy("lang").agg(F.max_by("text", "doc_id").alias("text"))
+    return evaluate.evidence(last.select("lang", F.substring(T.one_line(F.col("text")), 1, 80).alias("quote")), docs, "lang", "doc_id")
+
+
+@_query("""SELECT DISTINCT label FROM (SELECT lang AS label FROM documents UNION ALL SELECT role FROM conversations) WHERE label IS NOT NULL""")
+def label_union(spark, sf_dir):
+    langs, speakers = _read(spark, sf_dir, "documents").select(F.col("lang").alias("label")), _read(spark, sf_dir, "conversations").select(F.col("role").alias("label"))
+    return evaluate.all_labels(langs, speakers, "label")
+
+
+@_query("""SELECT DISTINCT conv_id || '/' || turn AS uid FROM conversations WHERE role <> 'system'""")
+def exchange_uids(spark, sf_dir):
+    rows = _read(spark, sf_dir, "conversations")
+    uid = F.when(F.col("role") != "system", F.concat_ws("/", "conv_id", "turn")).otherwise("")
+    return bundle.exchange_ids(rows.groupBy("conv_id").agg(F.collect_list(F.struct(uid.alias("uid"))).alias("turns")))
+
+
+@_query("""WITH t AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '[Punct]' WHEN 1 THEN '[/N][Punct]' WHEN 2 THEN 'Punct' WHEN 3 THEN '[/N][Nom]' END AS tag, event_id % 700 AS n FROM events)
+  SELECT count(*) FILTER (tag LIKE '[%' AND contains(tag, 'Punct')) AS bracketed, count(*) FILTER (contains(tag, 'Punct')) AS named, count(*) FILTER (n > 512) AS truncated FROM t""")
+def tag_predicates(spark, sf_dir):
+    e = F.col("event_id")
+    tag = F.get(F.array(*(F.lit(x) for x in ("[Punct]", "[/N][Punct]", "Punct", "[/N][Nom]"))), (e % 5).cast("int"))
+    rows = _read(spark, sf_dir, "events").select(tag.alias("tag"), (e % 700).alias("n"))
+    return rows.agg(F.count_if(tokens.is_bracketed_punctuation(F.col("tag"))).alias("bracketed"), F.count_if(tokens.names_punctuation(F.col("tag"))).alias("named"), F.count_if(tokens.is_truncated(F.col("n"))).alias("truncated"))
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 

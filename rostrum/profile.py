@@ -92,6 +92,7 @@ HUNGARIAN = Profile(
         "Párbeszéd": ("Párbeszéd", "[/N][Nom]"), "Együtt": ("Együtt", "[/N][Nom]"),
     },
     stopwords={
+        "function_words": ("a", "az", "és", "hogy", "is", "egy", "nem", "de"),
         "light_verbs": (
             "van", "volt", "lesz", "kell", "lehet", "szabad", "fog", "akar", "szeret", "kíván", "mond", "elmond", "beszél",
             "szól", "gondol", "hisz", "vél", "ért", "érez", "tud", "ismer", "lát", "néz", "említ", "jelent", "tekint",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import decoded_whitespace, without_soft_hyphens
+from ..functions.text import composed, decoded_whitespace, without_soft_hyphens
 
 _PERSON = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "name", "faction", "office")] + [T.StructField("is_mp", T.BooleanType())])
 _AGENDA = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "title", "kind")])
@@ -77,10 +77,10 @@ def line_corpus(spark: SparkSession, path: str, pattern: str = r"cycle(\d+)", li
 
 
 def word_list(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """(category, entry, n_words, lexicon_id) of a list with an entry a line; blank lines and comments are passed over. An empty list fails."""
+    """(category, entry, n_words, lexicon_id) of a list with an entry a line; blank lines and comments are passed over, marks are joined to their letters. An empty list fails."""
     content = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("sha"), F.decode("content", "UTF-8").alias("t"))
     rows = content.select("sha", F.explode(F.split("t", r"\R")).alias("line"))
-    rows = rows.select("sha", F.lower(F.trim(F.regexp_replace("line", r"\s+", " "))).alias("entry")).where("entry <> '' AND NOT startswith(entry, '#')").distinct()
+    rows = rows.select("sha", F.lower(composed(F.trim(F.regexp_replace("line", r"\s+", " ")))).alias("entry")).where("entry <> '' AND NOT startswith(entry, '#')").distinct()
     out = rows.select(F.lit(name).alias("category"), "entry", F.size(F.split("entry", " ")).alias("n_words"), F.concat(F.lit(f"{name}@"), F.substring(F.col("sha"), 1, 12)).alias("lexicon_id"))
     if out.isEmpty():
         raise ValueError(f"{path} has no entries")

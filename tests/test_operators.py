@@ -269,3 +269,36 @@ def test_hits_in_text_are_those_in_arrays(spark):
     lists = F.transform(F.split(low, r"[.!?]+"), lambda s: F.regexp_extract_all(s, F.lit(r"\p{L}+"), F.lit(0)))
     got = df.select(lexscore.text_hits(low, entries).alias("a"), F.aggregate(lists, F.lit(0), lambda n, x: n + lexscore.all_hits(x, entries)).alias("b")).collect()
     assert [r["a"] for r in got] == [r["b"] for r in got] == [3, 2, 2, 0, 0, 2]
+
+
+def test_core_leaves_out_mixed_and_unclustered(spark):
+    rows = spark.createDataFrame([(0, "A"), (-1, "A"), (2, "Mix"), (3, None), (None, "B")], "topic int, label string")
+    assert [tuple(r) for r in topics.core(rows).collect()] == [(0, "A")]
+
+
+def test_overview_without_time_or_reliable_rows(spark):
+    rows = spark.createDataFrame([(1, None, 5, 30.0, False, None, 2), (2, 120.0, 7, 40.0, True, "question", 1)], "t int, duration_s double, n_words int, lix double, reliable boolean, role string, claps int")
+    out = {r["t"]: r for r in topics.overview(rows, "t", reliable_means=("lix",), reactions=("claps",)).collect()}
+    assert (out[1]["minutes"], out[1]["lix"], out[1]["claps_per_hour"], out[1]["qa_share"]) == (0.0, None, 0.0, 0.0)
+    assert (out[2]["minutes"], out[2]["lix"], out[2]["claps_per_hour"], out[2]["qa_share"]) == (2.0, 40.0, 30.0, 1.0)
+    assert topics.overview(rows.limit(0), "t").count() == 0
+
+
+def test_evidence_falls_back_to_the_first_member(spark):
+    quotes = spark.createDataFrame([("a", "said so"), ("b", "never said")], "g string, quote string")
+    members = spark.createDataFrame([("a", 3, "he  said\nso"), ("a", 1, "no"), ("b", 5, None), ("b", 4, "x"), ("c", 1, "said so")], "g string, id int, text string")
+    out = {r["g"]: (r["id"], r["found"]) for r in evaluate.evidence(quotes, members, "g", "id").collect()}
+    assert out == {"a": (3, True), "b": (4, False)}
+
+
+def test_names_and_ids_of_exchanges(spark):
+    rows = spark.createDataFrame([(1, "x"), (2, "y"), (None, "z")], "topic int, v string")
+    names = spark.createDataFrame([(1, "Egy"), (1, "Egy")], "topic int, name string")
+    assert sorted(r["name"] or "-" for r in bundle.named(rows, names, "topic").collect()) == ["-", "-", "Egy"]
+    turns = spark.createDataFrame([([("u1",), ("",), (None,)],), ([("u1",), ("u2",)],), (None,)], "turns array<struct<uid string>>")
+    assert sorted(r["uid"] for r in bundle.exchange_ids(turns).collect()) == ["u1", "u2"]
+
+
+def test_repairs_are_counted(spark):
+    rows = spark.createDataFrame([("d", 0, 0, "Jobbik", "jobb", "[/Adj]"), ("d", 0, 1, ".", ".", "[Punct]"), ("d", 0, 2, "x", " ", "[/N]")], "doc_id string, sent_id int, pos int, form string, lemma string, xpostag string")
+    assert tuple(tokens.repairs(rows, HUNGARIAN).first()) == (3, 1, 1, 1)
