@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, dedup, media, mixing, neardup, secrets, tokens, toxicity, urls, warc
+from . import decontam, dedup, divergence, media, mixing, neardup, secrets, tokens, toxicity, urls, warc
 from .common import shared_dir, stored, table
 from .sql import oracle_sql as oracle_sql
 
@@ -88,5 +88,9 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_store, op3_secret_scan, op4_media_columns, op5_warc_archive, op6_mix_sources, op7_url_filter, op8_decontamination, op9_toxicity, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_store, op3_secret_scan, op4_media_columns, op5_warc_archive, op6_mix_sources, op7_url_filter, op8_decontamination, op9_toxicity, op10_near_duplicates, op13_source_divergence)}

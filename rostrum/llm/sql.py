@@ -25,6 +25,18 @@ OP10 = f"""WITH RECURSIVE t AS (SELECT row_number() OVER (ORDER BY text) AS k, t
   m AS (SELECT doc_id, g.k, g.g FROM documents d JOIN t ON t.text = coalesce(d.text, '') JOIN g ON g.k = t.k)
   SELECT doc_id, min(doc_id) OVER (PARTITION BY g) AS class_id, (SELECT count(*) FROM g h WHERE h.g = m.g)::BIGINT AS n_texts, count(*) OVER (PARTITION BY g) AS n_docs FROM m"""
 
+OP13 = r"""WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+  t AS (SELECT k, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+  c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL), kept AS (SELECT lang, term, count(*) AS lang_n FROM t GROUP BY ALL HAVING count(DISTINCT k) >= 3),
+  v AS (SELECT lang, count(*) AS v, sum(lang_n) AS total FROM kept GROUP BY lang), g AS (SELECT DISTINCT lang, source FROM d),
+  cell AS (SELECT g.lang, g.source, term, coalesce(n, 0) AS n, lang_n FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+  s AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS total FROM cell),
+  p AS (SELECT s.*, 1 + (1000000000::HUGEINT * (n + 1)) // (s.total + v.v) AS p, 1 + (1000000000::HUGEINT * (lang_n + 1)) // (v.total + v.v) AS q FROM s JOIN v USING (lang)),
+  f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+  r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+     UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM p WHERE n > 0 AND p > q)
+  SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r) WHERE part = 'pair' OR rank <= 200"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_archive": OP5, "op8_decontamination": OP8, "op10_near_duplicates": OP10}
+    return {"op5_warc_archive": OP5, "op8_decontamination": OP8, "op10_near_duplicates": OP10, "op13_source_divergence": OP13}
