@@ -10,6 +10,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -80,6 +81,18 @@ def small_batches(spark: SparkSession, rows: int = BATCHES[0]) -> None:
         spark.conf.set(key, str(rows))
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int = BATCHES[0]):
+    """Arrow batches of at most ``rows`` rows for what runs inside, so that long texts don't fill a Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, "10000")
+    spark.conf.set(key, str(rows if int(before) <= 0 else min(rows, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def exact_ids(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str, *ids: str) -> DataFrame:
     """``df.mapInPandas(fn, schema)`` with the long columns ``ids`` as text on either side of ``fn``.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, dedup, divergence, media, mixing, neardup, secrets, tokens, toxicity, urls, warc
+from . import decontam, dedup, divergence, media, mixing, neardup, packing, repair, secrets, tokens, toxicity, urls, warc
 from .common import shared_dir, stored, table
 from .sql import oracle_sql as oracle_sql
 
@@ -88,9 +88,22 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    made = repair.summaries(repair.edited(repair.faulted(repair.damaged(given)))).withColumnRenamed("conv_id", "of")
+    out = given.select("conv_id").distinct().join(made, F.col("conv_id").eqNullSafe(F.col("of")), "left")
+    counts = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    nothing = {"audit": F.coalesce("audit", F.lit("")), "repaired_sha256": F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256))}
+    return out.select("conv_id", *(v.alias(c) for c, v in (counts | nothing).items()))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audited(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_store, op3_secret_scan, op4_media_columns, op5_warc_archive, op6_mix_sources, op7_url_filter, op8_decontamination, op9_toxicity, op10_near_duplicates, op13_source_divergence)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_store, op3_secret_scan, op4_media_columns, op5_warc_archive, op6_mix_sources, op7_url_filter, op8_decontamination, op9_toxicity, op10_near_duplicates, op11_best_fit_packing, op12_conversation_repair, op13_source_divergence)}
