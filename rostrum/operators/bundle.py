@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.maths import ratio
+from ..storage import stored
+from .ordering import running
 
 
 def left_chain(base: DataFrame, others: list[DataFrame], key: str, zeros: tuple[str, ...] = ()) -> DataFrame:
@@ -44,13 +46,12 @@ def top_of_group(rows: DataFrame, by: str, order: list, n: int = 1) -> DataFrame
 
 
 def percentiles(rows: DataFrame, value: str) -> DataFrame:
-    """Adds ``percentile``: the share, in per cent, of known values not above the row's. Distinct values alone are put in order."""
+    """Adds ``percentile``: the share, in per cent, of known values not above the row's. Distinct values are put in order by ranges."""
     known = rows.where(F.col(value).isNotNull())
     ties = known.groupBy(F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    upto = F.sum("__n").over(Window.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
     total = known.agg(F.count(F.lit(1))).scalar()
-    places = ties.select("__v", upto.alias("__upto")).withColumn("__total", total)
-    places = places.select("__v", F.round(100 * F.col("__upto") / F.col("__total")).alias("percentile"))
+    places = running(ties, [F.col("__v")], {"__below": F.col("__n")}).withColumn("__total", total)
+    places = places.select("__v", F.round(100 * (F.col("__below") + F.col("__n")) / F.col("__total")).alias("percentile"))
     return rows.join(places, F.col(value) == F.col("__v"), "left").drop("__v")
 
 
@@ -110,6 +111,16 @@ def named(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
 
 
 def party_medians(rows: DataFrame, value: str, by: str = "faction") -> DataFrame:
-    """(by, n, median): the exact median of each group's known values, of which each task hands on the distinct ones with their counts."""
-    known = rows.where(F.col(value).isNotNull())
-    return known.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.median(value).alias("median"))
+    """(by, n, median): the exact median of each group's known values, however many a group has.
+
+    Values and their counts are put in order by ranges of (group, value); the
+    one or two in the middle of a group are those whose places hold it.
+    """
+    ties = rows.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("__by"), F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    places = stored(running(ties, [F.col("__by"), F.col("__v")], {"__ahead": F.col("__n")}))
+    whole = places.groupBy(F.col("__by").alias("__of")).agg(F.min("__ahead").alias("__start"), F.sum("__n").alias("n"))
+    at = places.join(whole, F.col("__by").eqNullSafe(F.col("__of"))).withColumn("__from", F.col("__ahead") - F.col("__start"))
+    holds = lambda k: (F.col("__from") <= k) & (k < F.col("__from") + F.col("__n"))
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    middle = at.where(holds(low) | holds(high)).groupBy("__by", "n").agg(F.min("__v").alias("__low"), F.max("__v").alias("__high"))
+    return middle.select(F.col("__by").alias(by), "n", ((F.col("__low").cast("double") + F.col("__high")) / 2).alias("median"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.maths import rate, ratio
 from ..functions.text import all_matches, case_stripped, first_match, has_text, is_remark, spans
 from ..profile import HUNGARIAN, LOWER, UPPER, Profile
+from ..storage import stored
+from .ordering import running
 
 
 def segments(line: Column, profile: Profile = HUNGARIAN) -> Column:
@@ -120,13 +122,17 @@ def summary(events: DataFrame, lines: DataFrame, by: tuple[str, ...] = ("cycle",
 
 
 def ranked(rows: DataFrame, by: str, who: str, label: str = "ALL") -> DataFrame:
-    """(by, who, n, share, rank) for each value of ``by`` and for all together; null names are left out."""
+    """(by, who, n, share, rank) for each value of ``by`` and for all together; null names are left out.
+
+    Ranks are places in ranges of (by, n, who), so no task orders all names.
+    """
     rows = rows.where(F.col(who).isNotNull())
     sets = rows.groupingSets([[F.col(by), F.col(who)], [F.col(who)]], F.col(by), F.col(who)).agg(F.count(F.lit(1)).alias("n"), F.grouping(F.col(by)).alias("__all"))
     out = sets.select(F.when(F.col("__all") == 1, F.lit(label)).otherwise(F.col(by).cast("string")).alias(by), who, "n")
-    whole = Window.partitionBy(by)
-    place = F.row_number().over(whole.orderBy(F.desc("n"), who))
-    return out.withColumns({"share": ratio(F.col("n"), F.sum("n").over(whole)), "rank": place})
+    out = stored(running(out, [F.col(by), -F.col("n"), F.col(who)], {"__ahead": F.lit(1)}))
+    whole = out.groupBy(F.col(by).alias("__of")).agg(F.min("__ahead").alias("__start"), F.sum("n").alias("__all"))
+    out = out.join(whole, F.col(by).eqNullSafe(F.col("__of")))
+    return out.select(by, who, "n", ratio(F.col("n"), F.col("__all")).alias("share"), (F.col("__ahead") - F.col("__start") + 1).cast("int").alias("rank"))
 
 
 def speaker_scores(events: DataFrame, totals: DataFrame, kinds: list[str]) -> DataFrame:

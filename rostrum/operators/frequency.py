@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import let
 from ..functions.maths import rate, ratio
+from .ordering import previous
 
 #: Ends a word that stands for its document; no word has it.
 MARK = "\0"
@@ -56,9 +57,13 @@ def wide(counts: DataFrame, by: str, values: list[str], value: str = "raw") -> D
 
 
 def with_repeats(lines: DataFrame, group: str, order: list[str], line: str) -> DataFrame:
-    """Adds ``is_repeat``: the line is that before it in its group."""
-    before = F.lag(line).over(Window.partitionBy(group).orderBy(*order))
-    return lines.withColumn("is_repeat", F.coalesce(before == F.col(line), F.lit(False)))
+    """Adds ``is_repeat``: the line is that before it in its group.
+
+    Lines are put in order by ranges, so a group of any size is spread over
+    tasks. Give the columns that this needs; others travel along.
+    """
+    out = previous(lines, group, [F.col(c) for c in order], F.col(line), "__before")
+    return out.withColumn("is_repeat", F.coalesce(F.col("__before") == F.col(line), F.lit(False))).drop("__before")
 
 
 def line_stats(lines: DataFrame, group: str, line: str) -> DataFrame:

@@ -20,19 +20,22 @@ def resolved(mentions: DataFrame, people: DataFrame, profile: Profile = HUNGARIA
     """Adds name_key, person_id and how (exact, tokens, or null) to mentions of names.
 
     A key that no person has is tried by its words: two or more that all
-    occur in one person's name and in no other's. The words route the search,
-    rare ones only meeting the people who bear them, so no pair is made of
-    keys that share nothing.
+    occur in one person's name and in no other's. A key meets only those whose
+    names have the rarest of its words, where all must be found; a given name
+    that many bear pairs nobody, and a word that none bears ends the search.
     """
     keyed = mentions.withColumn("name_key", name_key(F.col(mention), profile))
     exact = people.select(F.col("name_key").alias("__k"), F.col("person_id").alias("__exact"))
     keyed = keyed.join(exact, F.col("name_key") == F.col("__k"), "left")
     open_ = keyed.where(F.col("__k").isNull()).select("name_key").distinct()
     asked = open_.withColumn("words", F.array_distinct(F.split("name_key", " "))).where(F.size("words") >= 2)
-    each = asked.select("name_key", F.size("words").alias("n"), F.explode("words").alias("word"))
-    known = people.select("person_id", F.col("name_key").alias("of"), F.explode(F.array_distinct(F.split("name_key", " "))).alias("w"))
-    met = each.join(known, F.col("word") == F.col("w")).groupBy("name_key", "n", "of").agg(F.count(F.lit(1)).alias("shared"), F.first("person_id").alias("person_id"))
-    one = met.where(F.col("shared") == F.col("n")).groupBy(F.col("name_key").alias("__t")).agg(F.count(F.lit(1)).alias("c"), F.first("person_id").alias("__tokens"))
+    names = people.select("person_id", F.col("name_key").alias("of"), F.array_distinct(F.split("name_key", " ")).alias("has"))
+    known = names.select("person_id", "of", "has", F.explode("has").alias("w"))
+    bearers = known.groupBy(F.col("w").alias("b")).agg(F.count(F.lit(1)).alias("bearers"))
+    each = asked.select("name_key", "words", F.explode("words").alias("word")).join(bearers, F.col("word") == F.col("b"))
+    rare = each.groupBy("name_key").agg(F.first("words").alias("words"), F.count(F.lit(1)).alias("borne"), F.min_by("word", F.struct("bearers", "word")).alias("word"))
+    met = rare.where(F.col("borne") == F.size("words")).join(known, F.col("word") == F.col("w")).where(F.size(F.array_except("words", "has")) == 0)
+    one = met.groupBy(F.col("name_key").alias("__t")).agg(F.count(F.lit(1)).alias("c"), F.first("person_id").alias("__tokens"))
     out = keyed.join(one.where("c = 1").drop("c"), F.col("name_key") == F.col("__t"), "left")
     how = F.when(F.col("__k").isNotNull(), "exact").when(F.col("__t").isNotNull(), "tokens")
     return out.withColumns({"person_id": F.coalesce("__exact", "__tokens"), "how": how}).drop("__k", "__exact", "__t", "__tokens")

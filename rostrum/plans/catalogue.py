@@ -98,7 +98,9 @@ def collapse_runs(spark, sf_dir):
 @_query(f"""WITH {_TOK}, l AS (SELECT doc_id, source, lag(lang) OVER (PARTITION BY source ORDER BY doc_id) = lang AS again FROM documents)
   SELECT t.source, token, count(*) AS raw, count(*) FILTER (NOT coalesce(again, false)) AS raw_collapsed FROM tok t JOIN l USING (doc_id) GROUP BY t.source, token""")
 def two_view_counts(spark, sf_dir):
-    docs = frequency.with_repeats(_read(spark, sf_dir, "documents"), "source", ["doc_id"], "lang")
+    docs = _read(spark, sf_dir, "documents")
+    flags = frequency.with_repeats(docs.select("doc_id", "source", "lang"), "source", ["doc_id"], "lang").where("is_repeat").select("doc_id", "is_repeat")
+    docs = docs.join(flags, "doc_id", "left").na.fill(False, ["is_repeat"])
     return frequency.two_views(tokens.tokenized(docs, keys=("doc_id", "source", "is_repeat")), "source")
 
 
