@@ -7,6 +7,8 @@ back; texts that fail come with an error and are never passed on unannotated.
 
 from __future__ import annotations
 
+import itertools
+import json
 import time
 from collections.abc import Callable, Iterator
 
@@ -20,6 +22,8 @@ Annotator = Callable[[list[str]], list[str]]
 
 def batches_of(texts: list[str], most_rows: int = 250, most_words: int = 3000) -> Iterator[list[int]]:
     """Positions in batches under both caps; a text above the cap of words is a batch of its own."""
+    if most_rows < 1 or most_words < 1:
+        raise ValueError("caps are 1 or more")
     held: list[int] = []
     words = 0
     for i, text in enumerate(texts):
@@ -49,24 +53,88 @@ def with_retries(call: Annotator, retries: int = 3, backoff: float = 0.5) -> Ann
     return run
 
 
-def rest_service(url: str, modules: str = "tok/morph/pos", timeout: float = 60.0) -> Callable[[], Annotator]:
-    """A factory of annotators that post texts to a REST service, one request a text."""
+class Misaligned(ValueError):
+    """An answer that can't be dealt back to the texts of its request with certainty."""
+
+
+def dealt_back(texts: list[str], body: str, payload: str) -> list[str]:
+    """The rows of one answer as a table for each text, under the answer's header.
+
+    ``body`` was the texts, each with a line break at its end. White space
+    after a token is in the column ``wsafter``, so the line breaks counted so
+    far say which text a token is of; a text may have lines of its own. The
+    tokens must spell the body, and all of its line breaks must be there, or
+    the answer is ``Misaligned``. A sentence that goes on into another text is
+    cut there.
+    """
+    lines = payload.replace("\r\n", "\n").split("\n")
+    header = lines[0].split("\t")
+    if "form" not in header or "wsafter" not in header:
+        raise Misaligned("the answer has no columns form and wsafter")
+    form, space = header.index("form"), header.index("wsafter")
+    ends = list(itertools.accumulate(t.count("\n") + 1 for t in texts))  # line breaks after which each text is over
+    out, spelled, breaks, at, pause = [[lines[0]] for _ in texts], [], 0, 0, False
+    for line in lines[1:]:
+        if not line.strip():
+            pause = True
+            continue
+        cells = line.split("\t")
+        if len(cells) <= max(form, space):
+            raise Misaligned("the answer has a row without form or wsafter")
+        while at < len(ends) and breaks >= ends[at]:
+            at += 1
+        if at == len(ends):
+            raise Misaligned(f"the answer goes on after {len(texts)} texts")
+        if pause and len(out[at]) > 1:
+            out[at].append("")
+        out[at].append(line)
+        try:
+            after = json.loads(cells[space])
+        except ValueError:
+            after = cells[space].strip('"')
+        spelled.append(cells[form] + after)
+        breaks, pause = breaks + after.count("\n"), False
+    if breaks != ends[-1]:
+        raise Misaligned(f"the answer has {breaks} line breaks for {ends[-1]} lines")
+    if "".join(spelled) != body:
+        raise Misaligned("the tokens don't spell the request")
+    return ["\n".join(rows) for rows in out]
+
+
+def in_one_request(post: Callable[[str], str]) -> Annotator:
+    """An annotator that sends all texts of a batch as the lines of one request.
+
+    Blank texts are not sent and have no tokens. A batch of one needs no
+    dealing back, so its answer is taken as it is; that of several is
+    ``Misaligned`` where it can't be dealt back, and ``annotated`` then sends
+    its texts one by one: a service's quirk costs time and mixes up nothing.
+    """
+
+    def call(texts: list[str]) -> list[str]:
+        sent = [t for t in texts if t.strip()]
+        body = "".join(f"{t}\n" for t in sent)
+        found = iter([] if not sent else [post(body)] if len(sent) == 1 else dealt_back(sent, body, post(body)))
+        return [next(found) if t.strip() else "" for t in texts]
+
+    return call
+
+
+def rest_service(url: str, modules: str = "tok/morph/pos", timeout: float = 60.0, retries: int = 3, backoff: float = 0.5) -> Callable[[], Annotator]:
+    """A factory of annotators that post texts to a REST service, one request a batch."""
 
     def make() -> Annotator:
         import urllib.request
         import uuid
 
-        def call(texts: list[str]) -> list[str]:
-            out = []
-            for text in texts:
-                mark = uuid.uuid4().hex
-                body = f'--{mark}\r\nContent-Disposition: form-data; name="text"\r\n\r\n{text}\r\n--{mark}--\r\n'.encode()
-                request = urllib.request.Request(f"{url}/{modules}", body, {"Content-Type": f"multipart/form-data; boundary={mark}"})
-                with urllib.request.urlopen(request, timeout=timeout) as answer:
-                    out.append(answer.read().decode("utf-8"))
-            return out
-
-        return with_retries(call)
+        def post(body: str) -> str:
+            mark = uuid.uuid4().hex
+            data = f'--{mark}\r\nContent-Disposition: form-data; name="text"\r\n\r\n{body}\r\n--{mark}--\r\n'.encode()
+            request = urllib.request.Request(f"{url.rstrip('/')}/{modules.strip('/')}", data, {"Content-Type": f"multipart/form-data; boundary={mark}"})
+            with urllib.request.urlopen(request, timeout=timeout) as answer:
+                return answer.read().decode("utf-8")
+
+        tried = with_retries(lambda bodies: [post(b) for b in bodies], retries, backoff)
+        return in_one_request(lambda body: tried([body])[0])  # the service is asked again, an answer that can't be dealt back is not
 
     return make
 

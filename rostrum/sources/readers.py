@@ -132,11 +132,24 @@ def annotated_tsv(payloads: DataFrame) -> DataFrame:
     return out.select("doc_id", (F.col("s") - 1).alias("sent_id"), place.alias("pos"), "form", "lemma", "xpostag", "upostag", "dep_id", "head", "wsafter")
 
 
-def input_lines(tokens: DataFrame) -> DataFrame:
-    """Adds ``line``: which line of its document's text a token came from, by the line breaks in the white space before it."""
+def input_lines(tokens: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """Adds ``line``: which line of its document's text a token came from, by the line breaks in the white space before it.
+
+    ``expected`` (doc_id, n_lines) says how many lines each text had. A
+    document whose line breaks account for another number fails the job: its
+    tokens can't be told apart by line with certainty.
+    """
     before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    breaks = F.length("wsafter") - F.length(F.replace("wsafter", F.lit("\n"), F.lit("")))
-    return tokens.withColumn("line", F.coalesce(F.sum(F.coalesce(breaks, F.lit(0))).over(before), F.lit(0)))
+    breaks = F.coalesce(F.length("wsafter") - F.length(F.replace("wsafter", F.lit("\n"), F.lit(""))), F.lit(0))
+    out = tokens.withColumn("line", F.coalesce(F.sum(breaks).over(before), F.lit(0)))
+    if expected is None:
+        return out
+    # the last token's line, and what follows it if it ends its line
+    seen = out.groupBy(F.col("doc_id").alias("__of")).agg((F.max(F.col("line") + breaks) + F.when(F.max_by(breaks, "pos") > 0, 0).otherwise(1)).alias("__seen"))
+    known = seen.join(expected.select(F.col("doc_id").alias("__known"), "n_lines"), F.col("__of") == F.col("__known"), "left")
+    said = F.concat(F.lit("document "), F.col("__of").cast("string"), F.lit(" accounts for "), F.col("__seen").cast("string"), F.lit(" lines, not "), F.coalesce(F.col("n_lines").cast("string"), F.lit("any")))
+    checked = known.select("__of", F.when(F.col("__seen").eqNullSafe(F.col("n_lines")), True).otherwise(F.raise_error(said).cast("boolean")).alias("__right"))
+    return out.join(checked, F.col("doc_id") == F.col("__of")).where("__right").drop("__of", "__right")
 
 
 def annotations(spark: SparkSession, path: str, modules: str, normalisation: str) -> DataFrame:
