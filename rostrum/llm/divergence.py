@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from ..functions.arrays import let
 from .common import shared_dir, stored
 
-#: A term: letters of ASCII and whatever is not ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between terms: ASCII but for its letters. A term is a longest run of anything else.
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Probabilities are counted in parts of one of so many.
 UNIT = 1_000_000_000
 #: A language's vocabulary is dealt to so many slices where it meets the groups, so that a large language is no hot key.
@@ -28,13 +28,17 @@ SLICES = 256
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences, and rows that have the term at all.
 
-    The words of a text are put in order where it lies, and of each run of
-    equal ones the first is marked; so one shuffle, of what each task has
-    already added up, gives both numbers.
+    The words of a text are put in order where it lies, and each run of equal
+    ones is one row; so one shuffle, of what each task has already added up,
+    gives both numbers. Terms are found by splitting at what they don't hold,
+    which is linear in a text, as extracting each is not.
     """
-    words = F.sort_array(F.regexp_extract_all(F.translate("text", ascii_uppercase, ascii_lowercase), F.lit(TERM), F.lit(0)))
-    marked = let(words, lambda w: F.transform(w, lambda t, i: F.struct(t.alias("term"), F.when(t.eqNullSafe(F.get(w, i - 1)), 0).otherwise(1).alias("first"))))
-    return docs.select("lang", "source", F.inline(marked)).groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"), F.sum("first").alias("docs"))
+    words = F.sort_array(F.split(F.translate("text", ascii_uppercase, ascii_lowercase), BETWEEN))  # one at least, be it empty
+    begins = lambda w: F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+    run = lambda w, at: lambda i, k: F.struct(F.get(w, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(w)) - i).alias("times"))
+    runs = let(words, lambda w: let(begins(w), lambda at: F.transform(at, run(w, at))))
+    rows = docs.select("lang", "source", F.inline(runs)).where("term <> ''")
+    return rows.groupBy("lang", "source", "term").agg(F.sum("times").alias("n"), F.count(F.lit(1)).alias("docs"))
 
 
 def share(n: Column, total: Column, kept: Column) -> Column:
@@ -49,7 +53,7 @@ def excess(p: Column, q: Column) -> Column:
 
 def _salted(kept: DataFrame, groups: DataFrame) -> DataFrame:
     """Each kept term with each group of its language. Spark sends the groups to all tasks if they are small."""
-    left = kept.withColumn("slice", F.pmod(F.xxhash64("term"), F.lit(SLICES)).cast("int"))
+    left = kept.withColumn("slice", F.pmod(F.xxhash64("term_no"), F.lit(SLICES)).cast("int"))
     right = groups.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
     return left.join(right, ["lang", "slice"]).drop("slice")
 
@@ -72,29 +76,33 @@ def audited(docs: DataFrame, least_docs: int = 3, most_terms: int = 200) -> Data
     docs = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
     counts = stored(term_counts(docs), f"{home}/counts")
     kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs)
-    kept = stored(kept.drop("docs"), f"{home}/kept")
-    found = counts.select("lang", "source", "term", "n").join(kept, ["lang", "term"])
-
+    # numbers stand for terms and groups from here on: what is crossed and joined to itself has short keys
+    kept = stored(kept.drop("docs").withColumn("term_no", F.monotonically_increasing_id()), f"{home}/kept")
     langs = kept.groupBy("lang").agg(F.sum("lang_n").alias("lang_total"), F.count(F.lit(1)).alias("vocabulary"))
-    totals = found.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = docs.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, ["lang"], "left")
-    groups = stored(groups.na.fill(0, ["total", "lang_total", "vocabulary"]), f"{home}/groups")
+    groups = docs.select("lang", "source").distinct().join(langs, "lang", "left").na.fill(0, ["lang_total", "vocabulary"])
+    groups = stored(groups.withColumn("group_no", F.monotonically_increasing_id()), f"{home}/groups")
+    found = counts.select("lang", "source", "term", "n").join(kept, ["lang", "term"])
+    found = stored(found.join(groups, ["lang", "source"]), f"{home}/found")
+    totals = stored(found.groupBy(F.col("group_no").alias("of")).agg(F.sum("n").alias("total")), f"{home}/totals")
+    sized = groups.join(totals, F.col("group_no") == F.col("of"), "left").drop("of").na.fill(0, ["total"])
 
     # part pair: dense shares, then two sources of a language meet in each term
-    cells = _salted(kept.select("lang", "term"), groups.select("lang", "source", "total", "vocabulary"))
-    cells = cells.join(counts.select("lang", "source", "term", "n"), ["lang", "source", "term"], "left")
+    cells = _salted(kept.select("lang", "term_no"), sized.select("lang", "group_no", "total", "vocabulary"))
+    cells = cells.join(found.select("term_no", "group_no", "n"), ["term_no", "group_no"], "left")
     p = share(F.coalesce("n", F.lit(0).cast("long")), F.col("total"), F.col("vocabulary"))
-    dense = stored(cells.select("lang", "term", "source", p.alias("p")), f"{home}/dense")
-    a, b = dense, dense.select("lang", "term", F.col("source").alias("other"), F.col("p").alias("q"))
-    met = a.join(b, ["lang", "term"]).where(F.col("source") < F.col("other"))
-    sums = met.groupBy("lang", "source", "other").agg(F.sum(excess(F.col("p"), F.col("q"))).alias("there"), F.sum(excess(F.col("q"), F.col("p"))).alias("back"))
-    way = lambda *names: F.struct(*(F.col(c).alias(n) for c, n in zip(names, ("source", "item", "value"), strict=True)))
-    sums = sums.select("lang", F.inline(F.array(way("source", "other", "there"), way("other", "source", "back"))))
-    pairs = groups.select("lang", "source").join(groups.select("lang", F.col("source").alias("item")), "lang").where(F.col("source") != F.col("item"))
-    pairs = pairs.join(sums, ["lang", "source", "item"], "left").withColumn("value", F.coalesce("value", F.lit(0).cast("long")))
+    dense = stored(cells.select("term_no", "group_no", p.alias("p")), f"{home}/dense")
+    a, b = dense, dense.select("term_no", F.col("group_no").alias("other_no"), F.col("p").alias("q"))
+    met = a.join(b, "term_no").where(F.col("group_no") < F.col("other_no"))
+    sums = met.groupBy("group_no", "other_no").agg(F.sum(excess(F.col("p"), F.col("q"))).alias("there"), F.sum(excess(F.col("q"), F.col("p"))).alias("back"))
+    way = lambda *names: F.struct(*(F.col(c).alias(n) for c, n in zip(names, ("a_no", "b_no", "value"), strict=True)))
+    sums = sums.select(F.inline(F.array(way("group_no", "other_no", "there"), way("other_no", "group_no", "back"))))
+    others = groups.select("lang", F.col("source").alias("item"), F.col("group_no").alias("item_no"))
+    pairs = groups.select("lang", "source", "group_no").join(others, "lang").where(F.col("source") != F.col("item"))
+    pairs = pairs.join(sums, (F.col("group_no") == F.col("a_no")) & (F.col("item_no") == F.col("b_no")), "left")
+    pairs = pairs.withColumn("value", F.coalesce("value", F.lit(0).cast("long")))
 
     # part term: a source against its language
-    known = found.join(groups, ["lang", "source"])
+    known = found.join(totals, F.col("group_no") == F.col("of"))
     known = known.withColumns({"p": share(F.col("n"), F.col("total"), F.col("vocabulary")), "q": share(F.col("lang_n"), F.col("lang_total"), F.col("vocabulary"))})
     terms = known.where("p > q").select("lang", "source", F.col("term").alias("item"), excess(F.col("p"), F.col("q")).alias("value"))
 
