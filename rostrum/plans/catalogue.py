@@ -744,6 +744,72 @@ def floor_scores(spark, sf_dir):
     return out.select("speaker", "side", "side_source", "speeches", "words", "minutes", "laughter", "applause", "heckles_received", "applause_weighted", *(f"applause_{e}" for e in ends), "below_min_speeches").withColumns({f"applause_{e}": F.col(f"applause_{e}").cast("long") for e in ends[:3]})
 
 
+#: Given names, whose addressee's form has -nak, and the formulas that speeches of the interjection queries have.
+GIVEN = ("Anna", "Béla", "Csaba", "Dóra", "Emma")
+_NAME = "'Kov' || translate({0}::VARCHAR, '0123456789', 'abcdefghij')"
+_GIVEN = "(['" + "', '".join(GIVEN) + "'])[{0} % 5 + 1]"
+_HECKLES = f"""sp AS (SELECT doc_id, 39 + doc_id % 5 AS cycle, doc_id * 7 % 97 AS f, (doc_id * 11 + 3) % 97 AS a, (doc_id * 13 + 5) % 97 AS b, doc_id % 9 AS k FROM documents),
+  pe AS (SELECT c_custkey AS p, {_NAME.format("c_custkey")} || CASE WHEN c_custkey % 3 = 0 THEN ' Mária ' ELSE ' ' END || {_GIVEN.format("c_custkey")} AS label, {_NAME.format("c_custkey")} || ' ' || {_GIVEN.format("c_custkey")} AS short,
+     CASE c_nationkey % 3 WHEN 0 THEN 'Fidesz' WHEN 1 THEN 'TISZA' END AS faction, c_custkey % 4 = 0 AS office, c_custkey % 2 = 0 AS is_mp FROM customer WHERE c_custkey < 97),
+  reg AS (SELECT DISTINCT cycle, pe.* FROM sp JOIN pe ON p = f),
+  who AS (SELECT cycle, p, label, short, faction, is_mp, CASE WHEN faction IS NOT NULL THEN CASE WHEN (faction = 'TISZA') = (cycle = 43) THEN 'government' ELSE 'opposition' END WHEN office THEN 'government' END AS side FROM reg),
+  ev AS (SELECT doc_id, cycle, f, a, CASE WHEN k = 3 THEN b END AS b, k FROM sp WHERE k IN (0, 1, 2, 3, 4, 5, 8)),
+  e0 AS (SELECT ev.doc_id, ev.cycle, CASE WHEN b IS NULL THEN 'interruption' ELSE 'address' END AS edge_type, k,
+     CASE WHEN k = 5 THEN 'Ismeretlen Jenő' WHEN k = 4 THEN {_GIVEN.format("a")} || ' ' || {_NAME.format("a")} ELSE sa.short END AS said, CASE WHEN k <> 5 THEN wa.label END AS known_a, CASE WHEN k <> 5 THEN wa.p END AS pa, CASE WHEN k <> 5 THEN wa.side END AS source_side,
+     CASE WHEN k <> 5 THEN wa.faction END AS source_faction, k <> 5 AND wa.p IS NOT NULL AS source_resolved, CASE WHEN k = 5 OR wa.p IS NULL THEN 'none' WHEN k = 4 OR wa.p % 3 = 0 THEN 'tokens' ELSE 'exact' END AS source_match, CASE WHEN k <> 5 THEN wa.is_mp END AS source_is_mp,
+     st.short AS said_t, wt.label AS known_t, wt.p AS pt, wt.side AS target_side, wt.faction AS target_faction, wt.is_mp AS target_is_mp, wt.p IS NOT NULL AS target_resolved, wf.label AS floor_holder
+     FROM ev JOIN pe sa ON sa.p = a LEFT JOIN who wa ON wa.cycle = ev.cycle AND wa.p = a JOIN pe st ON st.p = coalesce(b, f) LEFT JOIN who wt ON wt.cycle = ev.cycle AND wt.p = coalesce(b, f) JOIN who wf ON wf.cycle = ev.cycle AND wf.p = f),
+  e AS (SELECT *, coalesce(known_a, said) AS source, coalesce(pa::VARCHAR, 'name:' || strip_accents(lower(said))) AS source_id, coalesce(known_t, said_t) AS target, coalesce(pt::VARCHAR, 'name:' || strip_accents(lower(said_t))) AS target_id FROM e0)"""
+
+
+def _chamber(spark, sf_dir):
+    """Speeches made of documents: a remark in brackets at their end, by and to customers with Hungarian names."""
+    people = _read(spark, sf_dir, "customer").where("c_custkey < 97")
+    c = F.col("c_custkey")
+    family, given = F.concat(F.lit("Kov"), F.translate(c.cast("string"), "0123456789", "abcdefghij")), F.get(F.array(*map(F.lit, GIVEN)), (c % 5).cast("int"))
+    people = people.select(
+        c.alias("p"), family.alias("family"), given.alias("given"), F.concat_ws(" ", family, given).alias("short"),
+        F.concat_ws(" ", family, F.when(c % 3 == 0, "Mária"), given).alias("label"), F.when(F.col("c_nationkey") % 3 == 0, "Fidesz").when(F.col("c_nationkey") % 3 == 1, "TISZA").alias("faction"),
+        F.when(c % 4 == 0, "miniszter").alias("office"), (c % 2 == 0).alias("is_mp"),
+    )
+    d = F.col("doc_id")
+    who = lambda name, *columns: people.select(F.col("p").alias(f"{name}_p"), *(F.col(x).alias(f"{name}_{x}") for x in columns))
+    rows = _read(spark, sf_dir, "documents").join(who("f", "label", "faction", "office", "is_mp"), d * 7 % 97 == F.col("f_p"))
+    rows = rows.join(who("a", "short", "family", "given"), (d * 11 + 3) % 97 == F.col("a_p")).join(who("b", "short"), (d * 13 + 5) % 97 == F.col("b_p"))
+    short, addressed = F.col("a_short"), F.concat(F.regexp_replace("b_short", ".$", ""), F.lit("ának"))
+    remarks = [
+        F.concat(short, F.lit(": Nem igaz!")), F.concat(F.lit("Dr. "), short, F.lit(": Úgy van!")), F.concat(F.lit("Nagy taps az ellenzék soraiban. - "), short, F.lit(": Hol van a pénz?")),
+        F.concat_ws(" ", short, F.concat(addressed, F.lit(": Üljön le!"))), F.concat_ws(" ", F.col("a_given"), F.concat("a_family", F.lit(": Ez hazugság!"))), F.lit("Ismeretlen Jenő: Jaj!"),
+        F.lit("Közbeszólás az MSZP soraiból: Úgy van!"), F.lit("14.20"), F.concat(F.lit("Moraj. "), short, F.lit(": Nem!")),
+    ]
+    remark = F.get(F.array(*remarks), (d % 9).cast("int"))
+    speaker = F.struct(F.col("f_p").cast("string").alias("person_id"), F.col("f_label").alias("label"), F.col("f_faction").alias("faction"), F.col("f_office").alias("office"), F.col("f_is_mp").alias("is_mp"))
+    text = F.concat(F.translate(F.coalesce("text", F.lit("")), "()", "[]"), F.lit(" ("), remark, F.lit(")"))
+    return rows.select(d.alias("speech_uid"), (39 + d % 5).cast("int").alias("cycle"), text.alias("text"), speaker.alias("speaker"))
+
+
+@_query(f"""WITH {_HECKLES} SELECT doc_id AS speech_uid, cycle::INTEGER AS cycle, edge_type, source, source_id, source_faction, source_side, source_is_mp, source_resolved, source_match, target, target_id, target_faction, target_side, target_is_mp, target_resolved,
+     floor_holder, source_id = target_id AS self_loop, CASE k WHEN 0 THEN 'Nem igaz!' WHEN 1 THEN 'Úgy van!' WHEN 2 THEN 'Hol van a pénz?' WHEN 3 THEN 'Üljön le!' WHEN 4 THEN 'Ez hazugság!' WHEN 5 THEN 'Jaj!' ELSE 'Nem!' END AS quote FROM e""")
+def interjection_edges(spark, sf_dir):
+    ends = [c for e in ("source", "target") for c in (e, *(f"{e}_{k}" for k in ("id", "faction", "side", "is_mp", "resolved")))]
+    return network.heckles(_chamber(spark, sf_dir)).select("speech_uid", "cycle", "edge_type", *ends, "source_match", "floor_holder", "self_loop", "quote")
+
+
+@_query(f"""WITH {_HECKLES}, g AS (SELECT * FROM e WHERE source_id <> target_id), n AS (SELECT cycle, doc_id, 0 AS k, source_id AS id, source AS label, source_faction AS faction, source_side AS side, source_resolved AS resolved FROM g
+     UNION ALL SELECT cycle, doc_id, 1, target_id, target, target_faction, target_side, target_resolved FROM g), l AS (SELECT DISTINCT cycle, source_id, target_id FROM g),
+  f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cycle, id ORDER BY doc_id, k) AS r, count(*) FILTER (k = 0) OVER (PARTITION BY cycle, id) AS given, count(*) FILTER (k = 1) OVER (PARTITION BY cycle, id) AS received FROM n) WHERE r = 1)
+  SELECT cycle::INTEGER AS cycle, id, label, faction, side, resolved, given, received, (SELECT count(*) FROM l WHERE l.cycle = f.cycle AND source_id = id) AS targets, (SELECT count(*) FROM l WHERE l.cycle = f.cycle AND target_id = id) AS sources FROM f""")
+def interjection_nodes(spark, sf_dir):
+    nodes, _ = network.heckle_graph(network.heckles(_chamber(spark, sf_dir)))
+    return nodes.drop("is_mp")
+
+
+@_query(f"""WITH {_HECKLES}, c AS (SELECT cycle, count(*) FILTER (source_side IS NOT NULL AND target_side IS NOT NULL) AS known, count(*) FILTER (source_side <> target_side) AS across FROM e GROUP BY cycle)
+  SELECT cycle::INTEGER AS cycle, known, known - across AS within, across, across::DOUBLE / nullif(known, 0) AS across_share FROM c""")
+def interjection_benches(spark, sf_dir):
+    return network.cross_bench(network.heckles(_chamber(spark, sf_dir)))
+
+
 @_query(f"""WITH {_TOK}, v AS (SELECT token, bool_or(lang = 'en') AS a, bool_or(lang = 'fr') AS b FROM tok WHERE lang IN ('en', 'fr') GROUP BY token)
   SELECT CASE WHEN a AND b THEN 'both' WHEN a THEN 'left' ELSE 'right' END AS side, count(*) AS n FROM v GROUP BY 1""")
 def vocabulary_overlap(spark, sf_dir):
