@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.maths import log_likelihood, log_ratio, rank_divergence
+from ..storage import stored
 
 
 def side_counts(tokens: DataFrame, side: str, a: str, b: str) -> DataFrame:
@@ -47,11 +48,34 @@ def rank_turbulence(counts: DataFrame, alpha: float = 1 / 3) -> DataFrame:
     """(token, count_a, count_b, rank_a, rank_b, divergence) of (token, count_a, count_b), not normalised.
 
     A term that one corpus lacks has there the rank of all that it lacks, tied.
+    The counts are written once, since both ranks and their places are of them.
     """
+    counts = stored(counts)
     ranked = average_ranks(average_ranks(counts, "count_a", "rank_a"), "count_b", "rank_b")
     return ranked.withColumn("divergence", rank_divergence(F.col("rank_a"), F.col("rank_b"), alpha))
 
 
+def turbulence(counts: DataFrame, alpha: float = 1 / 3) -> DataFrame:
+    """``rank_turbulence`` with ``share``, each term's part of the divergence of two corpora: in [0, 1] and adding up to it.
+
+    The divergence is divided by what it would be if no term were in both:
+    each term keeps its rank in its own corpus and shares, in the other, the
+    one rank of all that this lacks. Ranks that tie are taken together, so
+    that sum has a row for each distinct rank.
+    """
+    ranked = stored(rank_turbulence(counts, alpha))
+    known = lambda c: F.count_if(F.col(c) > 0)
+    sizes = ranked.agg(known("count_a").alias("na"), known("count_b").alias("nb"))
+    lost_a, lost_b = F.col("na") + (F.col("nb") + 1) / 2, F.col("nb") + (F.col("na") + 1) / 2  # the rank in a of what only b has, and the other way
+    side = lambda s: F.struct(F.lit(s).alias("of"), F.col(f"count_{s}").alias("n"), F.col(f"rank_{s}").alias("rank"))
+    each = F.explode(F.array(side("a"), side("b"))).alias("r")
+    ranks = ranked.select(each).select("r.*").where("n > 0").groupBy("of", "rank").agg(F.count(F.lit(1)).alias("ties"))
+    ranks = ranks.join(F.broadcast(sizes))  # one row
+    apart = F.when(F.col("of") == "a", rank_divergence(F.col("rank"), lost_b, alpha)).otherwise(rank_divergence(lost_a, F.col("rank"), alpha))
+    most = ranks.agg(F.sum(F.col("ties") * apart)).scalar()
+    return ranked.withColumn("share", F.coalesce(F.try_divide(F.col("divergence"), most), F.lit(0.0)))
+
+
 def group_counts(tokens: DataFrame, groups: list[str]) -> DataFrame:
     """(grp, token, raw) where a document is in the groups that its columns name, each once."""
     rows = tokens.withColumn("grp", F.explode(F.array_distinct(F.array_compact(F.array(*(F.col(g) for g in groups))))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -102,6 +102,54 @@ def textrank(tokens: DataFrame, top: int = 10, window: int = 4, stopwords: DataF
     return counts.join(edges, "doc_id", "left").mapInPandas(rank, RANKED)
 
 
+PHRASES = "doc_id long, phrase string, score double, rank int"
+
+
+def phrases_of(words: list[str], longest: int, stopwords: frozenset[str] = frozenset()) -> list[str]:
+    """The distinct runs of one to ``longest`` words, in the order of first places; stop words and single letters go first."""
+    kept = [w for w in words if len(w) > 1 and w not in stopwords]
+    return list(dict.fromkeys(" ".join(kept[i : i + n]) for n in range(1, longest + 1) for i in range(len(kept) - n + 1)))
+
+
+def embedded(lists: DataFrame, factory: Callable[[], Callable[[list[str]], list[list[float]]]], top: int = 10, longest: int = 2, stopwords: tuple[str, ...] = (), most_phrases: int = 4096) -> DataFrame:
+    """(doc_id, phrase, score, rank): each document's phrases most like the whole of it, by cosine over an injected encoder.
+
+    ``lists`` are ``tokens.listed`` documents (a content-lemma stream, say).
+    Candidates are runs of one to ``longest`` words after stop words have
+    gone, so a phrase need not stand in the text as it is. A document and its
+    phrases are encoded where they lie, ``most_phrases`` at a time and each
+    distinct one of a batch once. Scores are rounded to four places; ties go
+    to the phrase that sorts first. Documents without words have no rows.
+    """
+    stops = frozenset(stopwords)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = factory()
+
+        def units(texts: list[str]) -> np.ndarray:
+            parts = [np.asarray(encode(texts[i : i + most_phrases]), float) for i in range(0, len(texts), most_phrases)]
+            found = np.concatenate(parts)
+            return found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-12)
+
+        for batch in batches:
+            out, known = [], {}
+            for doc, words in zip(batch["doc_id"], batch["words"], strict=True):
+                phrases = phrases_of(list(words), longest, stops)
+                if not phrases:
+                    continue
+                if len(known) > 16 * most_phrases:
+                    known.clear()
+                if fresh := [p for p in phrases if p not in known]:
+                    known.update(zip(fresh, units(fresh), strict=True))
+                like = np.stack([known[p] for p in phrases]) @ units([" ".join(words)])[0]
+                best = sorted(zip((-np.round(like, 4)).tolist(), phrases, strict=True))[:top]
+                out += [(doc, p, -s, k + 1) for k, (s, p) in enumerate(best)]
+            yield pd.DataFrame(out, columns=["doc_id", "phrase", "score", "rank"])
+
+    rows = lists.select("doc_id", F.flatten("sentences").alias("words")).where(F.size("words") > 0)
+    return rows.mapInPandas(run, PHRASES)
+
+
 def first_keyword_votes(keywords: DataFrame, by: str, first: int = 5, top: int = 8, mark: str = ";") -> DataFrame:
     """(by, keyword, votes, rank): which keywords are most often among the first of a document."""
     each = keywords.select(by, F.explode(F.slice(F.split("keywords", mark), 1, first)).alias("keyword")).where("keyword <> ''")

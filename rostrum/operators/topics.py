@@ -44,6 +44,36 @@ def class_terms(tokens: DataFrame, by: str, top: int = 10) -> DataFrame:
     return rows.withColumn("weight", weight).withColumn("rank", rank).where(F.col("rank") <= top).select(by, "token", "weight", "rank")
 
 
+def topic_class_terms(tokens: DataFrame, topic: str, by: str, top: int = 5, tuned: bool = True) -> DataFrame:
+    """(topic, by, token, weight, rank, n_tokens): what a topic is about in each class of documents.
+
+    A term's share of the topic's tokens in the class, by the log of 1 + mean
+    tokens a topic / the term's count in all, the topic's own global weight of
+    terms; with ``tuned`` the mean of that and the topic's weights over all
+    classes, each as parts of their sum, so that a small class is held to
+    what its topic is about. Only terms of the topic are ranked.
+    """
+    counts = tokens.groupBy(topic, by, "token").agg(F.count(F.lit(1)).alias("n"))
+    whole = counts.groupBy(topic, "token").agg(F.sum("n").alias("in_topic"))
+    terms = whole.groupBy(F.col("token").alias("__t")).agg(F.sum("in_topic").alias("f"))
+    sizes = whole.groupBy(F.col(topic).alias("__b")).agg(F.sum("in_topic").alias("topic_size"))
+    idf = whole.join(terms, F.col("token") == F.col("__t")).join(sizes, F.col(topic) == F.col("__b")).withColumn("__mean", sizes.agg(F.avg("topic_size")).scalar())
+    idf = idf.withColumn("idf", F.log(1 + F.col("__mean") / F.col("f"))).withColumn("raw", F.col("in_topic") / F.col("topic_size") * F.col("idf"))
+    weights = idf.select(F.col(topic).alias("of_topic"), F.col("token").alias("term"), "idf", "raw")
+    groups = counts.groupBy(topic, by).agg(F.sum("n").alias("n_tokens"))
+    # every term of a topic in each of its classes, be it found there or not
+    cells = groups.join(weights, F.col(topic) == F.col("of_topic")).drop("of_topic")
+    own = counts.select(F.col(topic).alias("__x"), F.col(by).alias("__y"), F.col("token").alias("__z"), "n")
+    rows = cells.join(own, (F.col(topic) == F.col("__x")) & F.col(by).eqNullSafe(F.col("__y")) & (F.col("term") == F.col("__z")), "left")
+    rows = rows.withColumn("there", F.coalesce("n", F.lit(0)) / F.col("n_tokens") * F.col("idf"))
+    sums = rows.groupBy(F.col(topic).alias("__p"), F.col(by).alias("__q")).agg(F.sum("there").alias("sum_there"), F.sum("raw").alias("sum_raw"))
+    rows = rows.join(sums, (F.col(topic) == F.col("__p")) & F.col(by).eqNullSafe(F.col("__q")))
+    weight = (F.col("there") / F.col("sum_there") + F.col("raw") / F.col("sum_raw")) / 2 if tuned else F.col("there")
+    rows = rows.select(topic, by, F.col("term").alias("token"), weight.alias("weight"), "n_tokens")
+    rank = F.row_number().over(Window.partitionBy(topic, by).orderBy(F.round("weight", 12).desc(), "token"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= top).select(topic, by, "token", "weight", "rank", "n_tokens")
+
+
 def clusters(vectors: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id", seed: int = 7) -> DataFrame:
     """(key, topic, distance): seeded bisecting k-means over vectors of length 1.
 

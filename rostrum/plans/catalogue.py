@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.maths import ratio
-from ..operators import bundle, classify, collocation, contrast, evaluate, events, frequency, keywords, lexscore, network, readability, syntax, tokens, topics
+from ..operators import bundle, classify, collocation, contrast, evaluate, events, frequency, keywords, lexscore, network, readability, syntax, tokens, topicmodel, topics
 from ..profile import WESTERN
 
 #: Small lexicons for the four languages of the sample tables.
@@ -265,6 +265,19 @@ def rank_turbulence(spark, sf_dir):
     return contrast.rank_turbulence(counts).withColumn("divergence", F.round("divergence", 6))
 
 
+@_query(f"""WITH {_SIDES}, r AS (SELECT token, count_a, count_b, rank() OVER (ORDER BY count_a DESC) + (count(*) OVER (PARTITION BY count_a) - 1) / 2 AS rank_a,
+     rank() OVER (ORDER BY count_b DESC) + (count(*) OVER (PARTITION BY count_b) - 1) / 2 AS rank_b FROM s),
+  d AS (SELECT *, pow(abs(pow(1 / rank_a, 1.0::DOUBLE / 3) - pow(1 / rank_b, 1.0::DOUBLE / 3)), 0.75::DOUBLE) AS divergence FROM r),
+  k AS (SELECT count(*) FILTER (count_a > 0)::DOUBLE AS na, count(*) FILTER (count_b > 0)::DOUBLE AS nb FROM s),
+  m AS (SELECT sum(CASE WHEN count_a > 0 THEN pow(abs(pow(1 / rank_a, 1.0::DOUBLE / 3) - pow(1 / (nb + (na + 1) / 2), 1.0::DOUBLE / 3)), 0.75::DOUBLE) ELSE 0 END
+     + CASE WHEN count_b > 0 THEN pow(abs(pow(1 / rank_b, 1.0::DOUBLE / 3) - pow(1 / (na + (nb + 1) / 2), 1.0::DOUBLE / 3)), 0.75::DOUBLE) ELSE 0 END) AS most FROM d, k)
+  SELECT token, count_a, count_b, round(divergence / most, 9) AS share, round(sum(divergence / most) OVER (), 9) AS total FROM d, m""")
+def turbulence_shares(spark, sf_dir):
+    rows = contrast.turbulence(contrast.side_counts(_tokens(spark, sf_dir, "lang"), "lang", "en", "fr"))
+    rows = rows.withColumn("total", F.round(rows.agg(F.sum("share")).scalar(), 9))
+    return rows.select("token", "count_a", "count_b", F.round("share", 9).alias("share"), "total")
+
+
 @_query(f"""WITH {_TOK}, g AS (SELECT unnest(list_distinct([lang, source])) AS grp, token FROM tok) SELECT grp, token, count(*) AS raw FROM g GROUP BY grp, token""")
 def group_set_counts(spark, sf_dir):
     return contrast.group_counts(_tokens(spark, sf_dir, "lang", "source"), ["lang", "source"])
@@ -526,6 +539,50 @@ def class_terms(spark, sf_dir):
     return topics.class_terms(_tokens(spark, sf_dir, "lang"), "lang").withColumn("weight", F.round("weight", 6))
 
 
+@_query(f"""WITH {_TOK}, c AS (SELECT source AS topic, lang, token, count(*) AS n FROM tok GROUP BY ALL), t AS (SELECT topic, token, sum(n) AS in_topic FROM c GROUP BY ALL),
+  f AS (SELECT token, sum(in_topic) AS f FROM t GROUP BY token), z AS (SELECT topic, sum(in_topic) AS size FROM t GROUP BY topic),
+  w AS (SELECT topic, token, ln(1 + (SELECT avg(size) FROM z) / f) AS idf, in_topic / size * ln(1 + (SELECT avg(size) FROM z) / f) AS raw FROM t JOIN f USING (token) JOIN z USING (topic)),
+  g AS (SELECT topic, lang, sum(n)::BIGINT AS n_tokens FROM c GROUP BY ALL),
+  r AS (SELECT g.topic, g.lang, w.token, n_tokens, coalesce(n, 0) / n_tokens * idf AS there, raw FROM g JOIN w USING (topic) LEFT JOIN c ON c.topic = g.topic AND c.lang = g.lang AND c.token = w.token),
+  s AS (SELECT topic, lang, token, n_tokens, (there / sum(there) OVER p + raw / sum(raw) OVER p) / 2 AS weight FROM r WINDOW p AS (PARTITION BY topic, lang))
+  SELECT topic, lang, token, round(weight, 9) AS weight, rank, n_tokens FROM (SELECT *, row_number() OVER (PARTITION BY topic, lang ORDER BY round(weight, 12) DESC, token)::INTEGER AS rank FROM s) WHERE rank <= 5""")
+def topic_class_table(spark, sf_dir):
+    rows = _tokens(spark, sf_dir, "lang", "source").withColumnRenamed("source", "topic")
+    return topics.topic_class_terms(rows, "topic", "lang").withColumn("weight", F.round("weight", 9))
+
+
+_LABEL_TOPICS = """e AS (SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN -1 ELSE label END AS topic, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+  m AS (SELECT topic, i, avg(x) AS m FROM e WHERE topic <> -1 GROUP BY ALL), l AS (SELECT topic, sqrt(sum(m * m)) AS norm FROM m GROUP BY topic), v AS (SELECT topic, i, m / norm AS x FROM m JOIN l USING (topic)),
+  o AS (SELECT vec_id, sqrt(sum(x * x)) AS norm FROM e GROUP BY vec_id), c AS (SELECT e.vec_id, v.topic, any_value(e.topic) AS own, sum(e.x / o.norm * v.x) AS cosine FROM e JOIN o USING (vec_id) JOIN v USING (i) GROUP BY ALL)"""
+
+
+def _label_topics(spark, sf_dir):
+    rows = _read(spark, sf_dir, "embeddings")
+    return rows, rows.select("vec_id", F.when(F.col("vec_id") % 10 == 0, topicmodel.OUTLIER).otherwise(F.col("label")).alias("topic"))
+
+
+@_query(f"""WITH {_LABEL_TOPICS} SELECT vec_id, own AS topic, CASE WHEN own = -1 THEN coalesce(topic, -1) ELSE own END AS reduced FROM (
+     SELECT vec_id, own, topic, row_number() OVER (PARTITION BY vec_id ORDER BY (cosine >= 0.2)::INT DESC, cosine DESC, topic) AS r FROM (SELECT vec_id, own, CASE WHEN cosine >= 0.2 THEN topic END AS topic, cosine FROM c)) WHERE r = 1""")
+def outlier_reduction(spark, sf_dir):
+    rows, labels = _label_topics(spark, sf_dir)
+    return topicmodel.reassigned(labels, rows, 0.2)
+
+
+@_query(f"""WITH {_LABEL_TOPICS}, w AS (SELECT vec_id, topic, exp(20 * (cosine - max(cosine) OVER (PARTITION BY vec_id))) AS w FROM c)
+  SELECT vec_id, topic, round(w / sum(w) OVER (PARTITION BY vec_id), 6) AS p FROM w""")
+def topic_probabilities(spark, sf_dir):
+    rows, labels = _label_topics(spark, sf_dir)
+    return topicmodel.probabilities(rows, topicmodel.topic_vectors(rows, labels)).withColumn("p", F.round("p", 6))
+
+
+@_query()
+def embedded_keywords(spark, sf_dir):
+    """Phrases of one or two words most like their document by the default encoder."""
+    from ..sources.annotator import hashing_encoder
+
+    return keywords.embedded(_lists(spark, sf_dir), lambda: hashing_encoder(64), 5, stopwords=CONNECTORS)
+
+
 @_query(f"""WITH {_TOK} SELECT doc_id, (pos // 80)::INTEGER AS w, count(*) AS n, min(token) AS first_token, md5(string_agg(token, ' ' ORDER BY pos)) AS digest FROM tok GROUP BY doc_id, pos // 80""")
 def token_windows(spark, sf_dir):
     rows = topics.windows(_tokens(spark, sf_dir), 80)
