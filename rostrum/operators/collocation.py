@@ -5,11 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..functions.maths import npmi
 
 
+def sentence_pairs(words: Column, connectors: tuple[str, ...] = ()) -> Column:
+    """Array of (a, b, between) of one sentence's words: each that is no connector with the next that is none."""
+    places = F.filter(F.transform(words, lambda w, i: F.when(~w.isin(*connectors), i)), lambda i: i.isNotNull())
+    if not connectors:
+        after = lambda w: F.arrays_zip(F.slice(w, F.lit(1), F.size(w) - 1).alias("a"), F.slice(w, F.lit(2), F.size(w)).alias("b"))
+        return let(words, lambda w: F.when(F.size(w) > 1, F.transform(after(w), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), F.lit("").alias("between")))))
+    made = lambda w, i, j: F.struct(F.get(w, i).alias("a"), F.get(w, j).alias("b"), F.array_join(F.slice(w, i + 2, j - i - 1), " ").alias("between"))
+    ends = lambda at: F.arrays_zip(F.slice(at, F.lit(1), F.size(at) - 1).alias("i"), F.slice(at, F.lit(2), F.size(at)).alias("j"))
+    return let(places, lambda at: F.when(F.size(at) > 1, F.transform(ends(at), lambda p: made(words, p["i"], p["j"]))))
+
+
 def pairs(tokens: DataFrame, connectors: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, sent_id, a, b, between): each word with the next of its sentence; connectors may stand between but not at the ends."""
+    """(doc_id, sent_id, a, b, between): each word with the next of its sentence; connectors may stand between but not at the ends.
+
+    Documents as arrays (``tokens.listed``) are paired where they lie; nothing is shuffled.
+    """
+    if "sentences" in tokens.columns:
+        rows = tokens.select("doc_id", F.posexplode("sentences").alias("sent_id", "words"))
+        return rows.select("doc_id", "sent_id", F.inline(sentence_pairs(F.col("words"), connectors)))
     place = Window.partitionBy("doc_id", "sent_id").orderBy("pos")
     rows = tokens
     if connectors:
@@ -41,8 +59,8 @@ def pair_scores(tokens: DataFrame, connectors: tuple[str, ...] = (), min_count:
 
     ``npmi`` or ``default``: (joint - min_count) / count_a / count_b times the
     number of types. With a threshold only pairs above it are kept. Documents
-    (doc_id, text) may be given in place of tokens where there are no
-    connectors: their pairs need no order, and one shuffle counts them.
+    as arrays (``tokens.listed``), or as (doc_id, text) where there are no
+    connectors, are paired where they lie, and one shuffle counts the pairs.
     """
     if scoring not in ("npmi", "default"):
         raise ValueError("scoring is npmi or default")
@@ -52,11 +70,13 @@ def pair_scores(tokens: DataFrame, connectors: tuple[str, ...] = (), min_count:
         tokens = tokens.select(F.explode(F.regexp_extract_all(low, F.lit(r"\p{L}+"), F.lit(0))).alias("token"))
     else:
         met = pairs(tokens, connectors)
+        if "sentences" in tokens.columns:
+            tokens = tokens.select(F.explode(F.flatten("sentences")).alias("token"))
     joint = met.groupBy("a", "between", "b").agg(F.count(F.lit(1)).alias("joint")).where(F.col("joint") >= min_count)
     single = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     left = single.select(F.col("token").alias("a"), F.col("n").alias("count_a"))
     right = single.select(F.col("token").alias("b"), F.col("n").alias("count_b"))
-    out = joint.join(left, "a").join(right, "b").withColumn("n_tokens", tokens.agg(F.count(F.lit(1))).scalar())
+    out = joint.join(left, "a").join(right, "b").withColumn("n_tokens", single.agg(F.sum("n")).scalar())
     if scoring == "npmi":
         score: Column = npmi(F.col("joint"), [F.col("count_a"), F.col("count_b")], F.col("n_tokens"))
     else:

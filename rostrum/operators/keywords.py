@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from .collocation import text_pairs
 
 
@@ -21,6 +22,11 @@ def cooccurrences(tokens: DataFrame, window: int = 4) -> DataFrame:
         met = F.explode(F.concat(*(text_pairs(low, k, r"\P{L}") for k in range(1, window)))).alias("p")
         pairs = tokens.select("doc_id", met).select("doc_id", F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).where("a <> b")
         return pairs.groupBy("doc_id", "a", "b").agg(F.count(F.lit(1)).alias("weight"))
+    if "sentences" in tokens.columns:  # and so here: windows go over sentences, as positions do
+        beside = lambda w, k: F.arrays_zip(F.slice(w, F.lit(1), F.greatest(F.size(w) - k, F.lit(0))).alias("a"), F.slice(w, F.lit(k + 1), F.size(w)).alias("b"))
+        met = let(F.flatten("sentences"), lambda w: F.concat(*(beside(w, k) for k in range(1, window))))
+        pairs = tokens.select("doc_id", F.inline(met)).select("doc_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
+        return pairs.groupBy("doc_id", "a", "b").agg(F.count(F.lit(1)).alias("weight"))
     place = Window.partitionBy("doc_id").orderBy("pos")
     ahead = tokens.select("doc_id", "token", F.array(*(F.lead("token", k).over(place) for k in range(1, window))).alias("next"))
     pairs = ahead.select("doc_id", "token", F.explode("next").alias("other")).where(F.col("other").isNotNull() & (F.col("other") != F.col("token")))

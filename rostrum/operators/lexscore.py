@@ -53,7 +53,6 @@ def all_hits(tokens: Column, entries: list[str] | tuple[str, ...]) -> Column:
     if len(single) == len(ordered):
         return of(tokens)
     sizes = sorted({len(e) for e in ordered if len(e) > 1}, reverse=True)
-
     def from_(text: Column, k: int) -> Column:
         if k == len(sizes):
             return of(F.split(text, " +"))
@@ -81,6 +80,11 @@ def text_hits(text: Column, entries: list[str] | tuple[str, ...]) -> Column:
     return total + F.regexp_count(text, F.lit(of(rest))) if rest else total
 
 
+def word_count(text: Column) -> Column:
+    """How many runs of letters."""
+    return (F.size(F.split(text, r"\p{L}+")) - 1).cast("long")
+
+
 def sided(sentence: Column, profile: Profile = HUNGARIAN) -> Column:
     """(plain, turned, n) of a lower-cased sentence as text: its words that no cue negates, those that one does, and how many words it has.
 
@@ -114,8 +118,8 @@ def document_sentiment(docs: DataFrame, positive: tuple[str, ...], negative: tup
     counted = lambda n, p, m: F.struct(*(x.cast("long").alias(c) for c, x in (("n", n), ("p", p), ("m", m))))
 
     def of(s: Column) -> Column:
-        # word by word only where a cue is
-        plain = counted(F.regexp_count(s, F.lit(r"\p{L}+")), text_hits(s, positive), text_hits(s, negative))
+        # in order only where a cue is
+        plain = let(F.array_remove(F.split(s, r"\P{L}+"), ""), lambda w: counted(F.size(w), all_hits(w, positive), all_hits(w, negative)))
         p, m = (lambda x: all_hits(x["plain"], positive) + all_hits(x["turned"], negative)), (lambda x: all_hits(x["plain"], negative) + all_hits(x["turned"], positive))
         return F.when(F.rlike(s, F.lit(cue)), let(sided(s, profile), lambda x: counted(x["n"], p(x), m(x)))).otherwise(plain)
 
@@ -158,7 +162,7 @@ def emotions(docs: DataFrame, entries: dict[str, tuple[str, ...]], min_hits: int
     """
     names = list(entries)
     low = docs.where(F.rlike("text", F.lit(r"\p{L}"))).select("doc_id", F.lower("text").alias("low"))
-    rows = low.select("doc_id", F.regexp_count("low", F.lit(r"\p{L}+")).cast("long").alias("n_tokens"), *(text_hits(F.col("low"), entries[c]).cast("long").alias(c) for c in names))
+    rows = low.select("doc_id", word_count(F.col("low")).alias("n_tokens"), *(text_hits(F.col("low"), entries[c]).cast("long").alias(c) for c in names))
     total, best = sum((F.col(c) for c in names), F.lit(0)), F.greatest(*names)
     dominant = F.coalesce(*(F.when((F.col(c) == best) & (best > 0), F.lit(c)) for c in sorted(names)))
     rates = {f"{c}_rate": F.round(ratio(F.col(c), F.col("n_tokens")), 6) for c in names}
@@ -174,7 +178,7 @@ def salience(docs: DataFrame, poles: dict[str, tuple[str, ...]], min_mentions: i
     virtues = list(dict.fromkeys(p.split("/")[0] for p in poles))
     low = docs.select("doc_id", F.lower("text").alias("low"))
     hits = lambda p: text_hits(F.col("low"), poles.get(p, ())).cast("long").alias(f"__{p}")
-    wide = low.select("doc_id", F.regexp_count("low", F.lit(r"\p{L}+")).cast("long").alias("n_tokens"), *(hits(f"{v}/{p}") for v in virtues for p in ("affirming", "accusing")))
+    wide = low.select("doc_id", word_count(F.col("low")).alias("n_tokens"), *(hits(f"{v}/{p}") for v in virtues for p in ("affirming", "accusing")))
     each = F.array(*(F.struct(F.lit(v).alias("virtue"), *(F.col(f"`__{v}/{p}`").alias(p) for p in ("affirming", "accusing"))) for v in virtues))
     counts = wide.select("doc_id", F.explode(each).alias("v"), "n_tokens")
     return with_stance(counts.select("doc_id", "v.*", "n_tokens").where("affirming + accusing > 0"), min_mentions)

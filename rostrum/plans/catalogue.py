@@ -13,6 +13,7 @@ from ..functions import text as T
 from ..functions.maths import ratio
 from ..operators import bundle, classify, collocation, contrast, evaluate, events, frequency, keywords, lexscore, network, readability, syntax, tokens, topicmodel, topics
 from ..profile import WESTERN
+from ..sources.readers import dealt_out
 
 #: Small lexicons for the four languages of the sample tables.
 POSITIVE = ("the", "que", "der", "para", "on", "for", "les", "das")
@@ -27,7 +28,8 @@ KINDS = ["click", "error", "login", "purchase", "view"]
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt_out(rows, "doc_id") if name == "documents" else rows
 
 
 def _lists(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
@@ -232,7 +234,7 @@ _WORDS_BY_SENTENCE = r"""w AS MATERIALIZED (SELECT regexp_extract_all(unnest(str
      round((ln(joint::DOUBLE / n_tokens) - (ln(x.n::DOUBLE / n_tokens) + ln(y.n::DOUBLE / n_tokens))) / (-1 * ln(joint::DOUBLE / n_tokens)), 6) AS score
   FROM j JOIN c x ON x.token = j.a JOIN c y ON y.token = j.b, t""")
 def bigram_npmi(spark, sf_dir):
-    return collocation.pair_scores(_read(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
+    return collocation.pair_scores(_lists(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 @_query(f"""WITH {_TOK}, k AS (SELECT *, sum(CASE WHEN token IN ({_in(CONNECTORS)}) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, sent_id ORDER BY pos) AS run FROM tok),
@@ -241,7 +243,7 @@ def bigram_npmi(spark, sf_dir):
      FROM k LEFT JOIN i USING (doc_id, sent_id, run) WHERE token NOT IN ({_in(CONNECTORS)}))
   SELECT a, between, b, count(*) AS joint FROM m WHERE b IS NOT NULL GROUP BY ALL HAVING count(*) >= 3""")
 def connector_bigrams(spark, sf_dir):
-    found = collocation.pairs(_tokens(spark, sf_dir), CONNECTORS).groupBy("a", "between", "b").agg(F.count(F.lit(1)).alias("joint"))
+    found = collocation.pairs(_lists(spark, sf_dir), CONNECTORS).groupBy("a", "between", "b").agg(F.count(F.lit(1)).alias("joint"))
     return found.where("joint >= 3")
 
 
@@ -511,7 +513,7 @@ def best_quotes(spark, sf_dir):
 @_query(f"""WITH {_TOK}, p AS (SELECT a.doc_id, least(a.token, b.token) AS a, greatest(a.token, b.token) AS b, count(*) AS weight FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos > a.pos AND b.pos < a.pos + 4 AND a.token <> b.token GROUP BY ALL)
   SELECT doc_id, count(*) AS edges, CAST(sum(weight) AS BIGINT) AS weight, max(weight) AS heaviest FROM p GROUP BY doc_id""")
 def cooccurrence_edges(spark, sf_dir):
-    edges = keywords.cooccurrences(_tokens(spark, sf_dir))
+    edges = keywords.cooccurrences(_lists(spark, sf_dir))
     return edges.groupBy("doc_id").agg(F.count(F.lit(1)).alias("edges"), F.sum("weight").alias("weight"), F.max("weight").alias("heaviest"))
 
 

@@ -26,6 +26,17 @@ EXCHANGE = T.StructType(
 )
 
 
+def dealt_out(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a table in fewer pieces than there are cores, dealt out by ``key``; others as they are.
+
+    A Parquet file of one row group is one task's work, however many splits it
+    is planned as. Tables of many files are left alone, so nothing is shuffled
+    where it would cost.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if len(rows.inputFiles()) < cores and rows.rdd.getNumPartitions() <= cores else rows
+
+
 def data_dir(argument: str | None = None, variable: str = "ROSTRUM_DATA", default: str = "data/raw") -> str:
     """The argument, or else the environment variable, or else the default."""
     return argument or os.environ.get(variable) or default
