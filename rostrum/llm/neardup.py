@@ -15,10 +15,11 @@ text throughout.
    Members that are linked, though one of them is not linked to the hub, must
    share a part of what tells them from the hub, so they meet under an element
    of that (see ``_differences``); changes made at random are hardly ever
-   shared, so members meet few others. Where many do meet, some are held in
-   blocks of bounded size while the others stream past. Members of a hub that
-   fit one block meet in that without more ado. Nothing but links
-   comes out, so no list of pairs is made, whatever a group's size.
+   shared, so members meet few others. Members of a hub that fit one block
+   (4,096 texts) meet in that, each once. Of more than that, those that share
+   an element are held in such blocks while the others stream past: there the
+   rows that are sent grow with the square of a family by the block's size.
+   Nothing but links comes out, so no list of pairs is made.
 """
 
 from __future__ import annotations
@@ -38,10 +39,12 @@ from .shingles import bags, mix, slices
 #: 24 bands of 4 registers: two texts of similarity 0.8 share no band once in 300,000 times.
 BANDS, ROWS = 24, 4
 SIMILARITY = 0.8
-#: Texts that a block holds, or that are held against one copy of a hub; and texts that stream past one block.
-QUERIES, STREAM = 256, 20_000
+#: Texts that are held against one copy of a hub; that a block holds; that stream past one block.
+PART, QUERIES, STREAM = 256, 4096, 20_000
 #: Elements that a block holds, or those of one text that has more.
 HELD = 1 << 20
+#: What rows of blocks carry.
+_PAYLOAD = ("role", "key", "label", "size", "elements", "weights")
 
 
 def with_key(docs: DataFrame, name: str = "__key") -> DataFrame:
@@ -290,6 +293,102 @@ def components(nodes: DataFrame, edges: DataFrame, home: str) -> DataFrame:
     return rest.select("key", F.coalesce("label", "key").alias("label"))
 
 
+def _merged(labels: DataFrame, links: DataFrame, home: str) -> DataFrame:
+    """Labels (key, label) after links (a, b) between keys have joined what these belong to."""
+    a = labels.select(F.col("key").alias("ka"), F.col("label").alias("la"))
+    b = labels.select(F.col("key").alias("kb"), F.col("label").alias("lb"))
+    between = links.join(a, F.col("a") == F.col("ka")).join(b, F.col("b") == F.col("kb")).where("la <> lb")
+    between = stored(between.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), f"{home}/between")
+    if not between.limit(1).count():
+        return labels
+    over = components(labels.select(F.col("label").alias("key")).distinct(), between, f"{home}/over").withColumnRenamed("label", "top")
+    return stored(labels.join(over.withColumnRenamed("key", "l"), F.col("label") == F.col("l")).select("key", F.col("top").alias("label")), f"{home}/labels")
+
+
+class _Search:
+    """The search for links among texts by key; ``queries`` and ``stream`` bound the blocks."""
+
+    def __init__(self, texts: DataFrame, similarity: float, queries: int, stream: int):
+        self.texts, self.similarity, self.queries, self.stream = texts, similarity, queries, stream
+
+    def _with_hubs(self, spread: DataFrame, label: Column) -> DataFrame:
+        group = F.xxhash64("hub", "part").alias("grp")
+        heads = spread.select("hub", "part").distinct().select(group, F.lit(0).alias("role"), F.col("hub").alias("key"), F.lit(b"").alias("label"))
+        rows = heads.unionByName(spread.select(group, F.lit(1).alias("role"), "key", label.alias("label")))
+        return rows.join(self.texts, F.col("key") == F.col("text_key")).drop("text_key")
+
+    def labels(self, members: DataFrame, home: str) -> DataFrame:
+        """(key, label) of texts that share a bucket: ``members`` has bucket, key and n, the bucket's size."""
+        queries, similarity = self.queries, self.similarity
+        nodes = stored(members.groupBy("key").agg(F.sum("n").alias("degree")), f"{home}/nodes")
+        ranked = members.join(nodes.withColumnRenamed("key", "node"), F.col("key") == F.col("node")).select("bucket", "key", "degree")
+        best = F.max(F.struct("degree", "key"))["key"]
+        hubs = stored(ranked.groupBy(F.col("bucket").alias("of")).agg(best.alias("hub")), f"{home}/hubs")
+        pairs = members.join(hubs, F.col("bucket") == F.col("of")).where(F.col("hub") != F.col("key"))
+        pairs = stored(pairs.select("hub", "key").distinct(), f"{home}/pairs")
+        # a hub is sent to each part of its members; the more members, the more parts
+        many = pairs.groupBy(F.col("hub").alias("of")).agg((F.count(F.lit(1)) / PART).cast("long").alias("more"))
+        many = stored(many.where("more > 0"), f"{home}/many")
+        spread = pairs.join(many, F.col("hub") == F.col("of"), "left").withColumn("part", F.pmod(F.xxhash64("key"), F.coalesce("more", F.lit(0)) + 1))
+        first = stored(_links(self._with_hubs(spread, F.lit(b"")), similarity), f"{home}/first")
+        labels = stored(components(nodes, first, f"{home}/c1"), f"{home}/labels")
+
+        # what is left: hubs of one class are as one, and their members of unlike labels meet under a token
+        known = labels.select(F.col("key").alias("k"), "label")
+        of_class = pairs.groupBy(F.col("hub").alias("key")).agg(F.count(F.lit(1)).alias("n")).join(known, F.col("key") == F.col("k"))
+        of_class = stored(of_class.select("key", "n", "label"), f"{home}/hub_classes")
+        heads = of_class.groupBy(F.col("label").alias("l")).agg(F.max(F.struct("n", "key")).alias("most"))
+        heads = stored(of_class.join(heads, F.col("label") == F.col("l")).select(F.col("key").alias("of"), F.col("most.key").alias("head"), F.col("label").alias("own")), f"{home}/heads")
+        left = pairs.join(heads, F.col("hub") == F.col("of")).where(F.col("head") != F.col("key")).select(F.col("head").alias("hub"), "own", "key").distinct()
+        left = stored(left.join(known, F.col("key") == F.col("k")).select("hub", "own", "key", "label"), f"{home}/left")
+        unlike = left.groupBy(F.col("hub").alias("of")).agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("n"))
+        unlike = stored(unlike.where("a <> b").select("of", (F.col("n") / PART).cast("long").alias("more")), f"{home}/unlike")
+        left = left.join(unlike, F.col("hub") == F.col("of")).withColumn("part", F.pmod(F.xxhash64("key"), F.col("more") + 1))
+        apart = stored(_differences(self._with_hubs(left, F.col("label")), similarity), f"{home}/apart")
+        # one that is close to the head after all, though not of its class
+        close = apart.where("kind = 0 AND NOT outside").join(left.select(F.col("hub").alias("h"), F.col("key").alias("k"), "own"), (F.col("hub") == F.col("h")) & (F.col("key") == F.col("k")))
+        close = close.where("own <> label").select(F.col("hub").alias("a"), F.col("key").alias("b"))
+        # hubs whose members fit a block are settled whole, each member once
+        fits = (F.count(F.lit(1)) <= queries) & (F.sum(F.size("elements")) <= HELD)
+        groups = apart.groupBy(F.col("hub").alias("h"), F.col("kind").alias("d")).agg(_unlike(), _n_of(F.col("outside")).alias("passing"), fits.alias("fits"))
+        groups = stored(groups.where("unlike AND passing > 0").select("h", "d", "fits"), f"{home}/groups")
+        here = (F.col("hub") == F.col("h")) & (F.col("kind") == F.col("d"))
+        small = apart.join(groups.where("fits"), here).withColumn("role", F.explode(F.when(F.col("outside"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+        small = small.select(F.xxhash64("hub", "kind").alias("grp"), *_PAYLOAD)
+        labels = _merged(labels, stored(_settled(small, similarity).unionByName(close).distinct(), f"{home}/more"), f"{home}/m2")
+        if not groups.where("NOT fits").limit(1).count():
+            return labels
+
+        # in all others members meet under tokens
+        known = labels.select(F.col("key").alias("k"), "label")
+        large = apart.join(groups.where("NOT fits"), here).drop("label").join(known, F.col("key") == F.col("k"))
+        large = large.select("hub", "kind", "key", "label", "outside", F.size("elements").alias("n"), "tokens", "rest")
+        owned = lambda tokens, own: large.select("hub", "kind", "key", "label", "outside", "n", F.lit(own).alias("own"), F.explode(tokens).alias("token"))
+        group = F.xxhash64("hub", "kind", "token").alias("group")
+        met = owned("tokens", True).unionByName(owned("rest", False)).select(group, "hub", "kind", "key", "label", "outside", "own", "n")
+        blocks = F.greatest(_n_of(F.col("own")) / queries, F.sum(F.when(F.col("own"), F.col("n"))) / HELD).cast("long") + 1
+        parts = (_n_of(F.col("outside")) / self.stream).cast("long") + 1
+        counts = met.groupBy(F.col("group").alias("of")).agg(_unlike(), _n_of(F.col("own")).alias("held"), _n_of(F.col("outside")).alias("passing"), blocks.alias("blocks"), parts.alias("parts"))
+        counts = stored(counts.where("unlike AND held > 0 AND passing > 0").select("of", "blocks", "parts"), f"{home}/counts")
+        met = stored(met.join(counts, F.col("group") == F.col("of")).drop("of", "label", "n"), f"{home}/met")
+        if not met.limit(1).count():
+            return labels
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        held = met.where("own").select("*", F.lit(0).alias("role"), F.pmod(F.xxhash64("key", F.lit(1)), "blocks").alias("block"), every("parts").alias("part"))
+        passing = met.where("outside").select("*", F.lit(1).alias("role"), every("blocks").alias("block"), F.pmod(F.xxhash64("key", F.lit(2)), "parts").alias("part"))
+        rows = held.unionByName(passing).select(F.xxhash64("group", "block", "part").alias("grp"), "role", F.col("hub").alias("h"), F.col("kind").alias("d"), F.col("key").alias("k"))
+        rows = rows.join(apart, here & (F.col("key") == F.col("k"))).select("grp", *_PAYLOAD)
+        return _merged(labels, stored(_settled(rows, similarity), f"{home}/blocks"), f"{home}/m3")
+
+
+def _n_of(when: Column) -> Column:
+    return F.sum(F.when(when, 1).otherwise(0))
+
+
+def _unlike() -> Column:
+    return (F.min("label") < F.max("label")).alias("unlike")
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, queries: int = QUERIES, stream: int = STREAM) -> DataFrame:
     """(key, label) of each distinct text that another text is linked to; all others are classes of their own.
 
@@ -301,86 +400,16 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, queries: int = QUER
     sizes = bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sizes = stored(sizes, f"{home}/sizes").withColumnRenamed("bucket", "of")
     members = signed.select("key", F.explode("bands").alias("bucket")).join(sizes, F.col("bucket") == F.col("of")).drop("of").distinct()
-    members = stored(members, f"{home}/members")
-    degrees = members.groupBy("key").agg(F.sum("n").alias("degree"))
-    nodes = stored(degrees, f"{home}/nodes")
+    members = stored(members.select("bucket", "key", "n"), f"{home}/members")
     texts = docs.select(F.col("__key").alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
     # one plan at every size: the members' keys grow with the corpus and are not sent to all tasks
-    texts = texts.join(nodes.select("key").hint("merge"), F.col("text_key") == F.col("key"), "left_semi")
+    texts = texts.join(members.select("key").distinct().hint("merge"), F.col("text_key") == F.col("key"), "left_semi")
     # written before copies are put together: so the join may split a text of very many copies
     texts = stored(texts, f"{home}/found")
     texts = stored(texts.groupBy("text_key").agg(F.first("text").alias("text")), f"{home}/texts")
 
-    ranked = members.join(nodes.withColumnRenamed("key", "node"), F.col("key") == F.col("node")).select("bucket", "key", "degree")
-    best = F.max(F.struct("degree", "key"))["key"]
-    hubs = stored(ranked.groupBy(F.col("bucket").alias("of")).agg(best.alias("hub")), f"{home}/hubs")
-    pairs = members.join(hubs, F.col("bucket") == F.col("of")).where(F.col("hub") != F.col("key"))
-    pairs = stored(pairs.select("hub", "key").distinct(), f"{home}/pairs")
-    # a hub is sent to each part of its members; the more members, the more parts
-    many = pairs.groupBy(F.col("hub").alias("of")).agg((F.count(F.lit(1)) / queries).cast("long").alias("more"))
-    many = stored(many.where("more > 0"), f"{home}/many")
-    spread = pairs.join(many, F.col("hub") == F.col("of"), "left").withColumn("part", F.pmod(F.xxhash64("key"), F.coalesce("more", F.lit(0)) + 1))
-
-    def with_hubs(spread: DataFrame, label: Column) -> DataFrame:
-        group = F.xxhash64("hub", "part").alias("grp")
-        heads = spread.select("hub", "part").distinct().select(group, F.lit(0).alias("role"), F.col("hub").alias("key"), F.lit(b"").alias("label"))
-        rows = heads.unionByName(spread.select(group, F.lit(1).alias("role"), "key", label.alias("label")))
-        return rows.join(texts, F.col("key") == F.col("text_key")).drop("text_key")
-
-    first = stored(_links(with_hubs(spread, F.lit(b"")), similarity), f"{home}/first")
-    labels = stored(components(nodes, first, f"{home}/c1"), f"{home}/labels")
-
-    # what is left: hubs of one class are as one, and their members of unlike labels meet under a token
-    known = labels.select(F.col("key").alias("k"), "label")
-    of_class = pairs.groupBy(F.col("hub").alias("key")).agg(F.count(F.lit(1)).alias("n")).join(known, F.col("key") == F.col("k"))
-    of_class = stored(of_class.select("key", "n", "label"), f"{home}/hub_classes")
-    heads = of_class.groupBy(F.col("label").alias("l")).agg(F.max(F.struct("n", "key")).alias("most"))
-    heads = stored(of_class.join(heads, F.col("label") == F.col("l")).select(F.col("key").alias("of"), F.col("most.key").alias("head"), F.col("label").alias("own")), f"{home}/heads")
-    left = pairs.join(heads, F.col("hub") == F.col("of")).where(F.col("head") != F.col("key")).select(F.col("head").alias("hub"), "own", "key").distinct()
-    left = stored(left.join(known, F.col("key") == F.col("k")).select("hub", "own", "key", "label"), f"{home}/left")
-    unlike = left.groupBy(F.col("hub").alias("of")).agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("n"))
-    unlike = stored(unlike.where("a <> b").select("of", (F.col("n") / queries).cast("long").alias("more")), f"{home}/unlike")
-    left = left.join(unlike, F.col("hub") == F.col("of")).withColumn("part", F.pmod(F.xxhash64("key"), F.col("more") + 1))
-    apart = stored(_differences(with_hubs(left, F.col("label")), similarity), f"{home}/apart")
-    # one that is close to the head after all, though not of its class
-    close = apart.where("kind = 0 AND NOT outside").join(left.select(F.col("hub").alias("h"), F.col("key").alias("k"), "own"), (F.col("hub") == F.col("h")) & (F.col("key") == F.col("k")))
-    close = close.where("own <> label").select(F.col("hub").alias("a"), F.col("key").alias("b"))
-    n_of = lambda when: F.sum(F.when(when, 1).otherwise(0))
-    unlike = (F.min("label") < F.max("label")).alias("unlike")
-    # hubs whose members fit a block are settled whole, each member once
-    fits = (F.count(F.lit(1)) <= queries) & (F.sum(F.size("elements")) <= HELD)
-    groups = apart.groupBy(F.col("hub").alias("h"), F.col("kind").alias("d")).agg(unlike, n_of(F.col("outside")).alias("passing"), fits.alias("fits"))
-    groups = stored(groups.where("unlike AND passing > 0").select("h", "d", "fits"), f"{home}/groups")
-    here = (F.col("hub") == F.col("h")) & (F.col("kind") == F.col("d"))
-    payload = ("role", "key", "label", "size", "elements", "weights")
-    small = apart.join(groups.where("fits"), here).withColumn("role", F.explode(F.when(F.col("outside"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    small = small.select(F.xxhash64("hub", "kind").alias("grp"), *payload)
-
-    # in all others members meet under tokens
-    large = apart.join(groups.where("NOT fits"), here).select("hub", "kind", "key", "label", "outside", F.size("elements").alias("n"), "tokens", "rest")
-    owned = lambda tokens, own: large.select("hub", "kind", "key", "label", "outside", "n", F.lit(own).alias("own"), F.explode(tokens).alias("token"))
-    group = F.xxhash64("hub", "kind", "token").alias("group")
-    met = owned("tokens", True).unionByName(owned("rest", False)).select(group, "hub", "kind", "key", "label", "outside", "own", "n")
-    blocks = F.greatest(n_of(F.col("own")) / queries, F.sum(F.when(F.col("own"), F.col("n"))) / HELD).cast("long") + 1
-    parts = (n_of(F.col("outside")) / stream).cast("long") + 1
-    counts = met.groupBy(F.col("group").alias("of")).agg(unlike, n_of(F.col("own")).alias("held"), n_of(F.col("outside")).alias("passing"), blocks.alias("blocks"), parts.alias("parts"))
-    counts = stored(counts.where("unlike AND held > 0 AND passing > 0").select("of", "blocks", "parts"), f"{home}/counts")
-    met = stored(met.join(counts, F.col("group") == F.col("of")).drop("of", "label", "n"), f"{home}/met")
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    held = met.where("own").select("*", F.lit(0).alias("role"), F.pmod(F.xxhash64("key", F.lit(1)), "blocks").alias("block"), every("parts").alias("part"))
-    passing = met.where("outside").select("*", F.lit(1).alias("role"), every("blocks").alias("block"), F.pmod(F.xxhash64("key", F.lit(2)), "parts").alias("part"))
-    rows = held.unionByName(passing).select(F.xxhash64("group", "block", "part").alias("grp"), "role", F.col("hub").alias("h"), F.col("kind").alias("d"), F.col("key").alias("k"))
-    rows = rows.join(apart, here & (F.col("key") == F.col("k"))).select("grp", *payload)
-    rows = small.unionByName(rows)
-    more = stored(_settled(rows, similarity).unionByName(close).distinct(), f"{home}/more")
-
-    # links between classes join what they belong to
-    a = labels.select(F.col("key").alias("ka"), F.col("label").alias("la"))
-    b = labels.select(F.col("key").alias("kb"), F.col("label").alias("lb"))
-    between = more.join(a, F.col("a") == F.col("ka")).join(b, F.col("b") == F.col("kb")).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
-    over = components(labels.select(F.col("label").alias("key")).distinct(), between, f"{home}/c2").withColumnRenamed("label", "top")
-    final = labels.join(over.withColumnRenamed("key", "l"), F.col("label") == F.col("l")).select("key", F.col("top").alias("label"))
-    return stored(final, f"{home}/classes")
+    labels = _Search(texts, similarity, queries, stream).labels(members, home)
+    return stored(labels, f"{home}/classes")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, **blocks) -> DataFrame:
