@@ -150,12 +150,14 @@ def plan_mix(docs: DataFrame, weights=cycling_weights, max_epochs: float = 3.0,
 def mixed(docs: DataFrame, weights=cycling_weights, max_epochs: float = 3.0, share: float = 1.0, seed: int = 17) -> DataFrame:
     """The mix itself: the rows of ``docs`` with all their columns, each as many times as ``plan_mix`` says.
 
-    The texts are scanned twice and never shuffled, but for those in the slice
-    of a source's cut.
+    Columns may have any names: a row travels as one value beside the
+    operator's own. The texts are scanned twice and never shuffled, but for
+    those in the slice of a source's cut.
     """
     home = shared_dir(docs.sparkSession)
-    drawn = _drawn(docs, seed)
-    narrow = stored(drawn.select("doc_id", *(c for c in drawn.columns if c.startswith("__mix_"))), f"{home}/drawn")
+    whole = docs.select("doc_id", "text", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    drawn = _drawn(whole, seed).drop("text", "source")
+    narrow = stored(drawn.drop("row"), f"{home}/drawn")
     out = _chosen(drawn, _cuts(narrow, weights, max_epochs, share, home), max_epochs).where("__mix_copies > 0")
     out = out.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))))
-    return out.select(*docs.columns)
+    return out.select("row.*")

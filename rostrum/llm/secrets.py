@@ -241,12 +241,13 @@ def scanned(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     kept = [c for c in docs.columns if c != "secrets"]
     own = F.coalesce(F.col(text), F.lit(""))
     hits = [F.when(F.rlike(own, F.lit(r.pattern)), _tagged(own, [(k, r)])).otherwise(none) for k, r in full]
-    rows = docs.select(*kept, text_key(F.col(text)).alias("__text_key"), F.concat(none, *hits).alias("__full"))
-    rows = rows.join(checked, F.col("__text_key") == F.col("__key"), "left")
+    # a row travels as one value, so its columns may have any names
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), text_key(F.col(text)).alias("text_key"), F.concat(none, *hits).alias("full"))
+    rows = rows.join(checked, F.col("text_key") == F.col("__key"), "left")
     kinds = F.array(*(F.lit(r.kind) for r in rules))
-    every = F.array_sort(F.concat("__full", F.coalesce("__some", none)))
+    every = F.array_sort(F.concat("full", F.coalesce("__some", none)))
     named = F.transform(every, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(kinds, s["kind"]).alias("kind")))
-    return rows.select(*kept, named.alias("secrets"))
+    return rows.select("row.*", named.alias("secrets"))
 
 
 def joined(secrets: Column) -> Column:

@@ -24,13 +24,22 @@ RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 
 #: The small labelled table: fixed words of names, fronts, endings and paths, which ``labelled_urls`` puts together.
 BLOCKED_NAMES = (
-    ("cheap", "discount", "instant", "hot", "xxx", "lucky", "mega", "easy", "cracked", "bonus", "nude", "vip", "millionaire", "wholesale"),
-    ("viagra", "cialis", "pharmacy-rx", "slots", "poker", "jackpot", "roulette", "payday-cash", "replica-rolex", "escorts", "camgirls", "keygen", "warez", "followers", "backlinks", "clickbank", "popunder", "sportsbook"),
+    ("discount", "instant", "hot", "xxx", "lucky", "mega", "easy", "cracked", "bonus", "nude", "vip", "millionaire", "wholesale", "freebie", "spammy", "winning", "cash", "sexy", "budget", "promo"),
+    ("viagra", "cialis", "pills", "pharma", "slots", "poker", "jackpot", "casino", "bets", "betting", "win", "payday", "loans", "replica", "escorts", "adult", "cams", "keygen", "warez", "followers", "backlinks", "spam", "ads", "popunder", "clickbank", "spins", "prizes"),
 )
 ALLOWED_NAMES = (
-    ("city", "national", "open", "royal", "public", "modern", "northern", "river", "central", "family", "county", "student", "old-town", "young"),
-    ("library", "museum", "archive", "school", "journal", "garden", "hospital", "orchestra", "observatory", "bakery", "college", "weather", "parliament", "cinema", "chess", "railway", "recipes", "hiking"),
+    ("city", "national", "open", "royal", "public", "modern", "northern", "river", "central", "family", "county", "student", "oldtown", "young", "winter", "better", "ancient", "maritime", "village", "addison"),
+    ("library", "museum", "archive", "school", "journal", "garden", "hospital", "orchestra", "observatory", "bakery", "college", "weather", "parliament", "cinema", "chess", "railway", "recipes", "hiking", "education", "farmers", "athletics", "alphabet", "windmill", "brigade", "casework", "window", "spectrum"),
 )
+TAILS = ("", "-now", "247", "hub", "-zone", "online", "-group")
+#: What made-up names are built of: a name nobody has seen is no reason to block.
+ONSETS = ("b", "br", "c", "ch", "d", "dr", "f", "g", "gr", "h", "k", "l", "m", "n", "p", "pr", "qu", "r", "s", "sh", "st", "t", "th", "tr", "v", "w", "z")
+VOWELS = ("a", "e", "i", "o", "u", "ea", "ee", "ie", "io", "ou")
+CODAS = ("", "", "n", "r", "s", "t", "l", "nd", "nt", "st", "ng", "ck", "ble", "sh", "tion")
+MADE_UP = 2400
+BLOCKED_WEIGHT = 4.0
+#: Scores from which a URL is blocked: names of unseen words lie near 0 unless some of their grams speak for a block.
+THRESHOLD = 0.1
 FRONTS = ("", "www.", "m.", "blog.", "shop.", "en.")
 ENDINGS = (".com", ".org", ".info", ".example.com", ".example.org", ".co.uk", ".de", ".fr")
 PATHS = ("", "/", "/en/120", "/fr/45.html", "/de/981/", "/es/7", "/index.html", "/2021/03/")
@@ -39,22 +48,30 @@ ALLOWED_PATHS = ("/about", "/news/archive", "/articles/12", "/opening-hours")
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(name, word, host, path, label): label 1 is to be blocked.
+    """(name, a, word, host, path, label): label 1 is to be blocked.
 
-    Its size is fixed: 504 names, of a first word by a last, each with three of
-    the fronts, endings and paths by turns; these are the same for both labels,
-    but for every third path. ``word`` is the name's last, by which the table
-    may be parted so that what is held out is of words unseen.
+    Its size is fixed: names of a first word, a last and a tail that both labels have, and ``MADE_UP`` names of
+    syllables that mean nothing, which are allowed; each with three of the
+    fronts, endings and paths by turns, the same for both labels, but for
+    every third path of names that mean something. ``a`` and ``word`` are a name's first and last word,
+    by which the table may be parted so that what is held out is of words unseen.
     """
+    pick = lambda words, at: F.element_at(F.array(*map(F.lit, words)), (F.pmod(at, F.lit(len(words))) + 1).cast("int"))
     parts = []
     for label, (first, last), own in ((1.0, BLOCKED_NAMES, BLOCKED_PATHS), (0.0, ALLOWED_NAMES, ALLOWED_PATHS)):
         made = spark.range(len(first) * len(last) * 3).withColumn("name", F.expr("id DIV 3"))
-        pick = lambda words, at: F.element_at(F.array(*map(F.lit, words)), (at % len(words) + 1).cast("int"))
         name, turn = F.col("name"), F.col("name") * 7 + F.col("id")
-        words = made.select(pick(first, F.expr(f"name DIV {len(last)}")).alias("a"), pick(last, name).alias("word"), F.col("id") % 3 == 2, pick(FRONTS, turn), pick(ENDINGS, turn + F.expr("name DIV 5")), pick(PATHS, turn + F.expr("id DIV 11")), pick(own, turn))
-        words = words.toDF("a", "word", "own", "front", "ending", "path", "own_path").withColumn("name", F.concat_ws("-", "a", "word"))
-        parts.append(words.select("name", "word", F.concat("front", "name", "ending").alias("host"), F.when(F.col("own"), F.col("own_path")).otherwise(F.col("path")).alias("path"), F.lit(label).alias("label")))
-    parts.append(spark.range(1).select(F.lit("").alias("name"), F.lit("").alias("word"), F.lit("").alias("host"), F.lit("").alias("path"), F.lit(0.0).alias("label")))
+        words = made.select(pick(first, F.expr(f"name DIV {len(last)}")).alias("a"), pick(last, name).alias("word"), pick(TAILS, name).alias("tail"), F.col("id") % 3 == 2, pick(FRONTS, turn), pick(ENDINGS, turn + F.expr("name DIV 5")), pick(PATHS, turn + F.expr("id DIV 11")), pick(own, turn))
+        words = words.toDF("a", "word", "tail", "own", "front", "ending", "path", "own_path").withColumn("name", F.concat("a", F.lit("-"), "word", "tail"))
+        parts.append(words.select("name", "a", "word", F.concat("front", "name", "ending").alias("host"), F.when(F.col("own"), F.col("own_path")).otherwise(F.col("path")).alias("path"), F.lit(label).alias("label")))
+    made = spark.range(MADE_UP * 3).withColumn("name", F.expr("id DIV 3"))
+    of = lambda words, k: pick(words, F.xxhash64(F.col("name"), F.lit(k)))
+    syllable = lambda k: F.concat(of(ONSETS, 3 * k), of(VOWELS, 3 * k + 1), of(CODAS, 3 * k + 2))
+    turn = F.xxhash64("id", F.lit("turn"))
+    words = made.select(syllable(0).alias("a"), F.concat(syllable(1), F.when(F.col("name") % 2 == 0, syllable(2)).otherwise("")).alias("word"), pick(FRONTS, turn), pick(ENDINGS, F.shiftright(turn, 8)), pick(PATHS, F.shiftright(turn, 16)))
+    words = words.toDF("a", "word", "front", "ending", "path").withColumn("name", F.concat("a", "word"))
+    parts.append(words.select("name", "a", "word", F.concat("front", "name", "ending").alias("host"), "path", F.lit(0.0).alias("label")))
+    parts.append(spark.range(1).select(F.lit("").alias("name"), F.lit("").alias("a"), F.lit("").alias("word"), F.lit("").alias("host"), F.lit("").alias("path"), F.lit(0.0).alias("label")))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -101,14 +118,15 @@ def _vectors(urls: DataFrame, buckets: int) -> DataFrame:
     return HashingTF(numFeatures=buckets, binary=True, inputCol="__url_grams", outputCol="__url_vector").transform(urls)
 
 
-def train(labelled: DataFrame, buckets: int = 1 << 14) -> LogisticRegressionModel:
-    """The model of a small labelled table (host, path, label)."""
-    rows = labelled.select(F.col("host").alias("__url_host"), F.col("path").alias("__url_path"), F.col("label").cast("double").alias("__url_label"))
-    fit = LogisticRegression(featuresCol="__url_vector", labelCol="__url_label", regParam=0.002, maxIter=50, standardization=False)
+def train(labelled: DataFrame, buckets: int = 1 << 16, strength: float = 2e-4) -> LogisticRegressionModel:
+    """The model of a small labelled table (host, path, label); URLs to be blocked, which are fewer, weigh ``BLOCKED_WEIGHT`` each."""
+    weight = F.when(F.col("label") == 1, F.lit(BLOCKED_WEIGHT)).otherwise(1.0).alias("__url_weight")
+    rows = labelled.select(F.col("host").alias("__url_host"), F.col("path").alias("__url_path"), F.col("label").cast("double").alias("__url_label"), weight)
+    fit = LogisticRegression(featuresCol="__url_vector", labelCol="__url_label", weightCol="__url_weight", regParam=strength, maxIter=100, standardization=False)
     return fit.fit(_vectors(rows.coalesce(1), buckets))
 
 
-def judged(pages: DataFrame, model: LogisticRegressionModel, rules=RULES, url: str = "url", threshold: float = 0.5) -> DataFrame:
+def judged(pages: DataFrame, model: LogisticRegressionModel, rules=RULES, url: str = "url", threshold: float = THRESHOLD) -> DataFrame:
     """Adds host, path, rule, verdict and score (the model's probability of a block).
 
     All columns are kept, whatever their names; one named like a new column is replaced. Null URLs

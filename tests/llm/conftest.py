@@ -39,7 +39,7 @@ def clashing(df):
     """The table with columns that are named like those of operators."""
     from pyspark.sql import functions as F
 
-    names = ("size", "target", "copies", "score", "predicted", "key", "label", "starts", "media", "payload", "secrets", "host", "rule", "n", "start", "pos", "hash", "bucket")
+    names = ("size", "target", "copies", "score", "predicted", "key", "label", "starts", "media", "payload", "secrets", "host", "rule", "n", "start", "pos", "hash", "bucket", "row", "full", "text_key", "__key", "__some", "__text_key", "__full", "__at", "__mix_size", "__mix_source", "__mix_draw", "__mix_copies", "__mix_copy", "__mix_of", "__mix_slice", "__id", "__pick")
     return df.withColumns({c: F.lit("clash") for c in names})
 
 
