@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bagminhash import band_keys, signatures
-from .common import shared_dir, small_batches, spare, stored
+from .common import batches_of, shared_dir, spare, stored
 from .shingles import bags, mix, slices
 
 #: 24 bands of 4 registers: two texts of similarity 0.8 share no band once in 300,000 times.
@@ -74,7 +74,6 @@ def _signed(keyed: DataFrame) -> DataFrame:
                 if len(full):  # pandas gives columns without rows a type that is no list
                     yield pd.DataFrame({"key": [keys[a + i] for i in full], "bands": list(band_keys(registers[full], BANDS, ROWS))})
 
-    small_batches(keyed.sparkSession)
     rows = keyed.select(F.col("__key").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInPandas(sign, "key binary, bands array<long>")
 
@@ -96,7 +95,6 @@ def _links(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             if out:
                 yield pd.DataFrame(out, columns=["a", "b"])
 
-    small_batches(rows.sparkSession)
     dealt = rows.repartition("grp").sortWithinPartitions("grp", "role")
     return dealt.mapInPandas(compare, "a binary, b binary").distinct()
 
@@ -206,7 +204,6 @@ def _differences(rows: DataFrame, similarity: float) -> DataFrame:
                 }
             )
 
-    small_batches(rows.sparkSession)
     dealt = rows.repartition("grp").sortWithinPartitions("grp", "role")
     return dealt.mapInPandas(tell, DIFFERENCES)
 
@@ -262,7 +259,6 @@ def _settled(rows: DataFrame, similarity: float) -> DataFrame:
                     out += [(block.keys[i], key) for i in np.flatnonzero(near)]
             yield pd.DataFrame(out, columns=["a", "b"])
 
-    small_batches(rows.sparkSession)
     dealt = rows.repartition("grp").sortWithinPartitions("grp", "role")
     return dealt.mapInPandas(compare, "a binary, b binary").distinct()
 
@@ -392,8 +388,13 @@ def _unlike() -> Column:
 def classes(docs: DataFrame, similarity: float = SIMILARITY, queries: int = QUERIES, stream: int = STREAM) -> DataFrame:
     """(key, label) of each distinct text that another text is linked to; all others are classes of their own.
 
-    ``docs`` has ``__key`` and text.
+    ``docs`` has ``__key`` and text. All is written here, in small batches; the session's own setting stays.
     """
+    with batches_of(docs.sparkSession):
+        return _classes(docs, similarity, queries, stream)
+
+
+def _classes(docs: DataFrame, similarity: float, queries: int, stream: int) -> DataFrame:
     home = shared_dir(docs.sparkSession)
     signed = stored(_signed(docs), f"{home}/signed")
     bucketed = signed.select("key", F.explode("bands").alias("bucket")).distinct()

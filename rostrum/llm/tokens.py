@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import exact_ids, in_order, remove, shared_dir, small_batches, stored
+from .common import batches_of, exact_ids, in_order, remove, shared_dir, small_batches, stored
 from .files import FrameWriter, frames, open_in, open_out, own_name
 
 END_ID = 2
@@ -337,9 +337,9 @@ def _spool(docs: DataFrame, path: str, tokenizer: str, end_id: int, kind: str) -
         if out is not None:
             out.close()
 
-    small_batches(docs.sparkSession, 1024)
-    made = exact_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), encode, SPOOLED, "doc_id")
-    return stored(made, f"{path}/spooled")
+    with batches_of(docs.sparkSession, 1024):
+        made = exact_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), encode, SPOOLED, "doc_id")
+        return stored(made, f"{path}/spooled")
 
 
 def _packed(spooled: DataFrame, path: str) -> DataFrame:

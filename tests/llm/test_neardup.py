@@ -188,3 +188,14 @@ def test_components_of_a_long_chain(spark):
 def test_no_rows(no_docs):
     assert neardup.near_duplicates(no_docs).count() == 0
     assert neardup.one_of_each(no_docs).count() == 0
+
+
+def test_batch_size_of_the_session_stays(spark, docs):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "5000")
+    try:
+        neardup.near_duplicates(docs.select("doc_id", "text")).count()
+        assert spark.conf.get(key) == "5000"
+    finally:
+        spark.conf.set(key, before)
