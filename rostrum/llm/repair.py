@@ -161,8 +161,10 @@ class CostTable:
 
 @functools.cache
 def _table() -> CostTable:
-    """One for each worker."""
-    return CostTable()
+    """One for each worker, its states all numbered in one order: their numbers go from worker to worker."""
+    table = CostTable()
+    _ = table.explored
+    return table
 
 
 def damaged(rows: DataFrame) -> DataFrame:

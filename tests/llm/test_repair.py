@@ -133,3 +133,10 @@ def test_few_states_and_their_sums(spark):
 
 def test_nothing_gives_nothing(spark):
     assert summed(spark.createDataFrame([], SCHEMA)) == {}
+
+
+def test_states_have_their_numbers_before_any_row_is_seen():
+    table = repair._table.__wrapped__()
+    before = list(table.vectors)
+    table.traced([0, 3, 5, 1, 2, 4] * 5, table.end, 0, True, True)
+    assert table.vectors == before and len(before) == len(table.explored[0])
