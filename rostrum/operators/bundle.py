@@ -51,7 +51,7 @@ def percentiles(rows: DataFrame, value: str) -> DataFrame:
     ties = known.groupBy(F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
     total = known.agg(F.count(F.lit(1))).scalar()
     places = running(ties, [F.col("__v")], {"__below": F.col("__n")}).withColumn("__total", total)
-    places = places.select("__v", F.round(100 * (F.col("__below") + F.col("__n")) / F.col("__total")).alias("percentile"))
+    places = places.select("__v", F.round(100 * ratio(F.col("__below") + F.col("__n"), F.col("__total"))).alias("percentile"))
     return rows.join(places, F.col(value) == F.col("__v"), "left").drop("__v")
 
 
