@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.arrays import let
 from ..functions.text import composed, decoded_whitespace, without_soft_hyphens
 
 _PERSON = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "name", "faction", "office")] + [T.StructField("is_mp", T.BooleanType())])
@@ -125,22 +126,28 @@ def annotated_tsv(payloads: DataFrame) -> DataFrame:
 
     Columns are found by the header's names, whatever their order; those that
     are missing are null. Blank lines end sentences, short rows are passed
-    over, ``_`` is no number.
+    over, ``_`` is no number. A payload is cut up where it lies; nothing is
+    shuffled.
     """
-    lines = payloads.select("doc_id", F.posexplode(F.split("payload", r"\r?\n")).alias("i", "line"))
-    header = payloads.select(F.col("doc_id").alias("d"), F.split(F.split("payload", r"\r?\n")[0], "\t").alias("names"))
-    run = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.where("i > 0").withColumn("blank", F.sum((F.trim("line") == "").cast("int")).over(run)).where(F.trim("line") != "")
-    rows = rows.join(header, F.col("doc_id") == F.col("d")).withColumn("cells", F.split("line", "\t"))
+    named = lambda lines: F.split(lines[0], "\t")
+
+    def sentences(lines: Column, names: Column) -> Column:
+        """Arrays of rows as arrays of cells, one for each run of lines between blank ones that has rows."""
+        blank = F.filter(F.transform(lines, lambda x, i: F.when((i > 0) & (F.trim(x) == ""), i)), lambda i: i.isNotNull())
+        ends = let(F.array_append(blank, F.size(lines)), lambda b: F.transform(b, lambda end, k: F.struct(F.when(k > 0, F.get(b, k - 1) + 1).otherwise(1).alias("start"), end.alias("end"))))
+        form = F.array_position(names, "form")
+        cells = lambda x: F.filter(F.transform(x, lambda line: F.split(line, "\t")), lambda c: F.size(c) >= form)
+        return F.filter(F.transform(ends, lambda e: cells(F.slice(lines, e["start"] + 1, e["end"] - e["start"]))), lambda rows: F.size(rows) > 0)
+
+    numbered = lambda found: F.flatten(F.transform(found, lambda rows, s: F.transform(rows, lambda c: F.struct(s.alias("sent_id"), c.alias("cells")))))
+    parts = let(F.split("payload", r"\r?\n"), lambda lines: let(named(lines), lambda names: F.struct(names.alias("names"), numbered(sentences(lines, names)).alias("rows"))))
+    rows = payloads.select("doc_id", F.inline(F.array(parts))).select("doc_id", "names", F.posexplode("rows").alias("pos", "row")).select("doc_id", "row.sent_id", "pos", "names", "row.cells")
     cell = lambda name: F.try_element_at("cells", F.nullif(F.array_position("names", name).cast("int"), F.lit(0)))
-    rows = rows.where(F.size("cells") >= F.array_position("names", "form"))
     number = lambda name: F.try_to_number(F.nullif(cell(name), F.lit("_")), F.lit("999999")).cast("int")
-    out = rows.select(
-        "doc_id", "i", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("blank")).alias("s"), cell("form").alias("form"), cell("lemma").alias("lemma"),
+    return rows.select(
+        "doc_id", "sent_id", "pos", cell("form").alias("form"), cell("lemma").alias("lemma"),
         cell("xpostag").alias("xpostag"), cell("upostag").alias("upostag"), number("id").alias("dep_id"), number("head").alias("head"), decoded_whitespace(cell("wsafter")).alias("wsafter"),
     )
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("i")) - 1
-    return out.select("doc_id", (F.col("s") - 1).alias("sent_id"), place.alias("pos"), "form", "lemma", "xpostag", "upostag", "dep_id", "head", "wsafter")
 
 
 def input_lines(tokens: DataFrame, expected: DataFrame | None = None) -> DataFrame:

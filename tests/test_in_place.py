@@ -41,3 +41,11 @@ def test_percentiles_are_rounded_as_shares(spark):
     got = {r["v"]: r["percentile"] for r in bundle.percentiles(spark.createDataFrame([(float(k),) for k in range(1, 201)], "v double"), "v").collect()}
     assert got[57.0] == 28.0  # 100 * (57 / 200) is a little less than 28.5
     assert all(abs(p - v / 2) <= 0.5 for v, p in got.items())
+
+
+def test_annotated_tables_are_cut_where_they_lie(spark):
+    payloads = {1: "form\tid\na\t1\r\n  \n\nb\t_\nc\n\n", 2: "id\tform\n\n1\tx\nshort\n\n\nlate\n2\ty", 3: "form", 4: "", 5: None}
+    out = readers.annotated_tsv(spark.createDataFrame(list(payloads.items()), "doc_id long, payload string"))
+    got = sorted(tuple(r) for r in out.select("doc_id", "sent_id", "pos", "form").collect())
+    assert got == [(1, 0, 0, "a"), (1, 1, 1, "b"), (1, 1, 2, "c"), (2, 0, 0, "x"), (2, 1, 1, "y")]
+    assert shuffles(out) == 0
