@@ -13,16 +13,22 @@ from ..functions.maths import ratio
 MIX, THRESHOLD = "Mix", 0.60
 
 
-def scored_windows(windows: DataFrame, scorer: Callable[[list[str]], list[dict[str, float]]], text: str = "text") -> DataFrame:
-    """(doc_id, window, label, p): the distributions that an injected scorer gives, a batch of texts at a time."""
+def scored_windows(windows: DataFrame, scorer: Callable[[list[str]], list[dict[str, float]]], text: str = "text", weight: str | None = None) -> DataFrame:
+    """(doc_id, window, label, p): the distributions that an injected scorer gives, a batch of texts at a time.
+
+    With the column ``weight`` the windows' weights go along, so that none has to be joined on.
+    """
+    more = [weight] if weight else []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = scorer(batch[text].tolist())
-            rows = [(d, w, label, float(p)) for d, w, dist in zip(batch["doc_id"], batch["window"], found, strict=True) for label, p in dist.items()]
-            yield pd.DataFrame(rows, columns=["doc_id", "window", "label", "p"])
+            rest = zip(*(batch[c] for c in ("doc_id", "window", *more)), strict=True)
+            rows = [(d, w, label, float(p), *m) for (d, w, *m), dist in zip(rest, found, strict=True) for label, p in dist.items()]
+            yield pd.DataFrame(rows, columns=["doc_id", "window", "label", "p", *more])
 
-    return windows.select("doc_id", "window", text).mapInPandas(run, "doc_id long, window int, label string, p double")
+    schema = "doc_id long, window int, label string, p double" + "".join(f", `{c}` {windows.schema[c].dataType.simpleString()}" for c in more)
+    return windows.select("doc_id", "window", text, *more).mapInPandas(run, schema)
 
 
 def combined(scores: DataFrame, weight: str = "weight") -> DataFrame:

@@ -82,3 +82,10 @@ def test_windows_of_arrays(docs, long, size):
     got = topics.windows(docs[1], size)
     assert same(got, topics.windows(long, size))
     assert shuffles(got) == 0
+
+
+def test_weights_go_along_with_scores(docs):
+    rows = topics.windows(docs[1], 3).select("doc_id", "window", F.array_join("tokens", " ").alias("text"), F.size("tokens").alias("weight"))
+    scores = classify.scored_windows(rows, lambda texts: [{"x": 0.25, "y": 0.75} for _ in texts], weight="weight")
+    assert shuffles(scores) == 0
+    assert {tuple(r) for r in scores.select("doc_id", "window", "weight").distinct().collect()} == {tuple(r) for r in rows.select("doc_id", "window", "weight").collect()}
