@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.maths import ratio
+from ..storage import stored
 
 
 def contingency(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -141,10 +142,11 @@ def shortened(text, words: int, mark: str = " [...]"):
 def evidence(quotes: DataFrame, members: DataFrame, by: str, key: str, text: str = "text", prefix: int = 60) -> DataFrame:
     """(by, quote, key, found): for each group's quote the first member whose single-spaced text has its first ``prefix`` characters, else the first member.
 
-    ``quotes`` has one row a group; texts are not shuffled where Spark can
-    send the quotes to them, and each task hands on one row a group.
+    ``quotes`` has one row a group; they are written first, so that Spark knows
+    their size: where they are few they are sent to the texts, which are then
+    not brought together by group. Each task hands on one row a group.
     """
-    asked = quotes.select(F.col(by).alias("__by"), F.col("quote").alias("__quote"))
+    asked = stored(quotes.select(F.col(by).alias("__by"), F.col("quote").alias("__quote")))
     rows = members.join(asked, F.col(by) == F.col("__by"))
     has = F.contains(F.trim(F.regexp_replace(text, r"\s+", " ")), F.substring("__quote", 1, prefix))
     out = rows.groupBy(by).agg(F.first("__quote").alias("quote"), F.min(F.when(has, F.col(key))).alias("__hit"), F.min(key).alias("__first"))

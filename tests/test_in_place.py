@@ -89,3 +89,10 @@ def test_weights_go_along_with_scores(docs):
     scores = classify.scored_windows(rows, lambda texts: [{"x": 0.25, "y": 0.75} for _ in texts], weight="weight")
     assert shuffles(scores) == 0
     assert {tuple(r) for r in scores.select("doc_id", "window", "weight").distinct().collect()} == {tuple(r) for r in rows.select("doc_id", "window", "weight").collect()}
+
+
+def test_few_quotes_are_sent_to_the_texts(spark):
+    members = spark.range(500).select((F.col("id") % 2).alias("g"), "id", F.concat(F.lit("text "), "id").alias("text"))
+    out = evaluate.evidence(members.groupBy("g").agg(F.max("text").alias("quote")), members, "g", "id")
+    assert "SortMergeJoin" not in plan(out) and shuffles(out) == 1
+    assert sorted(tuple(r) for r in out.collect()) == [(0, "text 98", 98, True), (1, "text 99", 99, True)]
