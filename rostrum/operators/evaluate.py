@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..functions.maths import ratio
 from ..storage import stored
 
@@ -121,16 +122,21 @@ def best_quotes(docs: DataFrame, terms: DataFrame, by: str, stem: int = 6, short
     ``docs`` has by, doc_id and text, ``terms`` by and token. Of sentences of a
     fit length the first with most hits wins, in the order of doc_id and of the
     text; a group without one is quoted by the opening of its first text, with
-    0 hits.
+    0 hits. The stems are written first, so that Spark can send them to the
+    texts; each text hands on its best sentence, or its opening, alone.
     """
-    stems = terms.groupBy(F.col(by).alias("__by")).agg(F.array_sort(F.collect_set(F.substring(F.lower("token"), 1, stem))).alias("stems"))
+    stems = stored(terms.groupBy(F.col(by).alias("__by")).agg(F.array_sort(F.collect_set(F.substring(F.lower("token"), 1, stem))).alias("stems")))
     rows = docs.where(F.col("text").isNotNull()).join(stems, F.col(by) == F.col("__by"))
-    each = rows.select(by, "doc_id", "stems", F.posexplode(F.split(F.trim("text"), r"(?<=[.!?])\s+")).alias("i", "quote")).where(F.length("quote").between(shortest, longest))
-    each = each.withColumn("hits", F.size(F.filter("stems", lambda s: F.contains(F.lower("quote"), s))))
-    best = each.groupBy(by).agg(F.min_by(F.struct("doc_id", "quote", "hits"), F.struct((-F.col("hits")).alias("h"), "doc_id", "i")).alias("b"))
-    first = rows.groupBy(F.col(by).alias("__by")).agg(F.min_by(F.struct("doc_id", F.substring("text", 1, opening).alias("quote"), F.lit(0).alias("hits")), "doc_id").alias("f"))
-    out = first.join(best, F.col("__by") == F.col(by), "left").select(F.col("__by").alias(by), F.coalesce("b", "f").alias("q"))
-    return out.select(by, "q.doc_id", "q.quote", "q.hits")
+
+    def hits(quote: Column) -> Column:
+        return let(F.lower(quote), lambda low: F.size(F.filter("stems", lambda s: F.contains(low, s))))
+
+    fit = lambda q, i: F.when(F.length(q).between(shortest, longest), F.struct((-hits(q)).alias("h"), i.alias("i"), q.alias("quote")))
+    best = F.array_min(F.transform(F.split(F.trim("text"), r"(?<=[.!?])\s+"), fit))
+    each = rows.select(by, "doc_id", best.alias("b"), F.substring("text", 1, opening).alias("opening"))
+    # texts with a sentence of a fit length come first, by its hits; the others by doc_id alone
+    found = F.struct(F.col("b").isNull().alias("none"), F.coalesce("b.h", F.lit(0)).alias("h"), "doc_id", F.coalesce("b.i", F.lit(0)).alias("i"), F.coalesce("b.quote", "opening").alias("quote"))
+    return each.groupBy(by).agg(F.min(found).alias("q")).select(by, "q.doc_id", "q.quote", (-F.col("q.h")).alias("hits"))
 
 
 def shortened(text, words: int, mark: str = " [...]"):

@@ -96,3 +96,13 @@ def test_few_quotes_are_sent_to_the_texts(spark):
     out = evaluate.evidence(members.groupBy("g").agg(F.max("text").alias("quote")), members, "g", "id")
     assert "SortMergeJoin" not in plan(out) and shuffles(out) == 1
     assert sorted(tuple(r) for r in out.collect()) == [(0, "text 98", 98, True), (1, "text 99", 99, True)]
+
+
+def test_best_quotes_without_bringing_texts_together(spark):
+    long = "x" * 30
+    rows = [("a", 3, f"Tax {long} tax. Budget and tax {long}! End."), ("a", 2, f"Tax alone {long} here. Budget, tax {long}."), ("a", 1, None), ("b", 9, "Short."), ("b", 8, "Shorter"), ("c", 1, f"No {long} term.")]
+    docs = spark.createDataFrame(rows, "g string, doc_id long, text string")
+    terms = spark.createDataFrame([("a", "taxes"), ("a", "tax"), ("a", "budget"), ("b", "x"), ("d", "y")], "g string, token string").distinct()
+    out = evaluate.best_quotes(docs, terms, "g")
+    assert sorted(tuple(r) for r in out.collect()) == [("a", 2, f"Budget, tax {long}.", 2), ("b", 8, "Shorter", 0)]
+    assert "SortMergeJoin" not in plan(out) and shuffles(out) == 1
