@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from .tokens import is_punctuation
 
 SHORTEST, LONGEST = 3, 120
@@ -18,15 +19,24 @@ def closed_up(tokens: DataFrame, longest: int = LONGEST) -> DataFrame:
     out and the rest numbered anew; ``heads`` are the new numbers in order. A
     head outside the sentence, or a punctuation mark, makes the token a root;
     ``mended`` counts these. Sentences above ``longest`` have no heads.
+
+    Rows are tokens, or sentences with ``parsed``, an array of (dep_id, head,
+    and xpostag where there is one), which are closed up without a shuffle.
     """
-    checked = tokens.withColumn("head", F.coalesce("head", F.raise_error(F.lit("a token has no parse")).cast("int")))
-    kept = checked.where(~is_punctuation(F.col("xpostag"))) if "xpostag" in tokens.columns else checked
-    rows = kept.groupBy("doc_id", "sent_id").agg(F.array_sort(F.collect_list(F.struct("dep_id", "head"))).alias("__t"))
-    ids = F.transform("__t", lambda x: x["dep_id"])
-    heads = F.transform("__t", lambda x: F.array_position(F.col("__ids"), x["head"]).cast("int"))
-    rows = rows.withColumn("__ids", ids).withColumn("heads", F.when(F.size("__t") <= longest, heads))
+    known = lambda head: F.coalesce(head, F.raise_error(F.lit("a token has no parse")).cast("int"))
+    if "parsed" in tokens.columns:
+        tagged = "xpostag" in tokens.schema["parsed"].dataType.elementType.names
+        kept = F.filter("parsed", lambda x: ~is_punctuation(x["xpostag"])) if tagged else F.col("parsed")
+        rows = tokens.select("doc_id", "sent_id", F.array_sort(F.transform(kept, lambda x: F.struct(x["dep_id"].alias("dep_id"), known(x["head"]).alias("head")))).alias("__t"))
+        rows = rows.where(F.size("__t") > 0) if tagged else rows
+    else:
+        checked = tokens.withColumn("head", known(F.col("head")))
+        kept = checked.where(~is_punctuation(F.col("xpostag"))) if "xpostag" in tokens.columns else checked
+        rows = kept.groupBy("doc_id", "sent_id").agg(F.array_sort(F.collect_list(F.struct("dep_id", "head"))).alias("__t"))
+    heads = let(F.transform("__t", lambda x: x["dep_id"]), lambda ids: F.transform("__t", lambda x: F.array_position(ids, x["head"]).cast("int")))
+    rows = rows.withColumn("heads", F.when(F.size("__t") <= longest, heads))
     mended = F.size(F.filter(F.arrays_zip("heads", "__t"), lambda x: (x["heads"] == 0) & (x["__t"]["head"] != 0)))
-    return rows.select("doc_id", "sent_id", F.size("__ids").alias("length"), "heads", F.when(F.col("heads").isNotNull(), mended).otherwise(0).alias("mended"))
+    return rows.select("doc_id", "sent_id", F.size("__t").alias("length"), "heads", F.when(F.col("heads").isNotNull(), mended).otherwise(0).alias("mended"))
 
 
 def depths(heads: Column, longest: int = LONGEST) -> Column:

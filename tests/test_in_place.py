@@ -106,3 +106,13 @@ def test_best_quotes_without_bringing_texts_together(spark):
     out = evaluate.best_quotes(docs, terms, "g")
     assert sorted(tuple(r) for r in out.collect()) == [("a", 2, f"Budget, tax {long}.", 2), ("b", 8, "Shorter", 0)]
     assert "SortMergeJoin" not in plan(out) and shuffles(out) == 1
+
+
+def test_parsed_sentences_are_closed_up_where_they_lie(spark):
+    rng = random.Random(5)
+    made = [(d, s, [(i + 1, rng.randrange(n + 2), rng.choice(["[/N]", "[Punct]"])) for i in range(n)]) for d in range(4) for s, n in enumerate([0, 1, 2, 5, 9])]
+    arrays = spark.createDataFrame(made, "doc_id long, sent_id int, parsed array<struct<dep_id int, head int, xpostag string>>")
+    got, want = syntax.closed_up(arrays), syntax.closed_up(arrays.select("doc_id", "sent_id", F.inline("parsed")))
+    assert same(got, want) and shuffles(got) == 0 and shuffles(syntax.distances(got)) == 1
+    with pytest.raises(Exception, match="no parse"):
+        syntax.closed_up(spark.createDataFrame([(1, 0, [(1, None)])], "doc_id long, sent_id int, parsed array<struct<dep_id int, head int>>")).collect()
