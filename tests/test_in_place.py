@@ -116,3 +116,10 @@ def test_parsed_sentences_are_closed_up_where_they_lie(spark):
     assert same(got, want) and shuffles(got) == 0 and shuffles(syntax.distances(got)) == 1
     with pytest.raises(Exception, match="no parse"):
         syntax.closed_up(spark.createDataFrame([(1, 0, [(1, None)])], "doc_id long, sent_id int, parsed array<struct<dep_id int, head int>>")).collect()
+
+
+@pytest.mark.parametrize("window", [1, 4, 100])
+def test_mattr_of_arrays(docs, long, window):
+    got = readability.mattr(docs[1], window)
+    assert same(got, readability.mattr(long, window))
+    assert shuffles(got) == 0
