@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..profile import Profile
+from ..functions.arrays import let
 from ..functions.text import WORD
 
 SENTENCE_END = r"[.!?]+"
@@ -47,6 +48,15 @@ def by_sentence(lists: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFr
     return lists.select(*keys, F.posexplode("sentences").alias("sent_id", "tokens")).where(F.size("tokens") > 0)
 
 
+def words_and_types(lists: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys..., token, once): a row for each word of ``listed`` documents, and one marked ``once`` for each distinct word.
+
+    So words and types are counted in one aggregation by document.
+    """
+    marked = lambda words, once: F.transform(words, lambda w: F.struct(w.alias("token"), F.lit(once).alias("once")))
+    return lists.select(*keys, F.inline(let(F.flatten("sentences"), lambda w: F.concat(marked(w, False), marked(F.array_distinct(w), True)))))
+
+
 def main_category(tag: Column) -> Column:
     """The category of a tag such as ``[/N|Pro][Nom]``; null for other tags."""
     inside = F.nullif(F.regexp_extract(tag, r"^\[/([^\]]*)\]", 1), F.lit(""))

@@ -130,3 +130,11 @@ def test_stop_words_of_arrays(docs, long):
     got = frequency.document_stopwords(docs[1], rows, 0.5, 2)
     assert same(got, frequency.document_stopwords(long, rows, 0.5, 2))
     assert shuffles(got) < shuffles(frequency.document_stopwords(long, rows, 0.5, 2))
+
+
+def test_words_and_types(docs):
+    each = tokens.words_and_types(docs[1])
+    got = {r["doc_id"]: (r["n"], r["k"]) for r in each.groupBy("doc_id").agg(F.count_if(~F.col("once")).alias("n"), F.count_if("once").alias("k")).collect()}
+    flat = {d: [w for s in ss for w in s] for d, ss in docs[0].items()}
+    assert got == {d: (len(w), len(set(w))) for d, w in flat.items() if w}
+    assert shuffles(each) == 0
