@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import let
 from ..functions.maths import npmi
+from ..storage import stored
 
 
 def sentence_pairs(words: Column, connectors: tuple[str, ...] = ()) -> Column:
@@ -23,11 +24,11 @@ def sentence_pairs(words: Column, connectors: tuple[str, ...] = ()) -> Column:
 def pairs(tokens: DataFrame, connectors: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, sent_id, a, b, between): each word with the next of its sentence; connectors may stand between but not at the ends.
 
-    Documents as arrays (``tokens.listed``) are paired where they lie; nothing is shuffled.
+    Documents as arrays (``tokens.listed``, or its ``by_sentence``) are paired where they lie; nothing is shuffled.
     """
-    if "sentences" in tokens.columns:
-        rows = tokens.select("doc_id", F.posexplode("sentences").alias("sent_id", "words"))
-        return rows.select("doc_id", "sent_id", F.inline(sentence_pairs(F.col("words"), connectors)))
+    if "sentences" in tokens.columns or "tokens" in tokens.columns:
+        rows = tokens.select("doc_id", F.posexplode("sentences").alias("sent_id", "tokens")) if "sentences" in tokens.columns else tokens
+        return rows.select("doc_id", "sent_id", F.inline(sentence_pairs(F.col("tokens"), connectors)))
     place = Window.partitionBy("doc_id", "sent_id").orderBy("pos")
     rows = tokens
     if connectors:
@@ -70,8 +71,8 @@ def pair_scores(tokens: DataFrame, connectors: tuple[str, ...] = (), min_count:
         tokens = tokens.select(F.explode(F.regexp_extract_all(low, F.lit(r"\p{L}+"), F.lit(0))).alias("token"))
     else:
         met = pairs(tokens, connectors)
-        if "sentences" in tokens.columns:
-            tokens = tokens.select(F.explode(F.flatten("sentences")).alias("token"))
+        if "sentences" in tokens.columns or "tokens" in tokens.columns:
+            tokens = tokens.select(F.explode(F.flatten("sentences") if "sentences" in tokens.columns else "tokens").alias("token"))
     joint = met.groupBy("a", "between", "b").agg(F.count(F.lit(1)).alias("joint")).where(F.col("joint") >= min_count)
     single = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     left = single.select(F.col("token").alias("a"), F.col("n").alias("count_a"))
@@ -91,12 +92,16 @@ def fused(sentences: DataFrame, phrases: DataFrame, connectors: tuple[str, ...]
 
     ``sentences`` has tokens as an array, ``phrases`` (a, between, b). The
     phrases that a sentence could hold are joined to it, so none has to hold
-    them all.
+    them all. Phrases are written first: where Spark knows them to be few it
+    sends them to the sentences, else pairs are dealt out by digests of 8
+    bytes. Digests that agree by chance do no harm, since phrases are compared
+    as text.
     """
-    two = sentences.select("doc_id", "sent_id", F.posexplode("tokens").alias("pos", "token"))
-    met = pairs(two, connectors).join(phrases.select("a", "between", "b"), ["a", "between", "b"], "left_semi")
-    key = F.concat_ws("\t", "a", "between", "b")
-    known = met.groupBy("doc_id", "sent_id").agg(F.collect_set(key).alias("__known"))
+    digest = F.xxhash64("a", "between", "b")
+    listed = stored(phrases.select(digest.alias("__digest"), F.concat_ws("\t", "a", "between", "b").alias("__phrase")))
+    two = sentences.select("doc_id", "sent_id", F.inline(F.array_distinct(sentence_pairs(F.col("tokens"), connectors)))).select("doc_id", "sent_id", digest.alias("__of"))
+    met = two.join(listed, F.col("__of") == F.col("__digest"))
+    known = met.groupBy("doc_id", "sent_id").agg(F.collect_set("__phrase").alias("__known"))
     rows = sentences.join(known, ["doc_id", "sent_id"], "left").withColumn("__known", F.coalesce("__known", F.array().cast("array<string>")))
     conn = F.array(*(F.lit(c) for c in connectors)) if connectors else F.array().cast("array<string>")
     none = F.array().cast("array<string>")

@@ -145,3 +145,27 @@ def test_texts_of_topics_are_read_once(docs):
     out = topics.topic_class_terms(rows, "topic", "role")
     assert "Generate" not in plan(out)
     assert same(out, topics.topic_class_terms(rows.select("topic", "role", F.explode(F.flatten("sentences")).alias("token")), "topic", "role"))
+
+
+def test_phrases_of_arrays(docs, long):
+    sentences = tokens.by_sentence(docs[1])
+    assert same(collocation.pair_scores(sentences, ("a",), 2), collocation.pair_scores(long, ("a",), 2))
+    assert shuffles(collocation.pairs(sentences, ("a",))) == 0
+    phrases = collocation.pair_scores(sentences, ("a",), 2, -1.0)
+    out = collocation.fused(sentences, phrases, ("a",))
+    assert "Window" not in plan(out) and "LeftSemi" not in plan(out)
+    known = {(r["a"], r["between"], r["b"]) for r in phrases.collect()}
+
+    def brute(words):
+        done, head, inner = [], None, []
+        for w in words:
+            if w == "a" and head is not None:
+                inner.append(w)
+            elif w != "a" and head is not None and (head, " ".join(inner), w) in known:
+                done, head, inner = [*done, "_".join([head, *inner, w])], None, []
+            else:
+                done = [*done, *([head] if head is not None else []), *inner, *([w] if w == "a" else [])]
+                head, inner = None if w == "a" else w, []
+        return [*done, *([head] if head is not None else []), *inner]
+
+    assert {(r["doc_id"], r["sent_id"]): r["tokens"] for r in out.collect()} == {(d, s): brute(ws) for d, ss in docs[0].items() for s, ws in enumerate(ss) if ws}
