@@ -157,13 +157,17 @@ def floor_events(speeches: DataFrame, text: str = "text", profile: Profile = HUN
     """A row for each classified event that a speech's brackets hold, with the speech's other columns and ``audience``: it goes to who has the floor.
 
     ``speeches`` has text and cycle. Bare capitalised words, times and numbers
-    in brackets are no remarks; events of no known kind are left out. No join
-    is needed, since the event lies inside the speech.
+    in brackets are no remarks; events of no known kind are left out. Remarks
+    are formulas that come again and again: each distinct one is classified
+    once and written, so that Spark can send them to the speeches if they are
+    few.
     """
     rest = [c for c in speeches.columns if c != text]
     rows = speeches.select(*rest, F.explode(spans(F.col(text))).alias("span"))
-    rows = split_lines(rows.where(has_text(F.col("span")) & is_remark(F.col("span"))), "span", profile)
-    rows = classified(rows, profile).where("kind <> 'other'")
+    each = rows.select(F.col("span").alias("__span")).distinct()
+    each = split_lines(each.where(has_text(F.col("__span")) & is_remark(F.col("__span"))), "__span", profile)
+    each = stored(classified(each, profile).where("kind <> 'other'"))
+    rows = rows.join(each, F.col("span") == F.col("__span")).drop("__span")
     sides = F.transform("parties", lambda p: side_of(p, F.col("cycle"), profile))
     return rows.withColumn("audience", audience_label(F.col("audiences"), sides))
 

@@ -182,3 +182,13 @@ def test_encoder_hashes_each_trigram_once(monkeypatch):
     assert annotator.hashing_encoder(16)(texts).tolist() == want
     assert len(calls) == len({t[i : i + 3] for t in texts for i in range(len(t) - 2)})
     assert annotator.hashing_encoder(16)(["", "x"]).tolist() == [[0.0] * 16] * 2
+
+
+def test_remarks_are_classified_once(spark):
+    texts = ["Igen. (Nagy taps a Fidesz soraiban.) Nem. (Taps.)", "Nincs (14.20) semmi.", None, "(Taps.) (Taps.)"]
+    rows = spark.range(40).select("id", (39 + F.col("id") % 5).cast("int").alias("cycle"), F.element_at(F.array(*map(F.lit, texts)), (F.col("id") % 4 + 1).cast("int")).alias("text"))
+    out = events.floor_events(rows.where("cycle < 43"))
+    assert out.columns[:5] == ["id", "cycle", "span", "event_no", "segment"]
+    got = Counter((r["span"], r["kind"], r["audience"], r["weight"]) for r in out.collect())
+    assert got == {("Nagy taps a Fidesz soraiban.", "applause", "government", 1.5): 8, ("Taps.", "applause", "unspecified", 1.0): 24}
+    assert "BroadcastHashJoin" in plan(out)
