@@ -99,7 +99,8 @@ def fused(sentences: DataFrame, phrases: DataFrame, connectors: tuple[str, ...]
     """
     digest = F.xxhash64("a", "between", "b")
     listed = stored(phrases.select(digest.alias("__digest"), F.concat_ws("\t", "a", "between", "b").alias("__phrase")))
-    two = sentences.select("doc_id", "sent_id", F.inline(F.array_distinct(sentence_pairs(F.col("tokens"), connectors)))).select("doc_id", "sent_id", digest.alias("__of"))
+    of = F.transform(sentence_pairs(F.col("tokens"), connectors), lambda p: F.xxhash64(p["a"], p["between"], p["b"]))
+    two = sentences.select("doc_id", "sent_id", F.explode(F.array_distinct(of)).alias("__of"))
     met = two.join(listed, F.col("__of") == F.col("__digest"))
     known = met.groupBy("doc_id", "sent_id").agg(F.collect_set("__phrase").alias("__known"))
     rows = sentences.join(known, ["doc_id", "sent_id"], "left").withColumn("__known", F.coalesce("__known", F.array().cast("array<string>")))
