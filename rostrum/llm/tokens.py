@@ -25,6 +25,7 @@ import itertools
 import json
 import os
 import re
+import string
 import threading
 import time
 import zlib
@@ -57,21 +58,8 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-#: A word and marks after it. An apostrophe may belong to what follows it.
-MARKED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
-
-
-class _Places(dict):
-    """Piece to number; pieces not met before get the next number and are kept for encoding."""
-
-    def __init__(self):
-        super().__init__()
-        self.fresh: list = []
-
-    def __missing__(self, piece) -> int:
-        self[piece] = n = len(self)
-        self.fresh.append(piece)
-        return n
+#: Marks after a word. An apostrophe may belong to what follows it.
+MARKS = string.punctuation.replace("'", "")
 
 
 class Encoder:
@@ -98,42 +86,43 @@ class Encoder:
         self._forget()
 
     def _forget(self):
-        self.known, self.ids, self.used = _Places(), np.empty(1 << 16, np.uint32), 0
+        self.known, self.n_known, self.ids, self.used = {}, 0, np.empty(1 << 16, np.uint32), 0
         self.start, self.size, self.edgy = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, bool)
 
-    def _learn(self) -> None:
-        """Encodes the pieces that are new: those that can't touch their neighbours in long lines, the others one by one.
+    def _learn(self, pieces: list) -> None:
+        """Encodes pieces that are new, which have the last numbers: those that can't touch their neighbours in long lines, the others one by one.
 
         A piece is a string that a space came before, or that begins with a
         line break, or a tuple of one that is encoded as it stands. Letters
         with marks at the end are those letters and the marks, for the
-        tokenizer splits between them.
+        tokenizer splits between them; letters not met before join the pieces.
         """
-        pieces, self.known.fresh = self.known.fresh, []
-        for p in pieces[:]:
-            if type(p) is str and p and not p[-1].isalnum() and (m := MARKED.fullmatch(p)) and m[1].isalpha():
-                self.known[m[1]]  # noqa: B018  becomes a new piece if it is none
-        pieces += self.known.fresh
-        self.known.fresh = []
-        n = len(self.known)
-        while n > len(self.start):
-            self.start, self.size, self.edgy = (np.concatenate([x, x]) for x in (self.start, self.size, self.edgy))
-        new, encode = n - len(pieces), functools.partial(self.tokenizer.encode_batch_fast, add_special_tokens=False)
-        plain, lines, rest, stopped = [], [], [], []
-        self.edgy[new:n] = False
+        known, new, encode = self.known, self.n_known - len(pieces), functools.partial(self.tokenizer.encode_batch_fast, add_special_tokens=False)
+        plain, lines, rest, edgy, stopped = [], [], [], [], []
         for i, p in enumerate(pieces):
             if type(p) is tuple:
                 rest.append(i)
-                self.edgy[new + i] = not p[0] or p[0][-1].isspace()
+                if not p[0] or p[0][-1].isspace():
+                    edgy.append(new + i)
+            elif p.isalpha():
+                plain.append(i)
             elif p[1:] and p[0] == "\n" and not p[1].isspace() and not p[-1].isspace():
                 lines.append(i)
             elif not p or p[0].isspace() or p[-1].isspace():
                 rest.append(i)
-                self.edgy[new + i] = True
-            elif not p[-1].isalnum() and (m := MARKED.fullmatch(p)) and m[1].isalpha():
-                stopped.append((i, self.known[m[1]], m[2]))  # which may be new itself
+                edgy.append(new + i)
+            elif (word := p.rstrip(MARKS)) != p and word.isalpha():
+                if (base := known.get(word)) is None:
+                    known[word] = base = new + len(pieces)
+                    pieces.append(word)  # which this loop comes to yet
+                stopped.append((i, base, p[len(word) :]))
             else:
                 plain.append(i)
+        self.n_known = n = new + len(pieces)
+        while n > len(self.start):
+            self.start, self.size, self.edgy = (np.concatenate([x, x]) for x in (self.start, self.size, self.edgy))
+        self.edgy[new:n] = False
+        self.edgy[edgy] = True
         for group, k in [(g, k) for g in (plain, lines) for k in range(0, len(g), 500)]:
             part, space = group[k : k + 500], " " if group is plain else ""
             words = [pieces[i] for i in part]
@@ -175,9 +164,15 @@ class Encoder:
         self.used += len(ids)
 
     def _look_up(self, pieces: list) -> np.ndarray:
-        which = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-        if self.known.fresh:
-            self._learn()
+        """The numbers of pieces; those not met before get the next ones and are learned."""
+        which = np.fromiter(map(self.known.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(which < 0)
+        if len(new):
+            fresh = [pieces[i] for i in new.tolist()]
+            which[new] = np.arange(self.n_known, self.n_known + len(fresh))
+            self.known.update(zip(fresh, which[new].tolist(), strict=True))
+            self.n_known += len(fresh)
+            self._learn(fresh)
         return which
 
     def _careful(self, text: str) -> np.ndarray:
@@ -192,7 +187,7 @@ class Encoder:
         """(ids of all texts, one after another; how many each has)."""
         with self.lock:
             self.used_at = time.monotonic()
-            if len(self.known) > self.most:
+            if self.n_known > self.most:
                 self._forget()
             return (self._flat if self.by_pieces else self._whole)(texts) if len(texts) else (np.empty(0, np.uint32), np.empty(0, np.int64))
 
@@ -217,7 +212,7 @@ class Encoder:
         cut = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n"), " ")
         first, flat = np.asarray(cut.offsets)[:-1], cut.values
         coded = flat.dictionary_encode()
-        found = self._look_up(coded.dictionary.to_pylist())
+        found = self._look_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         which = found[np.asarray(coded.indices)]
         which[first] = self._look_up([(x,) for x in flat.take(pa.array(first)).to_pylist()])
         sizes = self.size[which]

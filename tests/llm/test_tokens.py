@@ -2,6 +2,7 @@
 
 import dataclasses
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -26,6 +27,24 @@ def test_encoder_equals_plain_encoding(texts):
         assert [list(x) for x in encoder(odd[k : k + 400])] == encoded(odd[k : k + 400])
 
 
+def test_new_pieces_cost_no_call_of_their_own():
+    """Words that are met for the first time, with marks or without, are looked up and told apart without a Python function for each."""
+    encoder, calls = tokens.Encoder(tokenizer_path()), [0]
+    words = [f"{a}{b}{c}" for a in "kmnprst" for b in "aeiouáé" for c in "bdfglvxz"]
+    texts = [" ".join(words), " ".join(f"{w}q." for w in words), "\n".join(words), " ".join(f"{w}'s q{w}!" for w in words)]
+
+    def count(frame, event, arg):
+        calls[0] += event == "call"
+
+    sys.setprofile(count)
+    try:
+        encoder.flat(texts)
+    finally:
+        sys.setprofile(None)
+    assert calls[0] < len(words)
+    assert [list(x) for x in encoder(texts)] == encoded(texts)
+
+
 def test_other_tokenizers_encode_whole_texts(texts):
     path = tokenizer_path("word_bpe_49k.json")
     encoder, odd = tokens.Encoder(path), [t or "" for t in texts]
