@@ -14,7 +14,6 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let
 from .common import shared_dir, stored
 
 #: What stands between terms: ASCII but for its letters. A term is a longest run of anything else.
@@ -28,17 +27,18 @@ SLICES = 256
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences, and rows that have the term at all.
 
-    The words of a text are put in order where it lies, and each run of equal
-    ones is one row; so one shuffle, of what each task has already added up,
-    gives both numbers. Terms are found by splitting at what they don't hold,
-    which is linear in a text, as extracting each is not.
+    The words of a text are put in order where it lies, each beside the one
+    before, and a row has a term as often as that differs; so one shuffle, of
+    what each task has already added up, gives both numbers, and no lambda runs
+    for a word. Terms are found by splitting at what they don't hold, which is
+    linear in a text, as extracting each is not.
     """
-    words = F.sort_array(F.split(F.translate("text", ascii_uppercase, ascii_lowercase), BETWEEN))  # one at least, be it empty
-    begins = lambda w: F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
-    run = lambda w, at: lambda i, k: F.struct(F.get(w, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(w)) - i).alias("times"))
-    runs = let(words, lambda w: let(begins(w), lambda at: F.transform(at, run(w, at))))
-    rows = docs.select("lang", "source", F.inline(runs)).where("term <> ''")
-    return rows.groupBy("lang", "source", "term").agg(F.sum("times").alias("n"), F.count(F.lit(1)).alias("docs"))
+    text = F.col("text")
+    low = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, ascii_uppercase, ascii_lowercase))
+    words = docs.select("lang", "source", F.sort_array(F.split(low, BETWEEN)).alias("words"))  # one at least, be it empty
+    beside = F.arrays_zip(F.col("words").alias("term"), F.concat(F.array(F.lit("")), "words").alias("before"))
+    rows = words.select("lang", "source", F.inline(beside)).where("term <> ''")
+    return rows.groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("term") != F.col("before")).alias("docs"))
 
 
 def share(n: Column, total: Column, kept: Column) -> Column:

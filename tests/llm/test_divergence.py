@@ -53,6 +53,14 @@ def test_equals_brute_force(spark, clash):
     assert sorted(map(tuple, divergence.audited(clash(df).drop("slice")).collect())) == want
 
 
+def test_terms_are_counted_without_a_lambda(spark):
+    rows = [(1, "The the THE a", "en", "x"), (2, "É é the", "en", "x"), (3, "A b", "en", "y"), (4, "", "en", "y"), (5, " the. ", "fr", "x")]
+    counts = divergence.term_counts(spark.createDataFrame(rows, SCHEMA))
+    assert "lambda" not in counts._jdf.queryExecution().analyzed().toString()
+    want = [("en", "x", "a", 1, 1), ("en", "x", "the", 4, 2), ("en", "x", "É", 1, 1), ("en", "x", "é", 1, 1), ("en", "y", "a", 1, 1), ("en", "y", "b", 1, 1), ("fr", "x", "the", 1, 1)]
+    assert sorted(map(tuple, counts.collect())) == sorted(want)
+
+
 def test_a_language_without_kept_terms_has_zeros(spark):
     rows = [(1, "alone", "xx", "a"), (2, "other", "xx", "b"), (3, "", "xx", "c")]
     got = divergence.audited(spark.createDataFrame(rows, SCHEMA)).collect()
