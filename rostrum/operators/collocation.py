@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +58,36 @@ def text_pairs(text: Column, apart: int = 1, beside: str = r"[^\p{L}.!?]") -> Co
     return F.arrays_zip(F.regexp_extract_all(text, found, F.lit(1)).alias("a"), F.regexp_extract_all(text, found, F.lit(2)).alias("b"))
 
 
+def pairs_in_texts(docs: DataFrame, connectors: tuple[str, ...] = ()) -> DataFrame:
+    """(met) of (text): "a b" or "a between b" for each of ``pairs`` in the words of lower-cased texts, straight from these.
+
+    A word, or the end of a sentence, is found together with the connectors
+    before it, and each lies beside the next. Nothing is shuffled, no lambda
+    runs, and only what may begin with a connector is taken apart.
+    """
+    known = [c for c in connectors if c.isalpha()]  # no other can be a word
+    before = rf"(?:(?:{'|'.join(known)})(?!\p{{L}})[^\p{{L}}.!?]*+)*+" if known else ""
+    found = F.regexp_extract_all(F.concat(F.lower("text"), F.lit(".")), F.lit(rf"{before}(?:\p{{L}}++|[.!?])"), F.lit(0))
+    found = docs.select(found.alias("found"))
+    rows = found.select(F.inline(F.arrays_zip(F.col("found").alias("x"), F.slice("found", F.lit(2), F.size("found")).alias("y"))))
+    ends = lambda c: F.endswith(c, F.lit(".")) | F.endswith(c, F.lit("!")) | F.endswith(c, F.lit("?"))
+    rows = rows.where(~ends(F.col("x")) & ~ends(F.col("y")))
+    a, rest = F.col("x"), F.col("y")
+    if known:
+        begins = lambda c: reduce(or_, (F.startswith(c, F.lit(k)) for k in known))
+        a = F.when(begins(a), F.regexp_extract(a, r"\p{L}++$", 0)).otherwise(a)
+        rest = F.when(begins(rest), F.regexp_replace(rest, r"\P{L}++", " ")).otherwise(rest)
+    return rows.select(F.concat(a, F.lit(" "), rest).alias("met"))
+
+
+def pair_counts(docs: DataFrame, connectors: tuple[str, ...] = (), min_count: int = 1) -> DataFrame:
+    """(a, between, b, joint) of (text): pairs that occur ``min_count`` times or more, counted as one string each."""
+    counts = pairs_in_texts(docs, connectors).groupBy("met").agg(F.count(F.lit(1)).alias("joint")).where(F.col("joint") >= min_count)
+    a, b = F.substring_index("met", " ", 1), F.substring_index("met", " ", -1)
+    between = F.substring("met", F.length(a) + 2, F.length("met") - F.length(a) - F.length(b) - 2)
+    return counts.select(a.alias("a"), between.alias("between"), b.alias("b"), "joint")
+
+
 def pair_scores(tokens: DataFrame, connectors: tuple[str, ...] = (), min_count: int = 5, threshold: float | None = None, scoring: str = "npmi") -> DataFrame:
     """(a, between, b, joint, count_a, count_b, n_tokens, score) of pairs that occur ``min_count`` times or more.
 

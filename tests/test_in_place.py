@@ -147,6 +147,29 @@ def test_texts_of_topics_are_read_once(docs):
     assert same(out, topics.topic_class_terms(rows.select("topic", "role", F.explode(F.flatten("sentences")).alias("token")), "topic", "role"))
 
 
+@pytest.fixture(scope="module")
+def prose(spark):
+    """Texts of connectors, words that begin with them, marks, breaks, accents, and long runs of one."""
+    rng = random.Random(8)
+    parts = ["of", "Of", "the", "THE", "de", "der", "des", "often", "y", "yes", "x", "Wort", "été", "日本", "İst", "a1b", "l'eau", ".", "!?", "...", ",", ";", " - ", "\n", "\t", "(", "²"]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", " ", " ", "", ". "]) for _ in range(rng.randrange(40))) for _ in range(300)]
+    texts += [None, "", ".", "of", "x of", "x of.", "x of, ", "x the of. y", "of x", "a, of;the\nb", "the " * 50_000 + "x", "x " + "the " * 50_000, "x " * 20_000]
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+
+
+CONNECTORS = ("of", "the", "de", "der", "y", "not-a-word")
+
+
+@pytest.mark.parametrize("connectors", [(), CONNECTORS])
+def test_pairs_of_texts(prose, connectors):
+    counts = collocation.pair_counts(prose, connectors)
+    assert "lambda" not in counts._jdf.queryExecution().analyzed().toString()
+    assert plan(counts).count("Exchange") == 1 + plan(prose).count("Exchange")
+    want = collocation.pairs(tokens.listed(prose), connectors).groupBy("a", "between", "b").agg(F.count(F.lit(1)).alias("joint"))
+    assert same(counts, want)
+    assert same(collocation.pair_counts(prose, connectors, 3), want.where("joint >= 3"))
+
+
 def test_phrases_of_arrays(docs, long):
     sentences = tokens.by_sentence(docs[1])
     assert same(collocation.pair_scores(sentences, ("a",), 2), collocation.pair_scores(long, ("a",), 2))
