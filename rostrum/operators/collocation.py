@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import let
 from ..functions.maths import npmi
+from ..functions.text import WORD
 from ..storage import stored
 
 
@@ -93,21 +94,19 @@ def pair_scores(tokens: DataFrame, connectors: tuple[str, ...] = (), min_count:
 
     ``npmi`` or ``default``: (joint - min_count) / count_a / count_b times the
     number of types. With a threshold only pairs above it are kept. Documents
-    as arrays (``tokens.listed``), or as (doc_id, text) where there are no
-    connectors, are paired where they lie, and one shuffle counts the pairs.
+    as arrays (``tokens.listed``), or as (doc_id, text), are paired where they
+    lie, and one shuffle counts the pairs. Words are counted once and written.
     """
     if scoring not in ("npmi", "default"):
         raise ValueError("scoring is npmi or default")
-    if "text" in tokens.columns and not connectors:
-        low = F.lower("text")
-        met = tokens.select(F.explode(text_pairs(low)).alias("p")).select("p.a", F.lit("").alias("between"), "p.b")
-        tokens = tokens.select(F.explode(F.regexp_extract_all(low, F.lit(r"\p{L}+"), F.lit(0))).alias("token"))
+    if "text" in tokens.columns:
+        joint = pair_counts(tokens, connectors, min_count)
+        tokens = tokens.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("token"))
     else:
-        met = pairs(tokens, connectors)
+        joint = pairs(tokens, connectors).groupBy("a", "between", "b").agg(F.count(F.lit(1)).alias("joint")).where(F.col("joint") >= min_count)
         if "sentences" in tokens.columns or "tokens" in tokens.columns:
             tokens = tokens.select(F.explode(F.flatten("sentences") if "sentences" in tokens.columns else "tokens").alias("token"))
-    joint = met.groupBy("a", "between", "b").agg(F.count(F.lit(1)).alias("joint")).where(F.col("joint") >= min_count)
-    single = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    single = stored(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")))
     left = single.select(F.col("token").alias("a"), F.col("n").alias("count_a"))
     right = single.select(F.col("token").alias("b"), F.col("n").alias("count_b"))
     out = joint.join(left, "a").join(right, "b").withColumn("n_tokens", single.agg(F.sum("n")).scalar())

@@ -170,6 +170,13 @@ def test_pairs_of_texts(prose, connectors):
     assert same(collocation.pair_counts(prose, connectors, 3), want.where("joint >= 3"))
 
 
+@pytest.mark.parametrize("connectors", [(), CONNECTORS])
+def test_scores_of_texts(prose, connectors):
+    scores = collocation.pair_scores(prose, connectors, 2)
+    assert plan(scores).count("regexp_extract_all") == plan(collocation.pair_counts(prose, connectors, 2)).count("regexp_extract_all")  # words are counted once and written
+    assert same(scores, collocation.pair_scores(tokens.listed(prose), connectors, 2))
+
+
 def test_phrases_of_arrays(docs, long):
     sentences = tokens.by_sentence(docs[1])
     assert same(collocation.pair_scores(sentences, ("a",), 2), collocation.pair_scores(long, ("a",), 2))
