@@ -12,6 +12,7 @@ from ..functions.arrays import let
 from ..functions.maths import npmi
 from ..functions.text import WORD
 from ..storage import stored
+from . import lines
 
 
 def sentence_pairs(words: Column, connectors: tuple[str, ...] = ()) -> Column:
@@ -83,7 +84,11 @@ def pairs_in_texts(docs: DataFrame, connectors: tuple[str, ...] = ()) -> DataFra
 
 def pair_counts(docs: DataFrame, connectors: tuple[str, ...] = (), min_count: int = 1) -> DataFrame:
     """(a, between, b, joint) of (text): pairs that occur ``min_count`` times or more, counted as one string each."""
-    counts = pairs_in_texts(docs, connectors).groupBy("met").agg(F.count(F.lit(1)).alias("joint")).where(F.col("joint") >= min_count)
+    return taken_apart(pairs_in_texts(docs, connectors).groupBy("met").agg(F.count(F.lit(1)).alias("joint")).where(F.col("joint") >= min_count))
+
+
+def taken_apart(counts: DataFrame) -> DataFrame:
+    """(a, between, b, joint) of (met, joint)."""
     a, b = F.substring_index("met", " ", 1), F.substring_index("met", " ", -1)
     between = F.substring("met", F.length(a) + 2, F.length("met") - F.length(a) - F.length(b) - 2)
     return counts.select(a.alias("a"), between.alias("between"), b.alias("b"), "joint")
@@ -94,26 +99,32 @@ def pair_scores(tokens: DataFrame, connectors: tuple[str, ...] = (), min_count:
 
     ``npmi`` or ``default``: (joint - min_count) / count_a / count_b times the
     number of types. With a threshold only pairs above it are kept. Documents
-    as arrays (``tokens.listed``), or as (doc_id, text), are paired where they
-    lie, and one shuffle counts the pairs. Words are counted once and written.
+    as arrays (``tokens.listed``), as (doc_id, text), or as lines
+    (``lines.lined``) are paired where they lie, and one shuffle counts the
+    pairs. Words are counted once and written.
     """
     if scoring not in ("npmi", "default"):
         raise ValueError("scoring is npmi or default")
-    if "text" in tokens.columns:
+    if "line" in tokens.columns:
+        single, met, total = lines.word_and_pair_counts(tokens, connectors, min_count)
+        joint, every = taken_apart(met), lines.words(tokens)
+    elif "text" in tokens.columns:
         joint = pair_counts(tokens, connectors, min_count)
         tokens = tokens.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("token"))
     else:
         joint = pairs(tokens, connectors).groupBy("a", "between", "b").agg(F.count(F.lit(1)).alias("joint")).where(F.col("joint") >= min_count)
         if "sentences" in tokens.columns or "tokens" in tokens.columns:
             tokens = tokens.select(F.explode(F.flatten("sentences") if "sentences" in tokens.columns else "tokens").alias("token"))
-    single = stored(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    if "line" not in tokens.columns:
+        single = every = stored(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+        total = single.agg(F.sum("n"))
     left = single.select(F.col("token").alias("a"), F.col("n").alias("count_a"))
     right = single.select(F.col("token").alias("b"), F.col("n").alias("count_b"))
-    out = joint.join(left, "a").join(right, "b").withColumn("n_tokens", single.agg(F.sum("n")).scalar())
+    out = joint.join(left, "a").join(right, "b").withColumn("n_tokens", total.scalar())
     if scoring == "npmi":
         score: Column = npmi(F.col("joint"), [F.col("count_a"), F.col("count_b")], F.col("n_tokens"))
     else:
-        types = single.agg(F.count(F.lit(1))).scalar()
+        types = every.agg(F.count(F.lit(1))).scalar()
         score = (F.col("joint") - min_count) / F.col("count_a") / F.col("count_b") * types
     out = out.select("a", "between", "b", "joint", "count_a", "count_b", "n_tokens", score.alias("score"))
     return out if threshold is None else out.where(F.col("score") > threshold)
@@ -127,8 +138,10 @@ def fused(sentences: DataFrame, phrases: DataFrame, connectors: tuple[str, ...]
     them all. Phrases are written first: where Spark knows them to be few it
     sends them to the sentences, else pairs are dealt out by digests of 8
     bytes. Digests that agree by chance do no harm, since phrases are compared
-    as text.
+    as text. Lines (``lines.lined``) are fused as ``lines.fused`` says.
     """
+    if "line" in sentences.columns:
+        return lines.fused(sentences, phrases, connectors, mark)
     digest = F.xxhash64("a", "between", "b")
     listed = stored(phrases.select(digest.alias("__digest"), F.concat_ws("\t", "a", "between", "b").alias("__phrase")))
     of = F.transform(sentence_pairs(F.col("tokens"), connectors), lambda p: F.xxhash64(p["a"], p["between"], p["b"]))

@@ -1,0 +1,467 @@
+"""Texts as lines of words, worked on in pieces of some megabytes by NumPy and Arrow: no row, object or lambda for a word.
+
+``lined(doc_id, line)``: lower-cased words with one blank between them, and
+line feeds where sentences end. Pairs of words are as in ``collocation.pairs``.
+What a task has to look up lies in tables that it reads a block at a time, so
+none has to fit into a task.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import cache
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import dataset, fs
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..storage import shared_dir, stored
+
+#: Bytes of lines in a piece, at most, but for longer lines, and in what is scanned at once; rows of a batch that is handed on, and of a table that are held at once.
+PIECE, BLOCK, ROWS, HELD = 24 << 20, 1 << 20, 1 << 17, 16 << 20
+#: Leading bits of digests by which these are dealt out.
+DEALT = 12
+
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_BLANK, _FEED = np.uint8(ord(" ")), np.uint8(ord("\n"))
+_FACTOR = np.uint64(0x9E3779B97F4A7C17)
+_SEEDS = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
+
+
+@cache
+def _letters(spark: SparkSession) -> bytes:
+    """A bit for each character, set for what the JVM's expressions take for a letter."""
+    known = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    others = spark.sparkContext._jvm.java.util.regex.Pattern.compile(r"\p{L}++").matcher(known).replaceAll("")
+    out = np.ones(0x110000, bool)
+    out[0xD800:0xE000] = False
+    out[np.frombuffer(others.encode("utf-32-le"), np.uint32)] = False
+    return np.packbits(out).tobytes()
+
+
+def lined(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys..., line) of texts that are not null; words are runs of letters."""
+    packed = _letters(docs.sparkSession)
+    rows = docs.select(*keys, F.lower(F.col(text)).alias("line")).where(F.col("line").isNotNull())
+
+    def run(batches):
+        letters = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+        for piece in _pieces(batches):
+            bounds, data = _bytes(_lines(piece))
+            sizes, kept = [np.zeros(1, np.int64)], []
+            for low, high in _blocks(bounds):
+                at = bounds[low : high + 1] - bounds[low]
+                made, ends = _words_of(data[bounds[low] : bounds[high]], at, letters)
+                kept.append(made)
+                sizes.append(np.diff(ends))
+            made = _strings(np.cumsum(np.concatenate(sizes)), np.concatenate([np.empty(0, np.uint8), *kept]))
+            yield from _replaced(piece, made)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _words_of(data: np.ndarray, bounds: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of lower-cased texts as lines of words, and where each line ends."""
+    inside = letters[:256][data] & (data < 0x80)
+    if len(lead := np.flatnonzero(data >= 0xC0)):
+        padded = np.append(data, np.zeros(3, np.uint8))
+        b = [padded[lead + k].astype(np.int32) for k in range(4)]
+        low = [x & 0x3F for x in b]
+        two, three = (b[0] & 0x1F) << 6 | low[1], (b[0] & 0x0F) << 12 | low[1] << 6 | low[2]
+        code = np.where(b[0] < 0xE0, two, np.where(b[0] < 0xF0, three, (b[0] & 0x07) << 18 | low[1] << 12 | low[2] << 6 | low[3]))
+        lead, size = lead[hit := letters[code]], 2 + (b[0] >= 0xE0)[hit].astype(np.int8) + (b[0] >= 0xF0)[hit]
+        for k in range(4):
+            inside[lead[size > k] + k] = True
+    stop = (data == ord(".")) | (data == ord("!")) | (data == ord("?"))
+    keep = inside | stop
+    keep[1:] |= inside[:-1]  # of what else stands between words the first byte
+    return np.where(inside, data, np.where(stop, _FEED, _BLANK))[keep], np.r_[0, np.cumsum(keep)][bounds]
+
+
+def _bytes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each line begins, and the last ends, and the bytes of all."""
+    at = np.frombuffer(lines.buffers()[1], np.int64)[lines.offset : lines.offset + len(lines) + 1]
+    return at - at[0], np.frombuffer(lines.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+
+
+def _blocks(bounds: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of lines that have ``BLOCK`` bytes together, or one line more: what is scanned should fit a cache."""
+    low = 0
+    while low < len(bounds) - 1:
+        high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + BLOCK)))
+        high = min(high, len(bounds) - 1)
+        yield low, high
+        low = high
+
+
+def _strings(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
+    return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(data))
+
+
+def digests(strings: pa.Array) -> np.ndarray:
+    """Two numbers of 64 bits for each string, none of which is empty: sums of a random number for each byte at its place (tabulation)."""
+    strings = strings.cast(pa.large_string())
+    at = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    out = np.empty((len(strings), 2), np.uint64)
+    if len(strings):
+        data = np.frombuffer(strings.buffers()[2], np.uint8)[at[0] : at[-1]]
+        place = np.arange(len(data), dtype=np.uint64) - np.repeat(at[:-1] - at[0], np.diff(at)).astype(np.uint64)
+        place = (place << np.uint64(8)) | data
+        for k, seed in enumerate(_SEEDS):
+            x = place * _FACTOR + seed  # splitmix64
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            out[:, k] = np.add.reduceat(x ^ (x >> np.uint64(31)), at[:-1] - at[0])
+    return out
+
+
+def _codes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The first 8 bytes of each word, or all that it has, as a number."""
+    padded = np.append(data, np.zeros(8, np.uint8))
+    return np.ndarray(len(data), "<u8", padded, 0, (1,))[start] & _FIRST[np.minimum(size, 8)]
+
+
+class Piece:
+    """Lines taken apart: ``words`` are the distinct ones, ``ids`` which of them stands where.
+
+    The pair at place k is of the words at ``i[k]`` and ``j[k]``; ``key`` says
+    which of ``words`` begins it and which of ``rests`` it goes on with: a word, or
+    connectors and a word.
+    """
+
+    def __init__(self, lines: pa.Array, connectors: tuple[str, ...] = ()):
+        self.bounds, self.data = _bytes(lines)
+        starts, ends, codes, sentence, told = [], [], [], [], 0
+        for low, high in _blocks(self.bounds):
+            base = self.bounds[low]
+            data, edges = self.data[base : self.bounds[high]], self.bounds[low:high] - base
+            edges = edges[(edges > 0) & (edges < len(data))]
+            inside, ends_here = data > _BLANK, data == _FEED
+            before, after = np.zeros(len(inside), bool), np.zeros(len(inside), bool)
+            before[1:], after[:-1] = inside[:-1], inside[1:]
+            before[edges], after[edges - 1], ends_here[edges] = False, False, True
+            start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+            codes.append(_codes(data, start, end - start))
+            number = np.cumsum(ends_here, dtype=np.int32)
+            sentence.append(number[start] + told)
+            told += int(number[-1]) + 1 if len(number) else 0
+            starts.append(start + base)
+            ends.append(end + base)
+        none = np.empty(0, np.int64)
+        self.starts, self.ends, sentence = (np.concatenate([none, *x]) for x in (starts, ends, sentence))
+        self.words, self.ids = self._distinct(np.concatenate([np.empty(0, np.uint64), *codes]))
+        joins = pc.is_in(self.words, value_set=pa.array(connectors, pa.large_string())).to_numpy(zero_copy_only=False)
+        places = np.flatnonzero(~joins[self.ids])
+        together = sentence[places[:-1]] == sentence[places[1:]]
+        self.i, self.j = places[:-1][together], places[1:][together]
+        rest = self.ids[self.j].astype(np.int64)
+        if len(far := np.flatnonzero(self.j - self.i > 1)):
+            longer = self._spans(self.starts[self.i[far] + 1], self.ends[self.j[far]]).dictionary_encode()
+            rest[far] = len(self.words) + longer.indices.to_numpy()
+            self.rests = pa.concat_arrays([self.words, longer.dictionary])
+        else:
+            self.rests = self.words
+        self.key = self.ids[self.i] * np.int64(len(self.rests)) + rest
+
+    def _spans(self, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+        """What stands from one place to before the other."""
+        offsets = np.r_[0, np.cumsum(end - begin)]
+        return _strings(offsets, self.data[np.repeat(begin - offsets[:-1], end - begin) + np.arange(offsets[-1])])
+
+    def _distinct(self, codes: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """The distinct words and which of them stands where; words of up to 8 bytes are told apart by these as numbers."""
+        size = self.ends - self.starts
+        short, long = np.flatnonzero(size <= 8), np.flatnonzero(size > 8)
+        a, b = pa.array(codes[short]).dictionary_encode(), self._spans(self.starts[long], self.ends[long]).dictionary_encode()
+        spelt = a.dictionary.to_numpy().view(np.uint8).reshape(-1, 8)
+        spelt = _strings(np.r_[0, np.cumsum((spelt > 0).sum(axis=1))], spelt[spelt > 0])
+        ids = np.empty(len(codes), np.int32)
+        ids[short], ids[long] = a.indices.to_numpy(), b.indices.to_numpy() + np.int32(len(spelt))
+        return pa.concat_arrays([spelt, b.dictionary]), ids
+
+    def counts(self) -> np.ndarray:
+        """How often each of ``words`` occurs."""
+        return np.bincount(self.ids, minlength=len(self.words))
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct keys of pairs in order, and how often each occurs."""
+        return np.unique(self.key, return_counts=True)
+
+    def of_keys(self, keys: np.ndarray, lanes: int = 2) -> list[np.ndarray]:
+        """Digests of pairs: one number for each or two."""
+        a, rest = np.divmod(keys, max(1, len(self.rests)))
+        alone = digests(self.words)
+        both = np.concatenate([alone, digests(self.rests[len(self.words) :])])
+        return [alone[a, k] * _FACTOR + both[rest, k] for k in range(lanes)]
+
+    def texts(self, keys: np.ndarray) -> pa.Array:
+        """Pairs as "a b" or "a between b"."""
+        a, rest = np.divmod(keys, max(1, len(self.rests)))
+        return pc.binary_join_element_wise(self.words.take(pa.array(a)), self.rests.take(pa.array(rest)), pa.scalar(" ", pa.large_string()))
+
+    def numbers(self, keys: np.ndarray) -> np.ndarray:
+        """One digest for each pair and then for each word."""
+        return np.concatenate([self.of_keys(keys, 1)[0], digests(self.words)[:, 0]])
+
+    def taken(self, known: np.ndarray) -> np.ndarray:
+        """Which pairs of ``known`` keys are put together, if this is done from left to right, each word once."""
+        hit = pc.is_in(pa.array(self.key), value_set=pa.array(known)).to_numpy(zero_copy_only=False)
+        chained = np.zeros(len(hit), bool)
+        chained[1:] = hit[:-1] & (self.j[:-1] == self.i[1:])
+        order = np.arange(len(hit))
+        first = np.maximum.accumulate(np.where(hit & ~chained, order, 0))
+        return hit & ((order - first) % 2 == 0)  # of pairs that overlap every other one
+
+    def _from_to(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which words lie from a place of ``begin`` to before one of ``end``."""
+        out = np.zeros(len(self.ids) + 1, np.int8)
+        out[begin] += 1
+        out[end] -= 1
+        return np.cumsum(out[:-1], dtype=np.int8) > 0
+
+    def fused(self, known: np.ndarray, mark: str) -> pa.Array:
+        """The lines with pairs put together."""
+        taken, out = self.taken(known), self.data.copy()
+        out[self.ends[self._from_to(self.i[taken], self.j[taken])]] = ord(mark)
+        return _strings(self.bounds, out)
+
+    def fused_words(self, known: np.ndarray, mark: str) -> tuple[pa.Array, np.ndarray]:
+        """The words of the lines with pairs put together, and how often each occurs; a word may come twice."""
+        taken = self.taken(known)
+        alone = np.bincount(self.ids[~self._from_to(self.i[taken], self.j[taken] + 1)], minlength=len(self.words))
+        keys, n = np.unique(self.key[taken], return_counts=True)
+        return pa.concat_arrays([self.words, pc.replace_substring(self.texts(keys), " ", mark)]), np.r_[alone, n]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], most: int = PIECE) -> Iterator[pa.Table]:
+    """The rows again, in tables whose lines have ``most`` bytes together, or one row more."""
+    held, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch["line"]).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            gone = ends[at - 1] if at else 0
+            to = min(batch.num_rows, int(np.searchsorted(ends, gone + most - size)) + 1)
+            held.append(batch.slice(at, to - at))
+            size, at = size + int(ends[to - 1] - gone), to
+            if size >= most:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _lines(piece: pa.Table) -> pa.Array:
+    return pa.concat_arrays([c.cast(pa.large_string()) for c in piece["line"].chunks])
+
+
+def _replaced(piece: pa.Table, lines: pa.Array) -> Iterator[pa.RecordBatch]:
+    yield from piece.set_column(piece.column_names.index("line"), "line", _texts(lines)).to_batches(max_chunksize=ROWS)
+
+
+def _batches(columns: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
+    yield from pa.table(columns).to_batches(max_chunksize=ROWS)
+
+
+def _texts(values: pa.Array) -> pa.Array:
+    return values.cast(pa.string())
+
+
+def _longs(values: np.ndarray) -> pa.Array:
+    return pa.array(values.view(np.int64) if values.dtype == np.uint64 else values.astype(np.int64))
+
+
+def _in_order(numbers: DataFrame, path: str) -> None:
+    """Writes ``numbers`` in order of the first column, taken without a sign, so that each file has a range of its own."""
+    numbers, first = stored(numbers), numbers.columns[0]
+    stored(numbers.orderBy(F.col(first) < 0, first), path)
+
+
+class Table:
+    """Columns of numbers, written by ``_in_order``, in blocks of ``most`` rows; a single block is read once."""
+
+    def __init__(self, path: str, *columns: str, most: int = HELD):
+        store, inner = fs.FileSystem.from_uri(path)
+        self.columns, self.most, self.kept = list(columns), most, None
+        self.source = dataset.dataset(inner, filesystem=store, format="parquet")
+
+    def blocks(self) -> Iterator[list[np.ndarray]]:
+        if self.kept is not None:
+            yield self.kept
+            return
+        held, n, first = [], 0, True
+        for batch in self.source.to_batches(columns=self.columns, batch_size=ROWS):
+            if n and n + batch.num_rows > self.most:
+                yield self._block(held)
+                held, n, first = [], 0, False
+            held.append(batch)
+            n += batch.num_rows
+        block = self._block(held)
+        if first:
+            self.kept = block
+        yield block
+
+    def _block(self, batches: list[pa.RecordBatch]) -> list[np.ndarray]:
+        rows = [np.concatenate([np.empty(0, np.int64), *(b[c].to_numpy(zero_copy_only=False) for b in batches)]).view(np.uint64) for c in self.columns]
+        if (rows[0][1:] < rows[0][:-1]).any():  # files came in another order than they were written
+            order = np.argsort(rows[0])
+            rows = [r[order] for r in rows]
+        return rows
+
+    def holds(self, values: list[np.ndarray]) -> np.ndarray:
+        """Which rows of ``values`` the table has."""
+        order = np.argsort(values[0])
+        values, out = [v[order] for v in values], np.zeros(len(order), bool)
+        for block in self.blocks():
+            if not len(block[0]):
+                continue
+            low, high = np.searchsorted(values[0], block[0][0]), np.searchsorted(values[0], block[0][-1], side="right")
+            asked = [v[low:high] for v in values]
+            place, at = np.searchsorted(block[0], asked[0]), np.arange(high - low)
+            while len(at):  # rows whose first numbers agree lie side by side
+                at = at[place[at] < len(block[0])]
+                at = at[block[0][place[at]] == asked[0][at]]
+                same = np.ones(len(at), bool)
+                for b, v in zip(block[1:], asked[1:], strict=True):
+                    same &= b[place[at]] == v[at]
+                out[order[low + at[same]]] = True
+                at = at[~same]
+                place[at] += 1
+        return out
+
+
+def _counted(words: pa.Array, n: np.ndarray, having: str) -> Iterator[pa.RecordBatch]:
+    wanted = pc.match_substring(words, having).to_numpy(zero_copy_only=False).astype(bool) & (n > 0)
+    yield from _batches({"token": _texts(words.filter(pa.array(wanted))), "n": _longs(n[wanted])})
+
+
+def words(lines: DataFrame, having: str = "") -> DataFrame:
+    """(token, n): words that have ``having`` in them, counted."""
+
+    def run(batches):
+        for piece in _pieces(batches):
+            p = Piece(_lines(piece))
+            yield from _counted(p.words, p.counts(), having)
+
+    return lines.select("line").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def _often(lines: DataFrame, connectors: tuple[str, ...], min_count: int, path: str) -> None:
+    """Writes (digest) of what may be a word or a pair that occurs ``min_count`` times or more.
+
+    A digest's last bits make room for a count, up to ``min_count``. Each piece
+    sends its numbers in order, cut by their first bits; what has the same first
+    bits is added up in one go.
+    """
+    bits = np.uint64(int(min_count).bit_length())
+    mask = (np.uint64(1) << bits) - np.uint64(1)
+
+    def count(batches):
+        for piece in _pieces(batches):
+            p = Piece(_lines(piece), connectors)
+            keys, n = p.distinct()
+            n = np.minimum(np.concatenate([n, p.counts()]), min_count).astype(np.uint64)
+            x = np.sort(p.numbers(keys) & ~mask | n)
+            at = np.r_[np.searchsorted(x, np.arange(1 << DEALT, dtype=np.uint64) << np.uint64(64 - DEALT)), len(x)]
+            full = np.flatnonzero(np.diff(at))
+            cut = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(full), [None, pa.py_buffer(np.r_[at[full], len(x)].astype(np.int64) * 8), pa.py_buffer(x)])
+            yield from _batches({"part": pa.array(full.astype(np.int32)), "numbers": cut.cast(pa.binary())})
+
+    def add_up(batches):
+        def whole(held):
+            x = np.sort(np.frombuffer(b"".join(held), np.uint64))
+            first = np.flatnonzero(np.r_[True, x[1:] >> bits != x[:-1] >> bits])
+            return x[first[np.add.reduceat(x & mask, first) >= min_count]] & ~mask
+
+        part, held = None, []
+        for batch in batches:
+            for k, numbers in zip(batch["part"].to_pylist(), batch["numbers"].to_pylist(), strict=True):
+                if k != part and held:
+                    yield from _batches({"digest": _longs(whole(held))})
+                    held = []
+                part = k
+                held.append(numbers)
+        if held:
+            yield from _batches({"digest": _longs(whole(held))})
+
+    sent = lines.select("line").mapInArrow(count, "part int, numbers binary").repartition("part").sortWithinPartitions("part")
+    _in_order(sent.mapInArrow(add_up, "digest long"), path)
+
+
+def word_and_pair_counts(lines: DataFrame, connectors: tuple[str, ...] = (), min_count: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(token, n) and (met, joint) of words and pairs that occur ``min_count`` times or more, and (n) of all words, in one row.
+
+    Pairs are as in ``collocation.pair_counts``. They and words are counted
+    twice: first by digests of 8 bytes, then as text, but then only those whose
+    digest occurs often enough. So few are sent as text, and digests that agree by
+    chance do no harm.
+    """
+    path = f"{shared_dir(lines.sparkSession)}/often"
+    _often(lines, connectors, min_count, path)
+
+    def spell(batches):
+        often = Table(path, "digest")
+        blank = ~((np.uint64(1) << np.uint64(int(min_count).bit_length())) - np.uint64(1))
+        for piece in _pieces(batches):
+            p = Piece(_lines(piece), connectors)
+            keys, n = p.distinct()
+            hit = often.holds([p.numbers(keys) & blank])
+            pair, word = hit[: len(keys)], hit[len(keys) :]
+            yield from _batches({"met": _texts(p.texts(keys[pair])), "n": _longs(n[pair])})
+            yield from _batches({"met": _texts(p.words.filter(pa.array(word))), "n": _longs(p.counts()[word])})
+            yield from _batches({"met": pa.array([""]), "n": pa.array([len(p.ids)])})
+
+    rows = lines.select("line").mapInArrow(spell, "met string, n long").groupBy("met").agg(F.sum("n").alias("n"))
+    rows = stored(rows.where((F.col("n") >= min_count) | (F.col("met") == "")))
+    pair = F.contains(F.col("met"), F.lit(" "))
+    words = rows.where(~pair & (F.col("met") != "")).select(F.col("met").alias("token"), "n")
+    return words, rows.where(pair).select("met", F.col("n").alias("joint")), rows.where("met = ''").select("n")
+
+
+def _numbered(phrases: DataFrame, mark: str) -> str:
+    """Where digests of 16 bytes of ``phrases`` (a, between, b) are written."""
+    if len(mark) != 1 or not "!" <= mark <= "~" or mark.isalpha():
+        raise ValueError("the mark of lines is one character of ASCII, neither letter nor blank")
+    path = f"{shared_dir(phrases.sparkSession)}/phrases"
+
+    def number(batches):
+        for batch in batches:
+            alone, rest = (digests(pc.cast(batch[c], pa.large_string())) for c in ("a", "rest"))
+            yield from _batches({c: _longs(alone[:, k] * _FACTOR + rest[:, k]) for k, c in enumerate(("x", "y"))})
+
+    rest = F.when(F.col("between") == "", F.col("b")).otherwise(F.concat_ws(" ", "between", "b"))
+    _in_order(phrases.select("a", rest.alias("rest")).mapInArrow(number, "x long, y long"), path)
+    return path
+
+
+def _known(batches: Iterator[pa.RecordBatch], path: str, connectors: tuple[str, ...]) -> Iterator[tuple[pa.Table, Piece, np.ndarray]]:
+    known = Table(path, "x", "y")
+    for piece in _pieces(batches):
+        p = Piece(_lines(piece), connectors)
+        keys, _ = p.distinct()
+        yield piece, p, keys[known.holds(p.of_keys(keys))]
+
+
+def fused(lines: DataFrame, phrases: DataFrame, connectors: tuple[str, ...] = (), mark: str = "_") -> DataFrame:
+    """The lines with ``phrases`` (a, between, b) put together: a blank inside a phrase becomes ``mark``, one character of ASCII."""
+    path = _numbered(phrases, mark)
+
+    def run(batches):
+        for piece, p, known in _known(batches, path, connectors):
+            yield from _replaced(piece, p.fused(known, mark))
+
+    return lines.mapInArrow(run, lines.schema)
+
+
+def fused_words(lines: DataFrame, phrases: DataFrame, connectors: tuple[str, ...] = (), mark: str = "_", having: str = "") -> DataFrame:
+    """``words`` of ``fused`` lines, which are not made for it."""
+    path = _numbered(phrases, mark)
+
+    def run(batches):
+        for _, p, known in _known(batches, path, connectors):
+            yield from _counted(*p.fused_words(known, mark), having)
+
+    return lines.select("line").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
