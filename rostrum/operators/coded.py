@@ -1,15 +1,17 @@
-"""Texts as lines of words, worked on in pieces of some megabytes by NumPy and Arrow: no row, object or lambda for a word.
+"""Texts as numbers of words, worked on in pieces of some megabytes by NumPy and Arrow: no row, object or lambda for a word.
 
-``lined(doc_id, line)``: lower-cased words with one blank between them, and
-line feeds where sentences end. Pairs of words are as in ``collocation.pairs``.
-What a task has to look up lies in tables that it reads a block at a time, so
-none has to fit into a task.
+``coded(file)``: a file of the shared folder for each piece. It has the distinct
+lower-cased words of some texts, and numbers: which words stand one after the
+other, and -1 where a sentence ends. Pairs of words are as in
+``collocation.pairs``. What a task has to look up lies in tables that it reads a
+block at a time, so none has to fit into a task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import cache
+import uuid
+from collections.abc import Callable, Iterator
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +22,14 @@ from pyspark.sql import functions as F
 
 from ..storage import shared_dir, stored
 
-#: Bytes of lines in a piece, at most, but for longer lines, and in what is scanned at once; rows of a batch that is handed on, and of a table that are held at once.
-PIECE, BLOCK, ROWS, HELD = 24 << 20, 1 << 20, 1 << 17, 16 << 20
+#: Bytes of texts that are scanned at once, but for longer texts, and of numbers in a piece; rows of a batch that is handed on, and of a table that are held at once.
+BLOCK, PIECE, ROWS, HELD = 1 << 20, 16 << 20, 1 << 17, 16 << 20
 #: Leading bits of digests by which these are dealt out.
 DEALT = 12
+Words = tuple[pa.Array, np.ndarray]  # distinct words and numbers
 
 _FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
-_BLANK, _FEED = np.uint8(ord(" ")), np.uint8(ord("\n"))
+_BLANK = np.uint8(ord(" "))
 _FACTOR = np.uint64(0x9E3779B97F4A7C17)
 _SEEDS = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
@@ -42,29 +45,67 @@ def _letters(spark: SparkSession) -> bytes:
     return np.packbits(out).tobytes()
 
 
-def lined(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(keys..., line) of texts that are not null; words are runs of letters."""
+def coded(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(file) of texts; words are runs of letters, and null has none."""
     packed = _letters(docs.sparkSession)
-    rows = docs.select(*keys, F.lower(F.col(text)).alias("line")).where(F.col("line").isNotNull())
+    rows = docs.select(F.lower(F.col(text)).alias("text")).where(F.col("text").isNotNull())
 
-    def run(batches):
+    def made(batches):
         letters = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
-        for piece in _pieces(batches):
-            bounds, data = _bytes(_lines(piece))
-            sizes, kept = [np.zeros(1, np.int64)], []
+        held, size = [], 0
+        for batch in batches:
+            bounds, data = _bytes(batch["text"].cast(pa.large_string()))
             for low, high in _blocks(bounds):
-                at = bounds[low : high + 1] - bounds[low]
-                made, ends = _words_of(data[bounds[low] : bounds[high]], at, letters)
-                kept.append(made)
-                sizes.append(np.diff(ends))
-            made = _strings(np.cumsum(np.concatenate(sizes)), np.concatenate([np.empty(0, np.uint8), *kept]))
-            yield from _replaced(piece, made)
+                held.append(_coded(data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low], letters))
+                size += held[-1][1].nbytes
+                if size >= PIECE:
+                    yield _merged(held)
+                    held, size = [], 0
+        yield _merged(held)
+
+    return _written(rows, made)
+
+
+def _written(rows: DataFrame, made: Callable[[Iterator[pa.RecordBatch]], Iterator[Words]]) -> DataFrame:
+    """(file) of what is ``made`` of the rows; a file counts once the table that names it is written."""
+    folder = shared_dir(rows.sparkSession)
+
+    def run(batches):
+        store, inner = fs.FileSystem.from_uri(f"{folder}/pieces")
+        store.create_dir(inner, recursive=True)
+        for words, numbers in made(batches):
+            if len(numbers):
+                name = uuid.uuid4().hex  # no other attempt of any task has it
+                lists = [pa.LargeListArray.from_arrays(pa.array([0, len(x)], pa.int64()), x) for x in (words, pa.array(numbers))]
+                batch = pa.RecordBatch.from_arrays(lists, ["words", "numbers"])
+                with store.open_output_stream(f"{inner}/{name}", compression=None) as out, pa.ipc.new_file(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                    writer.write_batch(batch)
+                yield pa.RecordBatch.from_pydict({"file": [f"{folder}/pieces/{name}"]})
+
+    files = stored(rows.mapInArrow(run, "file string"))
+    return files.repartition(max(1, files.count()))  # a piece a task
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
+    for batch in batches:
+        for path in batch["file"].to_pylist():
+            store, inner = fs.FileSystem.from_uri(path)
+            with store.open_input_file(inner) as f:
+                row = pa.ipc.open_file(f).get_batch(0)
+                yield row["words"].flatten(), row["numbers"].flatten().to_numpy()
+
 
-    return rows.mapInArrow(run, rows.schema)
+def _merged(parts: list[Words]) -> Words:
+    """One piece of several, one after the other."""
+    words = pa.concat_arrays([pa.array([], pa.large_string()), *(p[0] for p in parts)])
+    at, data = _bytes(words)
+    words, number = _distinct(data, at[:-1], at[1:])
+    number = np.split(number, np.cumsum([len(p[0]) for p in parts])[:-1])
+    return words, np.concatenate([np.empty(0, np.int32), *(np.append(n, np.int32(-1))[p[1]] for n, p in zip(number, parts, strict=False))])  # -1 stays what it is
 
 
-def _words_of(data: np.ndarray, bounds: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of lower-cased texts as lines of words, and where each line ends."""
+def _coded(data: np.ndarray, bounds: np.ndarray, letters: np.ndarray) -> Words:
+    """The distinct words of lower-cased texts, and numbers."""
     inside = letters[:256][data] & (data < 0x80)
     if len(lead := np.flatnonzero(data >= 0xC0)):
         padded = np.append(data, np.zeros(3, np.uint8))
@@ -75,20 +116,43 @@ def _words_of(data: np.ndarray, bounds: np.ndarray, letters: np.ndarray) -> tupl
         lead, size = lead[hit := letters[code]], 2 + (b[0] >= 0xE0)[hit].astype(np.int8) + (b[0] >= 0xF0)[hit]
         for k in range(4):
             inside[lead[size > k] + k] = True
-    stop = (data == ord(".")) | (data == ord("!")) | (data == ord("?"))
-    keep = inside | stop
-    keep[1:] |= inside[:-1]  # of what else stands between words the first byte
-    return np.where(inside, data, np.where(stop, _FEED, _BLANK))[keep], np.r_[0, np.cumsum(keep)][bounds]
-
-
-def _bytes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Where each line begins, and the last ends, and the bytes of all."""
-    at = np.frombuffer(lines.buffers()[1], np.int64)[lines.offset : lines.offset + len(lines) + 1]
-    return at - at[0], np.frombuffer(lines.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    ends_here = (data == ord(".")) | (data == ord("!")) | (data == ord("?"))
+    before, after = np.zeros(len(inside), bool), np.zeros(len(inside), bool)
+    before[1:], after[:-1] = inside[:-1], inside[1:]
+    edges = bounds[(bounds > 0) & (bounds < len(data))]
+    before[edges], after[edges - 1], ends_here[edges] = False, False, True
+    start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    words, ids = _distinct(data, start, end)
+    sentence = np.cumsum(ends_here, dtype=np.int32)[start]
+    last = np.r_[sentence[1:] != sentence[:-1], np.ones(min(1, len(start)), bool)]
+    out = np.full(len(ids) + last.sum(), -1, np.int32)
+    out[np.arange(len(ids)) + np.cumsum(last) - last] = ids
+    return words, out
+
+
+def _distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words and which of them stands where; words of up to 8 bytes are told apart by these as numbers."""
+    size = end - start
+    short, long = np.flatnonzero(size <= 8), np.flatnonzero(size > 8)
+    codes = np.ndarray(len(data), "<u8", np.append(data, np.zeros(8, np.uint8)), 0, (1,))[start[short]] & _FIRST[size[short]]
+    a = pa.array(codes).dictionary_encode()
+    offsets = np.r_[0, np.cumsum(size[long])]
+    b = _strings(offsets, data[np.repeat(start[long] - offsets[:-1], size[long]) + np.arange(offsets[-1])]).dictionary_encode()
+    spelt = a.dictionary.to_numpy().view(np.uint8).reshape(-1, 8)
+    spelt = _strings(np.r_[0, np.cumsum((spelt > 0).sum(axis=1))], spelt[spelt > 0])
+    ids = np.empty(len(start), np.int32)
+    ids[short], ids[long] = a.indices.to_numpy(), b.indices.to_numpy() + np.int32(len(spelt))
+    return pa.concat_arrays([spelt, b.dictionary]), ids
+
+
+def _bytes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each string begins, and the last ends, and the bytes of all."""
+    at = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    return at - at[0], np.frombuffer(strings.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
 
 
 def _blocks(bounds: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of lines that have ``BLOCK`` bytes together, or one line more: what is scanned should fit a cache."""
+    """Ranges of texts that have up to ``BLOCK`` bytes together, or of one text: what is scanned should fit a cache."""
     low = 0
     while low < len(bounds) - 1:
         high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + BLOCK)))
@@ -118,70 +182,33 @@ def digests(strings: pa.Array) -> np.ndarray:
     return out
 
 
-def _codes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The first 8 bytes of each word, or all that it has, as a number."""
-    padded = np.append(data, np.zeros(8, np.uint8))
-    return np.ndarray(len(data), "<u8", padded, 0, (1,))[start] & _FIRST[np.minimum(size, 8)]
-
-
 class Piece:
-    """Lines taken apart: ``words`` are the distinct ones, ``ids`` which of them stands where.
+    """Distinct ``words``, and ``ids``, which of them stands where.
 
     The pair at place k is of the words at ``i[k]`` and ``j[k]``; ``key`` says
     which of ``words`` begins it and which of ``rests`` it goes on with: a word, or
     connectors and a word.
     """
 
-    def __init__(self, lines: pa.Array, connectors: tuple[str, ...] = ()):
-        self.bounds, self.data = _bytes(lines)
-        starts, ends, codes, sentence, told = [], [], [], [], 0
-        for low, high in _blocks(self.bounds):
-            base = self.bounds[low]
-            data, edges = self.data[base : self.bounds[high]], self.bounds[low:high] - base
-            edges = edges[(edges > 0) & (edges < len(data))]
-            inside, ends_here = data > _BLANK, data == _FEED
-            before, after = np.zeros(len(inside), bool), np.zeros(len(inside), bool)
-            before[1:], after[:-1] = inside[:-1], inside[1:]
-            before[edges], after[edges - 1], ends_here[edges] = False, False, True
-            start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-            codes.append(_codes(data, start, end - start))
-            number = np.cumsum(ends_here, dtype=np.int32)
-            sentence.append(number[start] + told)
-            told += int(number[-1]) + 1 if len(number) else 0
-            starts.append(start + base)
-            ends.append(end + base)
-        none = np.empty(0, np.int64)
-        self.starts, self.ends, sentence = (np.concatenate([none, *x]) for x in (starts, ends, sentence))
-        self.words, self.ids = self._distinct(np.concatenate([np.empty(0, np.uint64), *codes]))
+    def __init__(self, words: pa.Array, numbers: np.ndarray, connectors: tuple[str, ...] = ()):
+        self.words, self.raw, self.at = words, numbers, np.flatnonzero(numbers >= 0)
+        self.ids, sentence = numbers[self.at], np.cumsum(numbers < 0, dtype=np.int32)[self.at]
         joins = pc.is_in(self.words, value_set=pa.array(connectors, pa.large_string())).to_numpy(zero_copy_only=False)
         places = np.flatnonzero(~joins[self.ids])
-        together = sentence[places[:-1]] == sentence[places[1:]]
+        sentence = sentence[places]
+        together = sentence[:-1] == sentence[1:]
         self.i, self.j = places[:-1][together], places[1:][together]
         rest = self.ids[self.j].astype(np.int64)
+        self.rests = self.words
         if len(far := np.flatnonzero(self.j - self.i > 1)):
-            longer = self._spans(self.starts[self.i[far] + 1], self.ends[self.j[far]]).dictionary_encode()
+            size = (self.j - self.i)[far]
+            offsets = np.r_[0, np.cumsum(size)]
+            several = self.words.take(pa.array(self.ids[np.repeat(self.i[far] + 1 - offsets[:-1], size) + np.arange(offsets[-1])]))
+            longer = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), several.cast(pa.string())), " ").cast(pa.large_string()).dictionary_encode()
             rest[far] = len(self.words) + longer.indices.to_numpy()
             self.rests = pa.concat_arrays([self.words, longer.dictionary])
-        else:
-            self.rests = self.words
         self.key = self.ids[self.i] * np.int64(len(self.rests)) + rest
 
-    def _spans(self, begin: np.ndarray, end: np.ndarray) -> pa.Array:
-        """What stands from one place to before the other."""
-        offsets = np.r_[0, np.cumsum(end - begin)]
-        return _strings(offsets, self.data[np.repeat(begin - offsets[:-1], end - begin) + np.arange(offsets[-1])])
-
-    def _distinct(self, codes: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-        """The distinct words and which of them stands where; words of up to 8 bytes are told apart by these as numbers."""
-        size = self.ends - self.starts
-        short, long = np.flatnonzero(size <= 8), np.flatnonzero(size > 8)
-        a, b = pa.array(codes[short]).dictionary_encode(), self._spans(self.starts[long], self.ends[long]).dictionary_encode()
-        spelt = a.dictionary.to_numpy().view(np.uint8).reshape(-1, 8)
-        spelt = _strings(np.r_[0, np.cumsum((spelt > 0).sum(axis=1))], spelt[spelt > 0])
-        ids = np.empty(len(codes), np.int32)
-        ids[short], ids[long] = a.indices.to_numpy(), b.indices.to_numpy() + np.int32(len(spelt))
-        return pa.concat_arrays([spelt, b.dictionary]), ids
-
     def counts(self) -> np.ndarray:
         """How often each of ``words`` occurs."""
         return np.bincount(self.ids, minlength=len(self.words))
@@ -222,44 +249,30 @@ class Piece:
         out[end] -= 1
         return np.cumsum(out[:-1], dtype=np.int8) > 0
 
-    def fused(self, known: np.ndarray, mark: str) -> pa.Array:
-        """The lines with pairs put together."""
-        taken, out = self.taken(known), self.data.copy()
-        out[self.ends[self._from_to(self.i[taken], self.j[taken])]] = ord(mark)
-        return _strings(self.bounds, out)
+    def _compounds(self, taken: np.ndarray, mark: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Distinct pairs as words, which of them each pair is, and how often each occurs."""
+        keys, which, n = np.unique(self.key[taken], return_inverse=True, return_counts=True)
+        return pc.replace_substring(self.texts(keys), " ", mark), which, n
+
+    def fused(self, known: np.ndarray, mark: str) -> Words:
+        """The piece with pairs put together."""
+        taken = self.taken(known)
+        names, which, _ = self._compounds(taken, mark)
+        numbers = self.raw.copy()
+        numbers[self.at[self.i[taken]]] = len(self.words) + which
+        numbers = np.delete(numbers, self.at[self._from_to(self.i[taken] + 1, self.j[taken] + 1)])
+        found = pa.concat_arrays([self.words, names]).dictionary_encode()  # what is put together may be there already
+        numbers = np.append(found.indices.to_numpy(), np.int32(-1))[numbers]
+        used = np.zeros(len(found.dictionary) + 1, bool)
+        used[numbers] = True
+        return found.dictionary.filter(pa.array(used[:-1])), np.append(np.cumsum(used[:-1], dtype=np.int32) - 1, -1).astype(np.int32)[numbers]
 
     def fused_words(self, known: np.ndarray, mark: str) -> tuple[pa.Array, np.ndarray]:
-        """The words of the lines with pairs put together, and how often each occurs; a word may come twice."""
+        """The words of the piece with pairs put together, and how often each occurs; a word may come twice."""
         taken = self.taken(known)
         alone = np.bincount(self.ids[~self._from_to(self.i[taken], self.j[taken] + 1)], minlength=len(self.words))
-        keys, n = np.unique(self.key[taken], return_counts=True)
-        return pa.concat_arrays([self.words, pc.replace_substring(self.texts(keys), " ", mark)]), np.r_[alone, n]
-
-
-def _pieces(batches: Iterator[pa.RecordBatch], most: int = PIECE) -> Iterator[pa.Table]:
-    """The rows again, in tables whose lines have ``most`` bytes together, or one row more."""
-    held, size = [], 0
-    for batch in batches:
-        ends = np.cumsum(pc.binary_length(batch["line"]).to_numpy(zero_copy_only=False).astype(np.int64))
-        at = 0
-        while at < batch.num_rows:
-            gone = ends[at - 1] if at else 0
-            to = min(batch.num_rows, int(np.searchsorted(ends, gone + most - size)) + 1)
-            held.append(batch.slice(at, to - at))
-            size, at = size + int(ends[to - 1] - gone), to
-            if size >= most:
-                yield pa.Table.from_batches(held)
-                held, size = [], 0
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _lines(piece: pa.Table) -> pa.Array:
-    return pa.concat_arrays([c.cast(pa.large_string()) for c in piece["line"].chunks])
-
-
-def _replaced(piece: pa.Table, lines: pa.Array) -> Iterator[pa.RecordBatch]:
-    yield from piece.set_column(piece.column_names.index("line"), "line", _texts(lines)).to_batches(max_chunksize=ROWS)
+        names, _, n = self._compounds(taken, mark)
+        return pa.concat_arrays([self.words, names]), np.r_[alone, n]
 
 
 def _batches(columns: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
@@ -313,12 +326,14 @@ class Table:
 
     def holds(self, values: list[np.ndarray]) -> np.ndarray:
         """Which rows of ``values`` the table has."""
-        order = np.argsort(values[0])
+        order = np.argsort((values[0] >> np.uint64(48)).astype(np.uint16), kind="stable")  # near enough to be found side by side
         values, out = [v[order] for v in values], np.zeros(len(order), bool)
+        first = (values[0] >> np.uint64(48)).astype(np.uint16)
         for block in self.blocks():
             if not len(block[0]):
                 continue
-            low, high = np.searchsorted(values[0], block[0][0]), np.searchsorted(values[0], block[0][-1], side="right")
+            ends = (block[0][[0, -1]] >> np.uint64(48)).astype(np.uint16)
+            low, high = np.searchsorted(first, ends[0]), np.searchsorted(first, ends[1], side="right")
             asked = [v[low:high] for v in values]
             place, at = np.searchsorted(block[0], asked[0]), np.arange(high - low)
             while len(at):  # rows whose first numbers agree lie side by side
@@ -333,23 +348,29 @@ class Table:
         return out
 
 
+@lru_cache(maxsize=1)
+def _table(path: str, *columns: str) -> Table:
+    """A worker's next task finds the table read."""
+    return Table(path, *columns)
+
+
 def _counted(words: pa.Array, n: np.ndarray, having: str) -> Iterator[pa.RecordBatch]:
     wanted = pc.match_substring(words, having).to_numpy(zero_copy_only=False).astype(bool) & (n > 0)
     yield from _batches({"token": _texts(words.filter(pa.array(wanted))), "n": _longs(n[wanted])})
 
 
-def words(lines: DataFrame, having: str = "") -> DataFrame:
+def words(files: DataFrame, having: str = "") -> DataFrame:
     """(token, n): words that have ``having`` in them, counted."""
 
     def run(batches):
-        for piece in _pieces(batches):
-            p = Piece(_lines(piece))
+        for piece in _read(batches):
+            p = Piece(*piece)
             yield from _counted(p.words, p.counts(), having)
 
-    return lines.select("line").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return files.mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def _often(lines: DataFrame, connectors: tuple[str, ...], min_count: int, path: str) -> None:
+def _often(files: DataFrame, connectors: tuple[str, ...], min_count: int, path: str) -> None:
     """Writes (digest) of what may be a word or a pair that occurs ``min_count`` times or more.
 
     A digest's last bits make room for a count, up to ``min_count``. Each piece
@@ -360,8 +381,8 @@ def _often(lines: DataFrame, connectors: tuple[str, ...], min_count: int, path:
     mask = (np.uint64(1) << bits) - np.uint64(1)
 
     def count(batches):
-        for piece in _pieces(batches):
-            p = Piece(_lines(piece), connectors)
+        for piece in _read(batches):
+            p = Piece(*piece, connectors)
             keys, n = p.distinct()
             n = np.minimum(np.concatenate([n, p.counts()]), min_count).astype(np.uint64)
             x = np.sort(p.numbers(keys) & ~mask | n)
@@ -387,11 +408,11 @@ def _often(lines: DataFrame, connectors: tuple[str, ...], min_count: int, path:
         if held:
             yield from _batches({"digest": _longs(whole(held))})
 
-    sent = lines.select("line").mapInArrow(count, "part int, numbers binary").repartition("part").sortWithinPartitions("part")
+    sent = files.mapInArrow(count, "part int, numbers binary").repartition("part").sortWithinPartitions("part")
     _in_order(sent.mapInArrow(add_up, "digest long"), path)
 
 
-def word_and_pair_counts(lines: DataFrame, connectors: tuple[str, ...] = (), min_count: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+def word_and_pair_counts(files: DataFrame, connectors: tuple[str, ...] = (), min_count: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(token, n) and (met, joint) of words and pairs that occur ``min_count`` times or more, and (n) of all words, in one row.
 
     Pairs are as in ``collocation.pair_counts``. They and words are counted
@@ -399,14 +420,14 @@ def word_and_pair_counts(lines: DataFrame, connectors: tuple[str, ...] = (), min
     digest occurs often enough. So few are sent as text, and digests that agree by
     chance do no harm.
     """
-    path = f"{shared_dir(lines.sparkSession)}/often"
-    _often(lines, connectors, min_count, path)
+    path = f"{shared_dir(files.sparkSession)}/often"
+    _often(files, connectors, min_count, path)
 
     def spell(batches):
-        often = Table(path, "digest")
+        often = _table(path, "digest")
         blank = ~((np.uint64(1) << np.uint64(int(min_count).bit_length())) - np.uint64(1))
-        for piece in _pieces(batches):
-            p = Piece(_lines(piece), connectors)
+        for piece in _read(batches):
+            p = Piece(*piece, connectors)
             keys, n = p.distinct()
             hit = often.holds([p.numbers(keys) & blank])
             pair, word = hit[: len(keys)], hit[len(keys) :]
@@ -414,17 +435,17 @@ def word_and_pair_counts(lines: DataFrame, connectors: tuple[str, ...] = (), min
             yield from _batches({"met": _texts(p.words.filter(pa.array(word))), "n": _longs(p.counts()[word])})
             yield from _batches({"met": pa.array([""]), "n": pa.array([len(p.ids)])})
 
-    rows = lines.select("line").mapInArrow(spell, "met string, n long").groupBy("met").agg(F.sum("n").alias("n"))
-    rows = stored(rows.where((F.col("n") >= min_count) | (F.col("met") == "")))
+    found = files.mapInArrow(spell, "met string, n long").groupBy("met").agg(F.sum("n").alias("n"))
+    found = stored(found.where((F.col("n") >= min_count) | (F.col("met") == "")))
     pair = F.contains(F.col("met"), F.lit(" "))
-    words = rows.where(~pair & (F.col("met") != "")).select(F.col("met").alias("token"), "n")
-    return words, rows.where(pair).select("met", F.col("n").alias("joint")), rows.where("met = ''").select("n")
+    words = found.where(~pair & (F.col("met") != "")).select(F.col("met").alias("token"), "n")
+    return words, found.where(pair).select("met", F.col("n").alias("joint")), found.where("met = ''").select("n")
 
 
 def _numbered(phrases: DataFrame, mark: str) -> str:
     """Where digests of 16 bytes of ``phrases`` (a, between, b) are written."""
     if len(mark) != 1 or not "!" <= mark <= "~" or mark.isalpha():
-        raise ValueError("the mark of lines is one character of ASCII, neither letter nor blank")
+        raise ValueError("the mark of coded texts is one character of ASCII, neither letter nor blank")
     path = f"{shared_dir(phrases.sparkSession)}/phrases"
 
     def number(batches):
@@ -437,31 +458,27 @@ def _numbered(phrases: DataFrame, mark: str) -> str:
     return path
 
 
-def _known(batches: Iterator[pa.RecordBatch], path: str, connectors: tuple[str, ...]) -> Iterator[tuple[pa.Table, Piece, np.ndarray]]:
-    known = Table(path, "x", "y")
-    for piece in _pieces(batches):
-        p = Piece(_lines(piece), connectors)
+def _known(batches: Iterator[pa.RecordBatch], path: str, connectors: tuple[str, ...]) -> Iterator[tuple[Piece, np.ndarray]]:
+    known = _table(path, "x", "y")
+    for piece in _read(batches):
+        p = Piece(*piece, connectors)
         keys, _ = p.distinct()
-        yield piece, p, keys[known.holds(p.of_keys(keys))]
+        yield p, keys[known.holds(p.of_keys(keys))]
 
 
-def fused(lines: DataFrame, phrases: DataFrame, connectors: tuple[str, ...] = (), mark: str = "_") -> DataFrame:
-    """The lines with ``phrases`` (a, between, b) put together: a blank inside a phrase becomes ``mark``, one character of ASCII."""
+def fused(files: DataFrame, phrases: DataFrame, connectors: tuple[str, ...] = (), mark: str = "_") -> DataFrame:
+    """The files with ``phrases`` (a, between, b) put together from left to right, each word once, with ``mark`` between the parts."""
     path = _numbered(phrases, mark)
 
-    def run(batches):
-        for piece, p, known in _known(batches, path, connectors):
-            yield from _replaced(piece, p.fused(known, mark))
-
-    return lines.mapInArrow(run, lines.schema)
+    return _written(files, lambda batches: (p.fused(known, mark) for p, known in _known(batches, path, connectors)))
 
 
-def fused_words(lines: DataFrame, phrases: DataFrame, connectors: tuple[str, ...] = (), mark: str = "_", having: str = "") -> DataFrame:
-    """``words`` of ``fused`` lines, which are not made for it."""
+def fused_words(files: DataFrame, phrases: DataFrame, connectors: tuple[str, ...] = (), mark: str = "_", having: str = "") -> DataFrame:
+    """``words`` of ``fused`` files, which are not made for it."""
     path = _numbered(phrases, mark)
 
     def run(batches):
-        for _, p, known in _known(batches, path, connectors):
+        for p, known in _known(batches, path, connectors):
             yield from _counted(*p.fused_words(known, mark), having)
 
-    return lines.select("line").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return files.mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))

@@ -12,7 +12,7 @@ from ..functions.arrays import let
 from ..functions.maths import npmi
 from ..functions.text import WORD
 from ..storage import stored
-from . import lines
+from . import coded
 
 
 def sentence_pairs(words: Column, connectors: tuple[str, ...] = ()) -> Column:
@@ -99,15 +99,15 @@ def pair_scores(tokens: DataFrame, connectors: tuple[str, ...] = (), min_count:
 
     ``npmi`` or ``default``: (joint - min_count) / count_a / count_b times the
     number of types. With a threshold only pairs above it are kept. Documents
-    as arrays (``tokens.listed``), as (doc_id, text), or as lines
-    (``lines.lined``) are paired where they lie, and one shuffle counts the
+    as arrays (``tokens.listed``), as (doc_id, text), or as numbers
+    (``coded.coded``) are paired where they lie, and one shuffle counts the
     pairs. Words are counted once and written.
     """
     if scoring not in ("npmi", "default"):
         raise ValueError("scoring is npmi or default")
-    if "line" in tokens.columns:
-        single, met, total = lines.word_and_pair_counts(tokens, connectors, min_count)
-        joint, every = taken_apart(met), lines.words(tokens)
+    if "file" in tokens.columns:
+        single, met, total = coded.word_and_pair_counts(tokens, connectors, min_count)
+        joint, every = taken_apart(met), coded.words(tokens)
     elif "text" in tokens.columns:
         joint = pair_counts(tokens, connectors, min_count)
         tokens = tokens.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("token"))
@@ -115,7 +115,7 @@ def pair_scores(tokens: DataFrame, connectors: tuple[str, ...] = (), min_count:
         joint = pairs(tokens, connectors).groupBy("a", "between", "b").agg(F.count(F.lit(1)).alias("joint")).where(F.col("joint") >= min_count)
         if "sentences" in tokens.columns or "tokens" in tokens.columns:
             tokens = tokens.select(F.explode(F.flatten("sentences") if "sentences" in tokens.columns else "tokens").alias("token"))
-    if "line" not in tokens.columns:
+    if "file" not in tokens.columns:
         single = every = stored(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")))
         total = single.agg(F.sum("n"))
     left = single.select(F.col("token").alias("a"), F.col("n").alias("count_a"))
@@ -138,10 +138,10 @@ def fused(sentences: DataFrame, phrases: DataFrame, connectors: tuple[str, ...]
     them all. Phrases are written first: where Spark knows them to be few it
     sends them to the sentences, else pairs are dealt out by digests of 8
     bytes. Digests that agree by chance do no harm, since phrases are compared
-    as text. Lines (``lines.lined``) are fused as ``lines.fused`` says.
+    as text. Texts as numbers (``coded.coded``) are fused by ``coded.fused``.
     """
-    if "line" in sentences.columns:
-        return lines.fused(sentences, phrases, connectors, mark)
+    if "file" in sentences.columns:
+        return coded.fused(sentences, phrases, connectors, mark)
     digest = F.xxhash64("a", "between", "b")
     listed = stored(phrases.select(digest.alias("__digest"), F.concat_ws("\t", "a", "between", "b").alias("__phrase")))
     of = F.transform(sentence_pairs(F.col("tokens"), connectors), lambda p: F.xxhash64(p["a"], p["between"], p["b"]))
